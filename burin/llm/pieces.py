@@ -49,6 +49,7 @@ class PieceModel:
         inner = [p for p in self.id if len(p) > 1]
         self.bigrams = {p[k : k + 2] for p in inner for k in range(len(p) - 1)}
         self.prefixes = {p[:k] for p in inner for k in range(1, len(p))}
+        self.first_of_bigram = {b[0] for b in self.bigrams}
         if any(b[1] == SPACE and b[0] != SPACE for b in self.bigrams):
             raise ValueError("pieces of this model hold a space after a letter; words would not be independent")
         self._self = {}
@@ -81,12 +82,15 @@ class PieceModel:
             self._self[piece] = self.merge(list(piece)) == [piece]
         return self._self[piece]
 
+    def stands(self, text: str) -> bool:
+        return text in self.id and self.whole(text)
+
     def stand_together(self, a: str, b: str) -> bool:
         """True if a then b is how their joined text is encoded."""
         if a[-1] + b[0] not in self.bigrams:
             return True
         if (a, b) not in self._pair:
-            if len(self._pair) > 1_000_000:
+            if len(self._pair) > 200_000:
                 self._pair.clear()
             self._pair[a, b] = self.merge(list(a + b)) == [a, b]
         return self._pair[a, b]

@@ -36,6 +36,8 @@ LIMIT = 4096
 #: Transitions kept by a worker (two arrays of 2 ** 22 slots, 50 MB); beyond this it starts afresh.
 MOST_TRANSITIONS = 1 << 20
 _SLOTS = 1 << 22
+#: A place with at most so many tokens to come is known by the set of them.
+MOST_FOLLOWERS = 64
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,51 +57,87 @@ class Transducer:
         self.points[32] = self.points[ord(SPACE)]
         self.space = int(self.points[32])
         everything = np.arange(0x110000)
+        self.starting: dict[str, list[str]] = {}
+        for p in model.id:
+            if len(p) > 1 and model.whole(p):
+                for k in range(1, len(p)):
+                    self.starting.setdefault(p[:k], []).append(p)
         strange = self.points < 0
         self.points[strange] = ((everything >= 0x80).astype(int) + (everything >= 0x800) + (everything >= 0x10000))[strange]
         self.forget()
 
     def forget(self) -> None:
-        self.number = {("", ()): 0}
-        self.state = [("", ())]
+        start = ("", ((0, "", 0),))
+        self.number, self.state = {start: 0}, [start]
+        self.sets: list[frozenset[str]] = []
+        self.set_number: dict[frozenset[str], int] = {}
+        self.narrow: dict[tuple[str | int, str], str | int | None] = {}
         self.slot_key = np.full(_SLOTS, -1, np.int64)
         self.slot_to = np.zeros(_SLOTS, np.int32)
         self.slot_add = np.zeros(_SLOTS, np.int8)
         self.transitions = 0
 
+    def narrowed(self, value: str | int, begun: str) -> str | int | None:
+        """What must be known of a place from which a token that starts with `begun` may yet come.
+
+        The token that ends there, or, once few tokens start with `begun`, the number of
+        the set of those that may follow it; places with equal sets are alike. None if no
+        token may follow.
+        """
+        found = self.narrow.get((value, begun), "?")
+        if found != "?":
+            return found
+        if isinstance(value, int):
+            left = frozenset(t for t in self.sets[value] if len(t) > len(begun) and t.startswith(begun))
+        else:
+            more = self.starting.get(begun, ())
+            if len(more) > MOST_FOLLOWERS:
+                left = None
+            else:
+                model = self.model
+                left = frozenset(t for t in more if not value or model.stand_together(value, t))
+        if left is None:
+            found = value
+        elif not left:
+            found = None
+        else:
+            found = self.set_number.setdefault(left, len(self.sets))
+            if found == len(self.sets):
+                self.sets.append(left)
+        self.narrow[value, begun] = found
+        return found
+
     def compile(self, state: int, symbol: int) -> tuple[int, int]:
         """(next state, change of the count) on reading a symbol.
 
-        A state is (live suffix, ((reach back, last token or "", count there less count now), ...)).
+        A state is (live suffix, ((reach back, what is known of that place, count there less count now), ...)).
         """
         if symbol < 4:
             return 0, symbol + 1
         model, c = self.model, self.letters[symbol]
-        live, begins = self.state[state]
+        live, places = self.state[state]
         grown = live + c
-        places = dict((back, (last, count)) for back, last, count in begins) or {0: ("", 0)}
-        places.setdefault(0, ("", 0))
-        token = c
-        add = places[0][1] + 1
-        for back, (last, count) in places.items():
+        token, add = c, 1
+        for back, value, count in places:
             t = grown[len(live) - back :]
-            if back and t not in model.id:
-                continue
-            if model.whole(t) and (not last or model.stand_together(last, t)):
+            if t in self.sets[value] if isinstance(value, int) else model.stands(t) and (not value or model.stand_together(value, t)):
                 token, add = t, count + 1
                 break
-        suffix = next((grown[k:] for k in range(len(grown)) if grown[k:] in model.prefixes), "")
         kept = []
-        for back, (last, count) in places.items():
-            if back + 1 <= len(suffix) and grown[len(live) - back :] in model.prefixes:
-                kept.append((back + 1, last, count - add))
-        if suffix:
+        for back, value, count in places:
+            t = grown[len(live) - back :]
+            if t in model.prefixes and (narrow := self.narrowed(value, t)) is not None:
+                kept.append((back + 1, narrow, count - add))
+        if c in model.first_of_bigram:
             kept.append((0, token, 0))
-        key = (suffix, tuple(sorted(kept)))
-        if key not in self.number:
-            self.number[key] = len(self.state)
+        else:
+            kept.append((0, "", 0))
+        reach = kept[0][0]
+        key = (grown[len(grown) - reach :], tuple(kept))
+        number = self.number.setdefault(key, len(self.state))
+        if number == len(self.state):
             self.state.append(key)
-        return self.number[key], add
+        return number, add
 
     def find(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next state, change) of many transitions, compiling those not met before."""
