@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burin.llm import byte_cnn, cover_tree, gam, merge_rounds, token_transducer
+from burin.llm import byte_cnn, cover_tree, gam, merge_rounds, token_transducer, wu_manber
 from burin.llm.common import table
 from burin.shipping import ship
 
@@ -18,6 +18,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wu_manber.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hits")
+
+
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,7 +38,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_quality_gam, op4_exact_top_k, op6_sentencepiece, op8_token_counts, op10_language_id)
+QUERIES = (op1_decontaminate, op2_quality_gam, op4_exact_top_k, op6_sentencepiece, op8_token_counts, op10_language_id)
 
 
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -46,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": cover_tree.SQL}
+    return {"op1_decontaminate": wu_manber.SQL, "op4_exact_top_k": cover_tree.SQL}
