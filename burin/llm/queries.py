@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burin.llm import byte_cnn, cover_tree, gam, merge_rounds, token_transducer, wu_manber
+from burin.llm import byte_cnn, cover_tree, gam, merge_rounds, page_diff, token_transducer, wu_manber
 from burin.llm.common import table
 from burin.shipping import ship
 
@@ -30,6 +30,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_rounds.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_decontaminate, op2_quality_gam, op4_exact_top_k, op6_sentencepiece, op8_token_counts, op10_language_id)
+QUERIES = (op1_decontaminate, op2_quality_gam, op4_exact_top_k, op5_main_text, op6_sentencepiece, op8_token_counts, op10_language_id)
 
 
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
