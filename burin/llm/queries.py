@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burin.llm import byte_cnn, cover_tree, gam, merge_rounds, page_diff, token_transducer, wu_manber
+from burin.llm import byte_cnn, cover_tree, gam, licenses, merge_rounds, page_diff, token_transducer, wu_manber
 from burin.llm.common import table
 from burin.shipping import ship
 
@@ -38,11 +38,15 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_rounds.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_decontaminate, op2_quality_gam, op4_exact_top_k, op5_main_text, op6_sentencepiece, op8_token_counts, op10_language_id)
+QUERIES = (op1_decontaminate, op2_quality_gam, op4_exact_top_k, op5_main_text, op6_sentencepiece, op7_license_scan, op8_token_counts, op10_language_id)
 
 
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -54,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": wu_manber.SQL, "op4_exact_top_k": cover_tree.SQL}
+    return {"op1_decontaminate": wu_manber.SQL, "op4_exact_top_k": cover_tree.SQL, "op7_license_scan": licenses.sql()}
