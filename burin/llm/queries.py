@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burin.llm import byte_cnn, cover_tree, gam, licenses, merge_rounds, page_diff, token_transducer, wu_manber
+from burin.llm import byte_cnn, cover_tree, gam, licenses, merge_rounds, page_diff, recurrent_lm, token_transducer, wu_manber
 from burin.llm.common import table
 from burin.shipping import ship
 
@@ -26,6 +26,10 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -46,7 +50,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_decontaminate, op2_quality_gam, op4_exact_top_k, op5_main_text, op6_sentencepiece, op7_license_scan, op8_token_counts, op10_language_id)
+QUERIES = (op1_decontaminate, op2_quality_gam, op3_recurrent_lm, op4_exact_top_k, op5_main_text, op6_sentencepiece, op7_license_scan, op8_token_counts, op10_language_id)
 
 
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
