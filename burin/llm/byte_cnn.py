@@ -225,3 +225,10 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     net = fit(docs, text, lang, key)
     slim = docs.select(F.col(key).alias("doc_id"), held_out(key, 4, 2).alias("held_out"), F.col(text).alias("text"))
     return predict(slim, net, keep=["doc_id", "held_out"])
+
+
+def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is determined, with a score of at least `least`; all columns kept."""
+    names = ("__lang_pred", "__lang_score")
+    told = predict(docs, fit(docs, text, lang, key), text, names=names)
+    return told.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).drop(*names)

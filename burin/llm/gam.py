@@ -208,7 +208,12 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     """Fit on at most `bound` labels, chosen by a hash of their ids, joined to the features of `rows`."""
     known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(key, 4, 2))
     few = sampled(known, bound, 23, "doc_id")  # at most `bound` rows of two numbers: small enough to send
-    got = rows.where(~F.col("held_out")).join(F.broadcast(few), "doc_id").select("doc_id", "x", "y").toArrow()
+    return _trained(rows.where(~F.col("held_out")).join(F.broadcast(few), "doc_id"))
+
+
+def _trained(rows: DataFrame) -> Gam:
+    """Train on doc_id, x, y of the labelled sample, in a fixed order."""
+    got = rows.select("doc_id", "x", "y").toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = got.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, got.column("doc_id").to_numpy())) if got.num_rows else np.zeros(0, int)
@@ -221,3 +226,22 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     model = fit(rows, labels, key)
     keep = ["doc_id", "held_out"]
     return rows.mapInArrow(_scores_of(model, keep, cut), _kept_types(rows, keep) + "score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", cut: float = CUT, bound: int = MOST_LABELS) -> DataFrame:
+    """The rows of docs that score at least `cut`, all columns kept.
+
+    Features are computed for the labelled sample, to fit, and once for every row.
+    """
+    known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(key, 4, 2))
+    few = sampled(known, bound, 23, "doc_id")
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    model = _trained(slim.mapInArrow(_features_of(["doc_id", "y"]), _kept_types(slim, ["doc_id", "y"]) + "x array<double>"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
+            good = [model.score(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) >= cut for i, j in blocks(offsets)]
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+    return docs.mapInArrow(apply, docs.schema)

@@ -9,11 +9,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burin.llm import byte_cnn, cover_tree, gam, licenses, merge_rounds, page_diff, recurrent_lm, token_transducer, wu_manber
+from burin.llm import byte_cnn, cover_tree, gam, jaccard_join, licenses, merge_rounds, page_diff, recurrent_lm, token_transducer, wu_manber
 from burin.llm.common import table
 from burin.shipping import ship
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_decontaminate, op2_quality_gam, op3_recurrent_lm, op4_exact_top_k, op5_main_text, op6_sentencepiece, op7_license_scan, op8_token_counts, op10_language_id)
+QUERIES = (op1_decontaminate, op2_quality_gam, op3_recurrent_lm, op4_exact_top_k, op5_main_text, op6_sentencepiece, op7_license_scan, op8_token_counts, op9_jaccard_join, op10_language_id)
 
 
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -62,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": wu_manber.SQL, "op4_exact_top_k": cover_tree.SQL, "op7_license_scan": licenses.sql()}
+    return {"op1_decontaminate": wu_manber.SQL, "op4_exact_top_k": cover_tree.SQL, "op7_license_scan": licenses.sql(), "op9_jaccard_join": jaccard_join.SQL}
