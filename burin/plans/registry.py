@@ -1,4 +1,4 @@
-"""All registered queries of the artifact engine and their DuckDB SQL."""
+"""Registered queries of the artifact engine: name, DataFrame and DuckDB SQL together."""
 
 from __future__ import annotations
 
@@ -6,14 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from burin.shipping import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _loaded() -> None:
+    from burin.plans import document_queries, meta_queries, number_queries, page_queries, table_queries, text_queries  # noqa: F401
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy().count()
+    return queries()["html_inventory_summary"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    _loaded()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _loaded()
+    return dict(_SQL)
