@@ -604,3 +604,67 @@ def rtf_to_txt(text: str) -> str:
 
     out = re.sub(r"\\'([0-9a-fA-F]{2})|\\u(-?\d+)\s?\??|\\([a-zA-Z]+)-?\d*\s?|\\([\\{}])", control, text)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<!\\)[{}]", "", out)).strip()
+
+
+def md_plain(text: str) -> str:
+    """Markdown without its marks, by the rules that the column expression has."""
+    from burin.functions.text import JS_SPACE, MARKDOWN_RULES
+
+    space = JS_SPACE.replace(r"\x{", r"\u").replace("}", "")
+    text = re.sub(r"\A---\r?\n[\s\S]*?\r?\n---\r?\n?", "", text)
+    for pattern, by in MARKDOWN_RULES:
+        text = re.sub(pattern.replace(JS_SPACE, space), by.replace("$1", r"\1").replace("$2", r"\2"), text)
+    return text
+
+
+def html_plain(text: str) -> str:
+    for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"<[^>]+>"):
+        text = re.sub(pattern, " ", text)
+    return " ".join(_entities(text).split())
+
+
+def docx_to_html(content: bytes) -> str:
+    """Paragraphs, headings, list items, bold and italic runs."""
+    body, out = _part(_unzipped(content), "word/document.xml"), []
+    for paragraph in re.findall(r"(?s)<w:p\b(?:[^>]*[^/])?>(.*?)</w:p>", body):
+        style = re.search(r'<w:pStyle w:val="[^"\d]*(\d?)"', paragraph)
+        runs = []
+        for run in re.findall(r"(?s)<w:r\b[^>]*>(.*?)</w:r>", paragraph):
+            text = html.escape(_entities("".join(re.findall(r"<w:t\b[^>]*>([^<]*)</w:t>", run))), quote=False)
+            text = f"<em>{text}</em>" if re.search(r"<w:i(?:/|\s)", run) else text
+            runs.append(f"<strong>{text}</strong>" if re.search(r"<w:b(?:/|\s)", run) else text)
+        tag = "li" if "<w:numPr>" in paragraph else f"h{style[1]}" if style and style[1] else "p"
+        if line := "".join(runs):
+            out.append(f"<{tag}>{line}</{tag}>")
+    return re.sub(r"((?:<li>.*?</li>)+)", r"<ul>\1</ul>", "".join(out))
+
+
+def pdf_to_txt(content: bytes) -> str:
+    from burin.functions import pdf
+
+    return pdf.to_text(content)
+
+
+def pdf_to_csv(content: bytes) -> str:
+    """One cell a line of the text."""
+    return "\n".join(csv_cell(line) for line in pdf_to_txt(content).split("\n"))
+
+
+def pdf_to_docx(content: bytes) -> bytes:
+    return txt_to_docx(pdf_to_txt(content))
+
+
+def docx_to_pdf(content: bytes) -> bytes:
+    return txt_to_pdf(docx_to_txt(content))
+
+
+def pptx_to_pdf(content: bytes) -> bytes:
+    return txt_to_pdf(pptx_to_txt(content))
+
+
+def md_to_pdf(text: str) -> bytes:
+    return txt_to_pdf(md_plain(text))
+
+
+def html_to_pdf(text: str) -> bytes:
+    return txt_to_pdf(html_plain(text))

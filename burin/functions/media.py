@@ -40,14 +40,14 @@ def cut(data: bytes, regions: list[tuple[int, int]]) -> bytes:
 # --- HTML ------------------------------------------------------------------------------------
 
 _BLIND = re.compile(rb"(?is)<!--.*?-->|<(script|style|title|textarea|xmp|noscript)\b[^>]*>.*?</\1\s*>")
-_TAGS = re.compile(rb"""(?is)<(meta|link)\b((?:"[^"]*"|'[^']*'|[^>"'])*)>""")
+_HTML_TAGS = re.compile(rb"""(?is)<(meta|link)\b((?:"[^"]*"|'[^']*'|[^>"'])*)>""")
 _ATTRIBUTES = re.compile(rb"""(?is)([a-z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 def html_removable(page: bytes) -> Iterator[tuple[str, int, int]]:
     """(block, start, end) of meta tags that carry metadata and of authorship links."""
     blind = [m.span() for m in _BLIND.finditer(page)]
-    for tag in _TAGS.finditer(page):
+    for tag in _HTML_TAGS.finditer(page):
         if any(a <= tag.start() < b for a, b in blind):
             continue
         have = {m[1].lower(): (m[2] or m[3] or m[4] or b"") for m in _ATTRIBUTES.finditer(tag[2])}
@@ -170,7 +170,7 @@ def scan_tiff(data: bytes, root: str = "IFD0") -> list[Entry]:
                 todo.append((_TIFF_POINTERS[tag], struct.unpack_from(order + "I", data, e + 8)[0]))
                 continue
             name, sensitivity = _TIFF_TAGS.get(tag, (f"Tag 0x{tag:04X}", "high" if where == "EXIF GPS" else "medium"))
-            kept = tag == 0x0112
+            kept = tag == 0x0112 or tag not in _TIFF_TAGS and where.startswith("IFD")
             out.append((where, name, _tiff_value(data, order, kind, min(count, 32), place, size), sensitivity, KEPT if kept else GONE))
         after = at + 2 + 12 * n
         if after + 4 <= len(data) and (following := struct.unpack_from(order + "I", data, after)[0]):
@@ -637,25 +637,242 @@ def strip_iso(data: bytes) -> bytes:
     return bytes(out)
 
 
+# --- Matroska --------------------------------------------------------------------------------
+
+# Element numbers of the container.
+_SEGMENT, _INFO, _TAGS, _TAG, _SIMPLE, _ATTACHMENTS, _FILE, _VOID = 0x18538067, 0x1549A966, 0x1254C367, 0x7373, 0x67C8, 0x1941A469, 0x61A7, 0xEC
+_TAG_NAME, _TAG_STRING, _FILE_NAME, _DATE = 0x45A3, 0x4487, 0x466E, 0x4461
+_INFO_TEXT = {0x7BA9: "Title", 0x4D80: "MuxingApp", 0x5741: "WritingApp"}
+
+
+def _vint(data: bytes, at: int, marked: bool) -> tuple[int, int]:
+    """(value, length) of a variable-length integer; marked keeps its length bits."""
+    first = data[at]
+    length = 9 - first.bit_length()
+    if length > 8 or at + length > len(data):
+        raise ValueError("bad integer")
+    raw = int.from_bytes(data[at : at + length], "big")
+    return (raw if marked else raw & ((1 << 7 * length) - 1)), length
+
+
+def elements(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, int, int, int]]:
+    """(number, start, body, end) of the elements of a range; an unknown size reaches to its end."""
+    out, end = [], len(data) if end is None else end
+    while at < end:
+        try:
+            number, n = _vint(data, at, True)
+            size, m = _vint(data, at + n, False)
+        except (ValueError, IndexError):
+            break
+        body = at + n + m
+        stop = end if size == (1 << 7 * m) - 1 else body + size
+        if stop > end:
+            break
+        out.append((number, at, body, stop))
+        at = stop
+    return out
+
+
+def _segment_parts(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    for number, _, body, stop in elements(data):
+        if number == _SEGMENT:
+            yield from elements(data, body, stop)
+
+
+def scan_mkv(data: bytes) -> list[Entry]:
+    out: list[Entry] = []
+    for number, _, body, stop in _segment_parts(data):
+        if number == _INFO:
+            for n, _, b, e in elements(data, body, stop):
+                if n in _INFO_TEXT:
+                    out.append(("Segment > Info", _INFO_TEXT[n], shown(text_of(data[b:e])), "medium", GONE))
+                elif n == _DATE:
+                    out.append(("Segment > Info", "DateUTC", str(int.from_bytes(data[b:e], "big", signed=True)), "medium", GONE))
+        elif number == _TAGS:
+            for _, _, b, e in (x for x in elements(data, body, stop) if x[0] == _TAG):
+                for _, _, c, f in (x for x in elements(data, b, e) if x[0] == _SIMPLE):
+                    have = {n: text_of(data[p:q]) for n, _, p, q in elements(data, c, f)}
+                    key = have.get(_TAG_NAME, "")
+                    out.append(("Tags > Tag > SimpleTag", key, shown(have.get(_TAG_STRING, "")), "high" if key.upper() == "ARTIST" else "medium", GONE))
+        elif number == _ATTACHMENTS:
+            for _, _, b, e in (x for x in elements(data, body, stop) if x[0] == _FILE):
+                name = next((text_of(data[p:q]) for n, _, p, q in elements(data, b, e) if n == _FILE_NAME), "")
+                out.append(("Segment > Attachments > AttachedFile", "FileName", shown(name), "high", GONE))
+    if elements(data)[:1] and elements(data)[0][0] == 0x1A45DFA3:
+        out.append(("EBML", "format", "Matroska", "low", KEPT))
+    return out
+
+
+def _void(size: int) -> bytes:
+    """A void element of `size` bytes, 2 at least."""
+    if size < 9:
+        return bytes([_VOID, 0x80 | (size - 2)]) + bytes(size - 2)
+    return bytes([_VOID, 0x01]) + (size - 9).to_bytes(7, "big") + bytes(size - 9)
+
+
+def strip_mkv(data: bytes) -> bytes:
+    """Tags, attachments and the information's texts and date become voids of the same size."""
+    out = bytearray(data)
+    for number, start, body, stop in _segment_parts(data):
+        gone = [(start, stop)] if number in (_TAGS, _ATTACHMENTS) else [(a, e) for n, a, _, e in elements(data, body, stop) if n in _INFO_TEXT or n == _DATE] if number == _INFO else []
+        for a, b in gone:
+            out[a:b] = _void(b - a)
+    return bytes(out)
+
+
+# --- TIFF, EPUB, PDF -------------------------------------------------------------------------
+
+
+def strip_tiff(data: bytes) -> bytes:
+    """Metadata tags leave their directories and their values are zeroed; image offsets do not move."""
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        return data
+    order, out = "<" if data[:2] == b"II" else ">", bytearray(data)
+    at, seen = struct.unpack(order + "I", data[4:8])[0], set()
+    todo = [(at, False)]
+    while todo and len(seen) < MOST_DIRECTORIES:
+        at, whole = todo.pop()
+        if not at or at in seen or at + 2 > len(data):
+            continue
+        seen.add(at)
+        n = struct.unpack_from(order + "H", data, at)[0]
+        if at + 6 + 12 * n > len(data):
+            continue
+        kept = []
+        for k in range(n):
+            e = at + 2 + 12 * k
+            tag, kind, count = struct.unpack_from(order + "HHI", data, e)
+            if tag in _TIFF_POINTERS:
+                todo.append((struct.unpack_from(order + "I", data, e + 8)[0], True))
+            if whole or tag in _TIFF_POINTERS or tag in _TIFF_TAGS and tag != 0x0112:
+                size = _TIFF_SIZES.get(kind, 0) * count
+                place = struct.unpack_from(order + "I", data, e + 8)[0]
+                if size > 4 and place + size <= len(data):
+                    out[place : place + size] = bytes(size)
+            else:
+                kept.append(data[e : e + 12])
+        following = data[at + 2 + 12 * n : at + 6 + 12 * n]
+        body = struct.pack(order + "H", len(kept)) + b"".join(kept) + (b"\0\0\0\0" if whole else following)
+        out[at : at + 6 + 12 * n] = body.ljust(6 + 12 * n, b"\0")
+        if not whole:
+            todo.append((struct.unpack(order + "I", following)[0], False))
+    return bytes(out)
+
+
+# What a package must keep, and files that readers leave beside it.
+_EPUB_KEPT = ("identifier", "title", "language")
+_SIDECARS = re.compile(r"^(?:META-INF/(?:calibre_bookmarks\.txt|com\.apple\.ibooks\.display-options\.xml)|iTunesMetadata\.plist)$")
+_OPF_LEAF = re.compile(r"<((?:dc|dcterms):([\w-]+)|meta)\b([^>]*?)(?:/>|>([^<]*)</\1>)")
+_EPOCH = "1970-01-01T00:00:00Z"
+
+
+def _dated(name: str, attributes: str) -> bool:
+    return name in ("date", "modified") or 'property="dcterms:modified"' in attributes
+
+
+def scan_epub(data: bytes) -> list[Entry]:
+    out: list[Entry] = []
+    try:
+        package = zipfile.ZipFile(io.BytesIO(data))
+        for name in package.namelist():
+            if name.endswith(".opf"):
+                for m in _OPF_LEAF.finditer(text_of(package.read(name))):
+                    key = m[1] if m[2] else next(iter(re.findall(r'(?:property|name)="([^"]*)"', m[3])), "meta")
+                    value = shown(m[4] or next(iter(re.findall(r'content="([^"]*)"', m[3])), ""))
+                    kept = m[2] in _EPUB_KEPT or _dated(m[2] or "", m[3]) and value.startswith("1970-01-01")
+                    out.append((f"OPF > metadata > {m[1]}", key, value, "high" if m[2] in ("creator", "contributor") else "medium", KEPT if kept else GONE))
+            elif _SIDECARS.match(name):
+                out.append((f"sidecar: {name}", name.rsplit("/", 1)[-1], f"{package.getinfo(name).file_size} bytes", "medium", GONE))
+    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, zlib.error):
+        return []
+    return out
+
+
+def _clean_opf(text: str) -> str:
+    """Personal elements go, dates become the epoch, and what refines a gone element goes with it."""
+    gone: set[str] = set()
+
+    def once(m: re.Match) -> str:
+        if m[2] in _EPUB_KEPT:
+            return m[0]
+        if _dated(m[2] or "", m[3]):
+            return m[0].replace(f">{m[4]}<", f">{_EPOCH}<") if m[4] else m[0]
+        refines = re.search(r'refines="#([^"]*)"', m[3])
+        if not m[2] and refines and refines[1] not in gone:
+            return m[0]
+        gone.update(re.findall(r'\bid="([^"]*)"', m[3]))
+        return ""
+
+    while True:
+        before = len(gone)
+        out = _OPF_LEAF.sub(once, text)
+        if len(gone) == before:
+            return out
+        text = out
+
+
+def strip_epub(data: bytes) -> bytes:
+    out = io.BytesIO()
+    try:
+        package = zipfile.ZipFile(io.BytesIO(data))
+        with zipfile.ZipFile(out, "w") as z:
+            for item in sorted(package.infolist(), key=lambda i: i.filename != "mimetype"):
+                if _SIDECARS.match(item.filename):
+                    continue
+                body = package.read(item.filename)
+                if item.filename.endswith(".opf"):
+                    body = _clean_opf(text_of(body)).encode()
+                z.writestr(zipfile.ZipInfo(item.filename, (1980, 1, 1, 0, 0, 0)), body, zipfile.ZIP_STORED if item.filename == "mimetype" else zipfile.ZIP_DEFLATED)
+    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, zlib.error):
+        return data
+    return out.getvalue()
+
+
+def scan_pdf(data: bytes) -> list[Entry]:
+    """Document information, XMP properties and the page count."""
+    from burin.functions import pdf
+
+    try:
+        doc = pdf.Document(data)
+    except ValueError as e:
+        return [("trailer", "Encrypt", str(e), "low", KEPT)] if b"/Encrypt" in data else []
+    out: list[Entry] = [("info dictionary", k, shown(v), "high" if k == "Author" else "medium", GONE) for k, v in doc.info().items()]
+    for value in doc.objects.values():
+        if isinstance(value, pdf.Stream) and value.info.get("Type") == "Metadata":
+            out += scan_xmp(value.decoded())
+    out.append(("page tree", "pages", str(len(doc.pages)), "low", KEPT))
+    return out
+
+
+def strip_pdf(data: bytes) -> bytes:
+    """Pages rewritten without document information and metadata streams."""
+    from burin.functions import pdf
+
+    doc, out = pdf.Document(data), pdf.Writer()
+    for page in doc.pages:
+        out.page(doc, {k: v for k, v in page.items() if k not in ("Metadata", "PieceInfo", "LastModified")})
+    return out.bytes() if out.kids else data
+
+
 SCANNERS: dict[str, Callable[[bytes], list[Entry]]] = {
     "png": scan_png, "jpg": scan_jpeg, "tiff": scan_tiff, "webp": scan_riff, "wav": scan_riff, "avi": scan_riff, "gif": scan_gif, "mp3": scan_mp3, "flac": scan_flac, "svg": scan_svg, "rtf": scan_rtf,
-    "docx": scan_office, "xlsx": scan_office, "pptx": scan_office, "odt": scan_office, "epub": scan_office, "mp4": scan_iso, "mov": scan_iso, "m4a": scan_iso,
+    "docx": scan_office, "xlsx": scan_office, "pptx": scan_office, "odt": scan_office, "epub": scan_epub, "mkv": scan_mkv, "webm": scan_mkv, "pdf": scan_pdf, "mp4": scan_iso, "mov": scan_iso, "m4a": scan_iso,
 }
 STRIPPERS: dict[str, Callable[[bytes], bytes]] = {
     "png": strip_png, "jpg": strip_jpeg, "webp": strip_riff, "wav": strip_riff, "avi": strip_riff, "gif": strip_gif, "mp3": strip_mp3, "flac": strip_flac, "svg": strip_svg, "rtf": strip_rtf,
-    "docx": strip_office, "xlsx": strip_office, "pptx": strip_office, "odt": strip_office, "html": strip_html, "mp4": strip_iso, "mov": strip_iso, "m4a": strip_iso,
+    "docx": strip_office, "xlsx": strip_office, "pptx": strip_office, "odt": strip_office, "epub": strip_epub, "mkv": strip_mkv, "webm": strip_mkv, "tiff": strip_tiff, "pdf": strip_pdf, "html": strip_html, "mp4": strip_iso, "mov": strip_iso, "m4a": strip_iso,
 }
 
 
 def scan(data: bytes | None, kind: str) -> list[Entry]:
     try:
         return SCANNERS[kind](data) if data and kind in SCANNERS else []
-    except (ValueError, IndexError, KeyError, struct.error, zlib.error):
+    except (ValueError, IndexError, KeyError, TypeError, AttributeError, RecursionError, struct.error, zlib.error):
         return []
 
 
 def strip(data: bytes | None, kind: str) -> bytes | None:
     try:
         return STRIPPERS[kind](data) if data and kind in STRIPPERS else data
-    except (ValueError, IndexError, KeyError, struct.error, zlib.error):
+    except (ValueError, IndexError, KeyError, TypeError, AttributeError, RecursionError, struct.error, zlib.error):
         return data

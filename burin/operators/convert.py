@@ -33,9 +33,11 @@ TEXT_PARSERS: dict[str, Callable[[str], str]] = {
     "json-to-ts": D.json_to_ts, "md-to-html": D.md_to_html, "html-to-md": D.html_to_md, "rtf-to-txt": D.rtf_to_txt,
 }
 #: Bytes in, text out.
-FILE_READERS: dict[str, Callable[[bytes], str]] = {"docx-to-txt": D.docx_to_txt, "odt-to-txt": D.odt_to_txt, "pptx-to-txt": D.pptx_to_txt, "epub-to-txt": D.epub_to_txt, "xlsx-to-csv": D.xlsx_to_csv, "xlsx-to-json": D.xlsx_to_json, "zip-to-manifest": D.zip_manifest}
+FILE_READERS: dict[str, Callable[[bytes], str]] = {"docx-to-txt": D.docx_to_txt, "odt-to-txt": D.odt_to_txt, "pptx-to-txt": D.pptx_to_txt, "epub-to-txt": D.epub_to_txt, "xlsx-to-csv": D.xlsx_to_csv, "xlsx-to-json": D.xlsx_to_json, "zip-to-manifest": D.zip_manifest, "docx-to-html": D.docx_to_html, "pdf-to-txt": D.pdf_to_txt, "pdf-to-csv": D.pdf_to_csv}
 #: Text in, bytes out.
-FILE_WRITERS: dict[str, Callable[[str], bytes]] = {"txt-to-pdf": D.txt_to_pdf, "csv-to-xlsx": D.csv_to_xlsx, "json-to-xlsx": D.json_to_xlsx, "txt-to-docx": D.txt_to_docx}
+FILE_WRITERS: dict[str, Callable[[str], bytes]] = {"txt-to-pdf": D.txt_to_pdf, "csv-to-xlsx": D.csv_to_xlsx, "json-to-xlsx": D.json_to_xlsx, "txt-to-docx": D.txt_to_docx, "md-to-pdf": D.md_to_pdf, "html-to-pdf": D.html_to_pdf}
+#: Bytes in, bytes out.
+FILE_CONVERTERS: dict[str, Callable[[bytes], bytes]] = {"pdf-to-docx": D.pdf_to_docx, "docx-to-pdf": D.docx_to_pdf, "pptx-to-pdf": D.pptx_to_pdf}
 #: What no library of this environment can decode or encode; the result is an explicit error.
 UNSUPPORTED = ("pdf-to-jpg", "pdf-to-png", "pdf-to-webp", "to-jpg", "to-webp", "img-to-svg", "heic-to-jpg", "heic-to-png", "tiff-to-jpg")
 
@@ -74,8 +76,8 @@ def convert(value: Column, to: str) -> Column:
         return _udf(TEXT_PARSERS[to], "string")(value)
     if to in FILE_READERS:
         return _udf(FILE_READERS[to], "string")(value)
-    if to in FILE_WRITERS:
-        return _udf(FILE_WRITERS[to], "binary")(value)
+    if to in FILE_WRITERS or to in FILE_CONVERTERS:
+        return _udf(FILE_WRITERS.get(to) or FILE_CONVERTERS[to], "binary")(value)
     if to in UNSUPPORTED:
         return F.struct(F.lit(None).cast("binary").alias("result"), F.lit("unsupported").alias("error"))
     raise ValueError(f"Conversión no disponible: {to}")

@@ -80,10 +80,24 @@ def sample_file(kind: str, author: str) -> bytes:
     if kind == "docx":
         core = f"<cp:coreProperties><dc:creator>{author}</dc:creator></cp:coreProperties>"
         return documents._zip([("docProps/core.xml", core.encode()), ("word/document.xml", b"<w:document/>")])
+    if kind == "tiff":
+        text = raw.ljust(4) + b"\0"
+        entries = struct.pack("<HHII", 0x0100, 3, 1, 1) + struct.pack("<HHII", 0x013B, 2, len(text), 38)
+        return b"II*\0\x08\0\0\0\x02\0" + entries + b"\0\0\0\0" + text
+    if kind == "mkv":
+        element = lambda number, body: bytes.fromhex(number) + bytes([0x40 | len(body) >> 8, len(body) & 255]) + body
+        tag = element("67C8", element("45A3", b"ARTIST") + element("4487", raw))
+        segment = element("1549A966", element("7BA9", raw)) + element("1254C367", element("7373", tag))
+        return element("1A45DFA3", element("4282", b"matroska")) + element("18538067", segment)
+    if kind == "epub":
+        opf = f'<package><metadata><dc:identifier id="i">1</dc:identifier><dc:title>T</dc:title><dc:creator id="c">{author}</dc:creator><meta refines="#c" property="role">aut</meta><dc:date>2024</dc:date></metadata></package>'
+        return documents._zip([("mimetype", b"application/epub+zip"), ("OEBPS/content.opf", opf.encode()), ("META-INF/calibre_bookmarks.txt", raw)])
+    if kind == "pdf":
+        return documents.txt_to_pdf("text").replace(b"/Root 1 0 R", b"/Root 1 0 R /Info << /Author <" + raw.hex().encode() + b"> >>")
     raise ValueError(kind)
 
 
-SAMPLE_KINDS = ("png", "jpg", "gif", "mp3", "flac", "wav", "svg", "rtf", "docx")
+SAMPLE_KINDS = ("png", "jpg", "gif", "mp3", "flac", "wav", "svg", "rtf", "docx", "tiff", "mkv", "epub", "pdf")
 
 
 def sample_files(rows: DataFrame, key: str = "doc_id", author: str = "source") -> DataFrame:

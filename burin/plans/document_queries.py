@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from burin.operators import metadata as M
+from burin.operators import pages as P
+from burin.operators import pdf_files
 from burin.operators.convert import convert
 from burin.plans.registry import query, table
 
@@ -61,3 +63,33 @@ def binary_strip(spark, d):
     clean = files.select("doc_id", "kind", F.octet_length("bytes").alias("size_before"), M.strip(F.col("bytes"), F.col("kind")).alias("bytes"))
     left = F.size(F.filter(M.scan(F.col("bytes"), F.col("kind")), lambda e: (e["removal"] != "never") & (e["value"] != "")))
     return clean.select("doc_id", "kind", "size_before", F.octet_length("bytes").alias("size_after"), left.alias("leftovers"))
+
+
+def _pdfs(spark, d):
+    """One PDF a conversation: a line for each turn, three lines to a page."""
+    turn = F.concat(F.lit("turn "), F.col("turn").cast("string"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(turn)), "\n").alias("t"), F.count("*").alias("n"))
+    return rows.select("conv_id", "n", "t", convert(F.repeat(F.concat("t", F.lit("\n")), 40), "txt-to-pdf")["result"].alias("pdf"))
+
+
+@query("SELECT conv_id, CAST(ceil((n * 40 + 1) / 48.0) AS INTEGER) AS pages, CAST(ceil((n * 40 + 1) / 48.0) AS INTEGER) AS reversed, NULL::VARCHAR AS error FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+def pdf_reorder(spark, d):
+    """Pages of a file in reverse order: counted before and after."""
+    rows = _pdfs(spark, d).withColumn("pages", pdf_files.page_count(F.col("pdf")))
+    turned = rows.select("conv_id", "pages", pdf_files.select_pages(F.col("pdf"), F.reverse(P.up_to(F.col("pages")))).alias("c"))
+    return turned.select("conv_id", "pages", pdf_files.page_count(F.col("c.result")).alias("reversed"), "c.error")
+
+
+@query("SELECT conv_id // 4 AS target, CAST(sum(ceil((n * 40 + 1) / 48.0)) AS INTEGER) AS pages, NULL::VARCHAR AS error FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) GROUP BY target")
+def pdf_merge(spark, d):
+    made = pdf_files.merge(_pdfs(spark, d).select(F.expr("conv_id div 4").alias("target"), "conv_id", F.col("pdf").alias("bytes")), "target", "conv_id")
+    return made.select("target", pdf_files.page_count(F.col("result")).alias("pages"), "error")
+
+
+@query("SELECT conv_id, repeat(concat(string_agg(concat('turn ', turn), chr(10) ORDER BY concat('turn ', turn)), chr(10)), 40) AS body, NULL::VARCHAR AS error FROM conversations GROUP BY conv_id")
+def pdf_text(spark, d):
+    """Text of a stamped and compressed file, without the stamps."""
+    stamped = _pdfs(spark, d).select("conv_id", pdf_files.sign(F.col("pdf"), "STAMP")["result"].alias("pdf"))
+    small = stamped.select("conv_id", pdf_files.compress(F.col("pdf"))["result"].alias("pdf"))
+    read = small.select("conv_id", convert(F.col("pdf"), "pdf-to-txt").alias("c"))
+    return read.select("conv_id", F.concat(F.rtrim(F.regexp_replace(F.regexp_replace("c.result", "\n?STAMP", ""), "\n+", "\n"), F.lit("\n")), F.lit("\n")).alias("body"), "c.error")
