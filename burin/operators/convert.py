@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from burin.functions import documents as D
+from burin.functions import images as G
 from burin.functions import numeric as N
 from burin.functions import text as T
 
@@ -37,7 +38,7 @@ FILE_READERS: dict[str, Callable[[bytes], str]] = {"docx-to-txt": D.docx_to_txt,
 #: Text in, bytes out.
 FILE_WRITERS: dict[str, Callable[[str], bytes]] = {"txt-to-pdf": D.txt_to_pdf, "csv-to-xlsx": D.csv_to_xlsx, "json-to-xlsx": D.json_to_xlsx, "txt-to-docx": D.txt_to_docx, "md-to-pdf": D.md_to_pdf, "html-to-pdf": D.html_to_pdf}
 #: Bytes in, bytes out.
-FILE_CONVERTERS: dict[str, Callable[[bytes], bytes]] = {"pdf-to-docx": D.pdf_to_docx, "docx-to-pdf": D.docx_to_pdf, "pptx-to-pdf": D.pptx_to_pdf}
+FILE_CONVERTERS: dict[str, Callable[[bytes], bytes]] = {"pdf-to-docx": D.pdf_to_docx, "docx-to-pdf": D.docx_to_pdf, "pptx-to-pdf": D.pptx_to_pdf, "to-png": G.png_to_png, "tiff-to-png": G.tiff_to_png, "img-to-pdf": G.image_to_pdf}
 #: What no library of this environment can decode or encode; the result is an explicit error.
 UNSUPPORTED = ("pdf-to-jpg", "pdf-to-png", "pdf-to-webp", "to-jpg", "to-webp", "img-to-svg", "heic-to-jpg", "heic-to-png", "tiff-to-jpg")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from burin.functions import vault
 from burin.operators import metadata as M
 from burin.operators import pages as P
 from burin.operators import pdf_files
@@ -93,3 +94,20 @@ def pdf_text(spark, d):
     small = stamped.select("conv_id", pdf_files.compress(F.col("pdf"))["result"].alias("pdf"))
     read = small.select("conv_id", convert(F.col("pdf"), "pdf-to-txt").alias("c"))
     return read.select("conv_id", F.concat(F.rtrim(F.regexp_replace(F.regexp_replace("c.result", "\n?STAMP", ""), "\n+", "\n"), F.lit("\n")), F.lit("\n")).alias("body"), "c.error")
+
+
+# Containers made the same way for both engines: version, operations and memory vary by row.
+_CONTAINER = "concat('41444549', lpad(to_hex(1 + doc_id % 2), 2, '0'), '01', lpad(to_hex(doc_id % 12), 2, '0'), '000000', '0000', lpad(to_hex(doc_id % 100 + 30), 2, '0'), '00', repeat('AB', 40))"
+
+
+@query("SELECT doc_id, CAST(1 + doc_id % 2 AS BIGINT) AS version, CAST(doc_id % 12 AS BIGINT) AS operations, CAST((doc_id % 100 + 30) * 65536 AS BIGINT) AS memory, CASE WHEN doc_id % 2 = 1 THEN 'Versión no admitida' WHEN doc_id % 12 NOT BETWEEN 1 AND 10 OR (doc_id % 100 + 30) * 65536 < 8388608 THEN 'El archivo está dañado' END AS error FROM documents")
+def container_headers(spark, d):
+    made = F.unhex(F.expr(_CONTAINER.replace("to_hex", "hex")))
+    rows = table(spark, d, "documents").select("doc_id", vault.header(made).alias("h"))
+    return rows.select("doc_id", "h.version", "h.operations", "h.memory", "h.error")
+
+
+@query("SELECT doc_id, TRUE AS same, TRUE AS refused FROM documents")
+def sealed_roundtrip(spark, d):
+    sealed = table(spark, d, "documents").select("doc_id", "text", vault.seal(F.encode("text", "UTF-8"), F.lit("pass")).alias("s"))
+    return sealed.select("doc_id", (vault.unseal(F.col("s"), F.lit("pass")).cast("string") == F.col("text")).alias("same"), vault.unseal(F.col("s"), F.lit("other")).isNull().alias("refused"))

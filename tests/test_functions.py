@@ -95,7 +95,7 @@ def test_packages():
     assert D.xlsx_to_csv(D.csv_to_xlsx('a,b\n"x,1",7')) == 'a,b\n"x,1",7'
     assert D.docx_to_txt(D.txt_to_docx("Hola\nmundo <&>")) == "Hola\nmundo <&>"
     assert D.zip_manifest(D._zip([("a.txt", b"xy"), ("mimetype", b"m")])) == "mimetype | 1\na.txt | 2"
-    assert D.rtf_to_txt(r"{\rtf1\ansi Hola\par caf\'e9 舒?}") == "Hola\ncafé —"
+    assert D.rtf_to_txt("{{bs}rtf1{bs}ansi Hola{bs}par caf{bs}'e9 {bs}u8212?}".replace("{bs}", chr(92))) == "Hola\ncafé —"
     with pytest.raises(ValueError):
         D.docx_to_txt(b"no zip")
 
@@ -116,3 +116,41 @@ def test_pdf_pages():
     with pytest.raises(ValueError):
         pdf.without_pages(whole, [1, 2, 3])
     assert D.docx_to_html(D.txt_to_docx("a & b")) == "<p>a &amp; b</p>" and D.md_to_pdf("# x").startswith(b"%PDF")
+
+
+def test_images():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from burin.functions import images, pdf
+
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 4):
+        pixels = rng.integers(0, 256, (7, 5, n), dtype=np.uint8)
+        png = images.encode_png(pixels)
+        assert (images.decode_png(png) == pixels).all()
+        assert (images.decode_png(images.crop_png(png, 3, 2, 9, 3)) == pixels[2:5]).all()
+        assert images.decode_png(images.resize_png(png, 10, 3)).shape == (3, 10, n) and (images.resized(pixels, 5, 7) == pixels).all()
+        assert pdf.page_count(images.image_to_pdf(png)) == 1
+    # Every row filter, against a row encoded by hand.
+    pixels = rng.integers(0, 256, (5, 4, 3), dtype=np.uint8)
+    flat, rows = pixels.reshape(5, 12).astype(int), []
+    for y, method in enumerate((0, 1, 2, 3, 4)):
+        up = flat[y - 1] if y else np.zeros(12, int)
+        left, corner = np.concatenate([[0] * 3, flat[y][:-3]]), np.concatenate([[0] * 3, up[:-3]])
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = (np.zeros(12, int), left, up, (left + up) // 2, paeth)[method]
+        rows.append(bytes([method]) + bytes(((flat[y] - guess) % 256).astype(np.uint8)))
+    png = images.encode_png(pixels)
+    at = png.index(b"IDAT")
+    body = zlib.compress(b"".join(rows))
+    made = png[: at - 4] + struct.pack(">I", len(body)) + b"IDAT" + body + struct.pack(">I", zlib.crc32(b"IDAT" + body)) + png[png.index(b"IEND") - 4 :]
+    assert (images.decode_png(made) == pixels).all()
+    entries = [(256, 3, 1, 4), (257, 3, 1, 5), (259, 3, 1, 1), (273, 4, 1, 8 + 2 + 12 * 5 + 4), (277, 3, 1, 3), (279, 4, 1, 60)]
+    head = b"II*\0\x08\0\0\0" + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) if e[0] != 273 else struct.pack("<HHII", 273, 4, 1, 8 + 2 + 12 * len(entries) + 4) for e in entries) + b"\0\0\0\0"
+    assert (images.decode_png(images.tiff_to_png(head + pixels.tobytes())) == pixels).all()
+    with pytest.raises(ValueError):
+        images.decode_png(b"no png")
