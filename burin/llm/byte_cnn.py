@@ -27,6 +27,8 @@ WIDTHS = (2, 3, 4, 5)
 WINDOW, STEP = 256, 252
 EMBED, FILTERS = 8, 8
 UNDETERMINED = "und"
+#: Training goes on over few windows until so many steps are made.
+LEAST_STEPS = 400
 #: Bounds of the training sample: texts of a language, windows of a text, languages.
 TEXTS_PER_LANG, WINDOWS_PER_TEXT, MOST_LANGS = 800, 4, 512
 
@@ -115,7 +117,7 @@ def train(codes: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int =
     weight = 1 / np.maximum(np.bincount(labels, minlength=len(langs)), 1)
     weight = (weight / (weight[labels].mean() or 1)).astype(np.float32)
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(labels)))) if len(labels) else 0):
         order = rng.permutation(len(labels))
         for i in range(0, len(order), batch):
             pick = order[i : i + batch]
@@ -227,7 +229,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return predict(slim, net, keep=["doc_id", "held_out"])
 
 
-def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", least: float = 0.4) -> DataFrame:
     """The rows of docs whose language is determined, with a score of at least `least`; all columns kept."""
     names = ("__lang_pred", "__lang_score")
     told = predict(docs, fit(docs, text, lang, key), text, names=names)

@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 returns a DataFrame; run() writes each stage's rows as Parquet and reads them again for
 the next. Stages 1 to 4 return the columns of documents; the last adds the token ids.
 
-1. language ID: drops documents without a determined language or a score under 0.5.
+1. language ID: drops documents without a determined language or a score under 0.4.
 2. quality classifier: drops documents that score under 0.7, learned from `labels`.
 3. n-gram Jaccard join: keeps the smallest id of each class of near duplicates.
 4. benchmark decontamination: drops documents with an occurrence of a benchmark window.
