@@ -5,7 +5,9 @@ for notices that are wrapped. Units and templates are normalised alike: A-Z in l
 case, everything but a-z and 0-9 a separator. A unit's distinct word bigrams A and a
 template's B have the coefficient 2 |A and B| / (|A| + |B|), which can reach t only if
 t / (2 - t) <= |A| / |B| <= (2 - t) / t: these bounds on sizes, taken first over all
-templates and then for each, prune before anything is intersected.
+templates and then for each, prune before anything is intersected. The first bound also
+says how many of B's bigrams a unit may miss, so it must hold one of a few words that
+touch more bigrams than that: units without any such word are not normalised at all.
 
 Everything happens inside the row: no shuffle, no Python, and hot sources or texts that
 repeat cost what any other row costs.
@@ -69,6 +71,26 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(threshold * size / (2 - threshold) - 1e-9), math.floor((2 - threshold) * size / threshold + 1e-9)
 
 
+# Words of any prose; a template is anchored on others first.
+_PROSE = {"a", "all", "and", "any", "are", "as", "be", "by", "file", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "with", "work"}
+
+
+def anchors_of(text: str, threshold: float) -> set[str]:
+    """Words of a template of which every unit that reaches the threshold has one at least.
+
+    A unit reaches it only with t / (2 - t) of the template's bigrams or more, so it misses
+    fewer bigrams than touch these words together.
+    """
+    grams = [g.split(" ") for g in bigrams_of(text)]
+    missed = len(grams) - bounds(len(grams), threshold)[0]
+    chosen: set[str] = set()
+    for word in sorted({w for g in grams for w in g}, key=lambda w: (w in _PROSE, -len(w), w)):
+        if sum(bool(chosen.intersection(g)) for g in grams) > missed:
+            break
+        chosen.add(word)
+    return chosen
+
+
 def _unit_bigrams(unit: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(F.translate(unit, _UPPER, _LOWER), "[^a-z0-9]+", " "), " "), lambda w: w != "")
     pairs = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b"))
@@ -94,7 +116,10 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: tu
             scored.append(F.struct(dice.alias("dice"), F.lit(-i).alias("at")))
         return F.array_max(F.array(*scored))
 
-    fitting = F.filter(F.transform(units, _unit_bigrams), lambda g: F.size(g).between(low, high) & F.arrays_overlap(g, every))
+    words = sorted({w for _, t in templates if bigrams_of(t) for w in anchors_of(t, threshold)})
+    anchored = "(?i)(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])"
+    possible = F.when(body.rlike(anchored), F.filter(units, lambda u: u.rlike(anchored))).otherwise(F.array().cast("array<string>"))
+    fitting = F.filter(F.transform(possible, _unit_bigrams), lambda g: F.size(g).between(low, high) & F.arrays_overlap(g, every))
     found = F.filter(F.transform(fitting, best), lambda m: m["dice"] >= threshold)
     names = F.array(*[F.lit(name) for name, _ in known])
     name_of = lambda m: F.element_at(names, (F.lit(1) - m["at"]).cast("int"))
