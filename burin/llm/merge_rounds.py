@@ -29,7 +29,7 @@ from burin.llm.pieces import SPACE, PieceModel, load, resolve
 
 LONG_WORD = 256
 #: Words whose ids a worker keeps before it starts afresh.
-MOST_WORDS = 600_000
+MOST_WORDS = 250_000
 _NEVER = np.int64(1) << np.int64(60)
 
 
