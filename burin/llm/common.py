@@ -42,10 +42,14 @@ def persisted(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a Parquet table in the shared folder.
 
     Every executor can read it again after losses; columns and row groups are
-    pruned as in any table, which checkpoint() files are not.
+    pruned as in any table, which checkpoint() files are not. The table goes when the
+    application ends.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/burin-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    written = sc._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(written)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,7 @@ DIGEST = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated
 
 @pytest.fixture(scope="module")
 def items(spark, docs):
-    some = [r["text"] for r in docs.where("doc_id IN (100, 1, 2)").collect()]
+    some = [r["text"] for r in docs.where("doc_id IN (100, 1, 2)").orderBy("doc_id", ascending=False).collect()]
     rows = [(1, " ".join(some[0].split()[10:40])), (2, some[1]), (2, some[1]), (3, "ONE  two"), (4, None), (5, "..."), (None, "word word word"), (6, "no such passage stands anywhere in all of these texts here")]
     return spark.createDataFrame(rows, "item_id long, text string")
 
