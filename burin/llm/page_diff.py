@@ -4,9 +4,11 @@ Pages are ordered by host and URL path. A page's neighbours are the pages before
 after it in that order; the one of the same host that shares more of the path is its
 partner. Both become lists of text lines (one a block of the page), the lists are
 aligned by longest common subsequence, and shared lines go: they are the template of
-the site. Lines inside an explicit article or main element are the page's own even if
-a copy of the page repeats them, so they stay; so do the lines of a page whose partner
-is a copy of it. Template lines that differ on every page (a menu of own links, a
+the site. An explicit article or main element is evidence: a line inside it goes only
+if both neighbours share it and neither repeats half of the element, so chance and
+copies take nothing. Lines outside stay unless shared or noise. A page that no partner
+can be differenced with is its article or main element, if that holds more than half of
+the page. A copy of the page is no partner. Template lines that differ on every page (a menu of own links, a
 comment, an advert) are known by their element: nav, header, footer, aside, form,
 script, style, hidden elements, and containers whose class, id or role says so.
 
@@ -166,19 +168,28 @@ def shared(a: list[int], b: list[int]) -> set[int]:
 
 
 def main_text(page: list[tuple[str, bool, bool]], partners: list[list[int]]) -> str:
-    """The page's own lines, differenced against the first partner that shares lines and is no copy of it."""
-    contained = any(inside and not noise for _, noise, inside in page)
+    """The page's own lines, differenced against the partners that share lines and are no copies of it, nearest first.
+
+    A line outside a container goes if the nearest such partner has it; one inside goes if two
+    partners have it that do not repeat the container. A page without such a partner is its
+    container, if that holds more than half of what is no noise, and else all of this.
+    """
     own = [hash(line) for line, _, _ in page]
     weight = sum(len(line) for line, _, _ in page)
-    gone: set[int] = set()
+    body = [i for i, (_, noise, inside) in enumerate(page) if inside and not noise]
+    body_weight = sum(len(page[i][0]) for i in body)
+    differenced, witnesses = [], []
     for partner in partners:
         gone = shared(own, partner)
         if gone and sum(len(page[i][0]) for i in gone) < COPY * weight:
-            break
-        gone = set()
-    if contained:
-        return "\n".join(line for line, noise, inside in page if inside and not noise)
-    return "\n".join(line for i, (line, noise, _) in enumerate(page) if not noise and i not in gone)
+            differenced.append(gone)
+            if 2 * sum(len(page[i][0]) for i in body if i in gone) < body_weight:
+                witnesses.append(gone)
+    if not differenced:
+        contained = 2 * body_weight > sum(len(line) for line, noise, _ in page if not noise)
+        return "\n".join(line for line, noise, inside in page if not noise and (inside or not contained))
+    template = witnesses[0] & witnesses[1] if len(witnesses) > 1 else set()
+    return "\n".join(line for i, (line, noise, inside) in enumerate(page) if not noise and i not in (template if inside else differenced[0]))
 
 
 def nearness(a: str, b: str) -> tuple[int, int]:

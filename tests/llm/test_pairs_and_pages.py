@@ -125,6 +125,16 @@ def test_pages_without_containers_lose_shared_lines(spark):
     assert page_diff.extract(pages.limit(0)).count() == 0
 
 
+def test_differencing_decides_on_pages_with_containers(spark):
+    body = PAGE.format("<article><h1>Title {0}</h1><p>Share this story</p><p>Teaser {0}</p></article><div><p>The body of {0} stands in a sibling.</p></div>")
+    rows = [(i, f"http://h.example/a/{i}", body.replace("{0}", f"number {i}")) for i in range(6)]
+    rows += [(10, "http://alone.example/x", "<main><h1>Head</h1></main><div><p>A body without a partner</p></div>")]
+    rows += [(20 + i, f"http://copies.example/{i}", f"<div>Site {i}</div><article><p>One long article that is on every page</p></article>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(1, 5)] == [f"Title number {i}\nTeaser number {i}\nThe body of number {i} stands in a sibling." for i in range(1, 5)]
+    assert got[10] == "Head\nA body without a partner" and all("One long article that is on every page" in got[20 + i] for i in range(3))
+
+
 def test_partners_do_not_depend_on_ranges(spark, monkeypatch):
     rows = [(i, f"http://h.example/{i % 7}/{i}", PAGE.format(f"<p>Text {i}</p>")) for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
