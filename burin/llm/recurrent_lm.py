@@ -11,10 +11,11 @@ embeddings, gives the class by a softmax and a head token by a softmax within it
 class; within a tail class a token has its smoothed relative count. Biases start at the
 corpus counts, so the untrained network is the unigram model.
 
-Training. Truncated backpropagation in numpy: first on the driver, on a bounded sample
-of windows (WARM_DOCS), then on all training documents where they lie: every document
-gives a window from a place chosen by its hash, every partition trains on its windows
-from the same start, and the weights are averaged by the number of tokens.
+Training. Truncated backpropagation in numpy over every token of every training document,
+where it lies: documents run side by side in lanes, in windows of STEPS, and the state is
+carried from window to window to the end of each document. It goes in rounds, more as the
+corpus grows (rounds_of): a round takes the documents whose text's hash falls to it, every
+partition trains from the same start, and the weights are averaged by the number of tokens.
 
 Scoring. Whole documents, side by side in lanes, in windows of steps; the state is
 carried from window to window to the end of each document.
@@ -38,14 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burin.llm.common import blocks, byte_set, held_out, persisted, sampled, text_buffers, words
+from burin.llm.common import blocks, byte_set, held_out, persisted, text_buffers, words
 
 HEAD, MEMBERS, TAILS, HIDDEN = 2048, 64, 8, 32
 CLASSES = HEAD // MEMBERS + TAILS
 #: Tokens whose counts are sent to workers, at most (16 MB).
 KNOWN = 1_000_000
-#: Documents of the driver's sample; bytes of a training window, and its tokens.
-WARM_DOCS, WINDOW_BYTES, WINDOW_TOKENS = 3000, 800, 64
+#: Training documents up to which every round goes through all of them; least number of rounds.
+WARM_DOCS, ROUNDS = 3000, 4
+#: Rates of the first and the last round, and documents trained on side by side.
+RATES, TRAIN_LANES = (4e-3, 1e-3), 128
 #: Documents that are scored side by side, bytes of them, and steps of a window.
 LANES, LANE_BYTES, STEPS = 3000, 10 << 20, 32
 ALPHA = 0.1
@@ -331,63 +334,58 @@ class Adam:
         return net.like(net.flat() - self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-7))
 
 
-def train(net: Gru, windows: np.ndarray, sizes: np.ndarray, rate: float, epochs: int = 1, lanes: int = 128, seed: int = 1) -> tuple[Gru, int]:
-    """Adam over windows (n, WINDOW_TOKENS + 1) in steps of STEPS, the state carried within a window."""
-    adam, rng, seen = Adam(net, rate), np.random.default_rng(seed), 0
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for i in range(0, len(order), lanes):
-            own = order[i : i + lanes]
-            h = np.zeros((len(own), HIDDEN), np.float32)
-            for a in range(0, WINDOW_TOKENS, STEPS):
-                valid = np.arange(a, a + STEPS)[None, :] < sizes[own][:, None]
-                if not valid.any():
-                    break
-                g, h, _ = gradients(net, windows[own, a : a + STEPS + 1], valid, h)
-                net = adam.step(net, g)
-                seen += int(valid.sum())
+def train(net: Gru, adam: Adam, ids: np.ndarray, offsets: np.ndarray, lanes: int = TRAIN_LANES) -> tuple[Gru, int]:
+    """Adam over all tokens of documents, each closed by its end (0), in steps of STEPS; returns the tokens seen.
+
+    The longest start first; a lane whose document ends takes the next one, with a new state.
+    """
+    full, queue, reach = np.concatenate([[0], ids]), np.argsort(-np.diff(offsets), kind="stable"), np.arange(STEPS + 1)
+    first, last = offsets[:-1][queue], offsets[1:][queue]
+    taken, seen = min(lanes, len(queue)), 0
+    at, end = first[:taken].copy(), last[:taken].copy()
+    h = np.zeros((taken, HIDDEN), np.float32)
+    while len(at):
+        valid = at[:, None] + reach[:-1] < end[:, None]
+        g, h, _ = gradients(net, full[np.minimum(at[:, None] + reach, len(ids))], valid, h)
+        net = adam.step(net, g)
+        seen += int(valid.sum())
+        at = at + STEPS
+        into = np.flatnonzero(at >= end)[: len(queue) - taken]
+        more = slice(taken, taken + len(into))
+        at[into], end[into], h[into] = first[more], last[more], 0
+        taken += len(into)
+        left = at < end
+        at, end, h = at[left], end[left], h[left]
     return net, seen
 
 
-def window_ids(corpus: Corpus, data: np.ndarray, offsets: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """One training window of each text, from a place chosen by its bytes' hash: (ids, tokens)."""
-    n = len(offsets) - 1
-    out, sizes = np.zeros((n, WINDOW_TOKENS + 1), np.int64), np.zeros(n, np.int64)
-    length = np.diff(offsets)
-    spread = (length * 2654435761 + np.arange(n) * 40503 + salt) % 1000003 / 1000003
-    start = offsets[:-1] + (np.maximum(0, length - WINDOW_BYTES) * spread).astype(np.int64)
-    end = np.minimum(start + WINDOW_BYTES, offsets[1:])
-    cut = np.concatenate([[0], np.cumsum(end - start)])
-    at = np.arange(cut[-1]) - np.repeat(cut[:-1], np.diff(cut)) + np.repeat(start, np.diff(cut))
-    key, kind, row = tokens(data[at] if len(at) else data, cut)
-    _, head = corpus.look_up(key)
-    ids = np.where(head >= 0, head, HEAD + kind)
-    count = np.bincount(row, minlength=n)
-    first = np.cumsum(count) - count
-    # A window that starts or ends inside a text has a broken token there; it is left out.
-    skip = (start > offsets[:-1]).astype(np.int64)
-    stop = count - (end < offsets[1:])
-    for k in range(n):
-        own = ids[first[k] + skip[k] : first[k] + max(stop[k], skip[k])]
-        if end[k] == offsets[k + 1]:
-            own = np.append(own, 0)
-        own = own[:WINDOW_TOKENS]
-        out[k, 1 : len(own) + 1], sizes[k] = own, len(own)
-        if skip[k] and count[k]:
-            out[k, 0] = ids[first[k]]
-    return out, sizes
-
-
-def _train_here(sent, rate: float):
+def closed(ids: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with an end (0) after each document, n + 1 offsets) of the ids of n documents."""
+    at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n) + 1)])
+    out = np.zeros(at[-1], np.int64)
+    body = np.ones(len(out), bool)
+    body[at[1:] - 1] = False
+    out[body] = ids
+    return out, at
+
+
+def rounds_of(tokens: int) -> int:
+    """Averaging rounds: one more for each doubling of the corpus over 16 million tokens."""
+    return max(ROUNDS, int(np.ceil(np.log2(max(1, tokens) / 1e6))))
+
+
+def _train_here(sent, start: Gru, rate: float):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, net = sent.value
-        start, seen, part = net, 0, TaskContext.get().partitionId()
+        corpus = sent.value
+        net, seen, part, adam = start, 0, TaskContext.get().partitionId(), Adam(start, rate)
         for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            windows, sizes = window_ids(corpus, data, offsets, 17)
-            some = sizes > 0
-            net, n = train(net, windows[some], sizes[some], rate, seed=part)
-            seen += n
+            data, all_offsets = text_buffers(batch.column(0))
+            for i, j in _groups(all_offsets):
+                offsets = all_offsets[i : j + 1] - all_offsets[i]
+                key, kind, row = (np.concatenate(c) for c in zip(*_token_blocks(data[all_offsets[i] : all_offsets[j]], offsets), strict=True))
+                _, head = corpus.look_up(key)
+                net, n = train(net, adam, *closed(np.where(head >= 0, head, HEAD + kind), row, j - i), lanes=min(TRAIN_LANES, max(8, (j - i) // 16)))
+                seen += n
         change = (net.flat() - start.flat()) * np.float32(seen)
         yield pa.record_batch([pa.array([part % 8], pa.int32()), pa.array([change.astype(np.float32).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["g", "change", "seen"])
 
@@ -406,25 +404,20 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(training: DataFrame, corpus: Corpus, warm_docs: int = WARM_DOCS) -> Gru:
-    """Weights from a bounded sample, then from a window of every training document."""
+    """Weights from every token of every training document, averaged in rounds."""
     spark = training.sparkSession
     net = fresh(corpus)
     if not corpus.ends:
         return net
-    middle = F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - 400)
-    few = sampled(training, warm_docs, 41, "text").select(F.substring("text", middle, F.lit(WINDOW_BYTES)).alias("text")).toArrow()
-    data, offsets = text_buffers(few.column(0))
-    windows, sizes = window_ids(corpus, data, offsets, 5)
-    order = np.lexsort(windows.T[:8])
-    windows, sizes = windows[order], sizes[order]
-    net, _ = train(net, windows[sizes > 0], sizes[sizes > 0], 4e-3, epochs=3, lanes=64)
-    sent = spark.sparkContext.broadcast((corpus, net))
-    parts = training.select("text").mapInArrow(_train_here(sent, 1e-3), "g int, change binary, seen long")
-    sums = parts.repartition(8, "g").mapInArrow(_add_up, "change binary, seen long").collect()  # 8 sums of the weights' size
-    seen = sum(r["seen"] for r in sums)
-    if not seen:
-        return net
-    return net.like(net.flat() + (sum(np.frombuffer(r["change"], np.float64) for r in sums) / seen).astype(np.float32))
+    rounds = rounds_of(corpus.tokens)
+    sent = spark.sparkContext.broadcast(corpus)
+    for r, rate in enumerate(np.linspace(*RATES, rounds)):
+        own = training if corpus.ends <= warm_docs else training.where(F.pmod(F.xxhash64(F.lit(43), "text"), F.lit(rounds)) == r)
+        parts = own.select("text").mapInArrow(_train_here(sent, net, float(rate)), "g int, change binary, seen long")
+        sums = parts.repartition(8, "g").mapInArrow(_add_up, "change binary, seen long").collect()  # 8 sums of the weights' size
+        if seen := sum(x["seen"] for x in sums):
+            net = net.like(net.flat() + (sum(np.frombuffer(x["change"], np.float64) for x in sums) / seen).astype(np.float32))
+    return net
 
 
 def _score(sent):
@@ -441,12 +434,7 @@ def _score(sent):
                 c, head = corpus.look_up(key)
                 known = c >= 0
                 count = np.bincount(row, minlength=n)
-                at = np.concatenate([[0], np.cumsum(count + 1)])
-                ids = np.zeros(at[-1], np.int64)
-                body = np.ones(len(ids), bool)
-                body[at[1:] - 1] = False
-                ids[body] = np.where(head >= 0, head, HEAD + kind)
-                model = score_ids(net, ids, at)
+                model = score_ids(net, *closed(np.where(head >= 0, head, HEAD + kind), row, n))
                 log_c = np.log(np.where(known, c, 0) + ALPHA)
                 tail = head < 0
                 model += np.bincount(row, weights=np.where(tail, np.where(known, log_c, 0) - log_tail[kind], 0), minlength=n)

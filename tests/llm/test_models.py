@@ -130,6 +130,23 @@ def test_state_carries_across_windows():
     assert whole[0] == pytest.approx(total, rel=1e-4)
 
 
+def test_every_token_is_trained_on_with_carried_state(monkeypatch):
+    corpus = recurrent_lm.Corpus(100, 10, 5, np.ones(8), np.ones(8), np.arange(9), np.arange(10, 0, -1), np.zeros(8, np.int64), np.full(8, -1), np.full(8, -1, np.int32))
+    net, real, seen, fresh = recurrent_lm.fresh(corpus), recurrent_lm.gradients, [], []
+
+    def spy(net, ids, valid, h):
+        seen.extend(ids[:, 1:][valid].tolist())
+        fresh.append(int((h == 0).all(1).sum()))
+        return real(net, ids, valid, h)
+
+    monkeypatch.setattr(recurrent_lm, "gradients", spy)
+    sizes = [1, 500, 33, 64, 1, 200]
+    ids, at = recurrent_lm.closed(np.random.default_rng(2).integers(1, 10, sum(sizes)), np.repeat(np.arange(6), sizes), 6)
+    _, n = recurrent_lm.train(net, recurrent_lm.Adam(net, 1e-3), ids, at, lanes=2)
+    assert n == len(seen) == len(ids) and sorted(seen) == sorted(ids.tolist()) and sum(fresh) == 6
+    assert recurrent_lm.rounds_of(10**10) > recurrent_lm.rounds_of(10**8) > recurrent_lm.rounds_of(10**6)
+
+
 def test_gradient_is_the_slope_of_the_loss():
     corpus = recurrent_lm.Corpus(100, 10, 5, np.ones(8), np.ones(8), np.arange(9), np.arange(10, 0, -1), np.zeros(8, np.int64), np.full(8, -1), np.full(8, -1, np.int32))
     net = recurrent_lm.fresh(corpus)
