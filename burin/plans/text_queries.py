@@ -161,10 +161,10 @@ def sanitize_names(spark, d):
 
 @query()
 def convert_matrix(spark, d):
-    """Every JVM conversion applied to a text of each document, with its error if any."""
+    """Every JVM conversion applied to the whole text of each document, with its error if any."""
     from burin.operators.convert import EXPRESSIONS
 
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("text"))
+    rows = table(spark, d, "documents").select("doc_id", "text")
     ids = [c for c in EXPRESSIONS if c != "uuid-v4"]
     stacked = F.array(*[F.struct(F.lit(c).alias("conversion"), convert(F.col("text"), c).alias("c")) for c in ids])
     return rows.select("doc_id", F.explode(stacked).alias("r")).select("doc_id", "r.conversion", "r.c.result", "r.c.error")

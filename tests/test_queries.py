@@ -34,6 +34,12 @@ def test_query(spark, tables, name):
     assert got == sorted(str(tuple(row[names.index(c)] for c in columns)) for row in found.fetchall())
 
 
+def test_conversions_take_whole_texts(spark, tables):
+    got = dict(tables.execute("SELECT doc_id, coalesce(length(text), 0) FROM documents").fetchall())
+    turned = registry.queries()["convert_matrix"](spark, SF).where("conversion = 'rot13'").selectExpr("doc_id", "coalesce(length(result), 0) AS n")
+    assert max(got.values()) > 80 and {r["doc_id"]: r["n"] for r in turned.collect()} == got
+
+
 def test_entry_imports_without_the_optional_part():
     import subprocess
     import sys
