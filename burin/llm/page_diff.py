@@ -58,41 +58,62 @@ _NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _noise(name: str, attributes: str, in_main: bool) -> bool:
+_NONE, _BY_WORD, _CERTAIN = range(3)
+_SELF_CLOSED = re.compile(r"""(?:\A|[\s"'])/\Z""")
+_NEXT = re.compile(r"<[a-zA-Z/!]")
+
+
+def _noise(name: str, attributes: str, in_main: bool) -> int:
+    """Whether an element is noise: for certain, or by a word of its class or id."""
     if name in _NOISE and not (name == "header" and in_main):
-        return True
+        return _CERTAIN
     if not attributes or name in ("body", "html") or name in _MAIN and not in_main and "comment" not in attributes.lower():
-        return False
+        return _NONE
+    by_word = False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id") and not (name == "header" and in_main):
-            if not _NOISE_WORDS.isdisjoint(_WORDS.findall(value)):
-                return True
+            by_word = by_word or not _NOISE_WORDS.isdisjoint(_WORDS.findall(value))
         elif key == "role" and value in _NOISE_ROLES or key == "hidden" and not value or key == "aria-hidden" and value == "true":
-            return True
+            return _CERTAIN
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return _CERTAIN
+    return _BY_WORD if by_word else _NONE
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(line, noise by its element, inside an article or main element) in page order."""
+    """(line, noise by its element, inside an article or main element) in page order.
+
+    A word of a class or id makes no noise of an element that holds the article (the longest
+    article or main element) or, on a page without one, more than half of what is no certain noise.
+    """
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    open_: list[tuple[str, bool]] = []
-    noise = main = 0
+    open_: list[tuple[str, int]] = []
+    noise = main = total = 0
+    begun: list[tuple[int, int, str]] = []
+    by_word: list[tuple[int, int, int]] = []
+    articles: list[tuple[int, int, int, bool]] = []
 
     def flush() -> None:
         if parts:
             if line := " ".join("".join(map(html_lib.unescape, parts)).split()):
                 out.append((line, noise > 0, main > 0))
+                nonlocal total
+                total += len(line) * (noise == 0)
             parts.clear()
 
     def pop() -> None:
         nonlocal noise, main
         name, bad = open_.pop()
-        noise -= bad
+        noise -= bad == _CERTAIN
         main -= name in _MAIN
+        if bad == _BY_WORD or name in _MAIN:
+            line, before, place = begun.pop()
+            if bad == _BY_WORD:
+                by_word.append((line, len(out), total - before))
+            if name in _MAIN:
+                articles.append((total - before, line, len(out), bad == _BY_WORD and "comment" in place))
 
     at, size = 0, len(page)
     while at < size:
@@ -118,8 +139,14 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 pop()
             continue
         if name in _RAW:
+            if _SELF_CLOSED.search(attributes):
+                continue
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                code = _NEXT.search(page, at)
+                at = code.start() if code else size
             continue
         if name in _VOID or attributes.endswith("/") and name in _INLINE:
             continue
@@ -128,9 +155,17 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 pop()
         bad = _noise(name, attributes, main > 0)
         open_.append((name, bad))
-        noise += bad
+        noise += bad == _CERTAIN
         main += name in _MAIN
+        if bad == _BY_WORD or name in _MAIN:
+            begun.append((len(out), total, attributes.lower()))
     flush()
+    while open_:
+        pop()
+    article = max((a for a in articles if not a[3]), default=None)
+    for line, end, held in by_word:
+        if not (line <= article[1] and article[2] <= end if article and article[0] else 2 * held > total):
+            out[line:end] = [(text, True, inside) for text, _, inside in out[line:end]]
     return out
 
 

@@ -135,6 +135,18 @@ def test_differencing_decides_on_pages_with_containers(spark):
     assert got[10] == "Head\nA body without a partner" and all("One long article that is on every page" in got[20 + i] for i in range(3))
 
 
+def test_loose_rules_drop_no_main_text():
+    kept = lambda page: [line for line, noise, _ in page_diff.lines_of(page) if not noise]
+    assert kept("<p>a</p><svg width='1'/><p>b</p><iframe><p>c") == ["a", "b", "c"]
+    assert kept("<p>a</p><script>var x;<p>b</p>") == ["a", "b"] and kept("<svg><text>x</text></svg><p>a") == ["a"]
+    for wrapper in ("div class='has-sidebar'", "div class='content header-fixed'", "section id='discussion'"):
+        name = wrapper.split()[0]
+        assert kept(f"<nav>n</nav><{wrapper}><p>Most of the page</p></{name}><div class=ad>ad</div>") == ["Most of the page"]
+        assert kept(f"<{wrapper}><article><p>own</p></article><div class=ad>an advert that is longer</div></{name}>") == ["own"]
+    assert kept("<article class='post no-comments'><p>own text</p></article>") == ["own text"]
+    assert kept("<article><p>own text</p></article><div class='comments'><article class='comment'><p>a comment longer than that</p></article></div>") == ["own text"]
+
+
 def test_partners_do_not_depend_on_ranges(spark, monkeypatch):
     rows = [(i, f"http://h.example/{i % 7}/{i}", PAGE.format(f"<p>Text {i}</p>")) for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
