@@ -11,9 +11,8 @@ reached, kept for the worker's life in a hash table, and dropped when too many.
 
 Texts are cut into chunks. A chunk that holds a synchronising place, one that no piece
 spans, maps every entry state to the same exit state: its tail runs at once, all chunks
-in lockstep. Chunk maps are then composed by a parallel prefix scan: entry states
-spread over the chunks, doubling their reach, and chunks without such a place run as
-soon as their entry state is known. Last, the heads run from their entry states.
+in lockstep. Chunks without such a place run in sequence, each when the chunk before it
+is done; no state maps are composed. Last, the heads run from their entry states.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Repeated rows count
 alike. Only the id and the text are looked at.
