@@ -5,17 +5,20 @@ aggregation with map-side sums; the table of counts grows with the corpus and st
 the shared folder. The most frequent tokens of it, at most KNOWN, are sent to workers;
 other tokens get their counts by a join.
 
-Model. The HEAD most frequent tokens lie in classes of MEMBERS tokens by frequency; all
-others fall by their bytes into TAILS further classes. The network, a GRU over token
-embeddings, gives the class by a softmax and a head token by a softmax within its
-class; within a tail class a token has its smoothed relative count. Biases start at the
-corpus counts, so the untrained network is the unigram model.
-
-Training. Truncated backpropagation in numpy over every token of every training document,
-where it lies: documents run side by side in lanes, in windows of STEPS, and the state is
-carried from window to window to the end of each document. It goes in rounds, more as the
-corpus grows (rounds_of): a round takes the documents whose text's hash falls to it, every
-partition trains from the same start, and the weights are averaged by the number of tokens.
+Model. The most frequent tokens, HEAD of them and more as the corpus grows (head_of), lie in
+classes by frequency, small ones for frequent tokens; all others fall by their bytes into
+TAILS further classes. The network, a GRU over token embeddings, gives the class by a
+softmax and a head token by a softmax within its class; within a tail class a token has its
+smoothed relative count. Biases start at the corpus counts, so the untrained network is the
+unigram model.
+
+Training. Each document is turned into ids once, in a table in the shared folder. Truncated
+backpropagation in numpy goes over every token of every training document: documents of a
+shard run side by side in lanes, in windows of STEPS, and the state is carried from window
+to window to the end of each document (of each SEGMENT tokens of a longer one). It goes in rounds, more as the corpus grows
+(rounds_of): a round takes the documents whose id's hash falls to it, every shard of them
+trains from the same start, and the weights are averaged by the number of tokens. Rounds,
+shards and their order follow from the rows alone, not from how they are partitioned.
 
 Scoring. Whole documents, side by side in lanes, in windows of steps; the state is
 carried from window to window to the end of each document.
@@ -31,7 +34,7 @@ score alike; without training rows the counts are 0 and all tokens equally unlik
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +44,21 @@ from pyspark.sql import functions as F
 
 from burin.llm.common import blocks, byte_set, held_out, persisted, text_buffers, words
 
-HEAD, MEMBERS, TAILS, HIDDEN = 2048, 64, 8, 32
-CLASSES = HEAD // MEMBERS + TAILS
-#: Tokens whose counts are sent to workers, at most (16 MB).
+HEAD, MOST_HEAD, TAILS, HIDDEN = 2048, 16_384, 8, 32
+#: Tokens whose counts are sent to workers, at most (a table of 42 MB in each Python worker).
 KNOWN = 1_000_000
 #: Training documents up to which every round goes through all of them; least number of rounds.
 WARM_DOCS, ROUNDS = 3000, 4
 #: Rates of the first and the last round, and documents trained on side by side.
-RATES, TRAIN_LANES = (4e-3, 1e-3), 128
+RATES, TRAIN_LANES = (4e-3, 1e-3), 256
+#: Tokens of a document that are trained on one after the other.
+SEGMENT = 4096
+#: Tokens of a shard, times head / HEAD; least number of shards of a round.
+SHARD_TOKENS, SHARDS = 1_000_000, 8
 #: Documents that are scored side by side, bytes of them, and steps of a window.
-LANES, LANE_BYTES, STEPS = 3000, 10 << 20, 32
+LANES, SCORE_LANES, LANE_BYTES, STEPS = 3000, 512, 10 << 20, 32
+#: Tokens of a shard that are held at once; a shard of more (one id that repeats) is gone through in parts.
+HELD_TOKENS = 4_000_000
 ALPHA = 0.1
 
 _TOKEN = ~byte_set((9, 13), (32, 32))
@@ -109,7 +117,7 @@ class Corpus:
     ends: int
     tail_tokens: np.ndarray
     tail_distinct: np.ndarray
-    head: np.ndarray
+    head_size: int
     head_counts: np.ndarray
     slots: np.ndarray
     slot_count: np.ndarray
@@ -135,7 +143,7 @@ class Corpus:
         return np.log10(self.tail_tokens + ALPHA * (self.tail_distinct + 1))
 
 
-def gather(counts: DataFrame, ends: int, known: int = KNOWN, head: int = HEAD) -> Corpus:
+def gather(counts: DataFrame, ends: int, known: int = KNOWN) -> Corpus:
     """Sums of the table of counts, and its most frequent tokens, at most `known`."""
     step = F.floor(F.log("c") / F.log(F.lit(1.05)))
     sums = counts.groupBy("kind", step.alias("b")).agg(F.count("*").alias("n"), F.sum("c").alias("t")).collect()  # kinds x some hundred steps
@@ -151,10 +159,12 @@ def gather(counts: DataFrame, ends: int, known: int = KNOWN, head: int = HEAD) -
     key, kind, c = key[order], kind[order], c[order]
     tail_tokens = np.array([sum(r["t"] for r in sums if r["kind"] == k) for k in range(TAILS)], float)
     tail_distinct = np.array([sum(r["n"] for r in sums if r["kind"] == k) for k in range(TAILS)], float)
+    tokens_all = int(sum(r["t"] for r in sums)) + ends
+    head = head_of(tokens_all)
     n_head = min(head - 1, len(key))
     np.subtract.at(tail_tokens, kind[:n_head], c[:n_head])
     np.subtract.at(tail_distinct, kind[:n_head], 1)
-    size = 1 << max(8, int(3 * len(key)).bit_length())
+    size = 1 << max(8, int(2 * len(key)).bit_length())
     slots, slot_count, slot_head = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int32)
     at, left = key & (size - 1), np.arange(len(key))
     while len(left):
@@ -165,13 +175,31 @@ def gather(counts: DataFrame, ends: int, known: int = KNOWN, head: int = HEAD) -
         slot_head[at[put]] = np.where(put < n_head, put + 1, -1)
         left = np.setdiff1d(left, put)
         at[left] = np.where(slot_count[at[left]] >= 0, (at[left] + 1) & (size - 1), at[left])
-    tokens_all = int(sum(r["t"] for r in sums)) + ends
-    return Corpus(tokens_all, int(sum(r["n"] for r in sums)) + (ends > 0), ends, tail_tokens, tail_distinct, key[:n_head], np.concatenate([[ends], c[:n_head]]), slots, slot_count, slot_head)
+    return Corpus(tokens_all, int(sum(r["n"] for r in sums)) + (ends > 0), ends, tail_tokens, tail_distinct, head, np.concatenate([[ends], c[:n_head]]), slots, slot_count, slot_head)
+
+
+def head_of(tokens: int) -> int:
+    """Tokens that the network tells apart: HEAD, twice as many for each fourfold corpus over 32 million tokens, at most MOST_HEAD."""
+    return min(MOST_HEAD, HEAD << max(0, int(np.floor(np.log2(max(1.0, tokens / 32e6)) / 2))))
+
+
+def class_bounds(counts: np.ndarray, head: int) -> np.ndarray:
+    """Bounds of the classes of head tokens by falling count: each holds about the same sum of square roots of counts.
+
+    Frequent tokens so lie in small classes; there are about sqrt(head / 2) of them.
+    """
+    mass = np.cumsum(np.sqrt(np.concatenate([counts, np.zeros(max(0, head - len(counts)))])[:head] + 1.0))
+    n = int(np.sqrt(head / 2))
+    return np.unique(np.concatenate([[0], np.searchsorted(mass, mass[-1] * np.arange(1, n) / n) + 1, [head]]))
 
 
 @dataclass
 class Gru:
-    """Token 0 is the end; inputs 0 .. HEAD - 1 are head tokens, HEAD .. the tail classes."""
+    """Token 0 is the end; inputs 0 .. head - 1 are head tokens, head .. the tail classes.
+
+    bounds cut the head tokens into classes; the weights of a head token within its class
+    are a row of member. The classes of the tail come after those of the head.
+    """
 
     embed: np.ndarray
     recur: np.ndarray
@@ -179,184 +207,254 @@ class Gru:
     class_bias: np.ndarray
     member: np.ndarray
     member_bias: np.ndarray
+    bounds: np.ndarray
+
+    @property
+    def head(self) -> int:
+        return len(self.member)
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.embed, self.recur, self.to_class, self.class_bias, self.member, self.member_bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
+        return np.concatenate([w.ravel() for w in self.weights()])
 
     def like(self, flat: np.ndarray) -> Gru:
         out, at = [], 0
-        for f in fields(self):
-            own = getattr(self, f.name)
+        for own in self.weights():
             out.append(flat[at : at + own.size].reshape(own.shape).astype(np.float32))
             at += own.size
-        return Gru(*out)
+        return Gru(*out, self.bounds)
+
+    def class_of(self, ids: np.ndarray) -> np.ndarray:
+        """Output class of inputs (head tokens and tail classes)."""
+        n = len(self.bounds) - 1
+        table = np.concatenate([np.repeat(np.arange(n), np.diff(self.bounds)), n + np.arange(TAILS)]).astype(np.int16)
+        return table[ids]
 
 
 def fresh(corpus: Corpus, seed: int = 3) -> Gru:
     """Small random weights; biases at the unigram model."""
     rng = np.random.default_rng(seed)
     f = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
-    counts = np.zeros(HEAD)
+    head = corpus.head_size
+    counts = np.zeros(head)
     counts[: len(corpus.head_counts)] = corpus.head_counts
-    mass = np.concatenate([counts.reshape(-1, MEMBERS).sum(1), corpus.tail_tokens]) + 0.5
+    bounds = class_bounds(corpus.head_counts, head)
+    mass = np.concatenate([np.add.reduceat(counts, bounds[:-1]), corpus.tail_tokens]) + 0.5
     member = np.log(counts + ALPHA)
     member[len(corpus.head_counts) :] = -30
-    return Gru(f(0.1, HEAD + TAILS, 3 * HIDDEN), f(0.15, HIDDEN, 3 * HIDDEN), f(0.05, HIDDEN, CLASSES), np.log(mass / mass.sum()).astype(np.float32), f(0.05, HEAD // MEMBERS, HIDDEN, MEMBERS), member.reshape(-1, MEMBERS).astype(np.float32))
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
+    return Gru(f(0.1, head + TAILS, 3 * HIDDEN), f(0.15, HIDDEN, 3 * HIDDEN), f(0.05, HIDDEN, len(mass)), np.log(mass / mass.sum()).astype(np.float32), f(0.05, head, HIDDEN), member.astype(np.float32), bounds)
 
-def _step(net: Gru, h: np.ndarray, ids: np.ndarray):
-    x, u = net.embed[ids], h @ net.recur
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN :]
 
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
 
+def _step(net: Gru, h: np.ndarray, x: np.ndarray, u: np.ndarray, out: np.ndarray) -> None:
+    """The next state, into out; every array has a row for each feature, a column for each lane.
 
-def class_of(ids: np.ndarray) -> np.ndarray:
-    """Output class of inputs (head tokens and tail classes)."""
-    return np.where(ids < HEAD, ids // MEMBERS, HEAD // MEMBERS - HEAD + ids)
+    x, the inputs' embeddings, becomes update gate, reset gate and candidate; u is h's part of them.
+    """
+    np.matmul(net.recur.T, h, out=u)
+    gates, n = x[: 2 * HIDDEN], x[2 * HIDDEN :]
+    gates += u[: 2 * HIDDEN]
+    _sigmoid(gates)
+    n += x[HIDDEN : 2 * HIDDEN] * u[2 * HIDDEN :]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= x[:HIDDEN]
+    out += n
+
+
+def _softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials, their sums by row, natural log of each target's share) of states, one a row.
+
+    A state's entries are under 1 in size, so the largest logit is bounded by the weights
+    alone; where that bound is too high to be taken off safely, each row's largest is.
+    """
+    size = np.abs(weights).sum(0)
+    top = float((bias + size).max())
+    x = states @ weights
+    x += bias - np.float32(top)
+    if top - float((bias - size).max()) > 60:
+        x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    return x, total, own - np.log(total)
+
+
+def _by_class(net: Gru, k: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """(order by class of what falls to the head classes, for each class met its bounds in it and among the members)."""
+    n = len(net.bounds) - 1
+    order = np.argsort(k, kind="stable")
+    ends = np.searchsorted(k[order], np.arange(n + 1))
+    return order[: ends[-1]], [(int(ends[c]), int(ends[c + 1]), int(net.bounds[c]), int(net.bounds[c + 1])) for c in range(n) if ends[c] < ends[c + 1]]
 
 
 def likelihood(net: Gru, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the class, and for head tokens of the member, of each target."""
-    k = class_of(target)
-    out = _log_softmax(states @ net.to_class + net.class_bias)[np.arange(len(k)), k].astype(np.float64)
-    order = np.argsort(k, kind="stable")
-    ends = np.searchsorted(k[order], np.arange(HEAD // MEMBERS + 1))
-    for c in range(HEAD // MEMBERS):
-        rows = order[ends[c] : ends[c + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(states[rows] @ net.member[c] + net.member_bias[c])[np.arange(len(rows)), target[rows] - c * MEMBERS]
+    k = net.class_of(target)
+    out = _softmax(states, net.to_class, net.class_bias, k)[2].astype(np.float64)
+    order, classes = _by_class(net, k)
+    s, y = states[order], target[order]
+    for a, b, low, high in classes:
+        out[order[a:b]] += _softmax(s[a:b], net.member[low:high].T, net.member_bias[low:high], y[a:b] - low)[2]
     return out
 
 
 def score_ids(net: Gru, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of natural logs by document; ids of all documents, each closed by its end (0)."""
-    length = np.diff(offsets)
-    order = np.argsort(-length, kind="stable")
-    first, length = offsets[:-1][order], length[order]
+    order = np.argsort(-np.diff(offsets), kind="stable")
     total = np.zeros(len(order))
-    h = np.zeros((len(order), HIDDEN), np.float32)
-    at = 0
-    while len(length) and at < length[0]:
-        lanes = int(np.searchsorted(-length, -at))
-        steps = min(max(STEPS, 8192 // lanes), int(length[0]) - at)
-        states, targets, owners = [], [], []
-        for t in range(at, at + steps):
-            m = int(np.searchsorted(-length, -t))
-            now = first[:m] + t
-            before = ids[now - 1] if t else np.zeros(m, np.int64)
-            h[:m] = _step(net, h[:m], before)[0]
-            states.append(h[:m].copy())
-            targets.append(ids[now])
-            owners.append(np.arange(m))
-        total += np.bincount(np.concatenate(owners), weights=likelihood(net, np.concatenate(states), np.concatenate(targets)), minlength=len(total))
+    for i in range(0, len(order), SCORE_LANES):
+        own = order[i : i + SCORE_LANES]
+        total[own] = _score_lanes(net, ids, offsets[:-1][own], np.diff(offsets)[own])
+    return total
+
+
+def _score_lanes(net: Gru, ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """score_ids of documents side by side, the longest first; the state goes on from window to window."""
+    total, at = np.zeros(len(first)), 0
+    h = np.zeros((HIDDEN, len(first)), np.float32)
+    while at < length[0]:
+        steps = min(max(STEPS, 8192 // int(np.searchsorted(-length, -at))), int(length[0]) - at)
+        alive = np.searchsorted(-length, -np.arange(at, at + steps))
+        ends = np.concatenate([[0], np.cumsum(alive)])
+        lane = np.arange(ends[-1]) - np.repeat(ends[:-1], alive)
+        now = first[lane] + np.repeat(np.arange(at, at + steps), alive)
+        before = ids[now - 1]
+        if at == 0:
+            before[: ends[1]] = 0
+        states = np.empty((ends[-1], HIDDEN), np.float32)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            x, h, new = np.ascontiguousarray(net.embed[before[a:b]].T), h[:, : b - a], np.empty((HIDDEN, b - a), np.float32)
+            _step(net, h, x, np.empty_like(x), new)
+            h, states[a:b] = new, new.T
+        total += np.bincount(lane, weights=likelihood(net, states, ids[now]), minlength=len(total))
         at += steps
-    back = np.empty(len(total))
-    back[order] = total
-    return back
+    return total
 
 
 def gradients(net: Gru, ids: np.ndarray, valid: np.ndarray, h: np.ndarray):
     """Backpropagation through a window: ids (lanes, steps + 1), the first of a row being the input before it.
 
-    Returns (gradient of the mean loss, last state, sum of the loss).
+    Returns (gradient of the mean loss, last state, sum of the loss); states have a column
+    for each lane. The gradient lists, for each array of weights, (rows that it moves, their gradient).
     """
     lanes, steps = ids.shape[0], ids.shape[1] - 1
-    kept, states = [], np.empty((steps, lanes, HIDDEN), np.float32)
+    x = np.empty((steps, 3 * HIDDEN, lanes), np.float32)
+    u, s = np.empty_like(x), np.empty((steps + 1, HIDDEN, lanes), np.float32)
+    s[0] = h
     for t in range(steps):
-        new, z, r, n, un = _step(net, h, ids[:, t])
-        kept.append((h, z, r, n, un))
-        states[t] = h = new
-    s, y, w = states.reshape(-1, HIDDEN), ids[:, 1:].T.ravel(), valid.T.ravel().astype(np.float32)
+        x[t] = net.embed[ids[:, t]].T
+        _step(net, s[t], x[t], u[t], s[t + 1])
+    states, y, w = s[1:].transpose(0, 2, 1).reshape(-1, HIDDEN), ids[:, 1:].T.ravel(), valid.T.ravel().astype(np.float32)
     scale = w / max(1.0, float(w.sum()))
-    k = class_of(y)
-    lp = _log_softmax(s @ net.to_class + net.class_bias)
-    loss = -float((lp[np.arange(len(y)), k] * w).sum())
-    e = np.exp(lp)
-    e[np.arange(len(y)), k] -= 1
-    e *= scale[:, None]
-    g = Gru(np.zeros_like(net.embed), np.zeros_like(net.recur), s.T @ e, e.sum(0), np.zeros_like(net.member), np.zeros_like(net.member_bias))
-    ds = e @ net.to_class.T
-    order = np.argsort(k, kind="stable")
-    ends = np.searchsorted(k[order], np.arange(HEAD // MEMBERS + 1))
-    for c in range(HEAD // MEMBERS):
-        rows = order[ends[c] : ends[c + 1]]
-        if len(rows):
-            lm = _log_softmax(s[rows] @ net.member[c] + net.member_bias[c])
-            own = y[rows] - c * MEMBERS
-            loss -= float((lm[np.arange(len(rows)), own] * w[rows]).sum())
-            e = np.exp(lm)
-            e[np.arange(len(rows)), own] -= 1
-            e *= scale[rows][:, None]
-            g.member[c], g.member_bias[c] = s[rows].T @ e, e.sum(0)
-            ds[rows] += e @ net.member[c].T
+    k = net.class_of(y)
+    e, total, own = _softmax(states, net.to_class, net.class_bias, k)
+    loss = -float(own @ w)
+    e *= (scale / total)[:, None]
+    e[np.arange(len(y)), k] -= scale
+    to_class, class_bias, ds = states.T @ e, e.sum(0), e @ net.to_class.T
+    order, classes = _by_class(net, k)
+    own_s, own_y, own_w, own_scale, own_ds = states[order], y[order], w[order], scale[order], ds[order]
+    members, biases = [net.member[:0]], [net.member_bias[:0]]
+    for a, b, low, high in classes:
+        e, total, own = _softmax(own_s[a:b], net.member[low:high].T, net.member_bias[low:high], own_y[a:b] - low)
+        loss -= float(own @ own_w[a:b])
+        e *= (own_scale[a:b] / total)[:, None]
+        e[np.arange(b - a), own_y[a:b] - low] -= own_scale[a:b]
+        members.append(e.T @ own_s[a:b])
+        biases.append(e.sum(0))
+        own_ds[a:b] += e @ net.member[low:high]
+    ds[order] = own_ds
     ds = ds.reshape(steps, lanes, HIDDEN)
-    dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-    back = np.zeros((lanes, HIDDEN), np.float32)
+    dx, back, recur = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.zeros((HIDDEN, lanes), np.float32), np.zeros_like(net.recur)
+    du = np.empty((3 * HIDDEN, lanes), np.float32)
     for t in range(steps - 1, -1, -1):
-        h0, z, r, n, un = kept[t]
-        d = ds[t] + back
-        dn = d * (1 - z) * (1 - n * n)
-        dz, dr = d * (h0 - n) * z * (1 - z), dn * un * r * (1 - r)
-        dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dz, dr, dn
-        du = np.concatenate([dz, dr, dn * r], 1)
-        g.recur += h0.T @ du
-        back = d * z + du @ net.recur.T
-    flat, at = dx.reshape(-1, 3 * HIDDEN), ids[:, :-1].T.ravel()
-    order = np.argsort(at, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
-    g.embed[at[order][starts]] = np.add.reduceat(flat[order], starts, 0)
-    return g, h, loss
+        z, r, n = x[t, :HIDDEN], x[t, HIDDEN : 2 * HIDDEN], x[t, 2 * HIDDEN :]
+        back += ds[t].T
+        down = back * (1 - z)
+        du[:HIDDEN] = down * z * (s[t] - n)
+        down *= 1 - n * n
+        du[2 * HIDDEN :] = down * r
+        du[HIDDEN : 2 * HIDDEN] = du[2 * HIDDEN :] * u[t, 2 * HIDDEN :] * (1 - r)
+        recur += s[t] @ du.T
+        back *= z
+        back += net.recur @ du
+        du[2 * HIDDEN :] = down
+        dx[t] = du.T
+    inputs = ids[:, :-1].T.ravel()
+    order = np.argsort(inputs.astype(np.int16), kind="stable")
+    read = inputs[order]
+    starts = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+    met = np.concatenate([np.arange(low, high) for _, _, low, high in classes] or [read[:0]])
+    embed = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], starts, 0)
+    every = slice(None)
+    return [(read[starts], embed), (every, recur), (every, to_class), (every, class_bias), (met, np.concatenate(members)), (met, np.concatenate(biases))], s[-1].copy(), loss
 
 
 class Adam:
+    """Steps in place; rows that a window does not touch do not move."""
+
     def __init__(self, net: Gru, rate: float):
         self.rate, self.t = rate, 0
-        self.m, self.v = np.zeros_like(net.flat()), np.zeros_like(net.flat())
+        self.moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
 
-    def step(self, net: Gru, g: Gru) -> Gru:
-        flat = g.flat()
-        norm = float(np.sqrt((flat * flat).sum()))
-        flat *= min(1.0, 1.0 / max(norm, 1e-9))
+    def step(self, net: Gru, gradient: list[tuple]) -> None:
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for _, g in gradient)))
+        clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         self.t += 1
-        self.m = 0.9 * self.m + 0.1 * flat
-        self.v = 0.999 * self.v + 0.001 * flat * flat
-        return net.like(net.flat() - self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-7))
-
-
-def train(net: Gru, adam: Adam, ids: np.ndarray, offsets: np.ndarray, lanes: int = TRAIN_LANES) -> tuple[Gru, int]:
-    """Adam over all tokens of documents, each closed by its end (0), in steps of STEPS; returns the tokens seen.
+        one, two = np.float32(self.rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.999**self.t))
+        for weights, (rows, g), (m, v) in zip(net.weights(), gradient, self.moments, strict=True):
+            g = g * clip
+            first, second = m[rows] * np.float32(0.9), v[rows] * np.float32(0.999)
+            first += np.float32(0.1) * g
+            g *= g
+            second += np.float32(0.001) * g
+            m[rows], v[rows] = first, second
+            second *= two
+            np.sqrt(second, out=second)
+            second += np.float32(1e-7)
+            first /= second
+            first *= one
+            weights[rows] -= first
+
+
+def train(net: Gru, adam: Adam, ids: np.ndarray, offsets: np.ndarray, lanes: int = TRAIN_LANES) -> int:
+    """Adam, in place, over all tokens of documents, each closed by its end (0), in steps of STEPS; returns the tokens seen.
 
     The longest start first; a lane whose document ends takes the next one, with a new state.
+    A document of more than SEGMENT tokens goes side by side in parts of so many.
     """
+    parts = -(-np.diff(offsets) // SEGMENT)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    offsets = np.append(np.repeat(offsets[:-1], parts) + nth * SEGMENT, offsets[-1])
     full, queue, reach = np.concatenate([[0], ids]), np.argsort(-np.diff(offsets), kind="stable"), np.arange(STEPS + 1)
     first, last = offsets[:-1][queue], offsets[1:][queue]
     taken, seen = min(lanes, len(queue)), 0
     at, end = first[:taken].copy(), last[:taken].copy()
-    h = np.zeros((taken, HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, taken), np.float32)
     while len(at):
         valid = at[:, None] + reach[:-1] < end[:, None]
-        g, h, _ = gradients(net, full[np.minimum(at[:, None] + reach, len(ids))], valid, h)
-        net = adam.step(net, g)
+        window = full[np.minimum(at[:, None] + reach, len(ids))]
+        g, h, _ = gradients(net, window, valid, h)
+        adam.step(net, g)
         seen += int(valid.sum())
         at = at + STEPS
         into = np.flatnonzero(at >= end)[: len(queue) - taken]
         more = slice(taken, taken + len(into))
-        at[into], end[into], h[into] = first[more], last[more], 0
+        at[into], end[into], h[:, into] = first[more], last[more], 0
         taken += len(into)
         left = at < end
-        at, end, h = at[left], end[left], h[left]
-    return net, seen
+        at, end, h = at[left], end[left], h[:, left]
+    return seen
 
 
 def closed(ids: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -374,20 +472,35 @@ def rounds_of(tokens: int) -> int:
     return max(ROUNDS, int(np.ceil(np.log2(max(1, tokens) / 1e6))))
 
 
-def _train_here(sent, start: Gru, rate: float):
+def _train_shards(start: Gru, rate: float, lanes: int):
+    """shard, ids of documents sorted by shard in; for each shard its change of the weights times its tokens out."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus = sent.value
-        net, seen, part, adam = start, 0, TaskContext.get().partitionId(), Adam(start, rate)
+        shard, held, most, seen, net, adam = None, [], 0, 0, None, None
+
+        def learn() -> int:
+            at = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            return train(net, adam, np.concatenate(held).astype(np.int64), at, lanes)
+
+        def out() -> pa.RecordBatch:
+            change = (net.flat() - start.flat()) * np.float32(seen)
+            return pa.record_batch([pa.array([shard % 8], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["g", "change", "seen"])
+
         for batch in batches:
-            data, all_offsets = text_buffers(batch.column(0))
-            for i, j in _groups(all_offsets):
-                offsets = all_offsets[i : j + 1] - all_offsets[i]
-                key, kind, row = (np.concatenate(c) for c in zip(*_token_blocks(data[all_offsets[i] : all_offsets[j]], offsets), strict=True))
-                _, head = corpus.look_up(key)
-                net, n = train(net, adam, *closed(np.where(head >= 0, head, HEAD + kind), row, j - i), lanes=min(TRAIN_LANES, max(8, (j - i) // 16)))
-                seen += n
-        change = (net.flat() - start.flat()) * np.float32(seen)
-        yield pa.record_batch([pa.array([part % 8], pa.int32()), pa.array([change.astype(np.float32).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["g", "change", "seen"])
+            for own, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and (own != shard or most > HELD_TOKENS):
+                    seen += learn()
+                    held, most = [], 0
+                if own != shard:
+                    if net is not None:
+                        yield out()
+                    shard, seen, net = own, 0, start.like(start.flat())
+                    adam = Adam(net, rate)
+                held.append(np.frombuffer(ids.as_buffer(), np.int16))
+                most += len(held[-1])
+        if held:
+            seen += learn()
+            yield out()
 
     return apply
 
@@ -403,26 +516,36 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["change", "seen"])
 
 
-def fit(training: DataFrame, corpus: Corpus, warm_docs: int = WARM_DOCS) -> Gru:
-    """Weights from every token of every training document, averaged in rounds."""
-    spark = training.sparkSession
+def fit(rows: DataFrame, corpus: Corpus, warm_docs: int = WARM_DOCS) -> Gru:
+    """Weights from every token of every training document of `encoded` rows, averaged in rounds.
+
+    A document's round and shard follow from its id's hash, and a shard's documents are taken
+    in the order of that hash, so the weights do not depend on how the rows are partitioned.
+    """
     net = fresh(corpus)
     if not corpus.ends:
         return net
     rounds = rounds_of(corpus.tokens)
-    sent = spark.sparkContext.broadcast(corpus)
+    warm = corpus.ends <= warm_docs
+    shards = max(SHARDS, int(corpus.tokens / (1 if warm else rounds) / (SHARD_TOKENS * corpus.head_size // HEAD)))
+    lanes = min(TRAIN_LANES, max(16, corpus.ends // (1 if warm else rounds) // shards // 4))
+    training = rows.where(~F.col("held_out"))
+    by_id = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(n))
     for r, rate in enumerate(np.linspace(*RATES, rounds)):
-        own = training if corpus.ends <= warm_docs else training.where(F.pmod(F.xxhash64(F.lit(43), "text"), F.lit(rounds)) == r)
-        parts = own.select("text").mapInArrow(_train_here(sent, net, float(rate)), "g int, change binary, seen long")
+        own = training if warm else training.where(by_id(43, rounds) == r)
+        dealt = own.select(by_id(47, shards).cast("int").alias("shard"), F.xxhash64("doc_id").alias("o"), "ids")
+        parts = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "o", "ids").select("shard", "ids").mapInArrow(_train_shards(net, float(rate), lanes), "g int, change binary, seen long")
         sums = parts.repartition(8, "g").mapInArrow(_add_up, "change binary, seen long").collect()  # 8 sums of the weights' size
         if seen := sum(x["seen"] for x in sums):
             net = net.like(net.flat() + (sum(np.frombuffer(x["change"], np.float64) for x in sums) / seen).astype(np.float32))
     return net
 
 
-def _score(sent):
+def _encode(sent):
+    """Every document's ids for the network, and what its base score and its tail tokens add up to."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, net = sent.value
+        corpus = sent.value
         part, made = TaskContext.get().partitionId(), 0
         log_tail = corpus.log_tail * LOG10
         for batch in batches:
@@ -432,20 +555,40 @@ def _score(sent):
                 n = j - i
                 key, kind, row = (np.concatenate(c) for c in zip(*_token_blocks(data[all_offsets[i] : all_offsets[j]], offsets), strict=True))
                 c, head = corpus.look_up(key)
-                known = c >= 0
+                known, tail = c >= 0, head < 0
                 count = np.bincount(row, minlength=n)
-                model = score_ids(net, *closed(np.where(head >= 0, head, HEAD + kind), row, n))
-                log_c = np.log(np.where(known, c, 0) + ALPHA)
-                tail = head < 0
-                model += np.bincount(row, weights=np.where(tail, np.where(known, log_c, 0) - log_tail[kind], 0), minlength=n)
-                base = np.bincount(row, weights=np.where(known, log_c, 0), minlength=n) / LOG10 + np.log10(corpus.ends + ALPHA) - (count + 1) * corpus.log_base
+                ids, at = closed(np.where(tail, corpus.head_size + kind, head), row, n)
+                raw = ids.astype(np.int16).tobytes()
+                log_c = np.where(known, np.log(np.where(known, c, 0) + ALPHA), 0)
+                of_tail = np.bincount(row, weights=np.where(tail, log_c - log_tail[kind], 0), minlength=n) / LOG10
+                base = np.bincount(row, weights=log_c, minlength=n) / LOG10 + np.log10(corpus.ends + ALPHA) - (count + 1) * corpus.log_base
                 rest = np.flatnonzero(~known)
-                lists = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(row[rest], np.arange(n + 1)).astype(np.int64)), pa.array(key[rest])).cast(pa.list_(pa.int64()))
+                order = rest[np.lexsort((key[rest], row[rest]))]
+                new = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1])])) if len(order) else order
+                cuts = np.searchsorted(row[order][new], np.arange(n + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int64))) for x in (key[order][new], np.diff(np.append(new, len(order))))]
                 n_known = np.bincount(row, weights=known & (c > 0), minlength=n).astype(np.int64) + (corpus.ends > 0)
                 rid = (np.int64(part) << np.int64(40)) + made + np.arange(n)
                 made += n
                 own = batch.slice(i, n)
-                yield pa.record_batch([pa.array(rid), own.column(0), own.column(1), pa.array(count + 1), pa.array(n_known), pa.array(base), pa.array(model / LOG10), lists], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"])
+                sizes = at.tolist()
+                bodies = pa.array([raw[2 * a : 2 * b] for a, b in zip(sizes[:-1], sizes[1:], strict=True)], pa.binary())
+                yield pa.record_batch([pa.array(rid), own.column(0), own.column(1), pa.array(count + 1), pa.array(n_known), pa.array(base), pa.array(of_tail), bodies, *lists], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "of_tail", "ids", "rest", "times"])
+
+    return apply
+
+
+def _score(net: Gru):
+    """The column ids (the last) becomes the network's log10 probability of them."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(batch.num_columns - 1))
+            model = np.zeros(batch.num_rows)
+            for i, j in _groups(offsets):
+                ids = data[offsets[i] : offsets[j]].view(np.int16).astype(np.int64)
+                model[i:j] = score_ids(net, ids, (offsets[i : j + 1] - offsets[i]) // 2) / LOG10
+            yield pa.record_batch([*batch.columns[:-1], pa.array(model)], [*batch.schema.names[:-1], "model"])
 
     return apply
 
@@ -472,15 +615,18 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", known: int =
     parts = training.select("text").mapInArrow(_counts, "h long, kind int, c long")
     counts = persisted(parts.groupBy("h").agg(F.first("kind").alias("kind"), F.sum("c").alias("c")))
     corpus = gather(counts, training.count(), known)
-    net = fit(training, corpus, warm_docs)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    sent = spark.sparkContext.broadcast((corpus, net))
-    rows = persisted(slim.mapInArrow(_score(sent), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double, rest array<long>"))
-    rare = rows.select("rid", F.explode("rest").alias("h")).join(counts.select("h", "c"), "h", "left")
-    extra = rare.groupBy("rid").agg(F.sum(F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ALPHA))).alias("log_c"), F.count("c").alias("more"))
-    joined = rows.drop("rest").join(extra, "rid", "left")
+    head = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, of_tail double"
+    encode = _encode(spark.sparkContext.broadcast(corpus))
+    rows = persisted(slim.mapInArrow(encode, head + ", ids binary, rest array<long>, times array<long>"))
+    net = fit(rows, corpus, warm_docs)
+    scored = rows.drop("rest", "times").mapInArrow(_score(net), head + ", model double")
+    rare = rows.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("t")).select("rid", F.col("t.rest").alias("h"), F.col("t.times").alias("times"))
+    log_c = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ALPHA))
+    extra = rare.join(counts.select("h", "c"), "h", "left").groupBy("rid").agg(F.sum(log_c).alias("log_c"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more"))
+    joined = scored.join(extra, "rid", "left")
     log_c = F.coalesce(F.col("log_c"), F.lit(0.0))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(corpus.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + log_c).alias("base_score"), (F.col("model") + log_c).alias("score"),
+        (F.col("base") + log_c).alias("base_score"), (F.col("model") + F.col("of_tail") + log_c).alias("score"),
     )

@@ -117,49 +117,105 @@ def test_language_model_beats_its_base(labelled, no_docs):
     assert recurrent_lm.score(no_docs).count() == 0
 
 
+def small_net():
+    corpus = recurrent_lm.Corpus(100, 10, 5, np.ones(8), np.ones(8), recurrent_lm.HEAD, np.arange(10, 0, -1), np.zeros(8, np.int64), np.full(8, -1), np.full(8, -1, np.int32))
+    return recurrent_lm.fresh(corpus)
+
+
+def plain_score(net, ids):
+    """Natural log of the probability of ids, token by token, in double precision and with nothing shared with the module."""
+    w = {k: np.asarray(getattr(net, k), float) for k in ("embed", "recur", "to_class", "class_bias", "member", "member_bias")}
+    h, before, total, n = np.zeros(recurrent_lm.HIDDEN), 0, 0.0, recurrent_lm.HIDDEN
+    share = lambda x, k: x[k] - np.log(np.exp(x).sum())
+    for y in ids:
+        x, u = w["embed"][before], h @ w["recur"]
+        z, r = (1 / (1 + np.exp(-(x[i : i + n] + u[i : i + n]))) for i in (0, n))
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+        if y >= net.head:
+            total += share(h @ w["to_class"] + w["class_bias"], len(net.bounds) - 1 + y - net.head)
+        else:
+            c = int(np.searchsorted(net.bounds, y, side="right")) - 1
+            low, high = net.bounds[c], net.bounds[c + 1]
+            total += share(h @ w["to_class"] + w["class_bias"], c) + share(w["member"][low:high] @ h + w["member_bias"][low:high], y - low)
+        before = y
+    return total
+
+
 def test_state_carries_across_windows():
-    corpus = recurrent_lm.Corpus(100, 10, 5, np.ones(8), np.ones(8), np.arange(9), np.arange(10, 0, -1), np.zeros(8, np.int64), np.full(8, -1), np.full(8, -1, np.int32))
-    net = recurrent_lm.fresh(corpus)
-    rng = np.random.default_rng(2)
-    ids = np.append(rng.integers(1, 10, 299), 0)
-    whole = recurrent_lm.score_ids(net, np.concatenate([ids, ids[-40:]]), np.array([0, 300, 340]))
-    h, total = np.zeros((1, recurrent_lm.HIDDEN), np.float32), 0.0
-    for t, y in enumerate(ids):
-        h = recurrent_lm._step(net, h, ids[t - 1 : t] if t else np.zeros(1, np.int64))[0]
-        total += recurrent_lm.likelihood(net, h, np.array([y]))[0]
-    assert whole[0] == pytest.approx(total, rel=1e-4)
+    net = small_net()
+    ids = np.append(np.random.default_rng(2).integers(1, 10, 299), 0)
+    ids[[5, 77, 200]] = net.head + 3
+    got = recurrent_lm.score_ids(net, np.concatenate([ids, ids[-40:]]), np.array([0, 300, 340]))
+    assert got[0] == pytest.approx(plain_score(net, ids), rel=1e-4) and got[1] == pytest.approx(plain_score(net, ids[-40:]), rel=1e-4)
+
+
+def test_scores_equal_a_plain_computation(spark, docs):
+    """Every text's score from the trained weights, token by token; counts of unknown tokens by the join."""
+    frames = []
+    real = recurrent_lm.fit
+
+    def keep(rows, corpus, warm_docs):
+        net = real(rows, corpus, warm_docs)
+        frames.append((rows.select("doc_id", "n_tokens", "ids").collect(), corpus, net))
+        return net
+
+    recurrent_lm.fit = keep
+    try:
+        got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in recurrent_lm.score(docs, known=7, warm_docs=50).collect()}
+    finally:
+        recurrent_lm.fit = real
+    rows, corpus, net = frames[0]
+    texts = {(r["doc_id"], len((r["text"] or "").encode().lower().split()) + 1): r["text"] or "" for r in docs.collect()}
+    counts = collections.Counter(w for r in docs.collect() if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10 for w in (r["text"] or "").encode().lower().split())
+    for r in rows:
+        ids = np.frombuffer(r["ids"], np.int16)
+        words = texts[r["doc_id"], r["n_tokens"]].encode().lower().split()
+        assert len(ids) == len(words) + 1 and ids[-1] == 0
+        tail = sum(math.log10(counts[w] + 0.1) - corpus.log_tail[i - net.head] for w, i in zip(words, ids, strict=False) if i >= net.head)
+        assert got[r["doc_id"], r["n_tokens"]] == pytest.approx(plain_score(net, ids) / math.log(10) + tail, rel=1e-4, abs=1e-6 * len(ids))
+
+
+def test_scores_do_not_depend_on_partitions(spark, labelled):
+    docs = labelled[0].limit(400)
+    first = {r["doc_id"]: r["score"] for r in recurrent_lm.score(docs.repartition(2), warm_docs=50).collect()}
+    again = {r["doc_id"]: r["score"] for r in recurrent_lm.score(docs.repartition(7, "text"), warm_docs=50).collect()}
+    assert first.keys() == again.keys() and all(again[k] == pytest.approx(v, rel=1e-3) for k, v in first.items())
 
 
 def test_every_token_is_trained_on_with_carried_state(monkeypatch):
-    corpus = recurrent_lm.Corpus(100, 10, 5, np.ones(8), np.ones(8), np.arange(9), np.arange(10, 0, -1), np.zeros(8, np.int64), np.full(8, -1), np.full(8, -1, np.int32))
-    net, real, seen, fresh = recurrent_lm.fresh(corpus), recurrent_lm.gradients, [], []
+    net, real, seen, fresh = small_net(), recurrent_lm.gradients, [], []
 
     def spy(net, ids, valid, h):
         seen.extend(ids[:, 1:][valid].tolist())
-        fresh.append(int((h == 0).all(1).sum()))
+        fresh.append(int((h == 0).all(0).sum()))
         return real(net, ids, valid, h)
 
     monkeypatch.setattr(recurrent_lm, "gradients", spy)
     sizes = [1, 500, 33, 64, 1, 200]
     ids, at = recurrent_lm.closed(np.random.default_rng(2).integers(1, 10, sum(sizes)), np.repeat(np.arange(6), sizes), 6)
-    _, n = recurrent_lm.train(net, recurrent_lm.Adam(net, 1e-3), ids, at, lanes=2)
+    n = recurrent_lm.train(net, recurrent_lm.Adam(net, 1e-3), ids, at, lanes=2)
     assert n == len(seen) == len(ids) and sorted(seen) == sorted(ids.tolist()) and sum(fresh) == 6
     assert recurrent_lm.rounds_of(10**10) > recurrent_lm.rounds_of(10**8) > recurrent_lm.rounds_of(10**6)
+    assert recurrent_lm.head_of(10**10) > recurrent_lm.head_of(10**6)
 
 
 def test_gradient_is_the_slope_of_the_loss():
-    corpus = recurrent_lm.Corpus(100, 10, 5, np.ones(8), np.ones(8), np.arange(9), np.arange(10, 0, -1), np.zeros(8, np.int64), np.full(8, -1), np.full(8, -1, np.int32))
-    net = recurrent_lm.fresh(corpus)
+    net = small_net()
     ids = np.random.default_rng(4).integers(0, 10, (3, 7))
-    valid, h = np.ones((3, 6), bool), np.zeros((3, recurrent_lm.HIDDEN), np.float32)
-    g, _, _ = recurrent_lm.gradients(net, ids, valid, h)
-    for name, at in (("recur", (1, 2)), ("embed", (int(ids[0, 1]), 40)), ("to_class", (3, 0)), ("member", (0, 2, 3)), ("class_bias", (0,))):
+    valid, h = np.ones((3, 6), bool), np.zeros((recurrent_lm.HIDDEN, 3), np.float32)
+    gradient, _, _ = recurrent_lm.gradients(net, ids, valid, h)
+    names = ("embed", "recur", "to_class", "class_bias", "member", "member_bias")
+    dense = {}
+    for name, (rows, g) in zip(names, gradient, strict=True):
+        dense[name] = np.zeros_like(getattr(net, name))
+        dense[name][rows] = g
+    for name, at in (("recur", (1, 2)), ("embed", (int(ids[0, 1]), 40)), ("to_class", (3, 0)), ("member", (2, 3)), ("class_bias", (0,))):
         losses = []
         for step in (1e-2, -1e-2):
             moved = net.like(net.flat())
             getattr(moved, name)[at] += step
             losses.append(recurrent_lm.gradients(moved, ids, valid, h)[2] / 18)
-        assert getattr(g, name)[at] == pytest.approx((losses[0] - losses[1]) / 2e-2, abs=2e-3)
+        assert dense[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-2, abs=2e-3)
 
 
 def test_scores_repeat(labelled):
