@@ -52,8 +52,13 @@ class PieceModel:
         self.first_of_bigram = {b[0] for b in self.bigrams}
         if any(b[1] == SPACE and b[0] != SPACE for b in self.bigrams):
             raise ValueError("pieces of this model hold a space after a letter; words would not be independent")
-        self._self = {}
-        self._pair = {}
+        #: Pieces by their last merge; filled by whole().
+        self._self: dict[str, bool] = {}
+        self._parts: dict[str, tuple[str, str]] = {}
+        #: Pieces with a part, or a part's part, that ranks behind them.
+        self._odd: set[str] = set()
+        self._spine: dict[tuple[str, bool], list[tuple[str, int]]] = {}
+        self._pair: dict[tuple[str, str], bool] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge a list of symbols by (rank, leftmost), with a queue."""
@@ -67,6 +72,7 @@ class PieceModel:
             j = right[i] if text[i] is not None else n
             if j >= n or text[i] + text[j] != p:
                 continue
+            self.last = text[i], text[j]
             text[i], text[j], right[i] = p, None, right[j]
             if right[i] < n:
                 left[right[i]] = i
@@ -80,20 +86,63 @@ class PieceModel:
         """True if encoding this piece's own text gives the piece."""
         if piece not in self._self:
             self._self[piece] = self.merge(list(piece)) == [piece]
+            if self._self[piece] and len(piece) > 1:
+                self._parts[piece] = parts = self.last
+                if any(len(x) > 1 and (self.rank[x] >= self.rank[piece] or self.whole(x) and x in self._odd) for x in parts):
+                    self._odd.add(piece)
         return self._self[piece]
 
+    def spine(self, piece: str, right: bool) -> list[tuple[str, int]]:
+        """What stands at one edge of a whole piece as its merges go on, first the single character, each with the rank of the merge that ends it."""
+        found = self._spine.get((piece, right))
+        if found is None:
+            found, p, ends = [], piece, 1 << 60
+            while True:
+                found.append((p, ends))
+                if len(p) == 1:
+                    break
+                self.whole(p)
+                p, ends = self._parts[p][right], self.rank[p]
+            found.reverse()
+            self._spine[piece, right] = found
+        return found
+
     def stands(self, text: str) -> bool:
         return text in self.id and self.whole(text)
 
     def stand_together(self, a: str, b: str) -> bool:
-        """True if a then b is how their joined text is encoded."""
+        """True if whole pieces a then b are how their joined text is encoded.
+
+        Merges go by rank, so both sides' edges grow in the order of their merges' ranks; the
+        pieces stay apart unless two edges that meet make a piece that merges before either
+        of them goes on (a tie goes to the left side). Where ranks do not rise from part to
+        piece, the merges are made.
+        """
         if a[-1] + b[0] not in self.bigrams:
             return True
-        if (a, b) not in self._pair:
+        found = self._pair.get((a, b))
+        if found is None:
             if len(self._pair) > 200_000:
                 self._pair.clear()
-            self._pair[a, b] = self.merge(list(a + b)) == [a, b]
-        return self._pair[a, b]
+            if not (self.whole(a) and self.whole(b)) or a in self._odd or b in self._odd:
+                found = self._pair[a, b] = self.merge(list(a + b)) == [a, b]
+                return found
+            rank, left, right, i, j = self.rank, self.spine(a, True), self.spine(b, False), 0, 0
+            while True:
+                (x, x_ends), (y, y_ends) = left[i], right[j]
+                joined = rank.get(x + y)
+                if joined is not None and joined < x_ends and joined <= y_ends:
+                    found = False
+                    break
+                if x_ends <= y_ends:
+                    i += 1
+                else:
+                    j += 1
+                if i == len(left) or j == len(right):
+                    found = True
+                    break
+            self._pair[a, b] = found
+        return found
 
 
 @functools.lru_cache(maxsize=2)

@@ -11,8 +11,9 @@ reached, kept for the worker's life in a hash table, and dropped when too many.
 
 Texts are cut into chunks. A chunk that holds a synchronising place, one that no piece
 spans, maps every entry state to the same exit state: its tail runs at once, all chunks
-in lockstep. Chunks without such a place run in sequence, each when the chunk before it
-is done; no state maps are composed. Last, the heads run from their entry states.
+in lockstep. A chunk without such a place has a map of the entry states it may meet, found
+for all such chunks side by side, and a prefix scan composes the maps (see scan()), its
+reach doubling in each step. Last, the heads run from their entry states.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Repeated rows count
 alike. Only the id and the text are looked at.
@@ -31,6 +32,9 @@ from burin.llm.common import blocks, text_buffers
 from burin.llm.pieces import SPACE, PieceModel, code_points, load, resolve
 
 CHUNK = 256
+#: Symbols before a chunk that its first entry state is guessed from, and rounds in which maps grow side by side,
+#: and chunks ahead that take in a state that was missing, at most.
+WARM, MOST_ROUNDS, MOST_AHEAD = 64, 32, 4096
 LIMIT = 4096
 #: Transitions kept by a worker (two arrays of 2 ** 22 slots, 50 MB); beyond this it starts afresh.
 MOST_TRANSITIONS = 1 << 20
@@ -179,6 +183,71 @@ class Transducer:
         back[order] = np.arange(lanes)
         return now[back], total[back]
 
+    def scan(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray, synced: np.ndarray, exit_state: np.ndarray, total: np.ndarray) -> None:
+        """Exit states and counts of the chunks without a synchronising place, from their state maps.
+
+        A chunk's map is a list of nodes, entry state to (exit state, count). It starts from the
+        known exit of a synchronised chunk before it, or from a guess made over the WARM symbols
+        before it; then every map takes in what the map before it may hand over, all chunks at
+        once, until nothing is missing or MOST_ROUNDS have passed. A prefix scan composes the
+        maps: pointers from node to node double their reach in each step, and mark the nodes
+        that the known states come to. Where a marked node's exit is not in the next map, it goes
+        into the maps of the chunks ahead, of twice as many each time: in text that repeats, what
+        one chunk meets the next ones meet too.
+        """
+        own = np.flatnonzero(~synced)
+        if not len(own):
+            return
+        led = synced[own - 1]
+        entry = exit_state[own - 1].astype(np.int64)
+        guess = own[~led]
+        entry[~led] = self.run(symbols, start[guess] - WARM, start[guess], np.zeros(len(guess), np.int32))[0]
+        following = np.append(~synced[1:], False)
+
+        def nodes(key: np.ndarray) -> tuple[np.ndarray, ...]:
+            chunk, state = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+            to, count = self.run(symbols, start[chunk], end[chunk], state)
+            return key, np.where(following[chunk], ((chunk + 1) << 32) | to, -1), to, count
+
+        def joined(a: tuple, b: tuple) -> tuple:
+            order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+            return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+        def missing(table: tuple, wanted: np.ndarray) -> np.ndarray:
+            wanted = np.unique(wanted[wanted >= 0])
+            at = np.minimum(np.searchsorted(table[0], wanted), len(table[0]) - 1)
+            return wanted[table[0][at] != wanted]
+
+        table = nodes((own << 32) | entry)
+        first = (own[led] << 32) | entry[led]
+        ends_at = np.append(np.flatnonzero(~following), len(start))
+        ahead = 1
+        while True:
+            for _ in range(MOST_ROUNDS):
+                new = missing(table, table[1])
+                if not len(new):
+                    break
+                table = joined(table, nodes(new))
+            n = len(table[0])
+            at = np.minimum(np.searchsorted(table[0], table[1]), n - 1)
+            jump = np.append(np.where(table[0][at] == table[1], at, n), n)
+            marked = np.zeros(n + 1, bool)
+            marked[np.searchsorted(table[0], first)] = True
+            for _ in range(int(n).bit_length()):
+                marked[jump[marked]] = True
+                jump = jump[jump]
+            reached = np.flatnonzero(marked[:n])
+            new = missing(table, table[1][reached])
+            if not len(new):
+                break
+            ahead = min(2 * ahead, MOST_AHEAD)
+            chunk = new >> 32
+            many = np.minimum(ahead, ends_at[np.searchsorted(ends_at, chunk)] - chunk + 1)
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            table = joined(table, nodes(missing(table, np.repeat(new, many) + (step << 32))))
+        chunk = table[0][reached] >> 32
+        exit_state[chunk], total[chunk] = table[2][reached], table[3][reached]
+
     def count(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text of a block; offsets in code points."""
         if self.transitions > MOST_TRANSITIONS:
@@ -212,13 +281,7 @@ class Transducer:
         cut = np.where(synced, sync, end)
         exit_state, total = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
         exit_state[synced], total[synced] = self.run(symbols, cut[synced], end[synced], np.zeros(int(synced.sum()), np.int32))
-        entry, known = np.zeros(len(start), np.int32), synced.copy()
-        while not known.all():
-            # Chunks without a synchronising place, next to one whose exit state is known.
-            ready = np.flatnonzero(~known & np.concatenate([[False], known[:-1]]))
-            entry[ready] = exit_state[ready - 1]
-            exit_state[ready], total[ready] = self.run(symbols, start[ready], end[ready], entry[ready])
-            known[ready] = True
+        self.scan(symbols, start, end, synced, exit_state, total)
         heads = np.flatnonzero(synced & (cut > start))
         total[heads] += self.run(symbols, start[heads], cut[heads], exit_state[heads - 1])[1]
         return np.bincount(text, weights=total, minlength=n).astype(np.int64)
