@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding by vectorised merge rounds.
 
-A text falls into words at places that no piece spans. The distinct new words of a
-block lie as one flat numpy array of symbols; each round looks up the rank of every
-adjacent pair, takes the minimum by word (segmented), merges the leftmost pair of that
-rank in all words at once, compacts the arrays, and retires words without a pair. A
-word's ids are kept, up to a bound, for the worker's next blocks. Words beyond
-LONG_WORD symbols, where rounds would be quadratic, merge by a priority queue in the
-same order.
+A text falls into words at spaces and line breaks. The distinct new words of a block lie as
+one flat numpy array of symbols, cut into segments wherever two characters meet that stand
+together in no piece. Each round takes the minimum pair rank by segment, merges the pairs of
+that rank in all segments at once, from the left and without overlap, compacts the arrays,
+and retires segments without a pair. Where a merge makes a new pair that ranks no later
+than the round's own, only the leftmost merge of that segment counts, so the order is that of
+one merge at a time (a long run of this kind, such as blanks, goes through a queue instead). A word's ids are kept, up to a bound, for the worker's next blocks.
 
 Defined results: null and empty texts encode to the begin and end ids alone and decode
 to an empty text. Repeated rows give the same digests. A begin id, an end id and a
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from burin.llm.common import blocks, text_buffers
 from burin.llm.pieces import SPACE, PieceModel, load, resolve
 
-LONG_WORD = 256
 #: Words whose ids a worker keeps before it starts afresh.
 MOST_WORDS = 250_000
+#: Merges that may wait for one before them, in runs of one character whose pieces rank out of order (blanks); beyond this the run is merged by a queue.
+QUEUED = 64
 _NEVER = np.int64(1) << np.int64(60)
 
 
@@ -46,6 +47,7 @@ class Encoder:
                     made.append(pid)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.ranks, self.made = (np.array(x, np.int64)[order] for x in (keys, ranks, made))
+        self.spans = np.array(sorted((ord(b[0]) << 21) | ord(b[1]) for b in model.bigrams), np.int64)
         self.single = {p: i for p, i in model.id.items() if len(p) == 1}
         apart = "" if any("\n" in b for b in model.bigrams) else "\n"
         self.words = re.compile(f" *[^ {apart}]+|{apart}+| +" if apart else " *[^ ]+| +")
@@ -74,33 +76,78 @@ class Encoder:
         size = self.model.size
         length = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if not len(points):
+            return points, length
         letters, inverse = np.unique(points, return_inverse=True)
-        symbol = np.array([self.single.get(chr(c), size + c) for c in letters.tolist()], np.int64)[inverse] if len(points) else points
+        symbol = np.array([self.single.get(chr(c), size + c) for c in letters.tolist()], np.int64)[inverse]
         word = np.repeat(np.arange(len(words)), length)
-        done_symbol, done_word = [], []
+        code = (points[:-1] << 21) | points[1:]
+        inside = (word[:-1] == word[1:]) & (self.spans[np.minimum(np.searchsorted(self.spans, code), len(self.spans) - 1)] == code)
+        segment = np.concatenate([[0], np.cumsum(~inside)])
+        place = np.arange(len(points))
+        rank, made = self.next_to(symbol, segment, place)
+        done_symbol, done_place = [], []
         while len(symbol):
-            inside = word[:-1] == word[1:]
-            rank, merged = self.ranked(symbol[:-1], symbol[1:])
-            rank = np.append(np.where(inside, rank, _NEVER), _NEVER)
-            first = np.flatnonzero(np.concatenate([[True], ~inside]))
+            first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
             sizes = np.diff(np.append(first, len(symbol)))
-            least = np.minimum.reduceat(rank, first)
-            live = np.repeat(least < _NEVER, sizes)
+            least = np.repeat(np.minimum.reduceat(rank, first), sizes)
+            live = least < _NEVER
             if not live.all():
                 done_symbol.append(symbol[~live])
-                done_word.append(word[~live])
-            at = np.flatnonzero((rank == np.repeat(least, sizes)) & live)
-            if not len(at):
-                break
-            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
-            symbol = symbol.copy()
-            symbol[at] = merged[at]
-            live[at + 1] = False
-            symbol, word = symbol[live], word[live]
-        symbols = np.concatenate(done_symbol) if done_symbol else np.zeros(0, np.int64)
-        owner = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        return symbols[order], np.bincount(owner, minlength=len(words))
+                done_place.append(place[~live])
+                symbol, segment, place, rank, made, least = (x[live] for x in (symbol, segment, place, rank, made, least))
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(rank == least)
+            run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            at, early = self.apart(at, symbol, segment, rank, made)
+            if len(early):
+                queued = np.isin(segment, early)
+                for own in early.tolist():
+                    mine = np.flatnonzero(segment == own)
+                    text = [self.model.text.get(x) or chr(x - size) for x in symbol[mine].tolist()]
+                    merged = [self.model.id.get(p, size + ord(p[0])) for p in self.model.merge(text)]
+                    done_symbol.append(np.array(merged, np.int64))
+                    done_place.append(place[mine[: len(merged)]])
+                gone = np.cumsum(queued)
+                at = at[~queued[at]]
+                at = at - gone[at]
+                symbol, segment, place, rank, made = (x[~queued] for x in (symbol, segment, place, rank, made))
+                if not len(symbol):
+                    break
+            symbol[at] = made[at]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))
+            symbol, segment, place, rank, made = (x[keep] for x in (symbol, segment, place, rank, made))
+            near = np.unique(np.concatenate([moved, np.maximum(moved - 1, 0)]))
+            rank[near], made[near] = self.next_to(symbol, segment, near)
+        order = np.argsort(np.concatenate(done_place), kind="stable")
+        return np.concatenate(done_symbol)[order], np.bincount(word[np.concatenate(done_place)], minlength=len(words))
+
+    def next_to(self, symbol: np.ndarray, segment: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank or _NEVER, merged id) of the symbols at these places and the ones after them."""
+        after = np.minimum(at + 1, len(symbol) - 1)
+        rank, made = self.ranked(symbol[at], symbol[after])
+        return np.where((after > at) & (segment[at] == segment[after]), rank, _NEVER), made
+
+    def apart(self, at: np.ndarray, symbol: np.ndarray, segment: np.ndarray, rank: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places of a round's merges those that stand, whichever is merged first: all of a segment's, or its first.
+
+        Second, the segments of which more than QUEUED merges would wait for their first.
+        """
+        own, n = segment[at], len(symbol)
+        if (own[1:] != own[:-1]).all():
+            return at, own[:0]
+        before, after = np.maximum(at - 1, 0), np.minimum(at + 2, n - 1)
+        left = np.where(np.concatenate([[False], at[1:] == at[:-1] + 2]), np.concatenate([[0], made[at[:-1]]]), symbol[before])
+        to_left = np.where((at > 0) & (segment[before] == own), self.ranked(left, made[at])[0], _NEVER)
+        to_right = np.where((at + 2 < n) & (segment[after] == own), self.ranked(made[at], symbol[after])[0], _NEVER)
+        bad = np.isin(own, own[np.minimum(to_left, to_right) <= rank[at]])
+        first = np.concatenate([[True], own[1:] != own[:-1]])
+        early, waits = np.unique(own[bad], return_counts=True)
+        return at[first | ~bad], early[waits > QUEUED]
 
     def expanded(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols outside the vocabulary as byte ids."""
@@ -119,17 +166,9 @@ class Encoder:
 
     def learn(self, names: list[str]) -> None:
         """Encode new words, spaces standing for U+2581, and file their ids."""
-        short = [w for w in names if len(w) <= LONG_WORD]
-        long = [w for w in names if len(w) > LONG_WORD]
-        symbols, sizes = self.rounds([w.replace(" ", SPACE) for w in short])
-        if long:
-            n = self.model.size
-            merged = [[self.model.id.get(p, n + ord(p[0])) for p in self.model.merge(list(w.replace(" ", SPACE)))] for w in long]
-            symbols = np.concatenate([symbols, *(np.array(m, np.int64) for m in merged)])
-            sizes = np.concatenate([sizes, [len(m) for m in merged]])
-        symbols, sizes = self.expanded(symbols, sizes)
+        symbols, sizes = self.expanded(*self.rounds([w.replace(" ", SPACE) for w in names]))
         base = len(self.known)
-        self.known.update(zip(short + long, range(base, base + len(names)), strict=True))
+        self.known.update(zip(names, range(base, base + len(names)), strict=True))
         self.ids.append(symbols)
         self.sizes.append(sizes)
 
@@ -222,7 +261,7 @@ def encode_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", mod
 
 
 def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
-    """docs with the column ids (array<int>) appended, every column kept."""
+    """docs with the column ids (array<int>) appended, every column kept but an older one of that name."""
     names = [c for c in docs.columns if c != "ids"]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "ids")
 
