@@ -1,21 +1,20 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors become integers, floor(1024 * x). Queries are cut into blocks of bounded
-size; a block's cover tree is sent to every task, which builds cover trees over
-bounded runs of its own rows and walks both trees together: a pair of nodes goes
-when even its best inner product, from the two centres and covering radii, stays
-below the worst k-th score among the queries under the query node. What is left of
-each run is the k best of every query; these meet in one ranking by query.
-
-A query set too large for one block means more passes over the rows, one a block:
-nothing is sent that grows with the table.
+Vectors become integers, floor(1024 * x). Queries are dealt into groups, rows into parts,
+and every pair of a group and a part is a cell: one set of rows of a single shuffle, queries
+before candidates. A task builds the cover tree of a cell's queries, then cover trees over
+bounded runs of its candidates as they come, and walks both trees together: a pair of nodes
+goes when even its best inner product, from the two centres and covering radii, stays below
+the worst k-th score among the queries under the query node. What is left of a cell is the k
+best of every query; these meet in one ranking by query. The driver sees two counts; the plan
+is the same at every size, and a task holds CELL_QUERIES queries and one run.
 
 Defined results: rows with a null id, a null vector, or a null, NaN or infinite
 component take no part, nor do empty vectors; vectors of different lengths have no
-score together. Ties go to the smaller vec_id. Candidate rows with the query's
-vec_id count as the query's own; a vec_id that repeats among the queries is asked
-once, with its smallest vector, and repeated candidate rows each keep their place.
-An integer score beyond 63 bits raises an ArithmeticError rather than wrapping.
+score together. Ties go to the smaller vec_id. Every row that is a query is asked, every
+row but itself is its candidate, so rows that repeat an id each have their ranks and each
+keep their place. An integer score beyond 53 bits raises an ArithmeticError rather than
+being rounded.
 """
 
 from __future__ import annotations
@@ -28,16 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows under one tree of candidates, queries in one block, rows of a leaf, children of a node.
-RUN, QUERY_BLOCK, LEAF, FANOUT = 8192, 1024, 48, 48
+from burin.llm.common import persisted
+
+#: Rows under one tree of candidates, rows of a leaf, children of a node.
+RUN, LEAF, FANOUT = 8192, 48, 48
+#: Queries and candidates of a cell, about.
+CELL_QUERIES, CELL_ROWS = 8192, 64 * RUN
+#: Partitions of the cells; more cells than that share them.
+MOST_PARTITIONS = 100_000
 
 
 @dataclass
 class CoverTree:
-    """points in tree order; node i covers points[start[i]:end[i]], all within radius[i] of centre[i]."""
+    """points in tree order, place[i] the row that the i-th was; node i covers points[start[i]:end[i]], all within radius[i] of centre[i], which is one of them."""
 
     points: np.ndarray
-    ids: np.ndarray
+    place: np.ndarray
     centre: np.ndarray
     radius: np.ndarray
     norm: np.ndarray
@@ -47,63 +52,58 @@ class CoverTree:
     children: np.ndarray
 
 
-def build(points: np.ndarray, ids: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT) -> CoverTree:
+def build(points: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT) -> CoverTree:
     """A cover tree in float64 of integer points.
 
-    A node's children are a net of its points: each new centre lies further than half
-    the node's radius from the centres before it. After `fanout` centres the rest join
-    their nearest one; radii are measured, so bounds hold for any assignment.
+    Nesting: a node's centre is the centre of its first child. Separation: its children's
+    centres lie further than half its radius from each other. Covering: every point is under
+    the child whose centre is nearest, within half the radius, or, once there are `fanout`
+    children, within that child's radius, which is measured. A node of at most `leaf` points,
+    or of equal ones, is a leaf. The root's centre is the point nearest the mean.
     """
     order = np.arange(len(points))
     rows: list[tuple[int, float, int, int, int, int]] = []
-    centres: list[np.ndarray] = []
-    queue = [(0, len(points))]
+    centres: list[int] = []
+    queue = [(0, len(points), int(((points - points.mean(0)) ** 2).sum(1).argmin()))]
     at = 0
     while at < len(queue):
-        a, b = queue[at]
+        a, b, centre = queue[at]
         at += 1
         own = order[a:b]
         x = points[own]
-        centre = np.rint(x.mean(0)) if b - a > 1 else x[0]
-        away = np.sqrt(((x - centre) ** 2).sum(1))
-        radius = float(away.max())
+        dist, owner = ((x - points[centre]) ** 2).sum(1), np.zeros(b - a, np.int64)
+        radius = float(np.sqrt(dist.max()))
         first = n = 0
         if b - a > leaf and radius > 0:
-            dist, owner = np.full(b - a, np.inf), np.zeros(b - a, np.int64)
-            pick = int(away.argmax())
-            for n in range(1, fanout + 1):
-                d = ((x - x[pick]) ** 2).sum(1)
-                closer = d < dist
-                dist[closer], owner[closer] = d[closer], n - 1
+            chosen = [centre]
+            while len(chosen) < fanout:
                 pick = int(dist.argmax())
                 if dist[pick] <= radius * radius / 4:
                     break
+                d = ((x - x[pick]) ** 2).sum(1)
+                closer = d < dist
+                dist[closer], owner[closer] = d[closer], len(chosen)
+                chosen.append(int(own[pick]))
             order[a:b] = own[np.argsort(owner, kind="stable")]
-            sizes = np.bincount(owner, minlength=n)
-            sizes = sizes[sizes > 0]
-            if len(sizes) > 1:
-                first, n = len(queue), len(sizes)
-                ends = a + np.cumsum(sizes)
-                queue += zip((ends - sizes).tolist(), ends.tolist(), strict=True)
-            else:
-                n = 0
+            first, n = len(queue), len(chosen)
+            ends = a + np.cumsum(np.bincount(owner, minlength=n))
+            queue += zip([a, *ends[:-1].tolist()], ends.tolist(), chosen, strict=True)
         centres.append(centre)
         rows.append((a, radius, a, b, first, n))
     _, radius, start, end, child, children = (np.array(c) for c in zip(*rows, strict=True))
-    centre = np.array(centres)
-    return CoverTree(points[order], ids[order], centre, radius, np.sqrt((centre**2).sum(1)), start, end, child, children)
+    centre = points[centres]
+    return CoverTree(points[order], order, centre, radius, np.sqrt((centre**2).sum(1)), start, end, child, children)
 
 
 class Best:
     """The k best candidates so far of each query of a tree, in tree order."""
 
-    def __init__(self, tree: CoverTree, k: int):
+    def __init__(self, n: int, k: int):
         self.k = k
-        self.score = np.full((len(tree.ids), k), -np.inf)
-        self.id = np.full((len(tree.ids), k), np.iinfo(np.int64).max)
+        self.score = np.full((n, k), -np.inf)
+        self.id = np.full((n, k), np.iinfo(np.int64).max)
 
-    def offer(self, a: int, b: int, own: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
+    def offer(self, a: int, b: int, scores: np.ndarray, ids: np.ndarray) -> None:
         some = (scores >= self.score[a:b, -1:]).any(0)
         if not some.any():
             return
@@ -113,6 +113,20 @@ class Best:
         self.score[a:b], self.id[a:b] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
 
 
+@dataclass
+class Rows:
+    """A tree with the id and the row number of each of its points."""
+
+    tree: CoverTree
+    ids: np.ndarray
+    numbers: np.ndarray
+
+    @staticmethod
+    def of(ids: np.ndarray, numbers: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Rows:
+        tree = build(points, leaf)
+        return Rows(tree, ids[tree.place], numbers[tree.place])
+
+
 def _bound(q: CoverTree, node: int, d: CoverTree, nodes: np.ndarray) -> np.ndarray:
     """No pair under (node, nodes) has a larger inner product."""
     r = q.radius[node]
@@ -128,8 +142,9 @@ def _below(tree: CoverTree, nodes: np.ndarray) -> np.ndarray:
     return np.concatenate([nodes[tree.children[nodes] == 0], np.repeat(tree.child[inner], n) + step])
 
 
-def search(q: CoverTree, d: CoverTree, best: Best) -> None:
-    """Fold the candidates of d into best, query by query group."""
+def search(queries: Rows, rows: Rows, best: Best) -> None:
+    """Fold the candidates among rows into best, query group by query group; no row is its own candidate."""
+    q, d = queries.tree, rows.tree
     stack = [(0, np.zeros(1, np.int64))]
     while stack:
         node, front = stack.pop()
@@ -151,15 +166,15 @@ def search(q: CoverTree, d: CoverTree, best: Best) -> None:
             now, front = front[order[:16]], front[order[16:]]
             leaf = d.children[now] == 0
             if leaf.any():
-                rows = np.concatenate([np.arange(d.start[i], d.end[i]) for i in now[leaf]])
-                best.offer(a, b, q.ids[a:b], q.points[a:b] @ d.points[rows].T, d.ids[rows])
+                under = np.concatenate([np.arange(d.start[i], d.end[i]) for i in now[leaf]])
+                scores = q.points[a:b] @ d.points[under].T
+                scores[queries.numbers[a:b, None] == rows.numbers[under]] = -np.inf
+                best.offer(a, b, scores, rows.ids[under])
             front = np.concatenate([_below(d, now[~leaf]), front])
 
 
-def integers(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, floor(1024 * x) as float64) of the usable rows, one pair for each length of vector."""
-    if isinstance(vectors, pa.ChunkedArray):
-        ids, vectors = ids.combine_chunks(), vectors.combine_chunks()
+def integers(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, floor(1024 * x) as float64) of the usable vectors, one pair for each length."""
     if not len(vectors):
         return
     flat = vectors.values
@@ -167,75 +182,104 @@ def integers(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.
     x = np.floor(1024.0 * flat.to_numpy(zero_copy_only=False).astype(np.float64))
     bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
     length = np.diff(at)
-    good = (bad[at[1:]] == bad[at[:-1]]) & (length > 0) & np.array(vectors.is_valid()) & np.array(ids.is_valid())
-    keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    good = (bad[at[1:]] == bad[at[:-1]]) & (length > 0) & np.array(vectors.is_valid())
     for n in np.unique(length[good]):
         rows = np.flatnonzero(good & (length == n))
         out = x[at[rows][:, None] + np.arange(n)]
         if len(out) and float(np.abs(out).max()) ** 2 * n >= 2.0**53:
             raise ArithmeticError("inner products of these vectors do not fit in 53 bits")
-        yield keys[rows], out
+        yield rows, out
 
 
-def top_k(rows: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, run: int = RUN) -> DataFrame:
+def top_k(rows: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", cell_queries: int = CELL_QUERIES, cell_rows: int = CELL_ROWS, run: int = RUN) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each query, a row whose key is divisible by `every`."""
-    spark = rows.sparkSession
-    slim = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-    asked = slim.where(F.col("vec_id") % every == 0)
-    n_blocks = max(1, -(-asked.count() // query_block))
-    found = None
-    for block in range(n_blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toArrow()
-        trees = []
-        for ids, x in integers(mine.column(0), mine.column(1)):
-            order = np.lexsort((*x.T[::-1], ids))
-            ids, x = ids[order], x[order]
-            once = np.concatenate([[True], ids[1:] != ids[:-1]])
-            trees.append(build(x[once], ids[once], leaf=16))
-        part = slim.mapInArrow(_search_runs(spark.sparkContext.broadcast(trees), k, run), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionAll(part)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    slim = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    # Written once, so that a row's number is the same wherever it is read.
+    held = persisted(slim.withColumn("number", F.monotonically_increasing_id()))
+    asked = held.where(F.col("vec_id") % every == 0)
+    groups = max(1, -(-asked.count() // cell_queries))
+    parts = max(-(-held.count() // cell_rows), -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups))
+    dealt = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "number"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = asked.select(dealt(1, groups).alias("g"), each(parts).alias("p"), F.lit(0).alias("side"), "number", "vec_id", "v")
+    candidates = held.select(each(groups).alias("g"), dealt(2, parts).alias("p"), F.lit(1).alias("side"), "number", "vec_id", "v")
+    cells = queries.unionAll(candidates).repartition(min(groups * parts, MOST_PARTITIONS), "g", "p").sortWithinPartitions("g", "p", "side")
+    found = cells.mapInArrow(_search_cells(k, run), "number long, query_id long, vec_id long, score long")
+    by = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search_runs(sent, k: int, run: int):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = {t.points.shape[1]: t for t in sent.value}
-        best = {n: Best(t, k) for n, t in trees.items()}
-        held: dict[int, list] = {}
+class _Cell:
+    """One cell's queries and their best, by length of vector; candidates are searched a run at a time."""
+
+    def __init__(self, k: int, run: int):
+        self.k, self.run = k, run
+        self.asked: dict[int, list] = {}
+        self.held: dict[int, list] = {}
+        self.queries: dict[int, tuple[Rows, Best]] | None = None
 
-        def flush(n: int) -> None:
-            ids, x = (np.concatenate(c) for c in zip(*held.pop(n), strict=True))
-            for i in range(0, len(ids), run):
-                search(trees[n], build(x[i : i + run], ids[i : i + run]), best[n])
+    def take(self, side: int, ids: np.ndarray, numbers: np.ndarray, vectors: pa.Array) -> None:
+        if side and self.queries is None:
+            self.queries = {n: (own := self.joined(x, 16), Best(len(own.ids), self.k)) for n, x in self.asked.items()}
+        for rows, x in integers(vectors):
+            n = x.shape[1]
+            if not side:
+                self.asked.setdefault(n, []).append((ids[rows], numbers[rows], x))
+            elif n in self.queries:
+                self.held.setdefault(n, []).append((ids[rows], numbers[rows], x))
+                if sum(len(c[0]) for c in self.held[n]) >= self.run:
+                    self.flush(n)
 
+    @staticmethod
+    def joined(parts: list, leaf: int = LEAF) -> Rows:
+        return Rows.of(*(np.concatenate(c) for c in zip(*parts, strict=True)), leaf=leaf)
+
+    def flush(self, n: int) -> None:
+        search(self.queries[n][0], self.joined(self.held.pop(n)), self.queries[n][1])
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        for n in list(self.held):
+            self.flush(n)
+        for own, best in (self.queries or {}).values():
+            q, j = np.nonzero(best.score > -np.inf)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (own.numbers[q], own.ids[q], best.id[q, j], best.score[q, j].astype(np.int64))], ["number", "query_id", "vec_id", "score"])
+
+
+def _search_cells(k: int, run: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, at = None, None
         for batch in batches:
-            for ids, x in integers(batch.column(0), batch.column(1)):
-                if (n := x.shape[1]) in trees:
-                    held.setdefault(n, []).append((ids, x))
-                    if sum(len(c[0]) for c in held[n]) >= run:
-                        flush(n)
-        for n in list(held):
-            flush(n)
-        for n, t in trees.items():
-            q, j = np.nonzero(best[n].score > -np.inf)
-            yield pa.record_batch([pa.array(t.ids[q], pa.int64()), pa.array(best[n].id[q, j], pa.int64()), pa.array(best[n].score[q, j].astype(np.int64))], ["query_id", "vec_id", "score"])
+            g, p, side, numbers, ids = (batch.column(i).to_numpy() for i in range(5))
+            code = (g.astype(np.int64) << 32) + p * 2 + side
+            cuts = np.flatnonzero(np.diff(code)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(code)], strict=True):
+                if a == b:
+                    continue
+                if code[a] >> 1 != at:
+                    if cell:
+                        yield from cell.results()
+                    cell, at = _Cell(k, run), code[a] >> 1
+                for i in range(a, b, run):
+                    j = min(b, i + run)
+                    cell.take(int(side[a]), ids[i:j], numbers[i:j], batch.column(5).slice(i, j - i))
+        if cell:
+            yield from cell.results()
 
     return apply
 
 
 SQL = """
 WITH ok AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.n AS n, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM ok q JOIN ok c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+  FROM ok q JOIN ok c ON c.n <> q.n AND len(c.v) = len(q.v)
   WHERE q.vec_id % 100 = 0),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
