@@ -2,18 +2,22 @@
 
 A document is the set of its five-word shingles. Documents with equal sets are one
 representative with a number of copies. Representatives that agree on a whole band of
-their MinHash signature are linked, bands over all documents by a distributed
-aggregation; the components of these links hold every pair that shares a band. With
-BANDS bands of BAND_ROWS values a pair at the threshold misses all bands with
-probability (1 - 0.8 ** 4) ** 32 = 5e-8, and less above it.
-
-Within a component all pairs are compared, in blocks: first MinHash values, CHUNK at a
-time; a pair is dropped as soon as the posterior probability that its similarity
-reaches the threshold (uniform prior, binomial matches) is under TOLERANCE. What is
-left is verified exactly on the shingles, by products of incidence matrices. A large
-component is cut into blocks by a hash and each pair of blocks is one group of rows, so
-no group grows with the component; a block pair gives each representative one row with
-its number of links and one link of a spanning forest, never the pairs.
+their MinHash signature are candidates, bands over all documents by a distributed
+aggregation; bands with the same members are looked at once. With BANDS bands of BAND_ROWS
+values a pair at the threshold misses all bands with probability (1 - 0.8 ** 4) ** 32 =
+5e-8, and less above it.
+
+Pairs of candidates are compared by their MinHash values (the low byte of each, which can
+only add matches), CHUNK at a time; a pair is dropped as soon as the posterior probability
+that its similarity reaches the threshold (uniform prior, binomial matches) is under
+TOLERANCE. The pairs left over, each band giving a spanning forest of them, make components:
+so documents that only share a band, or a passage, are not drawn together. Within such a
+component pairs are compared again by whole MinHash values in the same way, and what is left
+is verified exactly on the shingles, by products of incidence matrices.
+
+A band or component of many representatives is cut into blocks by a hash and each pair of
+blocks is one group of rows, so no group grows with it; a block pair gives each
+representative at most one row, never the pairs.
 
 Result: one row for each document with its representative, its number of links (other
 documents at or above the threshold, copies among them) and its class, the component of
@@ -46,6 +50,8 @@ VALUES = BANDS * BAND_ROWS
 CHUNK, TOLERANCE = 16, 1e-7
 #: Representatives of a block, and bytes of shingles of a block.
 BLOCK_ROWS, BLOCK_SHINGLE_BYTES = 768, 16 << 20
+#: Representatives of a block of a band, which have their low bytes of MinHash values alone.
+BAND_BLOCK_ROWS = 2048
 #: Members of components that are sent to workers as a table (16 bytes each); more are joined by a shuffle.
 SENT_MEMBERS = 500_000
 
@@ -121,10 +127,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(rows):
                 continue
             one, two = _fingerprints(value, at)
-            keys = band_keys(signatures(value, at))
+            sig = signatures(value, at)
+            keys = band_keys(sig)
+            low = pa.array([row.tobytes() for row in sig.astype(np.uint8)], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * BANDS).astype(np.int32)), pa.array(keys.ravel()))
             size = pa.array(np.diff(at).astype(np.int64))
-            yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(one), pa.array(two), size, lists], ["doc_id", "f1", "f2", "size", "bands"])
+            yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(one), pa.array(two), size, lists, low], ["doc_id", "f1", "f2", "size", "bands", "low"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,30 +231,53 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Lists of the rows that agree on their first three columns; rows come sorted by these."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key and held:
+                yield held
+                held = []
+            key = row[:3]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, x, y, part, rep, low) sorted by group (band, x, y), which holds blocks x and y of a band.
+
+    Out: a, b, a spanning forest of the pairs that pruning leaves.
+    """
+    a, b = [], []
+    for rows in _grouped(batches):
+        _, x, y, *_ = rows[0]
+        part, rep = np.array([r[3] for r in rows]), np.array([r[4] for r in rows], np.int64)
+        low = np.stack([np.frombuffer(r[5], np.uint8) for r in rows])
+        left, right = (np.flatnonzero(part == x), np.flatnonzero(part == y)) if x != y else (np.arange(len(rows)),) * 2
+        i, j = surviving(low[left], low[right], x == y)
+        root = _forest(len(rows), left[i], right[j])
+        moved = np.flatnonzero(root != np.arange(len(rows)))
+        a += rep[root[moved]].tolist()
+        b += rep[moved].tolist()
+        if len(a) > 20_000:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (comp, x, y, part, parts, rep, copies, body) sorted by group (comp, x, y), which holds blocks x and y of a component.
 
     Out: rep, root, links, whole (the group is the whole component).
     """
 
-    def groups() -> Iterator[list]:
-        key, held = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                if row[:3] != key and held:
-                    yield held
-                    held = []
-                key = row[:3]
-                held.append(row)
-        if held:
-            yield held
-
     def made(out: list[list]) -> pa.RecordBatch:
         return pa.record_batch([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.bool_())], ["rep", "root", "links", "whole"])
 
     out: list[list] = [[], [], [], []]
-    for rows in groups():
-        rows = list({r[5]: r for r in rows}.values())
+    for rows in _grouped(batches):
         rows.sort(key=lambda r: r[5])
         _, x, y, _, parts, *_ = rows[0]
         part = np.array([r[3] for r in rows])
@@ -268,28 +299,45 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made(out)
 
 
+def _block_pairs(df: DataFrame, group: str) -> DataFrame:
+    """Every row once for each pair of blocks x <= y of its group that its own block, of `parts`, is one of; sorted for _grouped()."""
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    paired = df.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = [c for c in df.columns if c != group]
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return paired.select(group, F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", *rest).repartition(width, group, "x", "y").sortWithinPartitions(group, "x", "y")
+
+
+def _candidates(reps: DataFrame) -> DataFrame:
+    """a, b: for each band a spanning forest of its members' pairs that pruning leaves."""
+    banded = reps.select("rep", F.explode("bands").alias("band"))
+    one, two = F.xxhash64("rep"), F.xxhash64(F.lit(5), "rep")
+    fold = F.lit((1 << 31) - 1)
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.pmod(one, fold)).alias("s1"), F.sum(F.pmod(two, fold)).alias("s2")).where("n > 1")
+    once = shared.groupBy("n", "s1", "s2").agg(F.min("band").alias("band"))
+    parts = F.ceil(F.col("n") / BAND_BLOCK_ROWS).cast("int").alias("parts")
+    members = banded.join(once.select("band", parts), "band").join(reps.select("rep", "low"), "rep").select("band", "rep", "low", "parts")
+    return _block_pairs(members, "band").select("band", "x", "y", "part", "rep", "low").mapInArrow(_likely, "a long, b long")
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, class_id, rep_id, n_links of every row of docs."""
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = slim.where(F.col("doc_id").isNotNull())
-    digests = persisted(known.where(F.length("text") > 0).mapInArrow(_digest, "doc_id long, f1 long, f2 long, size long, bands array<long>"))
+    digests = persisted(known.where(F.length("text") > 0).mapInArrow(_digest, "doc_id long, f1 long, f2 long, size long, bands array<long>, low binary"))
     # One row for each id: rows that repeat it agree, or the smallest set hash stands for it.
-    own = digests.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "size", "bands")).alias("d")).select("doc_id", "d.*")
-    reps = persisted(own.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("bands").alias("bands")))
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    firsts = banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    met = components(banded.join(firsts, "band").select("a", F.col("rep").alias("b")))
+    own = digests.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "size", "bands", "low")).alias("d"), F.count("*").alias("rows")).select("doc_id", "d.*", "rows")
+    reps = persisted(own.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("low").alias("low"), F.max("rows").alias("rows")))
+    met = components(_candidates(reps))
     members = met.join(reps.select("rep", "copies", "size", "f1"), met["node"] == F.col("rep")).select("rep", F.col("label").alias("comp"), "copies", "size", "f1")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("size") * 8) / BLOCK_SHINGLE_BYTES)).cast("int")
     members = persisted(members.join(members.groupBy("comp").agg(parts.alias("parts")), "comp").select("comp", "rep", "copies", "parts", "f1"))
     few = members.count() <= SENT_MEMBERS
     texts = known.join(F.broadcast(members) if few else members, F.col("rep") == F.col("doc_id")).select("comp", "rep", "copies", "parts", "f1", "text")
     sets = texts.mapInArrow(_sets, "comp long, rep long, copies long, parts int, body binary")
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    paired = sets.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    paired = paired.select("comp", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "parts", "rep", "copies", "body")
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = paired.repartition(width, "comp", "x", "y").sortWithinPartitions("comp", "x", "y")
+    if reps.where("rows > 1").limit(1).count():
+        sets = sets.dropDuplicates(["rep"])  # a repeated row brings its text again
+    grouped = _block_pairs(sets.select("comp", "rep", "copies", "parts", "body"), "comp").select("comp", "x", "y", "part", "parts", "rep", "copies", "body")
     found = persisted(grouped.mapInArrow(_compare, "rep long, root long, links long, whole boolean"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = found.where("whole").select("rep", F.col("root").alias("label")).unionAll(components(found.where("NOT whole").select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "label"))

@@ -24,12 +24,20 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
 
 
-@pytest.mark.parametrize(("block", "run"), [(1024, 8192), (3, 100)])
-def test_top_k_equals_sql(vectors, views, block, run):
-    got = cover_tree.top_k(vectors, query_block=block, run=run)
+@pytest.mark.parametrize(("queries", "rows", "run"), [(8192, 100_000, 8192), (3, 300, 100)])
+def test_top_k_equals_sql(vectors, views, queries, rows, run):
+    got = cover_tree.top_k(vectors, cell_queries=queries, cell_rows=rows, run=run)
     assert rows_of(got) == sql_rows(views(embeddings=vectors), cover_tree.SQL, got.columns)
 
 
+def test_rows_that_repeat_a_query_are_each_asked(vectors, views):
+    twice = vectors.unionByName(vectors.where("vec_id IN (100, 200, 205)"))
+    got = cover_tree.top_k(twice, cell_rows=300)
+    assert rows_of(got) == sql_rows(views(embeddings=twice), cover_tree.SQL, got.columns)
+    first = [r["vec_id"] for r in got.where("query_id = 100 AND rank = 1").collect()]
+    assert first == [100, 100], "a row's twin is its candidate"
+
+
 def test_top_k_of_nothing(vectors):
     assert cover_tree.top_k(vectors.limit(0)).count() == 0
 
@@ -38,10 +46,18 @@ def test_top_k_of_nothing(vectors):
 @given(st.integers(1, 300), st.integers(1, 4), st.integers(0, 1000))
 def test_cover_tree_invariants(n, d, seed):
     points = np.floor(np.random.default_rng(seed).standard_normal((n, d)) * 8)
-    tree = cover_tree.build(points, np.arange(n), leaf=4, fanout=5)
-    assert sorted(tree.ids.tolist()) == list(range(n)) and (points[tree.ids] == tree.points).all()
-    for a, b, c, r in zip(tree.start, tree.end, tree.centre, tree.radius, strict=True):
+    tree = cover_tree.build(points, leaf=4, fanout=50)
+    assert sorted(tree.place.tolist()) == list(range(n)) and (points[tree.place] == tree.points).all()
+    for a, b, c, r, first, k in zip(tree.start, tree.end, tree.centre, tree.radius, tree.child, tree.children, strict=True):
         assert (np.sqrt(((tree.points[a:b] - c) ** 2).sum(1)) <= r + 1e-9).all()
+        assert (tree.points[a:b] == c).all(1).any(), "a centre is a point of its own node"
+        if k:
+            below = tree.centre[first : first + k]
+            apart = np.sqrt(((below[:, None] - below[None]) ** 2).sum(2)) + np.eye(k) * 1e9
+            assert (below[0] == c).all(), "nesting"
+            assert apart.min() > r / 2 - 1e-9, "separation"
+            assert k == 50 or (tree.radius[first : first + k] <= r / 2 + 1e-9).all(), "covering"
+            assert (tree.start[first], tree.end[first + k - 1]) == (a, b)
 
 
 def test_join_equals_sql(spark, views):
@@ -66,6 +82,24 @@ def test_join_of_awkward_rows(docs, no_docs):
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(jaccard_join, "BAND_BLOCK_ROWS", 50)
+
+
+def test_recall_of_pairs_just_over_the_threshold(spark):
+    """Planted pairs of similarity 0.8 to 0.86, a common passage in all of them: every pair is found, nothing else."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for k in range(300):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        other = own + [f"n{rng.randrange(10**9)}" for _ in range(rng.randint(15, 34))]
+        rows += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join(common + other))]
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    real = {k for k in range(300) if len(shingles(rows[2 * k][1]) & shingles(rows[2 * k + 1][1])) >= 0.8 * len(shingles(rows[2 * k][1]) | shingles(rows[2 * k + 1][1]))}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(real) > 250
+    for k in range(300):
+        assert (got[2 * k + 1], got[2 * k]) == (((2 * k, 1), (2 * k, 1)) if k in real else ((2 * k + 1, 0), (2 * k, 0)))
 
 
 def test_large_component_in_blocks_loses_no_link(spark, small_blocks, views):
