@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from burin.functions.text import let
+from burin.functions.text import js_trim, let
 
 
 def js_round(x: Column) -> Column:
@@ -13,16 +13,19 @@ def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def number_base(text: Column) -> Column:
-    """Three lines of a decimal, 0x or 0b integer (a sign only before a decimal); null where it is none."""
-    t = F.lower(F.trim(text))
-    value = (
+def integer_of(text: Column) -> Column:
+    """A decimal, 0x or 0b integer (a sign only before a decimal) with white space around it; null where it is none."""
+    return let(F.lower(js_trim(text)), lambda t: (
         F.when(t.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("long"))
         .when(t.rlike("^0b[01]+$"), F.conv(F.substring(t, 3, 64), 2, 10).try_cast("long"))
         .when(t.rlike("^-?[0-9]+$"), t.try_cast("long"))
-    )
+    ))
+
+
+def number_base(text: Column) -> Column:
+    """Three lines of an integer_of(); null where it is none."""
     sign = lambda v: F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    return let(value, lambda v: F.concat(F.lit("decimal: "), v.cast("string"), F.lit("\nhex: "), sign(v), F.lit("0x"), F.lower(F.hex(F.abs(v))), F.lit("\nbinary: "), sign(v), F.lit("0b"), F.bin(F.abs(v))))
+    return let(integer_of(text), lambda v: F.concat(F.lit("decimal: "), v.cast("string"), F.lit("\nhex: "), sign(v), F.lit("0x"), F.lower(F.hex(F.abs(v))), F.lit("\nbinary: "), sign(v), F.lit("0b"), F.bin(F.abs(v))))
 
 
 # Numerals of units, tens, hundreds and thousands.
@@ -42,7 +45,7 @@ def to_roman(n: Column) -> Column:
 
 def from_roman(x: Column) -> Column:
     """Subtractive sum without a check of the order; null for other characters or nothing."""
-    t = F.upper(F.trim(x))
+    t = F.upper(js_trim(x))
     value = F.create_map(*[F.lit(v) for v in ("I", 1, "V", 5, "X", 10, "L", 50, "C", 100, "D", 500, "M", 1000)])
     numbers = F.transform(F.split(t, ""), lambda c: F.coalesce(value[c], F.lit(0)))
     total = F.aggregate(
@@ -55,8 +58,9 @@ def from_roman(x: Column) -> Column:
 
 def rgb_of(text: Column) -> Column:
     """struct(r, g, b) of #rgb, #rrggbb, rgb() or hsl(); null where the text is none."""
-    t = F.lower(F.trim(text))
+    t = F.lower(js_trim(text))
     part = lambda pattern, k: F.regexp_extract(t, pattern, k)
+    # The forms of a colour.
     hex6, hex3 = "^#([0-9a-f]{2})([0-9a-f]{2})([0-9a-f]{2})$", "^#([0-9a-f])([0-9a-f])([0-9a-f])$"
     rgb = r"^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$"
     hsl = r"^hsl\(\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)%\s*,\s*(\d+(?:\.\d+)?)%\s*\)$"
@@ -128,10 +132,43 @@ def clamp_crop(width: Column, height: Column, x: Column, y: Column, w: Column, h
     return F.struct(cx.cast("int").alias("x"), cy.cast("int").alias("y"), cw.cast("int").alias("w"), ch.cast("int").alias("h"))
 
 
+# The ISO forms of a date and of a time of day that may follow it.
+_ISO_DATE, _ISO_TIME = r"\d{4}(?:-\d{2}(?:-\d{2})?)?", r"\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
+#: Milliseconds on either side of 1970 that a date can have.
+_MOST_MS = 8_640_000_000_000_000
+
+
+def date_of(text: Column) -> Column:
+    """Epoch milliseconds of a date as typed: a whole number of them, or an ISO date; null where it is neither.
+
+    White space around it is left out; a date without a zone is in UTC.
+    """
+    def parsed(t: Column) -> Column:
+        day = F.regexp_extract(t, f"^({_ISO_DATE})", 1)
+        time, zone = F.regexp_extract(t, rf"[T ]({_ISO_TIME})", 1), F.regexp_extract(t, r"(Z|[+-]\d{2}:?\d{2})$", 1)
+        has_time = F.contains(t, F.lit(":"))
+        zone = F.when(has_time & (zone != ""), F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.lit("Z"))
+        whole = F.concat(day, F.when(F.length(day) == 4, F.lit("-01-01")).when(F.length(day) == 7, F.lit("-01")).otherwise(F.lit("")))
+        iso = F.unix_millis(F.try_to_timestamp(F.concat(whole, F.lit("T"), F.when(~has_time, F.lit("00:00:00")).when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time), zone)))
+        ms = F.when(t.rlike(r"^-?\d+$") & (F.length(t) < 18), t.try_cast("long")).when(t.rlike(rf"^{_ISO_DATE}(?:[T ]{_ISO_TIME}(?:Z|[+-]\d{{2}}:?\d{{2}})?)?$"), iso)
+        return F.when(ms.between(-_MOST_MS, _MOST_MS), ms)
+
+    return let(js_trim(text), parsed)
+
+
+def _utc(ms: Column, pattern: str) -> Column:
+    """Text of epoch milliseconds in UTC, whatever the session's time zone is."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone()), pattern)
+
+
+def iso_lines(ms: Column) -> Column:
+    """ISO and epoch lines of epoch milliseconds."""
+    return F.concat(F.lit("ISO: "), _utc(ms, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("\nEpoch (ms): "), ms.cast("string"))
+
+
 def timestamp_lines(ms: Column) -> Column:
     """UTC, ISO and epoch lines of epoch milliseconds."""
-    ts = F.timestamp_millis(ms)
-    return F.concat(F.lit("Fecha (UTC): "), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("\nISO: "), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("\nEpoch (ms): "), ms.cast("string"))
+    return F.concat(F.lit("Fecha (UTC): "), _utc(ms, "yyyy-MM-dd HH:mm:ss"), F.lit("\n"), iso_lines(ms))
 
 
 def mp4_time(seconds: Column) -> Column:

@@ -197,6 +197,13 @@ def csv_cell(x: Column) -> Column:
     return F.when(x.isNull(), F.lit("")).when(x.rlike('[",\\r\\n]'), quoted).otherwise(x)
 
 
+def md_table_csv(md: Column) -> Column:
+    """Every line that starts with a bar, without separator rows, as CSV; null without such a line."""
+    lines = F.filter(F.transform(F.split(md, r"\r?\n"), js_trim), lambda line: line.startswith("|") & ~line.rlike(r"^\|[\s:|-]+\|$"))
+    cells = lambda line: F.transform(F.slice(F.split(line, r"\|"), F.lit(2), F.greatest(F.size(F.split(line, r"\|")) - 2, F.lit(0))), lambda c: csv_cell(js_trim(c)))
+    return let(lines, lambda own: F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda line: F.array_join(cells(line), ",")), "\n")))
+
+
 def sanitize_name(x: Column) -> Column:
     """A safe file name: no folders, control or bidirectional characters, leading dots; 200 characters."""
     x = F.regexp_replace(x, r"(?s)^.*[/\\]", "")
@@ -212,7 +219,19 @@ def humanize(x: Column) -> Column:
 
 
 def truncated(x: Column, most: int) -> Column:
-    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("…"))).otherwise(x)
+    """The first `most` UTF-16 units and …; a half of a pair that the cut leaves becomes U+FFFD. Shorter text as it is."""
+    units = F.encode(x, "UTF-16BE")
+    return F.when(F.octet_length(units) <= 2 * most, x).otherwise(F.concat(_utf16_head(x, units, most), F.lit("…")))
+
+
+def _utf16_head(x: Column, units: Column, most: int) -> Column:
+    """The text of the first `most` UTF-16 units."""
+    def split_pair(last: Column) -> Column:
+        cut = last.between("D800", "DBFF")
+        whole = F.decode(F.substring(units, 1, 2 * most - 2), "UTF-16BE")
+        return F.when(cut, F.concat(whole, F.lit("\ufffd"))).otherwise(F.decode(F.substring(units, 1, 2 * most), "UTF-16BE"))
+
+    return F.when(F.length(x) == utf16_length(x), F.substring(x, 1, most)).otherwise(let(F.hex(F.substring(units, 2 * most - 1, 2)), split_pair))
 
 
 def short_hex(content: Column, most: int = 32) -> Column:

@@ -27,7 +27,7 @@ CONVERSIONS = (
     ("xml-escape", ("txt", "xml"), "txt"), ("xml-unescape", ("txt", "xml"), "txt"), ("rot13", ("txt",), "txt"), ("txt-to-base64", ("txt",), "txt"), ("base64-to-txt", ("txt",), "bin"),
     ("text-stats", ("txt", "md"), "txt"), ("html-to-md", ("txt", "html"), "txt"), ("md-to-txt", ("md",), "txt"), ("md-to-html", ("md",), "html"),
     ("color-convert", ("txt",), "txt"), ("number-base", ("txt",), "txt"), ("dec-to-roman", ("txt",), "txt"), ("roman-to-dec", ("txt",), "txt"), ("timestamp-to-date", ("txt",), "txt"), ("date-to-timestamp", ("txt",), "txt"),
-    ("to-sha256", ("md", "txt", "pdf", "csv", "json"), "txt"), *((f"to-sha{n}", ("txt", "md", "json", "csv", "pdf"), "txt") for n in (1, 384, 512)), ("uuid-v4", ("txt",), "txt"),
+    ("to-sha256", ("md", "txt", "pdf", "csv", "json"), "txt"), *((f"sha{n}", ("txt", "md", "json", "csv", "pdf"), "txt") for n in (1, 384, 512)), ("uuid-v4", ("txt",), "txt"),
     ("csv-to-json", ("csv",), "json"), ("json-to-csv", ("json",), "csv"), ("json-pretty", ("json",), "json"), ("json-minify", ("json",), "json"), ("json-to-xlsx", ("json",), "xlsx"), ("csv-to-xlsx", ("csv",), "xlsx"),
     ("xlsx-to-csv", ("xlsx",), "csv"), ("xlsx-to-json", ("xlsx",), "json"), ("xml-to-json", ("xml",), "json"), ("json-to-xml", ("json",), "xml"), ("csv-to-xml", ("csv",), "xml"), ("xml-to-csv", ("xml",), "csv"),
     ("yaml-to-json", ("yaml",), "json"), ("json-to-yaml", ("json",), "yaml"), ("toml-to-json", ("toml",), "json"), ("json-to-toml", ("json",), "toml"), ("md-table-to-csv", ("md", "txt"), "csv"), ("json-to-ts", ("json",), "ts"),

@@ -17,15 +17,25 @@ from burin.functions import images as G
 from burin.functions import numeric as N
 from burin.functions import text as T
 
-#: Text in, text out, in the JVM; null is an error.
+#: Text in, text out (bytes of base64-to-txt), in the JVM; null is an error.
 EXPRESSIONS: dict[str, Callable[[Column], Column]] = {
     "case-camel": T.case_camel, "case-pascal": T.case_pascal, "case-snake": T.case_snake, "case-kebab": T.case_kebab, "case-constant": T.case_constant,
     "case-title": T.case_title, "case-sentence": T.case_sentence, "case-slug": T.case_slug, "url-encode": T.url_encode, "url-decode": T.url_decode,
     "html-escape": T.html_escape, "html-unescape": T.unescape, "xml-escape": T.xml_escape, "xml-unescape": T.unescape, "rot13": T.rot13,
-    "txt-to-base64": lambda x: T.base64_encode(F.encode(x, "UTF-8")), "base64-to-txt": lambda x: T.decode_utf8(T.base64_decode(x)),
-    "text-stats": T.text_stats, "md-to-txt": T.md_to_txt, "number-base": N.number_base, "dec-to-roman": lambda x: N.to_roman(F.trim(x).try_cast("int")), "roman-to-dec": lambda x: N.from_roman(x).cast("string"),
-    "color-convert": N.color_convert, "timestamp-to-date": lambda x: N.timestamp_lines(F.trim(x).try_cast("long")), "date-to-timestamp": lambda x: F.unix_millis(F.try_to_timestamp(F.trim(x))).cast("string"),
-    "to-sha256": lambda x: F.sha2(x, 256), "to-sha1": lambda x: F.sha1(x), "to-sha384": lambda x: F.sha2(x, 384), "to-sha512": lambda x: F.sha2(x, 512), "uuid-v4": lambda x: F.uuid(),
+    "txt-to-base64": lambda x: T.base64_encode(F.encode(x, "UTF-8")), "base64-to-txt": T.base64_decode,
+    "text-stats": T.text_stats, "md-to-txt": T.md_to_txt, "number-base": N.number_base, "dec-to-roman": lambda x: N.to_roman(N.integer_of(x)), "roman-to-dec": lambda x: N.from_roman(x).cast("string"),
+    "color-convert": N.color_convert, "timestamp-to-date": lambda x: T.let(N.date_of(x), N.timestamp_lines), "date-to-timestamp": lambda x: T.let(N.date_of(x), N.iso_lines), "md-table-to-csv": T.md_table_csv,
+    "to-sha256": lambda x: F.sha2(x, 256), "sha1": lambda x: F.sha1(x), "sha384": lambda x: F.sha2(x, 384), "sha512": lambda x: F.sha2(x, 512), "uuid-v4": lambda x: F.uuid(),
+}
+# What a conversion says of an input that it cannot read.
+_NO_NUMBER, _NO_DATE = "No pude identificar la base del número (usa decimal, 0x… o 0b…)", "No pude interpretar la fecha (usa formato ISO o epoch en ms)"
+ERRORS: dict[str, Callable[[Column], Column]] = {
+    "number-base": lambda x: F.lit(_NO_NUMBER),
+    "dec-to-roman": lambda x: F.when(N.integer_of(x).isNull(), _NO_NUMBER).otherwise("El número debe ser un entero entre 1 y 3999"),
+    "roman-to-dec": lambda x: F.when(T.js_trim(x) == "", "El romano está vacío").otherwise(F.concat(F.lit("Carácter romano no válido: "), F.regexp_extract(F.upper(T.js_trim(x)), "^[IVXLCDM]*(.)", 1))),
+    "color-convert": lambda x: F.when(T.js_trim(x).startswith("#"), "No entiendo el color hex (esperaba #RRGGBB o #RGB)").otherwise("Formato de color no reconocido (usa #RRGGBB, rgb() o hsl())"),
+    "url-decode": lambda x: F.lit("No es una cadena URL válida"), "base64-to-txt": lambda x: F.lit("El texto no es Base64 válido"), "md-table-to-csv": lambda x: F.lit("No se encontró una tabla Markdown"),
+    "timestamp-to-date": lambda x: F.lit(_NO_DATE), "date-to-timestamp": lambda x: F.lit(_NO_DATE),
 }
 #: Text in, text out, by a parser.
 TEXT_PARSERS: dict[str, Callable[[str], str]] = {
@@ -67,11 +77,22 @@ def _udf(run: Callable, kind: str):
     return apply
 
 
+def result_file(name: Column, to: str, converted: Column) -> Column:
+    """struct(name, kind, mime, size, result, error) of a converted file: the name without its extension, and the conversion's own."""
+    from burin.operators.catalog import CONVERSIONS
+    from burin.sources.detect import EXTENSIONS, mime_of
+
+    ext = {c: e for c, _, e in CONVERSIONS}[to]
+    kind = F.lit(EXTENSIONS.get(ext, "unknown"))
+    size = F.octet_length(converted["result"]).cast("long")
+    return F.struct(F.concat(T.base_name(name), F.lit("." + ext)).alias("name"), kind.alias("kind"), mime_of(kind).alias("mime"), size.alias("size"), converted["result"].alias("result"), converted["error"].alias("error"))
+
+
 def convert(value: Column, to: str) -> Column:
     """struct(result, error) of a conversion by its id."""
     if to in EXPRESSIONS:
         empty = value.isNull() | (F.length(value) == 0)
-        error = lambda r: F.when(empty, F.lit("Se necesita un archivo")).when(r.isNull(), F.lit("Entrada no válida"))
+        error = lambda r: F.when(empty, F.lit("Se necesita un archivo")).when(r.isNull(), ERRORS[to](value) if to in ERRORS else F.lit("Entrada no válida"))
         return T.let(EXPRESSIONS[to](value), lambda r: F.struct(F.when(~empty, r).alias("result"), error(r).alias("error")))
     if to in TEXT_PARSERS:
         return _udf(TEXT_PARSERS[to], "string")(value)

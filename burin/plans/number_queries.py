@@ -52,6 +52,36 @@ def event_ts_format(spark, d):
     return table(spark, d, "events").select("event_id", N.timestamp_lines(F.unix_millis(F.col("ts").cast("timestamp"))).alias("lines"))
 
 
+_AS_TYPED = "CASE o_orderkey % 4 WHEN 0 THEN CAST(epoch_ms(o_orderdate) AS VARCHAR) WHEN 3 THEN 'hoy' ELSE strftime(o_orderdate, '%Y-%m-%d') END"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN ok THEN concat('Fecha (UTC): ', strftime(t, '%Y-%m-%d %H:%M:%S'), chr(10), lines) END AS date, CASE WHEN ok THEN lines END AS stamp, CASE WHEN NOT ok THEN 'No pude interpretar la fecha (usa formato ISO o epoch en ms)' END AS error
+FROM (SELECT *, concat('ISO: ', strftime(t, '%Y-%m-%dT%H:%M:%S'), '.000Z', chr(10), 'Epoch (ms): ', epoch_ms(t)) AS lines
+  FROM (SELECT o_orderkey, o_orderkey % 4 <> 3 AS ok, CASE o_orderkey % 4 WHEN 2 THEN date_trunc('day', o_orderdate) + INTERVAL 7200 SECOND ELSE date_trunc('day', o_orderdate) END AS t FROM orders))""")
+def dates_as_typed(spark, d):
+    """Epoch and ISO dates, with and without time and zone, with white space around; others are errors."""
+    from burin.operators.convert import convert
+
+    day = F.date_format(F.date_trunc("day", "o_orderdate"), "yyyy-MM-dd")
+    k = F.col("o_orderkey") % 4
+    typed = F.when(k == 0, F.unix_millis(F.date_trunc("day", "o_orderdate").cast("timestamp")).cast("string")).when(k == 1, day).when(k == 2, F.concat(day, F.lit("T03:30:00.000+0130"))).otherwise("hoy")
+    padded = F.concat(F.lit("\t "), typed, F.lit("\r\n"))
+    rows = table(spark, d, "orders").select("o_orderkey", convert(padded, "timestamp-to-date").alias("a"), convert(padded, "date-to-timestamp").alias("b"))
+    return rows.select("o_orderkey", F.col("a.result").alias("date"), F.col("b.result").alias("stamp"), F.col("b.error").alias("error"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n BETWEEN 1 AND 3999 THEN %s END AS roman, CASE WHEN n = 7 THEN 'No pude identificar la base del número (usa decimal, 0x… o 0b…)' WHEN n NOT BETWEEN 1 AND 3999 THEN 'El número debe ser un entero entre 1 y 3999' END AS error
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey %% 4100 = 7 THEN NULL ELSE o_orderkey %% 4100 END AS n FROM orders)""".replace("n = 7", "n IS NULL") % _ROMAN)
+def roman_as_typed(spark, d):
+    """Decimal, 0x and 0b input with tabs and line breaks around it."""
+    from burin.operators.convert import convert
+
+    n = F.col("o_orderkey") % 4100
+    typed = F.when(n == 7, "siete").when(n % 3 == 0, F.concat(F.lit("0X"), F.hex(n))).when(n % 3 == 1, F.concat(F.lit("0b"), F.bin(n))).otherwise(n.cast("string"))
+    rows = table(spark, d, "orders").select("o_orderkey", convert(F.concat(F.lit("\t"), typed, F.lit("\n")), "dec-to-roman").alias("c"))
+    return rows.select("o_orderkey", F.col("c.result").alias("roman"), F.col("c.error").alias("error"))
+
+
 @query("SELECT o_orderkey, strftime(to_timestamp(s - 2082844800), '%Y-%m-%d %H:%M:%S') AS mp4, strftime(make_timestamp(n // 1000 + 978307200000000), '%Y-%m-%d %H:%M:%S') AS mkv FROM (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + 2082844800 AS s, o_orderkey * 1000003000000 AS n FROM orders)")
 def container_times(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + 2082844800).alias("s"), (F.col("o_orderkey") * 1000003000000).alias("n"))

@@ -72,14 +72,7 @@ _TABLE = "concat('intro', chr(10), '| id | name |', chr(10), '|---|:--|', chr(10
 @query("SELECT c_custkey, concat('id,name', chr(10), c_custkey, ',', c_name, chr(10), c_mktsegment, ',', '\"\"\"q\"\", x\"') AS csv FROM customer")
 def md_table_parse(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", F.expr(_TABLE.replace("chr(10)", "'\\n'")).alias("md"))
-    return rows.select("c_custkey", md_table_csv(F.col("md")).alias("csv"))
-
-
-def md_table_csv(md):
-    """Every line that starts with a bar, without separator rows, as CSV."""
-    lines = F.filter(F.transform(F.split(md, r"\r?\n"), T.js_trim), lambda line: line.startswith("|") & ~line.rlike(r"^\|[\s:|-]+\|$"))
-    cells = lambda line: F.transform(F.slice(F.split(line, r"\|"), F.lit(2), F.greatest(F.size(F.split(line, r"\|")) - 2, F.lit(0))), lambda c: T.csv_cell(T.js_trim(c)))
-    return F.array_join(F.transform(lines, lambda line: F.array_join(cells(line), ",")), "\n")
+    return rows.select("c_custkey", T.md_table_csv(F.col("md")).alias("csv"))
 
 
 def _actions_sql() -> str:

@@ -138,6 +138,24 @@ def case_conversions(spark, d):
     return table(spark, d, "part").select("p_partkey", T.case_snake(x).alias("snake"), T.case_kebab(x).alias("kebab"), T.case_constant(x).alias("constant"), T.case_pascal(x).alias("pascal"), T.case_camel(x).alias("camel"), T.case_title(x).alias("title"))
 
 
+@query("SELECT c_custkey, concat('a,b', chr(10), c_custkey, ',', c_mktsegment) AS csv, CASE WHEN c_custkey % 3 = 0 THEN 'No se encontró una tabla Markdown' END AS error FROM customer".replace("concat('a,b'", "CASE WHEN c_custkey % 3 <> 0 THEN concat('a,b'").replace("c_mktsegment) AS csv", "c_mktsegment) END AS csv"))
+def convert_md_table(spark, d):
+    bar = F.when(F.col("c_custkey") % 3 == 0, "-").otherwise("|")
+    md = F.concat(F.lit("text\n\t"), bar, F.lit(" a | b |\r\n"), bar, F.lit("---|:-:|\n"), bar, F.col("c_custkey").cast("string"), F.lit("|\t"), F.col("c_mktsegment"), F.lit(" |\n"))
+    return table(spark, d, "customer").select("c_custkey", convert(md, "md-table-to-csv").alias("c")).select("c_custkey", F.col("c.result").alias("csv"), "c.error")
+
+
+@query("SELECT doc_id, sha256(encode(text)) AS digest, octet_length(encode(text)) AS size, concat('n', doc_id, '.bin') AS name, 'application/octet-stream' AS mime FROM documents WHERE text <> ''".replace("octet_length(encode(text))", "CAST(octet_length(encode(text)) AS BIGINT)"))
+def convert_base64_file(spark, d):
+    """Base64 with line breaks back to its bytes, with the result's name, type and size."""
+    from burin.operators.convert import result_file
+
+    encoded = F.concat(F.lit(" \t"), T.base64_encode(F.encode("text", "UTF-8")), F.lit("\n"))
+    name = F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".b64"))
+    rows = table(spark, d, "documents").where("text <> ''").select("doc_id", result_file(name, "base64-to-txt", convert(encoded, "base64-to-txt")).alias("f"))
+    return rows.select("doc_id", F.sha2("f.result", 256).alias("digest"), "f.size", "f.name", "f.mime")
+
+
 @query("SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
 def hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha1(F.col("text")).alias("sha1"), F.sha2("text", 256).alias("sha256"))
@@ -148,10 +166,15 @@ def hashes_wide(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 384).alias("sha384"), F.sha2("text", 512).alias("sha512"), F.crc32("text").alias("crc32"))
 
 
-@query("SELECT doc_id, CASE WHEN length(v) > 200 THEN concat(v[1:200], '…') ELSE v END AS shown, regexp_replace(lower(hex(encode(v)[1:8])), '(..)', '\\1 ', 'g') AS head FROM (SELECT doc_id, regexp_replace(text, '[\\x{10000}-\\x{10FFFF}]', '', 'g') AS v FROM documents)".replace("regexp_replace(lower(hex(encode(v)[1:8])), '(..)', '\\1 ', 'g')", "CAST(length(v) AS BIGINT)").replace(" AS head", " AS n"))
+# UTF-16 units of the characters up to each place: the text is cut at 200 of them.
+@query("""WITH c AS (SELECT doc_id, text, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS units,
+  list_reduce(list_transform(string_split(text[1:201], ''), lambda x: {'n': CASE WHEN ord(x) > 65535 THEN 2 ELSE 1 END, 's': x}),
+    lambda a, x: CASE WHEN a.n >= 200 THEN a WHEN a.n + x.n > 200 THEN {'n': 200, 's': a.s || chr(65533)} ELSE {'n': a.n + x.n, 's': a.s || x.s} END) AS head FROM documents WHERE text <> '')
+SELECT doc_id, CASE WHEN units > 200 THEN concat(head.s, '…') ELSE text END AS shown, CAST(units AS BIGINT) AS n FROM c""")
 def truncate_values(spark, d):
-    v = F.regexp_replace("text", r"[\x{10000}-\x{10FFFF}]", "")
-    return table(spark, d, "documents").select("doc_id", T.truncated(v, 200).alias("shown"), F.length(v).cast("long").alias("n"))
+    """Values of the inventory at 200 UTF-16 units, half pairs replaced."""
+    rows = table(spark, d, "documents").where("text <> ''")
+    return rows.select("doc_id", T.truncated(F.col("text"), 200).alias("shown"), T.utf16_length(F.col("text")).alias("n"))
 
 
 @query(f"SELECT page_id, CASE WHEN x = '' THEN 'archivo' ELSE x END AS name FROM (SELECT page_id, {trimmed('''regexp_replace(regexp_replace(regexp_replace(url, '(?s)^.*[/\\\\]', ''), '[\\x00-\\x1F\\x7F\\x{202A}-\\x{202E}]', '', 'g'), '^\\.+', '')[1:200]''')} AS x FROM pages)")
@@ -159,6 +182,11 @@ def sanitize_names(spark, d):
     return table(spark, d, "pages").select("page_id", T.sanitize_name(F.col("url")).alias("name"))
 
 
+def _as_text(c):
+    """A conversion's struct with its result as text (bytes in hexadecimal)."""
+    return F.struct(F.when(F.typeof(c["result"]) == "binary", F.hex(c["result"].cast("binary"))).otherwise(c["result"].cast("string")).alias("result"), c["error"].alias("error"))
+
+
 @query()
 def convert_matrix(spark, d):
     """Every JVM conversion applied to the whole text of each document, with its error if any."""
@@ -166,5 +194,5 @@ def convert_matrix(spark, d):
 
     rows = table(spark, d, "documents").select("doc_id", "text")
     ids = [c for c in EXPRESSIONS if c != "uuid-v4"]
-    stacked = F.array(*[F.struct(F.lit(c).alias("conversion"), convert(F.col("text"), c).alias("c")) for c in ids])
+    stacked = F.array(*[F.struct(F.lit(c).alias("conversion"), _as_text(convert(F.col("text"), c)).alias("c")) for c in ids])
     return rows.select("doc_id", F.explode(stacked).alias("r")).select("doc_id", "r.conversion", "r.c.result", "r.c.error")

@@ -63,5 +63,11 @@ def kind_of(content: Column, name: Column, mime: Column | None = None) -> Column
     return F.when(magic != "unknown", magic).otherwise(kind_by_name(name, mime))
 
 
+# The MIME type of a result by its kind; all others are plain bytes.
+RESULT_TYPES = {k: t for t, k in MIME_TYPES.items() if t not in ("text/xml", "text/markdown")} | {
+    "zip": "application/zip", "tiff": "image/tiff", "flac": "audio/flac", "mkv": "video/x-matroska", "md": "text/plain",
+}
+
+
 def mime_of(kind: Column) -> Column:
-    return F.coalesce(_looked_up(kind, {v: k for k, v in reversed(MIME_TYPES.items())}), F.lit("application/octet-stream"))
+    return F.coalesce(_looked_up(kind, RESULT_TYPES), F.lit("application/octet-stream"))

@@ -17,12 +17,12 @@ def value(spark, column):
 
 
 @pytest.mark.parametrize(("to", "given", "expected"), [
-    ("to-sha1", "abc", "a9993e364706816aba3e25717850c26c9cd0d89d"), ("rot13", "HELLO", "URYYB"), ("rot13", "URYYB", "HELLO"), ("case-camel", "Hola mundo", "holaMundo"),
+    ("sha1", "abc", "a9993e364706816aba3e25717850c26c9cd0d89d"), ("rot13", "HELLO", "URYYB"), ("rot13", "URYYB", "HELLO"), ("case-camel", "Hola mundo", "holaMundo"),
     ("case-snake", "Hola mundo", "hola_mundo"), ("case-kebab", "holaMundo", "hola-mundo"), ("case-constant", "hola mundo", "HOLA_MUNDO"), ("dec-to-roman", "1999", "MCMXCIX"), ("roman-to-dec", "mcmxcix", "1999"),
     ("roman-to-dec", "IIII", "4"), ("number-base", "255", "decimal: 255\nhex: 0xff\nbinary: 0b11111111"), ("number-base", "-5", "decimal: -5\nhex: -0x5\nbinary: -0b101"), ("number-base", "0xFF", "decimal: 255\nhex: 0xff\nbinary: 0b11111111"),
     ("color-convert", "rgb(255, 0, 0)", "HEX: #ff0000\nRGB: rgb(255, 0, 0)\nHSL: hsl(0, 100%, 50%)\ncss: #ff0000"), ("color-convert", "hsl(0, 100%, 50%)", "HEX: #ff0000\nRGB: rgb(255, 0, 0)\nHSL: hsl(0, 100%, 50%)\ncss: #ff0000"),
     ("color-convert", "#369", "HEX: #336699\nRGB: rgb(51, 102, 153)\nHSL: hsl(210, 50%, 40%)\ncss: #336699"), ("text-stats", "Hola mundo\nsegunda línea", "Caracteres: 24\nPalabras: 4\nLíneas: 2\nTiempo de lectura: <1 min"),
-    ("url-encode", "a b&ñ!'()*~", "a%20b%26%C3%B1!'()*~"), ("url-decode", "a%20b+c", "a b+c"), ("base64-to-txt", "SG9s\nYQ==", "Hola"), ("html-escape", "<a href='x'>&", "&lt;a href=&#39;x&#39;&gt;&amp;"), ("html-unescape", "&amp;lt;", "&lt;"),
+    ("url-encode", "a b&ñ!'()*~", "a%20b%26%C3%B1!'()*~"), ("url-decode", "a%20b+c", "a b+c"), ("base64-to-txt", "SG9s\nYQ==", b"Hola"), ("base64-to-txt", "//79/A==", b"\xff\xfe\xfd\xfc"), ("number-base", "\t255\n", "decimal: 255\nhex: 0xff\nbinary: 0b11111111"), ("dec-to-roman", "0x10", "XVI"), ("roman-to-dec", "\tXII", "12"), ("date-to-timestamp", "2024-01-02T03:04:05Z", "ISO: 2024-01-02T03:04:05.000Z\nEpoch (ms): 1704164645000"), ("timestamp-to-date", "2024-01-02", "Fecha (UTC): 2024-01-02 00:00:00\nISO: 2024-01-02T00:00:00.000Z\nEpoch (ms): 1704153600000"), ("md-table-to-csv", "|a|b|\n|-|-|\n|1|2|", "a,b\n1,2"), ("html-escape", "<a href='x'>&", "&lt;a href=&#39;x&#39;&gt;&amp;"), ("html-unescape", "&amp;lt;", "&lt;"),
     ("md-to-txt", "---\ntitle: x\n---\n# Hola\n**a** y `b`\n- c", "Hola\na y b\nc"),
 ])
 def test_conversions(spark, to, given, expected):
@@ -154,3 +154,28 @@ def test_images():
     assert (images.decode_png(images.tiff_to_png(head + pixels.tobytes())) == pixels).all()
     with pytest.raises(ValueError):
         images.decode_png(b"no png")
+
+
+def test_every_catalogued_conversion_converts_or_says_unsupported(spark):
+    from burin.operators.catalog import CONVERSIONS
+    from burin.operators.convert import convert
+
+    one = spark.range(1)
+    for name, _, _ in CONVERSIONS:
+        convert(F.lit("x"), name)
+    got = one.select(convert(F.lit("x"), "to-webp").alias("c")).first()["c"]
+    assert got["error"] == "unsupported"
+
+
+@pytest.mark.parametrize(("to", "given", "message"), [("roman-to-dec", "XAB", "Carácter romano no válido: A"), ("color-convert", "#12", "No entiendo el color hex (esperaba #RRGGBB o #RGB)"), ("dec-to-roman", "x", "No pude identificar la base del número (usa decimal, 0x… o 0b…)"), ("base64-to-txt", "a", "El texto no es Base64 válido")])
+def test_errors_are_stable(spark, to, given, message):
+    from burin.operators.convert import convert
+
+    assert spark.range(1).select(convert(F.lit(given), to).alias("c")).first()["c"]["error"] == message
+
+
+def test_result_types(spark):
+    from burin.sources.detect import mime_of
+
+    got = {k: spark.range(1).select(mime_of(F.lit(k)).alias("m")).first()["m"] for k in ("zip", "mkv", "flac", "tiff", "md", "xml", "m4a")}
+    assert got == {"zip": "application/zip", "mkv": "video/x-matroska", "flac": "audio/flac", "tiff": "image/tiff", "md": "text/plain", "xml": "application/xml", "m4a": "application/octet-stream"}
