@@ -103,26 +103,49 @@ def exploded(df: DataFrame, entries: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(entries).alias("e")).select(*keep, "e.*")
 
 
-def strip_html(html: Column, blocks: tuple[str, ...] = ("meta", "links")) -> Column:
-    """The page without the tags of the named blocks, all else byte for byte."""
-    out = html
-    if "meta" in blocks:
-        functional = r"""(?![^>]*\s(?:charset|http-equiv)\b)(?![^>]*\sname\s*=\s*["']?\s*viewport)"""
-        out = F.regexp_replace(out, rf"""(?is)<meta\b{functional}(?=[^>]*\s(?:name|property|itemprop)\s*=\s*["']?[^"'\s>])[^>]*>""", "")
-    if "links" in blocks:
-        out = F.regexp_replace(out, r"""(?is)<link\b(?=[^>]*\srel\s*=\s*(?:"[^"]*\b(?:author|me|publisher)\b|'[^']*\b(?:author|me|publisher)\b|(?:author|me|publisher)\b))[^>]*>""", "")
-    return out
-
-
 def groups(entries: DataFrame, artifact: str) -> DataFrame:
     """Entries by place, groups in order of first appearance, rows in order."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", "key", "value"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return entries.groupBy(artifact, "where").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n_entries"), F.array_join(rows, "; ").alias("rows"))
 
 
-def summary(entries: DataFrame, artifact: str, deep: bool = True) -> DataFrame:
-    """Entries, removed, preserved and highly sensitive ones of each artifact."""
-    removable = F.col("removal") != "never"
+def will_remove(removal: Column, mode: str, any_deletable: Column) -> Column:
+    """Whether a cleaning removes an entry: deep mode all that can go, light mode only if a block can be sent."""
+    return (removal != "never") & (F.lit(mode == "deep") | any_deletable)
+
+
+# How an entry's fate is told.
+PLANS = {
+    "individual": ("Se elimina", "se puede borrar por sí sola"),
+    "with-container": ("Se elimina", "se borra junto con su contenedor"),
+    "never": ("Se conserva", "dato técnico o que el limpiador actual no elimina: se conserva"),
+    "kept": ("Se conserva", "el modo Ligero no elimina esta entrada"),
+}
+
+
+def row_plan(removal: Column, mode: str, any_deletable: Column) -> Column:
+    """struct(text, detail) of an entry in a mode."""
+    plan = lambda k: F.struct(F.lit(PLANS[k][0]).alias("text"), F.lit(PLANS[k][1]).alias("detail"))
+    spared = F.lit(mode == "light") & ~any_deletable
+    return F.when(removal == "never", plan("never")).when(spared, plan("kept")).when(removal == "individual", plan("individual")).otherwise(plan("with-container"))
+
+
+# Why an entry of a page is kept.
+PRESERVED = {
+    "doctype": "Se conserva: es la declaración estructural del documento.",
+    "charset": "Se conserva: quitarlo rompe la codificación de la página.",
+}
+
+
+def preserved(entries: DataFrame) -> DataFrame:
+    """Entries that a cleaning keeps for a reason that it tells, with the note."""
+    note = F.create_map(*[F.lit(v) for pair in PRESERVED.items() for v in pair])[F.col("key")]
+    return entries.where("removal = 'never'").withColumn("preserved_note", note).where(F.col("preserved_note").isNotNull())
+
+
+def summary(entries: DataFrame, artifact: str, deep: bool = True, any_deletable: Column | None = None) -> DataFrame:
+    """Entries, removed, preserved and highly sensitive ones of each artifact, in deep or light mode."""
+    removable = will_remove(F.col("removal"), "deep" if deep else "light", F.lit(True) if any_deletable is None else any_deletable)
     return entries.groupBy(artifact).agg(F.count("*").alias("total"), F.count_if(removable).alias("removed"), F.count_if(~removable).alias("preserved"), F.count_if(F.col("sensitivity") == "high").alias("high_risk"))
 
 
@@ -134,7 +157,9 @@ def search(entries: DataFrame, artifact: str, term: str) -> DataFrame:
 
 
 def verify(before: DataFrame, after: DataFrame, artifact: str) -> DataFrame:
-    """clean, remaining or unverifiable for each artifact, with the first leftovers.
+    """clean, remaining or unverifiable for each artifact of either inventory, with the first leftovers.
+
+    An artifact without an entry in both has no row here; see metadata.cleaned(), which calls it unverifiable.
 
     A leftover is a removable entry that stands in both inventories with the same place,
     key and value; an empty value is no content.

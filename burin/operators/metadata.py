@@ -6,10 +6,10 @@ import struct
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burin.functions import documents, media
+from burin.functions import cleaning, documents, media
 
 ENTRY = "array<struct<ord:int,where:string,key:string,value:string,sensitivity:string,removal:string>>"
 
@@ -35,6 +35,49 @@ def strip(content: Column, kind: Column) -> Column:
     return apply(content, kind)
 
 
+def cleaned(content: Column, kind: Column, mode: str = "deep", blocks: tuple[str, ...] = ()) -> Column:
+    """struct(result, error, status, remaining, sample): a file cleaned in a mode, and verified in the same pass.
+
+    Light mode removes the named blocks; the verification compares the inventories before and
+    after, and says `unverifiable` where both are empty. A kind that cannot be cleaned is an error.
+    """
+
+    def one(data: bytes | None, k: str) -> tuple:
+        try:
+            out = cleaning.clean(data, k, mode, blocks)
+        except ValueError as e:
+            return None, str(e), None, None, None
+        return out, None, *cleaning.verdict(cleaning.entries(data, k), cleaning.entries(out, k))
+
+    @F.pandas_udf("result binary, error string, status string, remaining long, sample array<string>")
+    def apply(data: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(b, k) for b, k in zip(data, kinds, strict=True)], columns=["result", "error", "status", "remaining", "sample"], dtype=object)
+
+    return apply(content, kind)
+
+
+def risks(content: Column, kind: Column) -> Column:
+    """What a cleaning would lose besides metadata: an array of (id, label, detail, severity, affects)."""
+    names = ("id", "label", "detail", "severity", "affects")
+
+    @F.pandas_udf("array<struct<id:string,label:string,detail:string,severity:string,affects:string>>")
+    def apply(data: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(names, r, strict=True)) for r in cleaning.risks(b or b"", k)] for b, k in zip(data, kinds, strict=True)])
+
+    return apply(content, kind)
+
+
+def risks_for(found: Column, mode: str) -> Column:
+    """Those that a mode brings."""
+    return F.filter(found, lambda r: r["affects"] == mode)
+
+
+def blocks(spark: SparkSession) -> DataFrame:
+    """kind, block, label: what can be removed, a table of fixed size."""
+    rows = [(k, i, b, label) for k, own in cleaning.BLOCKS.items() for i, (b, label) in enumerate(own)]
+    return spark.createDataFrame(rows, "kind string, ord int, block string, label string")
+
+
 def strip_html_exact(page: Column, blocks: tuple[str, ...] = ("meta", "links")) -> Column:
     """A page without the tags of the named blocks; scripts, styles and comments are not looked into."""
 

@@ -73,16 +73,45 @@ def strip_html(spark, d):
     return _made(spark, d).select("doc_id", strip_html_exact(F.col("page")).alias("page"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'remaining' ELSE 'clean' END AS status, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS remaining, CASE WHEN doc_id % 3 = 0 THEN 'Enlace de autoría (me)' ELSE '' END AS sample FROM documents")
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN '<meta name="author" content="A"><META property=og:x content=1>' ELSE '' END AS m,
+  CASE WHEN doc_id % 4 IN (0, 2) THEN concat('<link href="/u/', doc_id, '" rel="me">') ELSE '' END AS l, concat('<p>', replace(replace(text, '<', ' '), '>', ' '), '</p>') AS b FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, sha256(concat(l, b)) AS page, sha256(concat(m, l, b)) AS same, CASE WHEN doc_id % 4 IN (0, 2) THEN 'remaining' WHEN doc_id % 4 = 1 THEN 'clean' ELSE 'unverifiable' END AS status,
+  CAST(CASE WHEN doc_id % 4 IN (0, 2) THEN 1 ELSE 0 END AS BIGINT) AS remaining FROM p""")
 def verify_clean(spark, d):
-    """Every third page keeps its link: the verification finds it."""
-    from burin.operators.metadata import strip_html_exact
+    """Light mode with the block `meta` on pages of four shapes, whole texts in them: links stay and are found, the rest byte for byte."""
+    from burin.operators.metadata import cleaned
+
+    k = F.col("doc_id") % 4
+    m = F.when(k.isin(0, 1), '<meta name="author" content="A"><META property=og:x content=1>').otherwise("")
+    link = F.when(k.isin(0, 2), F.concat(F.lit('<link href="/u/'), F.col("doc_id").cast("string"), F.lit('" rel="me">'))).otherwise("")
+    body = F.concat(F.lit("<p>"), F.translate("text", "<>", "  "), F.lit("</p>"))
+    pages = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.encode(F.concat(m, link, body), "UTF-8").alias("page"))
+    made = pages.select("doc_id", cleaned(F.col("page"), F.lit("html"), "light", ("meta",)).alias("c"), cleaned(F.col("page"), F.lit("html"), "light").alias("n"))
+    return made.select("doc_id", F.sha2("c.result", 256).alias("page"), F.sha2("n.result", 256).alias("same"), "c.status", "c.remaining")
+
+
+@query("""SELECT doc_id, sha256(concat('\n', text)) AS deep, sha256(concat('---\ntitle: ', doc_id, '\nkey:  v \n---\n', '\n', text)) AS light FROM documents WHERE text IS NOT NULL""".replace("\n", "' || chr(10) || '"))
+def strip_frontmatter(spark, d):
+    """Deep mode takes the frontmatter off and leaves the text; light mode without a block leaves everything."""
+    from burin.operators.metadata import cleaned
+
+    md = F.encode(F.concat(F.lit("---\ntitle: "), F.col("doc_id").cast("string"), F.lit("\nkey:  v \n---\n\n"), F.col("text")), "UTF-8")
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", cleaned(md, F.lit("md")).alias("a"), cleaned(md, F.lit("md"), "light").alias("b"))
+    return rows.select("doc_id", F.sha2("a.result", 256).alias("deep"), F.sha2("b.result", 256).alias("light"))
+
+
+@query(f"""WITH {_ENTRIES} SELECT doc_id, CAST(ord AS INTEGER) AS ord, removal <> 'never' AS deep, removal <> 'never' AND doc_id % 2 = 0 AS light,
+  CASE WHEN removal = 'never' THEN 'dato técnico o que el limpiador actual no elimina: se conserva' WHEN doc_id % 2 = 1 THEN 'el modo Ligero no elimina esta entrada' ELSE 'se borra junto con su contenedor' END AS detail FROM entries""")
+def removal_plan(spark, d):
+    """What each mode does to each entry; odd documents have no block to send."""
+    e = _entries(spark, d)
+    some = F.col("doc_id") % 2 == 0
+    return e.select("doc_id", "ord", I.will_remove(F.col("removal"), "deep", some).alias("deep"), I.will_remove(F.col("removal"), "light", some).alias("light"), I.row_plan(F.col("removal"), "light", some)["detail"].alias("detail"))
+
 
-    before = _made(spark, d)
-    stripped = F.when(F.col("doc_id") % 3 == 0, strip_html_exact(F.col("page"), ("meta",))).otherwise(strip_html_exact(F.col("page")))
-    after = before.select("doc_id", stripped.alias("page"))
-    one, two = (I.exploded(x, I.html_entries(F.col("page")), "doc_id") for x in (before, after))
-    return I.verify(one, two, "doc_id").select("doc_id", "status", F.col("remaining").cast("long").alias("remaining"), "sample")
+@query(f"""WITH {_ENTRIES} SELECT doc_id, key, CASE key WHEN 'doctype' THEN 'Se conserva: es la declaración estructural del documento.' ELSE 'Se conserva: quitarlo rompe la codificación de la página.' END AS preserved_note FROM entries WHERE key IN ('doctype', 'charset')""")
+def preserved_notes(spark, d):
+    return I.preserved(_entries(spark, d)).select("doc_id", "key", "preserved_note")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_partkey % 50 AS s, l_partkey % 50 + CAST(l_quantity AS BIGINT) % 12 AS e FROM lineitem),

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from burin.functions import media
+from burin.functions import cleaning, media
 from burin.operators import inventory as I
 from burin.operators.metadata import SAMPLE_KINDS, sample_file, scan, strip
 from burin.sources.artifacts import read_files
@@ -67,3 +67,65 @@ def test_files_and_stream(spark, tmp_path):
     stream = inventory_to_table(spark, str(source), str(tmp_path / "out"), str(tmp_path / "ck"))
     stream.awaitTermination(120)
     assert {(r["name"], r["key"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a.html", "author"), ("a.html", "viewport")}
+
+
+@pytest.mark.parametrize("kind", [*SAMPLE_KINDS, "md", "html"])
+def test_light_mode_without_blocks_changes_no_byte(kind):
+    data = sample_file(kind, "Ana Lopez") if kind in SAMPLE_KINDS else b"---\na: b\n---\nx"
+    assert cleaning.clean(data, kind, "light") == data
+
+
+@pytest.mark.parametrize(("kind", "block", "gone"), [("png", "text", b"tEXt"), ("jpg", "text", b"by Ana"), ("gif", "text", b"Ana"), ("mp3", "id3v2", b"TPE1"), ("mp3", "id3v1", b"TAGAna"), ("flac", "vorbis", b"ARTIST"), ("wav", "info", b"IART"), ("rtf", "generator", b"Editor"), ("svg", "comments", b"<!--"), ("svg", "editor", b"data-name"), ("docx", "props", b"docProps/core.xml"), ("epub", "sidecars", b"")])
+def test_light_mode_removes_the_named_block_alone(kind, block, gone):
+    data = sample_file(kind, "Ana Lopez")
+    if kind == "epub":
+        with pytest.raises(ValueError, match="entero"):
+            cleaning.clean(data, kind, "light", (block,))
+        return
+    out = cleaning.clean(data, kind, "light", (block,))
+    assert gone in data and gone not in out and len(out) < len(data)
+    others = [b for b, _ in cleaning.BLOCKS[kind] if b != block]
+    assert kind in ("docx",) or all(cleaning.clean(out, kind, "light", (b,)) != out for b in others if cleaning.clean(data, kind, "light", (b,)) != data)
+
+
+def test_orientation_survives_light_mode_and_is_a_risk_of_deep():
+    data = sample_file("jpg", "Ana Lopez")
+    out = cleaning.clean(data, "jpg", "light", ("exif",))
+    assert ("EXIF IFD0", "Orientation", "6", "low", "never") in media.scan(out, "jpg") and b"by Ana" in out
+    assert [r[0] for r in cleaning.risks(data, "jpg")] == ["image-reencode"]
+
+
+def test_macros_are_a_risk_and_go_in_deep_mode_alone():
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name in ("docProps/core.xml", "docProps/custom.xml", "word/comments.xml", "word/document.xml", "word/vbaProject.bin"):
+            z.writestr(name, "<a/>")
+    data = held.getvalue()
+    names = lambda x: zipfile.ZipFile(io.BytesIO(x)).namelist()
+    assert [r[0] for r in cleaning.risks(data, "docx")] == ["office-macros"]
+    assert names(cleaning.clean(data, "docx", "light", ("props",))) == ["docProps/custom.xml", "word/comments.xml", "word/document.xml", "word/vbaProject.bin"]
+    assert names(cleaning.clean(data, "docx")) == ["word/document.xml"]
+
+
+def test_verdicts():
+    e = ("w", "k", "v", "low", "individual")
+    assert cleaning.verdict([], []) == ("unverifiable", 0, [])
+    assert cleaning.verdict([e], []) == ("clean", 0, []) and cleaning.verdict([e], [e]) == ("remaining", 1, ["k"])
+    assert cleaning.verdict([("w", "k", "", "low", "individual")], [("w", "k", "", "low", "individual")])[0] == "clean"
+    with pytest.raises(ValueError, match="próxima"):
+        cleaning.clean(b"x", "adei")
+
+
+@pytest.mark.parametrize("kind", sorted({*cleaning.BLOCKS, *media.STRIPPERS}))
+@settings(max_examples=20, deadline=None)
+@given(junk=st.binary(min_size=1, max_size=200), cut=st.integers(1, 400))
+def test_broken_files_are_cleaned_or_stay(kind, junk, cut):
+    whole = sample_file(kind, "Ana") if kind in SAMPLE_KINDS else junk
+    for data in (junk, whole[:cut]):
+        for blocks in ((), tuple(b for b, _ in cleaning.BLOCKS.get(kind, ()))):
+            cleaning.clean(data, kind, "light", blocks)
+        cleaning.clean(data, kind)
+        cleaning.risks(data, kind)
