@@ -1,20 +1,22 @@
-"""Main text of web pages by differencing each page against its nearest URL.
-
-Pages are ordered by host and URL path. A page's neighbours are the pages before and
-after it in that order; the one of the same host that shares more of the path is its
-partner. Both become lists of text lines (one a block of the page), the lists are
-aligned by longest common subsequence, and shared lines go: they are the template of
-the site. An explicit article or main element is evidence: a line inside it goes only
-if both neighbours share it and neither repeats half of the element, so chance and
-copies take nothing. Lines outside stay unless shared or noise. A page that no partner
-can be differenced with is its article or main element, if that holds more than half of
-the page. A copy of the page is no partner. Template lines that differ on every page (a menu of own links, a
-comment, an advert) are known by their element: nav, header, footer, aside, form,
-script, style, hidden elements, and containers whose class, id or role says so.
-
-The order is cut into ranges at keys from a bounded sample. The neighbours across a
-cut are looked up beforehand (two pages a range), so a page's partner does not depend
-on where the cuts fall, and a host with a third of all pages is many ranges.
+"""Main text of web pages by differencing each page against its nearest URLs.
+
+Every page becomes a list of text lines, one a block of the page. Pages are ordered by host
+and URL path; a page's neighbours are the NEAR nearest pages of its host on either side in
+that order whose lines are not all the same, however many copies lie between. The nearest by
+path is the partner: the lists are aligned by longest common subsequence, and shared lines
+go: they are the template of the site. A page that is nearly the same (see copies()) is
+passed over for the next. An explicit article or main element is evidence: a line inside it
+goes only if two neighbours share it and neither repeats half of the element, so chance and
+copies take nothing. Lines outside stay unless shared or noise. A page that no neighbour can
+be differenced with is its article or main element, if that holds more than half of the page.
+Template lines that differ on every page (a menu of own links, a comment, an advert) are
+known by their element: nav, header, footer, aside, form, script, style, hidden elements, and
+containers whose class, id or role says so.
+
+The order is cut into ranges at keys from a bounded sample; copies and repeated rows have keys
+of their own, so they are cut like all others. The neighbours across a cut come as rows of the
+same shuffle, so a page's partner does not depend on where the cuts fall, and a host with a
+third of all pages is many ranges. The driver sees keys alone, at most 2 * NEAR a range.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its
 own; equal URLs are ordered by page id; repeated rows each give a row. No line of the
@@ -24,21 +26,26 @@ main text is dropped or cut.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as html_lib
+import itertools
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from burin.llm.common import sampled
+from burin.llm.common import persisted, sampled
 
 #: Pages of a range, ranges at most, sampled keys for each range.
 RANGE_PAGES, MOST_RANGES, KEYS_A_RANGE = 2000, 10_000, 20
-#: A partner with which a page shares this part of its characters is a copy of the page.
-COPY = 0.9
+#: Pages that share this part of their characters are copies of each other; neighbours on a side that are looked at.
+COPY, NEAR = 0.9, 3
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -49,6 +56,7 @@ _CELLS = {"td", "th"}
 _NOISE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "fieldset"}
 _MAIN = {"article", "main"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSED_BY = {name: closed | _INLINE for name, closed in _CLOSES.items()}
 _NOISE_WORDS = {
     "ad", "ads", "adv", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "sidebar", "aside", "footer", "header", "masthead",
     "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "disqus", "respond", "replies", "reply",
@@ -94,6 +102,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     begun: list[tuple[int, int, str]] = []
     by_word: list[tuple[int, int, int]] = []
     articles: list[tuple[int, int, int, bool]] = []
+    depth: Counter[str] = Counter()
 
     def flush() -> None:
         if parts:
@@ -106,6 +115,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     def pop() -> None:
         nonlocal noise, main
         name, bad = open_.pop()
+        depth[name] -= 1
         noise -= bad == _CERTAIN
         main -= name in _MAIN
         if bad == _BY_WORD or name in _MAIN:
@@ -133,7 +143,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         elif name == "br" or name in _CELLS:
             parts.append(" ")
         if closing:
-            if name not in _VOID and any(n == name for n, _ in open_):
+            if name not in _VOID and depth[name]:
                 while open_[-1][0] != name:
                     pop()
                 pop()
@@ -151,10 +161,11 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if name in _VOID or attributes.endswith("/") and name in _INLINE:
             continue
         if name in _CLOSES:
-            while open_ and open_[-1][0] in _CLOSES[name] | _INLINE and any(n in _CLOSES[name] for n, _ in open_):
+            while open_ and open_[-1][0] in _CLOSED_BY[name] and any(depth[n] for n in _CLOSES[name]):
                 pop()
         bad = _noise(name, attributes, main > 0)
         open_.append((name, bad))
+        depth[name] += 1
         noise += bad == _CERTAIN
         main += name in _MAIN
         if bad == _BY_WORD or name in _MAIN:
@@ -163,10 +174,12 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     while open_:
         pop()
     article = max((a for a in articles if not a[3]), default=None)
+    edges = [0] * (len(out) + 1)
     for line, end, held in by_word:
         if not (line <= article[1] and article[2] <= end if article and article[0] else 2 * held > total):
-            out[line:end] = [(text, True, inside) for text, _, inside in out[line:end]]
-    return out
+            edges[line] += 1
+            edges[end] -= 1
+    return [(text, bad or cover > 0, inside) for (text, bad, inside), cover in zip(out, itertools.accumulate(edges), strict=False)]
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
@@ -202,29 +215,55 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def main_text(page: list[tuple[str, bool, bool]], partners: list[list[int]]) -> str:
+@dataclass(eq=False)
+class Page:
+    """Lines of a page (text, noise, inside an article), a hash of each, and the characters of all; the rows that are this page, and its neighbours."""
+
+    path: str
+    content: str
+    lines: list[tuple[str, bool, bool]]
+    hashes: list[int] = field(init=False)
+    weight: int = field(init=False)
+    rows: list[tuple] = field(default_factory=list)
+    before: list[Page] = field(default_factory=list)
+    after: list[Page] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.hashes = [hash(line) for line, _, _ in self.lines]
+        self.weight = sum(len(line) for line, _, _ in self.lines)
+
+
+def copies(page: Page, other: Page, gone: set[int]) -> bool:
+    """Whether two pages are nearly the same: shared lines are nearly all of both, and at least half of the page's article if it has one."""
+    size = lambda places: sum(len(page.lines[i][0]) for i in places)
+    body = [i for i, (_, noise, inside) in enumerate(page.lines) if inside and not noise]
+    return size(gone) >= COPY * max(page.weight, other.weight) and 2 * size(i for i in body if i in gone) >= size(body)
+
+
+def main_text(page: Page, partners: list[Page]) -> str:
     """The page's own lines, differenced against the partners that share lines and are no copies of it, nearest first.
 
     A line outside a container goes if the nearest such partner has it; one inside goes if two
     partners have it that do not repeat the container. A page without such a partner is its
     container, if that holds more than half of what is no noise, and else all of this.
     """
-    own = [hash(line) for line, _, _ in page]
-    weight = sum(len(line) for line, _, _ in page)
-    body = [i for i, (_, noise, inside) in enumerate(page) if inside and not noise]
-    body_weight = sum(len(page[i][0]) for i in body)
+    lines = page.lines
+    body = [i for i, (_, noise, inside) in enumerate(lines) if inside and not noise]
+    body_weight = sum(len(lines[i][0]) for i in body)
     differenced, witnesses = [], []
     for partner in partners:
-        gone = shared(own, partner)
-        if gone and sum(len(page[i][0]) for i in gone) < COPY * weight:
+        gone = shared(page.hashes, partner.hashes)
+        if gone and not copies(page, partner, gone):
             differenced.append(gone)
-            if 2 * sum(len(page[i][0]) for i in body if i in gone) < body_weight:
+            if 2 * sum(len(lines[i][0]) for i in body if i in gone) < body_weight:
                 witnesses.append(gone)
+        if len(witnesses) == 2 or differenced and not body:
+            break
     if not differenced:
-        contained = 2 * body_weight > sum(len(line) for line, noise, _ in page if not noise)
-        return "\n".join(line for line, noise, inside in page if not noise and (inside or not contained))
+        contained = 2 * body_weight > sum(len(line) for line, noise, _ in lines if not noise)
+        return "\n".join(line for line, noise, inside in lines if not noise and (inside or not contained))
     template = witnesses[0] & witnesses[1] if len(witnesses) > 1 else set()
-    return "\n".join(line for i, (line, noise, inside) in enumerate(page) if not noise and i not in (template if inside else differenced[0]))
+    return "\n".join(line for i, (line, noise, inside) in enumerate(lines) if not noise and i not in (template if inside else differenced[0]))
 
 
 def nearness(a: str, b: str) -> tuple[int, int]:
@@ -234,100 +273,161 @@ def nearness(a: str, b: str) -> tuple[int, int]:
     return segments, next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
 
 
-def _key(url: str, page_id: str) -> Column:
-    """host, path and id in one string that sorts by them."""
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
-    path = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", "")
-    return F.concat_ws("\x01", host, F.translate(path, "\x01", " "), F.lpad(F.coalesce(F.col(page_id).cast("string"), F.lit("")), 20, "0"))
-
-
-def _host_path(key: str) -> tuple[str, str]:
-    host, path, _ = key.split("\x01")
-    return host, path
+_SEPARATOR = "\x01"
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, html, host, path, place in; the page's lines, a byte of marks for each, and its key out."""
     for batch in batches:
-        lines = ["\n".join(line for line, _, _ in lines_of(h or "")) for h in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(lines, pa.string())], ["k", "lines"])
+        html, (host, path, place) = batch.column(2), (batch.column(i).to_pylist() for i in (3, 4, 5))
+        at = 0
+        while at < len(html):
+            lines, marks, keys, start, size = [], [], [], at, 0
+            while at < len(html) and size < 8 << 20:
+                own = lines_of(html[at].as_py() or "")
+                text = "\n".join(line for line, _, _ in own)
+                lines.append(text)
+                marks.append(bytes(noise + 2 * inside for _, noise, inside in own))
+                content = hashlib.blake2b(text.encode("utf-8", "replace") + b"\0" + marks[-1], digest_size=16).hexdigest()
+                keys.append(_SEPARATOR.join((host[at], path[at], place[at], content)))
+                size += len(text)
+                at += 1
+            kept = batch.slice(start, at - start)
+            yield pa.record_batch([kept.column(0), kept.column(1), pa.array(keys, pa.string()), pa.array(lines, pa.string()), pa.array(marks, pa.binary())], ["page_id", "url", "k", "lines", "marks"])
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """b, k sorted by both in; of each range the keys of its first host's first NEAR contents (side 0) and its last host's last ones (side 1)."""
+
+    def rows(b: int, first: list[str], last: dict[str, str]) -> pa.RecordBatch:
+        keys = [*first, *last.values()]
+        sides = [0] * len(first) + [1] * len(last)
+        return pa.record_batch([pa.array([b] * len(keys), pa.int32()), pa.array(sides, pa.int32()), pa.array(keys, pa.string())], ["b", "side", "k"])
+
+    at, first, last, host, start, met = None, [], {}, None, None, set()
+    for batch in batches:
+        for b, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own, _, _, content, _ = k.split(_SEPARATOR)
+            if b != at:
+                if at is not None:
+                    yield rows(at, first, last)
+                at, first, last, host, start, met = b, [], {}, own, own, set()
+            if own != host:
+                host, last = own, {}
+            if own == start and len(first) < NEAR and content not in met:
+                first.append(k)
+                met.add(content)
+            last.setdefault(content, k)
+            if len(last) > NEAR:
+                del last[next(iter(last))]
+    if at is not None:
+        yield rows(at, first, last)
+
+
+def _across(edges: dict[int, tuple[list[str], list[str]]]) -> list[tuple[int, str]]:
+    """(range, key) of the pages of other ranges that a range's pages have as neighbours."""
+    order, out = sorted(edges), []
+    part = lambda k, i: k.split(_SEPARATOR)[i]
+    for i, b in enumerate(order):
+        for step, (near, far) in ((-1, (0, 1)), (1, (1, 0))):
+            own = edges[b][near][0 if near == 0 else -1]
+            host, met, j = part(own, 0), set(), i + step
+            while 0 <= j < len(order) and len(met) < NEAR:
+                there = edges[order[j]]
+                for k in there[far] if far == 0 else reversed(there[far]):
+                    if part(k, 0) == host and part(k, 3) not in met and len(met) < NEAR:
+                        met.add(part(k, 3))
+                        out.append((b, k))
+                if part(there[near][0 if near == 0 else -1], 0) != host:
+                    break
+                j += step
+    return out
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row of pages."""
     spark = pages.sparkSession
-    slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), _key(url, page_id).alias("k"))
-    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slim.count() // RANGE_PAGES)))
-    keys = sorted(r["k"] for r in sampled(slim.select("k"), n * KEYS_A_RANGE, 31, "k").collect())
+    slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    kind = slim.schema["page_id"].dataType
+    address = F.translate(F.coalesce("url", F.lit("")), _SEPARATOR, " ")
+    host = F.lower(F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+    path = F.regexp_replace(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", "")
+    place = F.translate(F.coalesce(F.col("page_id").cast("string"), F.lit("")), _SEPARATOR, " ")
+    if isinstance(kind, IntegralType):
+        place = F.lpad(place, 20, "0")
+    lined = slim.select("page_id", "url", "html", host.alias("host"), path.alias("path"), place.alias("place")).mapInArrow(_parsed, f"page_id {kind.simpleString()}, url string, k string, lines string, marks binary")
+    # Rows that repeat get keys of their own, fixed by being written.
+    held = persisted(lined.withColumn("k", F.concat_ws(_SEPARATOR, "k", F.hex(F.monotonically_increasing_id()))))
+    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // RANGE_PAGES)))
+    keys = sorted(r["k"] for r in sampled(held.select("k"), n * KEYS_A_RANGE, 31, "k").collect())
     cuts = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
 
     @F.pandas_udf("int")
     def range_of(k: pd.Series) -> pd.Series:
         return k.map(lambda x: bisect.bisect_right(cuts, x))
 
-    ends = slim.select("k", range_of("k").alias("b")).groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("b").collect()  # two keys a range
-    before, after = {}, {}
-    for one, two in zip(ends[:-1], ends[1:], strict=True):
-        if _host_path(one["hi"])[0] == _host_path(two["lo"])[0]:
-            before[two["b"]], after[one["b"]] = one["hi"], two["lo"]
-    wanted = sorted({*before.values(), *after.values()})
-    edge: dict[str, list[int]] = {}
-    if wanted:
-        found = slim.join(F.broadcast(spark.createDataFrame([(k,) for k in wanted], "k string")), "k").select("k", "html")
-        texts = {r["k"]: r["lines"] for r in found.mapInArrow(_hashes, "k string, lines string").collect()}  # two pages a range
-        edge = {k: v.split("\n") if v else [] for k, v in texts.items()}
-    sent = spark.sparkContext.broadcast((before, after, edge))
-    dealt = slim.withColumn("b", range_of("k")).repartition(n, "b").sortWithinPartitions("b", "k")
-    kind = slim.schema["page_id"].dataType.simpleString()
-    return dealt.mapInArrow(_difference(sent), f"page_id {kind}, url string, text string, n_chars long")
-
-
-def _difference(sent):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after, edge = sent.value
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                ids = batch.column(0)
-                for i, (u, h, k, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
-                    lines = lines_of(h or "")
-                    yield ids[i], u, lines, [hash(x[0]) for x in lines], k, b
-
-        def outer(key: str | None) -> tuple | None:
-            return None if key is None else (None, None, None, [hash(x) for x in edge.get(key, [])], key, None)
-
-        def done(last: tuple | None, row: tuple, then: tuple | None) -> tuple:
-            near = []
-            host, path = _host_path(row[4])
-            for other in (last, then):
-                if other is not None and _host_path(other[4])[0] == host:
-                    near.append((nearness(path, _host_path(other[4])[1]), other[3]))
-            near.sort(key=lambda x: x[0], reverse=True)
-            text = main_text(row[2], [x[1] for x in near])
-            return row[0], row[1], text, len(text)
-
-        def results() -> Iterator[tuple]:
-            last = row = None
-            for then in rows():
-                if row is not None:
-                    yield done(last, row, then if then[5] == row[5] else outer(after.get(row[5])))
-                last, row = (row, then) if row is not None and row[5] == then[5] else (outer(before.get(then[5])), then)
-            if row is not None:
-                yield done(last, row, outer(after.get(row[5])))
-
-        held = []
-        size = 0
-        for r in results():
-            held.append(r)
-            size += len(r[2])
-            if size > 4 << 20 or len(held) >= 2000:
-                yield _batch(held)
-                held, size = [], 0
-        if held:
-            yield _batch(held)
+    dealt = lambda df: df.repartition(n, "b").sortWithinPartitions("b", "k")
+    found = dealt(held.select(range_of("k").alias("b"), "k")).mapInArrow(_edges, "b int, side int, k string").collect()  # 2 * NEAR keys a range
+    edges: dict[int, tuple[list[str], list[str]]] = {}
+    for r in found:
+        edges.setdefault(r["b"], ([], []))[r["side"]].append(r["k"])
+    columns = ["b", "k", "page_id", "url", "lines", "marks"]
+    rows = held.withColumn("b", range_of("k")).select(*columns, F.lit(False).alias("outer"))
+    if outer := _across(edges):
+        wanted = F.broadcast(spark.createDataFrame(outer, "b int, k string"))  # 2 * NEAR keys a range
+        rows = rows.unionAll(held.join(wanted, "k").select(*columns, F.lit(True).alias("outer")))
+    return dealt(rows).mapInArrow(_difference, f"page_id {kind.simpleString()}, url string, text string, n_chars long")
 
-    return apply
 
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range and key in, neighbours from other ranges among them; the text of each row of the range out.
 
-def _batch(held: list[tuple]) -> pa.RecordBatch:
-    ids, urls, texts, sizes = zip(*held, strict=True)
-    return pa.record_batch([pa.array([x.as_py() for x in ids], ids[0].type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["page_id", "url", "text", "n_chars"])
+    Held at a time: the last NEAR pages and those that wait for the NEAR after them.
+    """
+    kind, held, size = None, [], 0
+
+    def done(page: Page) -> None:
+        nonlocal size
+        if page.rows:
+            near = sorted(((nearness(page.path, p.path), p) for p in [*page.before, *page.after]), key=lambda x: x[0], reverse=True)
+            text = main_text(page, [p for _, p in near])
+            held.extend((*row, text, len(text)) for row in page.rows)
+            size += len(text) * len(page.rows)
+        page.before = page.after = page.rows = ()
+
+    def out() -> pa.RecordBatch:
+        nonlocal size
+        ids, urls, texts, sizes = zip(*held, strict=True)
+        held.clear()
+        size = 0
+        return pa.record_batch([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    at, recent, waiting = None, deque(maxlen=NEAR), deque()
+    for batch in batches:
+        kind = batch.schema.field(2).type
+        for i, (b, k, page_id, url) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            host, path, _, content, _ = k.split(_SEPARATOR)
+            if (b, host) != at:
+                while waiting:
+                    done(waiting.popleft())
+                recent.clear()
+                at = b, host
+            page = next((p for p in recent if p.content == content), None)
+            if page is None:
+                text, marks = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
+                page = Page(path, content, [(line, bool(m & 1), m > 1) for line, m in zip(text.split("\n"), marks, strict=False)])
+                page.before = list(recent)
+                for p in waiting:
+                    p.after.append(page)
+                recent.append(page)
+                waiting.append(page)
+                while len(waiting[0].after) >= NEAR:
+                    done(waiting.popleft())
+            if not batch.column(6)[i].as_py():
+                page.rows.append((page_id, url))
+            if size > 4 << 20 or len(held) >= 2000:
+                yield out()
+    while waiting:
+        done(waiting.popleft())
+    if held:
+        yield out()
