@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burin.llm.common import blocks, held_out, text_buffers
+from burin.llm.common import blocks, held_out, powers, scramble, text_buffers
 
 WIDTHS = (2, 3, 4, 5)
 WINDOW, STEP = 256, 252
@@ -29,8 +29,8 @@ EMBED, FILTERS = 8, 8
 UNDETERMINED = "und"
 #: Training goes on over few windows until so many steps are made.
 LEAST_STEPS = 400
-#: Bounds of the training sample: texts of a language, windows of a text, languages.
-TEXTS_PER_LANG, WINDOWS_PER_TEXT, MOST_LANGS = 800, 4, 512
+#: Bounds of the training sample: texts of a language, windows of a text, texts of all languages.
+TEXTS_PER_LANG, WINDOWS_PER_TEXT, MOST_TEXTS = 800, 4, 200_000
 
 
 @dataclass
@@ -144,48 +144,44 @@ def train(codes: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int =
     return net
 
 
-def _sample_windows(seed: int):
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for i, j in blocks(offsets):
-                codes, row = windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                rank = np.random.default_rng(seed).random(len(row))
-                order = np.lexsort((rank, row))
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = order[nth < WINDOWS_PER_TEXT]
-                langs = batch.column(1).slice(i, j - i).take(pa.array(row[keep]))
-                yield pa.record_batch([pa.array([c.tobytes() for c in codes[keep]], pa.binary()), langs.cast(pa.string())], ["codes", "lang"])
-
-    return take
+def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WINDOWS_PER_TEXT windows of each text, chosen by a hash of their bytes, whatever stands beside them."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(0))
+        for i, j in blocks(offsets):
+            codes, row = windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            with np.errstate(over="ignore"):
+                rank = scramble((codes.astype(np.uint64) * powers(WINDOW)).sum(1))
+            order = np.lexsort((rank, row))
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = order[nth < WINDOWS_PER_TEXT]
+            langs = batch.column(1).slice(i, j - i).take(pa.array(row[keep]))
+            yield pa.record_batch([pa.array(rank[keep].view(np.int64)), pa.array([c.tobytes() for c in codes[keep]], pa.binary()), langs.cast(pa.string())], ["rank", "codes", "lang"])
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts_per_lang: int = TEXTS_PER_LANG, epochs: int = 3) -> ByteCNN:
-    """Fit on a bounded sample: about texts_per_lang texts of each of the MOST_LANGS most frequent languages.
+    """Fit on a bounded sample: about texts_per_lang texts of each language, fewer where that makes more than MOST_TEXTS.
 
     WINDOWS_PER_TEXT windows from anywhere in a text reach the driver, so the sample
-    is bounded in bytes too. Rows of the held-out fold (crc32 modulo 4 is 2), and rows
+    is bounded in bytes too. Texts and windows are chosen by hashes, so the sample is the
+    same however the rows are partitioned. Rows of the held-out fold (crc32 modulo 4 is 2), and rows
     with a null id, text or language, are not learned from.
     """
     known = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).where(~held_out("k", 4, 2) & F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") > 0))
-    counts = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGS).collect()
+    counts = known.groupBy("l").count().collect()  # a row for each language
     langs = sorted(r["l"] for r in counts)
     if not langs:
         return fresh([UNDETERMINED])
+    texts_per_lang = max(1, min(texts_per_lang, MOST_TEXTS // len(langs)))
     unit = 1 << 30
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["l"], min(unit, int(unit * texts_per_lang / r["count"])))])
     chosen = known.where(F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(unit)) < F.coalesce(share[F.col("l")], F.lit(0)))
-    got = chosen.select("t", "l").mapInArrow(_sample_windows(5), "codes binary, lang string").limit(2 * len(langs) * texts_per_lang * WINDOWS_PER_TEXT).toArrow()
+    taken = chosen.select("t", "l").mapInArrow(_sample_windows, "rank long, codes binary, lang string")
+    got = taken.orderBy("rank", "lang").limit(2 * len(langs) * texts_per_lang * WINDOWS_PER_TEXT).toArrow()
     codes = np.frombuffer(b"".join(got.column("codes").to_pylist()), np.int16).reshape(-1, WINDOW)
     index = {name: i for i, name in enumerate(langs)}
     labels = np.array([index[x] for x in got.column("lang").to_pylist()], np.int64)
-    order = np.lexsort((np.array([hash_of(c) for c in codes], np.int64), labels)) if len(labels) else np.zeros(0, int)
-    return train(codes[order], labels[order], langs, epochs)
-
-
-def hash_of(codes: np.ndarray) -> int:
-    """A fixed order of windows, whatever order the tasks gave them in."""
-    return int((codes.astype(np.int64) * (np.arange(WINDOW) + 1)).sum())
+    return train(codes, labels, langs, epochs)
 
 
 def predict(docs: DataFrame, net: ByteCNN, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -208,12 +208,13 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     """Fit on at most `bound` labels, chosen by a hash of their ids, joined to the features of `rows`."""
     known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(key, 4, 2))
     few = sampled(known, bound, 23, "doc_id")  # at most `bound` rows of two numbers: small enough to send
-    return _trained(rows.where(~F.col("held_out")).join(F.broadcast(few), "doc_id"))
+    return _trained(rows.where(~F.col("held_out")).join(F.broadcast(few), "doc_id"), bound)
 
 
-def _trained(rows: DataFrame) -> Gam:
-    """Train on doc_id, x, y of the labelled sample, in a fixed order."""
-    got = rows.select("doc_id", "x", "y").toArrow()
+def _trained(rows: DataFrame, bound: int) -> Gam:
+    """Train on doc_id, x, y of the labelled sample, in a fixed order; of an id that repeats one row, so `bound` rows at most."""
+    once = rows.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.x", "r.y")
+    got = once.limit(bound).toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = got.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, got.column("doc_id").to_numpy())) if got.num_rows else np.zeros(0, int)
@@ -236,7 +237,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(key, 4, 2))
     few = sampled(known, bound, 23, "doc_id")
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(few), "doc_id")
-    model = _trained(slim.mapInArrow(_features_of(["doc_id", "y"]), _kept_types(slim, ["doc_id", "y"]) + "x array<double>"))
+    model = _trained(slim.mapInArrow(_features_of(["doc_id", "y"]), _kept_types(slim, ["doc_id", "y"]) + "x array<double>"), bound)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,8 @@
 """Licence scan in DataFrame functions: Dice coefficient of word bigrams against templates.
 
-A unit is a line of a text, or a paragraph of several lines (lines between empty ones),
-for notices that are wrapped. Units and templates are normalised alike: A-Z in lower
+A unit is a line of a text, a sentence of a line of several (cut after . ; ! or ? and blanks),
+for notices inside prose, or a paragraph of several lines (lines between those without a
+letter or digit), for notices that are wrapped or in comments. Units and templates are normalised alike: A-Z in lower
 case, everything but a-z and 0-9 a separator. A unit's distinct word bigrams A and a
 template's B have the coefficient 2 |A and B| / (|A| + |B|), which can reach t only if
 t / (2 - t) <= |A| / |B| <= (2 - t) / t: these bounds on sizes, taken first over all
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: What ends a sentence of a line, and a paragraph: regular expressions of both engines.
+SENTENCE_END, PARAGRAPH_END = r"([.;!?])[ \t]+", r"\n[^A-Za-z0-9\n]*\n"
 
 # Notices by which texts state their licence, and the operative paragraphs of short licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -33,6 +36,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
@@ -46,8 +51,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-3.0-or-later", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("ISC", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -105,8 +115,10 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: tu
     every = F.array(*[F.lit(g) for g in sorted({g for _, grams in known for g in grams})])
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda u: F.trim(u) != "")
-    paragraphs = F.filter(F.split(body, r"\n[ \t\r]*\n"), lambda u: F.contains(F.trim(u), F.lit("\n")))
-    units = F.concat(lines, paragraphs)
+    several = F.filter(lines, lambda u: u.rlike(SENTENCE_END + "[^ \t]"))
+    sentences = F.flatten(F.transform(several, lambda u: F.filter(F.split(F.regexp_replace(u, SENTENCE_END, "$1\n"), "\n"), lambda x: F.trim(x) != "")))
+    paragraphs = F.filter(F.split(body, PARAGRAPH_END), lambda u: F.contains(F.trim(u), F.lit("\n")))
+    units = F.concat(lines, sentences, paragraphs)
 
     def best(grams: Column) -> Column:
         size, scored = F.size(grams), []
@@ -147,7 +159,8 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FRO
 u AS (
   SELECT rid, unnest(list_concat(
     list_filter(string_split(body, chr(10)), lambda x: trim(x) <> ''),
-    list_filter(regexp_split_to_array(body, '\\n[ \\t\\r]*\\n'), lambda x: contains(trim(x), chr(10))))) AS unit
+    flatten(list_transform(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{SENTENCE_END}[^ \\t]')), lambda x: list_filter(string_split(regexp_replace(x, '{SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)), lambda y: trim(y) <> ''))),
+    list_filter(regexp_split_to_array(body, '{PARAGRAPH_END}'), lambda x: contains(trim(x), chr(10))))) AS unit
   FROM d),
 g AS (
   SELECT rid, row_number() OVER () AS uid, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS a

@@ -28,7 +28,7 @@ from burin.llm.common import blocks, text_buffers
 from burin.llm.pieces import SPACE, PieceModel, load, resolve
 
 #: Words whose ids a worker keeps before it starts afresh.
-MOST_WORDS = 250_000
+MOST_WORDS = 150_000
 #: Merges that may wait for one before them, in runs of one character whose pieces rank out of order (blanks); beyond this the run is merged by a queue.
 QUEUED = 64
 _NEVER = np.int64(1) << np.int64(60)

@@ -32,6 +32,8 @@ from burin.llm.common import FOLD, blocks, persisted, scramble, text_buffers, wo
 WINDOW = 10
 #: Words of benchmark windows searched in one pass (some 40 MB of tables).
 PASS_WORDS = 1_000_000
+#: Candidates (a place and a window of its bucket) that are compared at once, about.
+CANDIDATES = 2_000_000
 #: Places searched by one lane.
 LANE = 512
 
@@ -133,13 +135,21 @@ def occurrences(p: Patterns, symbols: np.ndarray, text_end: np.ndarray, text_of:
     end = np.concatenate(ends)
     key = _suffix(symbols, end, b)
     lo, hi = np.searchsorted(p.suffix, key), np.searchsorted(p.suffix, key, side="right")
+    # A bucket may hold many windows and its suffix stand at many places: candidates go in slices.
     n = hi - lo
-    place = np.repeat(end, n)
-    window = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    # Compare the first word of all candidates, then the rest of those that are left.
-    for k in range(m):
-        same = symbols[place - m + k] == p.symbols[window, k]
-        place, window = place[same], window[same]
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + 1, CANDIDATES), side="right")
+    cuts = np.unique(np.concatenate([[0], cuts, [len(n)]]))
+    found = [(none, none)]
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = n[i:j]
+        place = np.repeat(end[i:j], own)
+        window = np.repeat(lo[i:j], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        # Compare the first word of all candidates, then the rest of those that are left.
+        for k in range(m):
+            same = symbols[place - m + k] == p.symbols[window, k]
+            place, window = place[same], window[same]
+        found.append((place, window))
+    place, window = (np.concatenate(x) for x in zip(*found, strict=True))
     return place, window
 
 
@@ -188,7 +198,7 @@ def _passes(items: DataFrame, key: str, text: str, bound: int) -> list[DataFrame
     slim = items.select(F.col(key).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
     # A window starts at each word, and a word is preceded by a separator: at most WINDOW times half the bytes.
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size * WINDOW // (4 * bound)))
+    parts = max(1, -(-size * WINDOW // (2 * bound)))
     if parts == 1:
         return [slim]
     return [slim.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
