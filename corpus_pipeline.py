@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burin.llm import byte_cnn, gam, jaccard_join, merge_rounds, wu_manber
-from burin.llm.common import persisted, table
+from burin.llm.common import persisted, scratch, table
 from burin.shipping import ship
 
 
@@ -60,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = persisted(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):  # a stage's own tables go once its rows are written
+            docs = persisted(stage(spark, docs, sf_dir), keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
