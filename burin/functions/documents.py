@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import html
 import io
+import itertools
 import json
 import re
 import tomllib
 import zipfile
 import zlib
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -287,31 +289,37 @@ def _inline(text: str) -> str:
     return text
 
 
+def _line_kind(line: str) -> str:
+    return "heading" if re.match(r"#{1,6}\s", line) else "item" if re.match(r"\s*[-*+]\s", line) else "text"
+
+
+def _prose_html(lines: list[str]) -> Iterator[str]:
+    """Headings and paragraphs line by line, neighbouring list items as one list."""
+    for kind, group in itertools.groupby(lines, _line_kind):
+        if kind == "item":
+            items = [_inline(re.sub(r"^\s*[-*+]\s+", "", line)) for line in group]
+            yield "<ul>\n" + "\n".join(f"  <li>{i}</li>" for i in items) + "\n</ul>"
+            continue
+        for line in group:
+            marks = len(line) - len(line.lstrip("#")) if kind == "heading" else 0
+            if marks:
+                yield f"<h{marks}>{line[marks:].lstrip()}</h{marks}>"
+            elif line.strip():
+                yield f"<p>{_inline(line)}</p>"
+
+
 def md_body_to_html(escaped: str) -> str:
-    """Escaped Markdown lines as blocks: fenced code, headings, grouped lists, paragraphs."""
-    out: list[str] = []
-    code: list[str] | None = None
-    items: list[str] = []
-    for line in [*re.split(r"\r?\n", escaped), None]:
-        item = re.match(r"\s*[-*+]\s+(.*)$", line) if line is not None and code is None else None
-        fence = line is not None and line.lstrip().startswith("```")
-        heading = re.match(r"(#{1,6})\s+(.*)$", line) if line is not None and code is None else None
-        if items and not (item and not heading and not fence) and not (code is not None):
-            out.append("<ul>\n" + "\n".join(f"  <li>{i}</li>" for i in items) + "\n</ul>")
-            items = []
-        if fence or line is None:
-            if code:
-                out.append(f"<pre><code>{chr(10).join(code)}</code></pre>")
-            code = [] if code is None and fence else None
-        elif code is not None:
-            code.append(line)
-        elif heading:
-            out.append(f"<h{len(heading[1])}>{heading[2]}</h{len(heading[1])}>")
-        elif item:
-            items.append(_inline(item[1]))
-        elif line.strip():
-            out.append(f"<p>{_inline(line)}</p>")
-    return "\n".join(out)
+    """Escaped Markdown as HTML: fences part it into prose and code in turn, the last code may be open."""
+    lines = re.split(r"\r?\n", escaped)
+    fences = [i for i, line in enumerate(lines) if line.lstrip().startswith("```")]
+    blocks: list[str] = []
+    for k, (before, end) in enumerate(itertools.pairwise([-1, *fences, len(lines)])):
+        part = lines[before + 1 : end]
+        if k % 2 == 0:
+            blocks += _prose_html(part)
+        elif part:
+            blocks.append("<pre><code>" + "\n".join(part) + "</code></pre>")
+    return "\n".join(blocks)
 
 
 def md_to_html(text: str, name: str = "documento") -> str:

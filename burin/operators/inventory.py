@@ -130,6 +130,12 @@ def row_plan(removal: Column, mode: str, any_deletable: Column) -> Column:
     return F.when(removal == "never", plan("never")).when(spared, plan("kept")).when(removal == "individual", plan("individual")).otherwise(plan("with-container"))
 
 
+def group_plans(plans: DataFrame, artifact: str, plan: str = "plan") -> DataFrame:
+    """One row for each place of an artifact: the plan of its entries, or `mixed` where they differ."""
+    some = F.min(plan)
+    return plans.groupBy(artifact, "where").agg(F.when(F.min(plan) != F.max(plan), F.lit("mixed")).otherwise(some).alias("plan"))
+
+
 # Why an entry of a page is kept.
 PRESERVED = {
     "doctype": "Se conserva: es la declaración estructural del documento.",

@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burin.functions import pdf
+from burin.functions import documents, pdf
+from burin.functions.text import base_name, let
+from burin.operators import pages as P
 from burin.operators.convert import _guarded
 
 RESULT = "result binary, error string"
@@ -36,6 +38,41 @@ def select_pages(content: Column, pages: Column) -> Column:
     return apply(content, pages)
 
 
+def split_plan(total: Column, mode: Column, text: Column, pages: Column | None = None, output: Column | None = None) -> Column:
+    """struct(pages, separate, suffix, error) of a split.
+
+    With `pages` (the selector's: no repeats, pages that exist) `output` is unido or separado;
+    else `mode` is rango (of the page list `text`), pares, impares or cada. `total` is used in
+    lambdas, so a page_count() has to be a column of a written table, not of the same plan.
+    """
+    every, mode = P.up_to(total), F.coalesce(mode, F.lit("rango"))
+    classic = F.when(mode == "cada", every).when(mode.isin("pares", "impares"), P.preset_pages(mode, total)).otherwise(P.in_range(P.parse_page_list(text), total))
+    named = classic if pages is None else F.when(pages.isNotNull(), F.array_distinct(P.in_range(pages, total))).otherwise(classic)
+    apart = mode == "cada"
+    if pages is not None:
+        chosen = F.coalesce(output, F.lit("unido")) if output is not None else F.lit("unido")
+        apart = F.when(pages.isNotNull(), chosen == "separado").otherwise(apart)
+        mode = F.when(pages.isNotNull(), F.lit("rango")).otherwise(mode)
+    suffix = F.when(apart, "-paginas.zip").when(mode.isin("pares", "impares"), F.concat(F.lit("-"), mode, F.lit(".pdf"))).otherwise("-recortado.pdf")
+    return let(named, lambda p: F.struct(p.alias("pages"), apart.alias("separate"), suffix.alias("suffix"), F.when(F.size(p) == 0, "Indica el rango de páginas").alias("error")))
+
+
+def split(content: Column, name: Column, plan: Column) -> Column:
+    """struct(file struct(result, error), name) of a split_plan(): one file, or a ZIP with a file for each page."""
+
+    def one(data: bytes, pages: list[int], separate: bool) -> bytes:
+        if not separate:
+            return pdf.with_pages(data, pages)
+        return documents._zip([(f"pagina-{p}.pdf", pdf.with_pages(data, [p])) for p in pages])
+
+    @F.pandas_udf(RESULT)
+    def apply(data: pd.Series, pages: pd.Series, separate: pd.Series) -> pd.DataFrame:
+        return _frame(_guarded(lambda b, p=p, s=s: one(b, [int(x) for x in p], bool(s)))(b) for b, p, s in zip(data, pages, separate, strict=True))
+
+    named = F.concat(base_name(name), plan["suffix"])
+    return F.struct(apply(content, plan["pages"], plan["separate"]).alias("file"), named.alias("name"))
+
+
 def delete_pages(content: Column, pages: Column) -> Column:
     @F.pandas_udf(RESULT)
     def apply(data: pd.Series, removed: pd.Series) -> pd.DataFrame:

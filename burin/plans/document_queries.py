@@ -67,33 +67,55 @@ def binary_strip(spark, d):
 
 
 def _pdfs(spark, d):
-    """One PDF a conversation: a line for each turn, three lines to a page."""
-    turn = F.concat(F.lit("turn "), F.col("turn").cast("string"))
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(turn)), "\n").alias("t"), F.count("*").alias("n"))
-    return rows.select("conv_id", "n", "t", convert(F.repeat(F.concat("t", F.lit("\n")), 40), "txt-to-pdf")["result"].alias("pdf"))
+    """One PDF a conversation: twelve lines for each turn, which name it and the digest of its whole text, 48 to a page."""
+    line = F.concat(F.col("turn").cast("string"), F.lit("."), F.col("j").cast("string"), F.lit(" "), F.sha2(F.coalesce("text", F.lit("")), 256))
+    lines = table(spark, d, "conversations").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(12)))).select("conv_id", F.struct("turn", "j", line.alias("line")).alias("l"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
+    rows = lines.groupBy("conv_id").agg(text.alias("t"), F.ceil(F.count("*") / 48).cast("int").alias("made"))
+    return rows.select("conv_id", "made", convert(F.col("t"), "txt-to-pdf")["result"].alias("pdf"))
 
 
-@query("SELECT conv_id, CAST(ceil((n * 40 + 1) / 48.0) AS INTEGER) AS pages, CAST(ceil((n * 40 + 1) / 48.0) AS INTEGER) AS reversed, NULL::VARCHAR AS error FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+_PDF_LINES = "l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, j) - 1 AS i, concat(turn, '.', j, ' ', sha256(coalesce(text, ''))) AS line FROM conversations, (SELECT unnest(range(1, 13)) AS j)), pg AS (SELECT conv_id, i // 48 AS p, string_agg(line, chr(10) ORDER BY i) AS body FROM l GROUP BY ALL)"
+
+
+@query(f"WITH {_PDF_LINES} SELECT conv_id, CAST(count(*) AS INTEGER) AS pages, string_agg(body, chr(10) || chr(10) ORDER BY p DESC) AS body, NULL::VARCHAR AS error FROM pg GROUP BY conv_id")
 def pdf_reorder(spark, d):
-    """Pages of a file in reverse order: counted before and after."""
+    """Pages of a file in reverse order, read again."""
     rows = _pdfs(spark, d).withColumn("pages", pdf_files.page_count(F.col("pdf")))
     turned = rows.select("conv_id", "pages", pdf_files.select_pages(F.col("pdf"), F.reverse(P.up_to(F.col("pages")))).alias("c"))
-    return turned.select("conv_id", "pages", pdf_files.page_count(F.col("c.result")).alias("reversed"), "c.error")
+    read = turned.select("conv_id", "pages", convert(F.col("c.result"), "pdf-to-txt").alias("t"), "c.error")
+    return read.select("conv_id", "pages", F.col("t.result").alias("body"), "error")
 
 
-@query("SELECT conv_id // 4 AS target, CAST(sum(ceil((n * 40 + 1) / 48.0)) AS INTEGER) AS pages, NULL::VARCHAR AS error FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) GROUP BY target")
+@query(f"WITH {_PDF_LINES} SELECT conv_id // 4 AS target, string_agg(body, chr(10) || chr(10) ORDER BY conv_id, p) AS body, NULL::VARCHAR AS error FROM pg GROUP BY target")
 def pdf_merge(spark, d):
     made = pdf_files.merge(_pdfs(spark, d).select(F.expr("conv_id div 4").alias("target"), "conv_id", F.col("pdf").alias("bytes")), "target", "conv_id")
-    return made.select("target", pdf_files.page_count(F.col("result")).alias("pages"), "error")
+    return made.select("target", convert(F.col("result"), "pdf-to-txt")["result"].alias("body"), "error")
 
 
-@query("SELECT conv_id, repeat(concat(string_agg(concat('turn ', turn), chr(10) ORDER BY concat('turn ', turn)), chr(10)), 40) AS body, NULL::VARCHAR AS error FROM conversations GROUP BY conv_id")
+@query(f"WITH {_PDF_LINES} SELECT conv_id, string_agg(body, chr(10) || chr(10) ORDER BY p) AS body, NULL::VARCHAR AS error FROM pg GROUP BY conv_id")
 def pdf_text(spark, d):
     """Text of a stamped and compressed file, without the stamps."""
     stamped = _pdfs(spark, d).select("conv_id", pdf_files.sign(F.col("pdf"), "STAMP")["result"].alias("pdf"))
     small = stamped.select("conv_id", pdf_files.compress(F.col("pdf"))["result"].alias("pdf"))
     read = small.select("conv_id", convert(F.col("pdf"), "pdf-to-txt").alias("c"))
-    return read.select("conv_id", F.concat(F.rtrim(F.regexp_replace(F.regexp_replace("c.result", "\n?STAMP", ""), "\n+", "\n"), F.lit("\n")), F.lit("\n")).alias("body"), "c.error")
+    return read.select("conv_id", F.regexp_replace("c.result", "\n?STAMP", "").alias("body"), "c.error")
+
+
+@query(f"""WITH {_PDF_LINES}, m AS (SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'rango' WHEN 1 THEN 'pares' WHEN 2 THEN 'impares' ELSE 'cada' END AS mode, count(*) AS n FROM pg GROUP BY conv_id),
+k AS (SELECT pg.conv_id, body, m.mode, CASE m.mode WHEN 'rango' THEN -p ELSE p END AS o FROM pg JOIN m USING (conv_id) WHERE CASE m.mode WHEN 'rango' THEN p < 2 WHEN 'pares' THEN p % 2 = 1 WHEN 'impares' THEN p % 2 = 0 ELSE TRUE END)
+SELECT m.conv_id, concat('c', m.conv_id, CASE m.mode WHEN 'rango' THEN '-recortado.pdf' WHEN 'cada' THEN '-paginas.zip' ELSE concat('-', m.mode, '.pdf') END) AS name, CASE WHEN m.mode = 'cada' THEN NULL ELSE string_agg(body, chr(10) || chr(10) ORDER BY o) END AS body,
+  CASE WHEN m.mode = 'cada' THEN (SELECT string_agg(concat('pagina-', x, '.pdf'), chr(10) ORDER BY x) FROM (SELECT unnest(range(1, m.n + 1)) AS x)) END AS files, CASE WHEN m.mode <> 'cada' AND count(body) = 0 THEN 'Indica el rango de páginas' END AS error
+FROM m LEFT JOIN k USING (conv_id) GROUP BY m.conv_id, m.mode, m.n""")
+def pdf_split(spark, d):
+    """The four classic modes of a split by conversation: pages 2 and 1, even, odd, and a ZIP of every page."""
+    mode = F.element_at(F.array(*map(F.lit, ("rango", "pares", "impares", "cada"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    rows = _pdfs(spark, d).withColumn("plan", pdf_files.split_plan(F.col("made"), mode, F.lit(" 2 , x, 1-1")))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".pdf"))
+    cut = rows.select("conv_id", F.col("plan.separate").alias("apart"), pdf_files.split(F.col("pdf"), name, F.col("plan")).alias("s"))
+    read = cut.select("conv_id", "s.name", "apart", F.col("s.file.error").alias("error"), convert(F.col("s.file.result"), "pdf-to-txt").alias("t"), convert(F.col("s.file.result"), "zip-to-manifest").alias("z"))
+    names = F.array_join(F.regexp_extract_all("z.result", F.lit(r"(pagina-\d+\.pdf)"), 1), "\n")
+    return read.select("conv_id", "name", F.when(~F.col("apart"), F.col("t.result")).alias("body"), F.when(F.col("apart"), names).alias("files"), "error")
 
 
 # Containers made the same way for both engines: version, operations and memory vary by row.

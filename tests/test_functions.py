@@ -179,3 +179,45 @@ def test_result_types(spark):
 
     got = {k: spark.range(1).select(mime_of(F.lit(k)).alias("m")).first()["m"] for k in ("zip", "mkv", "flac", "tiff", "md", "xml", "m4a")}
     assert got == {"zip": "application/zip", "mkv": "video/x-matroska", "flac": "audio/flac", "tiff": "image/tiff", "md": "text/plain", "xml": "application/xml", "m4a": "application/octet-stream"}
+
+
+def test_settings_of_tools():
+    from burin.operators import config
+
+    assert config.read("meta.strip", {"blocks": ["info"], "x": 1}) == config.Strip("light", ("info",))
+    assert config.read("image.resize", {"percentage": 400}).percentage == 400 and config.read("pdf.split", {}).mode == "rango"
+    for tool, values in (("meta.strip", {"mode": "x"}), ("crypto.file", {"passphrase": ""}), ("pdf.sign", {"text": "a", "pages": "x"}), ("image.crop", {"width": 0, "height": 1}), ("image.compress", {"quality": 9}), ("pdf.protect", {"status": "add"}), ("convert.any", {"to": "nothing"}), ("none", {})):
+        with pytest.raises(config.ConfigError):
+            config.read(tool, values)
+
+
+def test_a_conversion_is_added_by_decorator(spark):
+    from burin.operators import config
+    from burin.operators import convert as C
+
+    @config.conversion("txt-to-shout", ("txt",), "txt")
+    def shout(x):
+        return F.upper(x)
+
+    try:
+        assert value(spark, convert(F.lit("a"), "txt-to-shout"))["result"] == "A" and config.conversions_of("txt")[-1] == "txt-to-shout"
+        assert config.read("convert.any", {"to": "txt-to-shout"}).to == "txt-to-shout"
+        with pytest.raises(config.ConfigError):
+            config.conversion("rot13", ("txt",), "txt")(shout)
+    finally:
+        del C.EXPRESSIONS["txt-to-shout"], config._added["txt-to-shout"]
+
+
+def test_split_plans(spark):
+    from burin.operators.pdf_files import split_plan
+
+    plan = lambda **k: value(spark, split_plan(F.lit(5), F.lit(k.get("mode")), F.lit(k.get("text")), F.array(*map(F.lit, k["pages"])) if "pages" in k else None, F.lit(k.get("output"))))
+    assert tuple(plan(mode="rango", text="4,9,2-3,4")) == ([4, 2, 3, 4], False, "-recortado.pdf", None)
+    assert tuple(plan(mode="pares")) == ([2, 4], False, "-pares.pdf", None) and plan(mode="cada")["suffix"] == "-paginas.zip"
+    assert tuple(plan(pages=[3, 3, 9, 1], output="separado")) == ([3, 1], True, "-paginas.zip", None)
+    assert plan(text="x")["error"] == "Indica el rango de páginas"
+
+
+def test_markdown_blocks():
+    body = D.md_body_to_html("# T\n- a\n* b\n\n- c\ntext\n```py\nx\n# y\n```\n####### z\n```\nopen")
+    assert body == "<h1>T</h1>\n<ul>\n  <li>a</li>\n  <li>b</li>\n</ul>\n<ul>\n  <li>c</li>\n</ul>\n<p>text</p>\n<pre><code>x\n# y</code></pre>\n<p>####### z</p>\n<pre><code>open</code></pre>"
