@@ -16,7 +16,9 @@ containers whose class, id or role says so.
 The order is cut into ranges at keys from a bounded sample; copies and repeated rows have keys
 of their own, so they are cut like all others. The neighbours across a cut come as rows of the
 same shuffle, so a page's partner does not depend on where the cuts fall, and a host with a
-third of all pages is many ranges. The driver sees keys alone, at most 2 * NEAR a range.
+third of all pages is many ranges. The driver sees keys alone, at most 2 * NEAR a range. Pages
+are read and parsed twice, for the keys and for the lines, so that only keys are written;
+pages that come in another order each time they are read should be written first.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its
 own; equal URLs are ordered by page id; repeated rows each give a row. No line of the
@@ -276,22 +278,29 @@ def nearness(a: str, b: str) -> tuple[int, int]:
 _SEPARATOR = "\x01"
 
 
+def _lined(batch: pa.RecordBatch, i: int) -> tuple[str, bytes, str]:
+    """(lines, a byte of marks for each, key) of a page; columns page_id, url, html, host, path, place, number."""
+    own = lines_of(batch.column(2)[i].as_py() or "")
+    text, marks = "\n".join(line for line, _, _ in own), bytes(noise + 2 * inside for _, noise, inside in own)
+    content = hashlib.blake2b(text.encode("utf-8", "replace") + b"\0" + marks, digest_size=16).hexdigest()
+    return text, marks, _SEPARATOR.join([*(batch.column(c)[i].as_py() for c in (3, 4, 5)), content, batch.column(6)[i].as_py()])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array([_lined(batch, i)[2] for i in range(batch.num_rows)], pa.string())], ["k"])
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, html, host, path, place in; the page's lines, a byte of marks for each, and its key out."""
     for batch in batches:
-        html, (host, path, place) = batch.column(2), (batch.column(i).to_pylist() for i in (3, 4, 5))
         at = 0
-        while at < len(html):
-            lines, marks, keys, start, size = [], [], [], at, 0
-            while at < len(html) and size < 8 << 20:
-                own = lines_of(html[at].as_py() or "")
-                text = "\n".join(line for line, _, _ in own)
-                lines.append(text)
-                marks.append(bytes(noise + 2 * inside for _, noise, inside in own))
-                content = hashlib.blake2b(text.encode("utf-8", "replace") + b"\0" + marks[-1], digest_size=16).hexdigest()
-                keys.append(_SEPARATOR.join((host[at], path[at], place[at], content)))
-                size += len(text)
+        while at < batch.num_rows:
+            made, start, size = [], at, 0
+            while at < batch.num_rows and size < 8 << 20:
+                made.append(_lined(batch, at))
+                size += len(made[-1][0])
                 at += 1
+            lines, marks, keys = zip(*made, strict=True)
             kept = batch.slice(start, at - start)
             yield pa.record_batch([kept.column(0), kept.column(1), pa.array(keys, pa.string()), pa.array(lines, pa.string()), pa.array(marks, pa.binary())], ["page_id", "url", "k", "lines", "marks"])
 
@@ -355,9 +364,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     place = F.translate(F.coalesce(F.col("page_id").cast("string"), F.lit("")), _SEPARATOR, " ")
     if isinstance(kind, IntegralType):
         place = F.lpad(place, 20, "0")
-    lined = slim.select("page_id", "url", "html", host.alias("host"), path.alias("path"), place.alias("place")).mapInArrow(_parsed, f"page_id {kind.simpleString()}, url string, k string, lines string, marks binary")
-    # Rows that repeat get keys of their own, fixed by being written.
-    held = persisted(lined.withColumn("k", F.concat_ws(_SEPARATOR, "k", F.hex(F.monotonically_increasing_id()))))
+    # A number makes the keys of repeated rows differ, so that no range must hold all of them.
+    number = F.hex(F.monotonically_increasing_id())
+    named = slim.select("page_id", "url", "html", host.alias("host"), path.alias("path"), place.alias("place"), number.alias("number"))
+    held = persisted(named.mapInArrow(_keys, "k string"))
     n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // RANGE_PAGES)))
     keys = sorted(r["k"] for r in sampled(held.select("k"), n * KEYS_A_RANGE, 31, "k").collect())
     cuts = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
@@ -371,12 +381,18 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     edges: dict[int, tuple[list[str], list[str]]] = {}
     for r in found:
         edges.setdefault(r["b"], ([], []))[r["side"]].append(r["k"])
-    columns = ["b", "k", "page_id", "url", "lines", "marks"]
-    rows = held.withColumn("b", range_of("k")).select(*columns, F.lit(False).alias("outer"))
-    if outer := _across(edges):
-        wanted = F.broadcast(spark.createDataFrame(outer, "b int, k string"))  # 2 * NEAR keys a range
-        rows = rows.unionAll(held.join(wanted, "k").select(*columns, F.lit(True).alias("outer")))
-    return dealt(rows).mapInArrow(_difference, f"page_id {kind.simpleString()}, url string, text string, n_chars long")
+    rows = named.mapInArrow(_parsed, f"page_id {kind.simpleString()}, url string, k string, lines string, marks binary").withColumn("b", range_of("k"))
+    here = F.struct("b", F.lit(False).alias("outer"))
+    outer: dict[str, list[int]] = {}
+    for b, k in _across(edges):
+        outer.setdefault(k, []).append(b)
+    places = F.array(here)
+    if outer:
+        rows = rows.join(F.broadcast(spark.createDataFrame(list(outer.items()), "k string, others array<int>")), "k", "left")  # 2 * NEAR keys a range
+        there = F.transform(F.coalesce("others", F.array().cast("array<int>")), lambda b: F.struct(b.alias("b"), F.lit(True).alias("outer")))
+        places = F.concat(places, there)
+    spread = rows.withColumn("at", F.explode(places)).select("at.b", "k", "page_id", "url", "lines", "marks", "at.outer")
+    return dealt(spread).mapInArrow(_difference, f"page_id {kind.simpleString()}, url string, text string, n_chars long")
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
