@@ -6,8 +6,8 @@ that order whose lines are not all the same, however many copies lie between. Th
 path is the partner: the lists are aligned by longest common subsequence, and shared lines
 go: they are the template of the site. A page that is nearly the same (see copies()) is
 passed over for the next. An explicit article or main element is evidence: a line inside it
-goes only if two neighbours share it and neither repeats half of the element, so chance and
-copies take nothing. Lines outside stay unless shared or noise. A page that no neighbour can
+goes only if all neighbours share it that do not repeat half of the element, two at least, so
+chance, passages that a few pages share and copies take nothing. Lines outside stay unless shared or noise. A page that no neighbour can
 be differenced with is its article or main element, if that holds more than half of the page.
 Template lines that differ on every page (a menu of own links, a comment, an advert) are
 known by their element: nav, header, footer, aside, form, script, style, hidden elements, and
@@ -245,8 +245,8 @@ def copies(page: Page, other: Page, gone: set[int]) -> bool:
 def main_text(page: Page, partners: list[Page]) -> str:
     """The page's own lines, differenced against the partners that share lines and are no copies of it, nearest first.
 
-    A line outside a container goes if the nearest such partner has it; one inside goes if two
-    partners have it that do not repeat the container. A page without such a partner is its
+    A line outside a container goes if the nearest such partner has it; one inside goes if
+    all partners have it that do not repeat the container, two at least. A page without such a partner is its
     container, if that holds more than half of what is no noise, and else all of this.
     """
     lines = page.lines
@@ -255,16 +255,18 @@ def main_text(page: Page, partners: list[Page]) -> str:
     differenced, witnesses = [], []
     for partner in partners:
         gone = shared(page.hashes, partner.hashes)
-        if gone and not copies(page, partner, gone):
+        if gone and copies(page, partner, gone):
+            continue
+        if gone:
             differenced.append(gone)
-            if 2 * sum(len(lines[i][0]) for i in body if i in gone) < body_weight:
-                witnesses.append(gone)
-        if len(witnesses) == 2 or differenced and not body:
+        if 2 * sum(len(lines[i][0]) for i in body if i in gone) < body_weight:
+            witnesses.append(gone)
+        if differenced and not body:
             break
     if not differenced:
         contained = 2 * body_weight > sum(len(line) for line, noise, _ in lines if not noise)
         return "\n".join(line for line, noise, inside in lines if not noise and (inside or not contained))
-    template = witnesses[0] & witnesses[1] if len(witnesses) > 1 else set()
+    template = set.intersection(*witnesses) if len(witnesses) > 1 else set()
     return "\n".join(line for i, (line, noise, inside) in enumerate(lines) if not noise and i not in (template if inside else differenced[0]))
 
 
