@@ -28,7 +28,7 @@ from burin.llm.common import blocks, text_buffers
 from burin.llm.pieces import SPACE, PieceModel, load, resolve
 
 #: Words whose ids a worker keeps before it starts afresh.
-MOST_WORDS = 150_000
+MOST_WORDS = 200_000
 #: Merges that may wait for one before them, in runs of one character whose pieces rank out of order (blanks); beyond this the run is merged by a queue.
 QUEUED = 64
 _NEVER = np.int64(1) << np.int64(60)
@@ -79,13 +79,19 @@ class Encoder:
         if not len(points):
             return points, length
         letters, inverse = np.unique(points, return_inverse=True)
-        symbol = np.array([self.single.get(chr(c), size + c) for c in letters.tolist()], np.int64)[inverse]
-        word = np.repeat(np.arange(len(words)), length)
-        code = (points[:-1] << 21) | points[1:]
-        inside = (word[:-1] == word[1:]) & (self.spans[np.minimum(np.searchsorted(self.spans, code), len(self.spans) - 1)] == code)
+        alphabet = np.array([self.single.get(chr(c), size + c) for c in letters.tolist()], np.int64)
+        symbol, word, place, n = alphabet[inverse], np.repeat(np.arange(len(words)), length), np.arange(len(points)), len(letters)
+        # Pairs of characters are looked up once for each two of the alphabet where that is the smaller table.
+        if n * n <= len(points):
+            pair, first, second = inverse[:-1] * n + inverse[1:], np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+        else:
+            pair, first, second = place[:-1], inverse[:-1], inverse[1:]
+        code = (letters[first] << 21) | letters[second]
+        spanned = self.spans[np.minimum(np.searchsorted(self.spans, code), len(self.spans) - 1)] == code
+        ranks, merged = self.ranked(alphabet[first], alphabet[second])
+        inside = (word[:-1] == word[1:]) & spanned[pair]
         segment = np.concatenate([[0], np.cumsum(~inside)])
-        place = np.arange(len(points))
-        rank, made = self.next_to(symbol, segment, place)
+        rank, made = np.append(np.where(inside, ranks[pair], _NEVER), _NEVER), np.append(merged[pair], 0)
         done_symbol, done_place = [], []
         while len(symbol):
             first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
@@ -121,7 +127,7 @@ class Encoder:
             keep[at + 1] = False
             moved = at - np.arange(len(at))
             symbol, segment, place, rank, made = (x[keep] for x in (symbol, segment, place, rank, made))
-            near = np.unique(np.concatenate([moved, np.maximum(moved - 1, 0)]))
+            near = np.concatenate([moved, np.maximum(moved - 1, 0)])
             rank[near], made[near] = self.next_to(symbol, segment, near)
         order = np.argsort(np.concatenate(done_place), kind="stable")
         return np.concatenate(done_symbol)[order], np.bincount(word[np.concatenate(done_place)], minlength=len(words))
