@@ -129,7 +129,7 @@ def container_headers(spark, d):
     return rows.select("doc_id", "h.version", "h.operations", "h.memory", "h.error")
 
 
-@query("SELECT doc_id, TRUE AS same, TRUE AS refused FROM documents")
+@query("SELECT doc_id, sha256(text) AS opened, TRUE AS refused FROM documents")
 def sealed_roundtrip(spark, d):
     sealed = table(spark, d, "documents").select("doc_id", "text", vault.seal(F.encode("text", "UTF-8"), F.lit("pass")).alias("s"))
-    return sealed.select("doc_id", (vault.unseal(F.col("s"), F.lit("pass")).cast("string") == F.col("text")).alias("same"), vault.unseal(F.col("s"), F.lit("other")).isNull().alias("refused"))
+    return sealed.select("doc_id", F.sha2(vault.unseal(F.col("s"), F.lit("pass")), 256).alias("opened"), vault.unseal(F.col("s"), F.lit("other")).isNull().alias("refused"))
