@@ -175,7 +175,7 @@ def clean(data: bytes, kind: str, mode: str = "deep", blocks: tuple[str, ...] =
             return bytes(out)
     except _UNREADABLE:
         return data
-    if set(wanted) == set(own):
+    if own and set(wanted) == set(own):
         return media.strip(data, kind)
     raise ValueError("Este formato solo se limpia entero")
 
