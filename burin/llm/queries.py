@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burin.llm import byte_cnn, cover_tree, gam, jaccard_join, licenses, merge_rounds, page_diff, recurrent_lm, token_transducer, wu_manber
+from burin.llm import byte_cnn, cover_tree, gam, jaccard_join, laesa, licenses, merge_rounds, orchard, page_diff, recurrent_lm, span_crf, token_transducer, wu_manber
 from burin.llm.common import table
 from burin.shipping import ship
 
@@ -54,7 +54,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_decontaminate, op2_quality_gam, op3_recurrent_lm, op4_exact_top_k, op5_main_text, op6_sentencepiece, op7_license_scan, op8_token_counts, op9_jaccard_join, op10_language_id)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_crf.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_decontaminate, op2_quality_gam, op3_recurrent_lm, op4_exact_top_k, op5_main_text, op6_sentencepiece, op7_license_scan, op8_token_counts, op9_jaccard_join, op10_language_id, op11_vector_codes, op12_laesa_clusters, op13_personal_data)
 
 
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -66,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": wu_manber.SQL, "op4_exact_top_k": cover_tree.SQL, "op7_license_scan": licenses.sql(), "op9_jaccard_join": jaccard_join.SQL}
+    return {"op1_decontaminate": wu_manber.SQL, "op4_exact_top_k": cover_tree.SQL, "op7_license_scan": licenses.sql(), "op9_jaccard_join": jaccard_join.SQL, "op11_vector_codes": orchard.SQL, "op12_laesa_clusters": laesa.SQL}
