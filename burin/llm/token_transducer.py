@@ -13,7 +13,8 @@ Texts are cut into chunks. A chunk that holds a synchronising place, one that no
 spans, maps every entry state to the same exit state: its tail runs at once, all chunks
 in lockstep. A chunk without such a place has a map of the entry states it may meet, found
 for all such chunks side by side, and a prefix scan composes the maps (see scan()), its
-reach doubling in each step. Last, the heads run from their entry states.
+reach doubling in each step. Last, the heads run from their entry states. Long texts go
+section by section, each from the state that the one before it ended in.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Repeated rows count
 alike. Only the id and the text are looked at.
@@ -36,9 +37,13 @@ CHUNK = 256
 #: and chunks ahead that take in a state that was missing, at most.
 WARM, MOST_ROUNDS, MOST_AHEAD = 64, 32, 4096
 LIMIT = 4096
-#: Transitions kept by a worker (two arrays of 2 ** 22 slots, 50 MB); beyond this it starts afresh.
+#: Transitions kept by a worker from one section to the next; beyond this it starts afresh.
 MOST_TRANSITIONS = 1 << 20
-_SLOTS = 1 << 22
+#: Symbols that are scanned together. The state at the end of a section is all that the next one needs, so a text
+#: of any length meets at most a section's new transitions before they can be dropped.
+SECTION = 1 << 20
+#: Bits of the first table's slots (50 MB); it doubles before it is half full.
+_BITS = 22
 #: A place with at most so many tokens to come is known by the set of them.
 MOST_FOLLOWERS = 64
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -67,18 +72,54 @@ class Transducer:
                     self.starting.setdefault(p[:k], []).append(p)
         strange = self.points < 0
         self.points[strange] = ((everything >= 0x80).astype(int) + (everything >= 0x800) + (everything >= 0x10000))[strange]
+        self.sets: list[frozenset[str]] = []
+        self.set_number: dict[frozenset[str], int] = {}
+        self.narrow: dict[tuple[str | int, str], str | int | None] = {}
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, kept: int = 0) -> int:
+        """Drop states and transitions, but for one state; returns its new number."""
         start = ("", ((0, "", 0),))
+        own = self.state[kept] if kept else start
         self.number, self.state = {start: 0}, [start]
-        self.sets: list[frozenset[str]] = []
-        self.set_number: dict[frozenset[str], int] = {}
-        self.narrow: dict[tuple[str | int, str], str | int | None] = {}
-        self.slot_key = np.full(_SLOTS, -1, np.int64)
-        self.slot_to = np.zeros(_SLOTS, np.int32)
-        self.slot_add = np.zeros(_SLOTS, np.int8)
+        if own != start:
+            self.number[own] = 1
+            self.state.append(own)
+        else:
+            self.sets, self.set_number, self.narrow = [], {}, {}
+        self.hold(_BITS)
         self.transitions = 0
+        return len(self.state) - 1
+
+    def hold(self, bits: int) -> None:
+        """Empty slots, 2 ** bits of them."""
+        self.bits = bits
+        self.slot_key = np.full(1 << bits, -1, np.int64)
+        self.slot_to = np.zeros(1 << bits, np.int32)
+        self.slot_add = np.zeros(1 << bits, np.int8)
+
+    def slot_of(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * _HASH) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def reserve(self, more: int) -> None:
+        """Double the slots until they stay half empty with so many more transitions."""
+        bits = self.bits
+        while 2 * (self.transitions + more) > 1 << bits:
+            bits += 1
+        if bits == self.bits:
+            return
+        some = np.flatnonzero(self.slot_key >= 0)
+        key, to, add = self.slot_key[some], self.slot_to[some], self.slot_add[some]
+        self.hold(bits)
+        left, slot = np.arange(len(key)), self.slot_of(key)
+        while len(left):
+            free = left[self.slot_key[slot[left]] < 0]
+            self.slot_key[slot[free]] = key[free]  # of several for a slot one stays
+            own = left[self.slot_key[slot[left]] == key[left]]
+            self.slot_to[slot[own]], self.slot_add[slot[own]] = to[own], add[own]
+            left = left[self.slot_key[slot[left]] != key[left]]
+            slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
 
     def narrowed(self, value: str | int, begun: str) -> str | int | None:
         """What must be known of a place from which a token that starts with `begun` may yet come.
@@ -145,8 +186,8 @@ class Transducer:
     def find(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next state, change) of many transitions, compiling those not met before."""
         key = (state.astype(np.int64) << 20) | symbol
-        with np.errstate(over="ignore"):
-            slot = ((key.astype(np.uint64) * _HASH) >> np.uint64(42)).astype(np.int64)
+        self.reserve(len(key))
+        slot = self.slot_of(key)
         wrong = np.flatnonzero(self.slot_key[slot] != key)
         while len(wrong):
             empty = self.slot_key[slot[wrong]] < 0
@@ -155,14 +196,14 @@ class Transducer:
                 for k in new.tolist():
                     self.file(k, *self.compile(k >> 20, k & 0xFFFFF))
             wrong = wrong[self.slot_key[slot[wrong]] != key[wrong]]
-            slot[wrong] = (slot[wrong] + 1) & (_SLOTS - 1)
+            slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
             wrong = wrong[self.slot_key[slot[wrong]] != key[wrong]]
         return self.slot_to[slot], self.slot_add[slot]
 
     def file(self, key: int, to: int, add: int) -> None:
-        at = ((key * int(_HASH)) & 0xFFFFFFFFFFFFFFFF) >> 42
+        at = ((key * int(_HASH)) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
         while self.slot_key[at] >= 0:
-            at = (at + 1) & (_SLOTS - 1)
+            at = (at + 1) & ((1 << self.bits) - 1)
         self.slot_key[at], self.slot_to[at], self.slot_add[at] = key, to, add
         self.transitions += 1
 
@@ -250,8 +291,6 @@ class Transducer:
 
     def count(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text of a block; offsets in code points."""
-        if self.transitions > MOST_TRANSITIONS:
-            self.forget()
         n = len(offsets) - 1
         length = np.diff(offsets)
         some = length > 0
@@ -279,13 +318,29 @@ class Transducer:
         sync = np.append(places, len(symbols))[np.searchsorted(places, start)]
         synced = sync < end
         cut = np.where(synced, sync, end)
-        exit_state, total = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
-        exit_state[synced], total[synced] = self.run(symbols, cut[synced], end[synced], np.zeros(int(synced.sum()), np.int32))
-        self.scan(symbols, start, end, synced, exit_state, total)
-        heads = np.flatnonzero(synced & (cut > start))
-        total[heads] += self.run(symbols, start[heads], cut[heads], exit_state[heads - 1])[1]
+        total = np.zeros(len(start), np.int64)
+        carried = 0
+        for a in range(0, len(start), SECTION // CHUNK):
+            b = min(len(start), a + SECTION // CHUNK)
+            if self.transitions > MOST_TRANSITIONS:
+                carried = self.forget(carried)
+            carried = self.section(symbols, start[a:b], end[a:b], synced[a:b], cut[a:b], carried, total[a:b])
         return np.bincount(text, weights=total, minlength=n).astype(np.int64)
 
+    def section(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray, synced: np.ndarray, cut: np.ndarray, carried: int, total: np.ndarray) -> int:
+        """Fill total with the counts of chunks that follow the state `carried`; returns the state after them."""
+        # A chunk without symbols stands for what was before.
+        lead = lambda x, value: np.concatenate([np.array([value], x.dtype), x])
+        start, end, synced, cut = lead(start, start[0]), lead(end, start[0]), lead(synced, True), lead(cut, start[0])
+        exit_state, own = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
+        exit_state[synced], own[synced] = self.run(symbols, cut[synced], end[synced], np.zeros(int(synced.sum()), np.int32))
+        exit_state[0] = carried
+        self.scan(symbols, start, end, synced, exit_state, own)
+        heads = np.flatnonzero(synced & (cut > start))
+        own[heads] += self.run(symbols, start[heads], cut[heads], exit_state[heads - 1])[1]
+        total[:] = own[1:]
+        return int(exit_state[-1])
+
 
 _compiled: dict[str, Transducer] = {}
 

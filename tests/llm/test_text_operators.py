@@ -99,3 +99,27 @@ def test_chunks_without_a_synchronising_place(library):
     texts = ["ab" * 3000, "a" * 2000, " " * 1500, "x" + "th" * 700 + " the end"]
     points = [np.array([ord(c) for c in t], np.int32) for t in texts]
     assert machine.count(np.concatenate(points), np.cumsum([0, *map(len, points)])).tolist() == [len(library.encode(t)) for t in texts]
+
+
+def test_token_counts_of_long_texts_without_places_to_synchronise(monkeypatch):
+    import random
+
+    import numpy as np
+    import sentencepiece
+
+    from burin.llm import token_transducer as T
+    from burin.llm.pieces import load, resolve
+
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choices(letters, k=30_000)), "ab" * 4000, "", "hello world " * 300, "".join(rng.choices(letters, k=9_000))]
+    want = [len(sentencepiece.SentencePieceProcessor(model_file=resolve(None)).encode(t)) for t in texts]
+    points, offsets = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64), np.cumsum([0, *map(len, texts)])
+    # Sections that are shorter than a text, few transitions kept, and a table that must grow.
+    for section, most, bits in ((1 << 11, 500, 8), (1 << 13, 5000, 12), (1 << 20, 1 << 20, 6)):
+        monkeypatch.setattr(T, "SECTION", section)
+        monkeypatch.setattr(T, "MOST_TRANSITIONS", most)
+        monkeypatch.setattr(T, "_BITS", bits)
+        machine = T.Transducer(load(resolve(None)))
+        assert machine.count(points, offsets).tolist() == want
+        assert 2 * machine.transitions <= 1 << machine.bits
