@@ -43,6 +43,8 @@ _PARTS = {
 }
 _MACROS = re.compile(r"(?i)vbaProject|vbaData")
 _FRONTMATTER = re.compile(r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)")
+# Heads of APP1 segments that carry metadata.
+_APP1 = ((b"Exif\0\0", "exif"), (b"http://ns.adobe.com/xap/1.0/\0", "xmp"), (b"http://ns.adobe.com/xmp/extension/\0", "xmp"))
 _UNREADABLE = (ValueError, IndexError, KeyError, TypeError, AttributeError, RecursionError, OSError, struct.error, zlib.error, zipfile.BadZipFile)
 
 
@@ -60,7 +62,8 @@ def regions(data: bytes, kind: str) -> list[tuple[str, int, int]]:
             if marker == 0xFE:
                 out.append(("text", a, b))
             elif marker == 0xE1:
-                out.append(("exif" if data[a + 4 : b].startswith(b"Exif\0\0") else "xmp", a, b))
+                own = next((block for head, block in _APP1 if data.startswith(head, a + 4, b)), None)
+                out += [(own, a, b)] if own else []
         return out
     if kind == "gif":
         return [("xmp" if k == "xmp" else "text", a, b) for k, a, b in media.gif_blocks(data) if k in ("comment", "plain text", "xmp")]
@@ -228,7 +231,8 @@ def entries(data: bytes | None, kind: str) -> list[media.Entry]:
     if kind == "md":
         return [("frontmatter", k, media.shown(v), "medium", "with-container") for k, v in frontmatter((data or b"").decode("utf-8", "replace"))[0]]
     if kind == "html" and data:
-        return [(block, block, media.shown(data[a:b].decode("utf-8", "replace")), "medium", "with-container") for block, a, b in media.html_removable(data)]
+        tags = [(block, block, media.shown(data[a:b].decode("utf-8", "replace")), "medium", "with-container") for block, a, b in media.html_removable(data)]
+        return [*tags, ("cabecera", "viewport", "", "low", "never")] if media.html_readable(data) else []
     return media.scan(data, kind)
 
 

@@ -14,6 +14,8 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
+from burin.functions import html_tokens as T
+
 Entry = tuple[str, str, str, str, str]
 GONE, KEPT = "individual", "never"
 
@@ -39,19 +41,44 @@ def cut(data: bytes, regions: list[tuple[int, int]]) -> bytes:
 
 # --- HTML ------------------------------------------------------------------------------------
 
-_BLIND = re.compile(rb"(?is)<!--.*?-->|<(script|style|title|textarea|xmp|noscript)\b[^>]*>.*?</\1\s*>")
-_HTML_TAGS = re.compile(rb"""(?is)<(meta|link)\b((?:"[^"]*"|'[^']*'|[^>"'])*)>""")
-_ATTRIBUTES = re.compile(rb"""(?is)([a-z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_PIECES, _WHOLE, _NAME = (re.compile(p.replace(r"\z", r"\Z").encode()) for p in (T.PIECES, T.WHOLE, T.NAME))
+_ATTRIBUTE = re.compile(T.ATTRIBUTE.removeprefix(r"\G").encode())
+
+
+def html_attributes(tag: bytes) -> dict[bytes, bytes]:
+    """The first value of each attribute of a start tag, names in lower case."""
+    inner, at, out = re.sub(rb"\A<[^ \t\n\r/>]++", b"", tag)[:-1], 0, {}
+    while (m := _ATTRIBUTE.match(inner, at)) and m[0]:
+        name, _, value = m[0].partition(b"=")
+        value = value.lstrip(b" \t\n\r")
+        if value[:1] in (b'"', b"'"):
+            value = value[1:].removesuffix(value[:1])
+        if name := name.strip(b" \t\n\r").lower():
+            out.setdefault(name, value)
+        at = m.end()
+    return out
+
+
+def html_readable(page: bytes) -> bool:
+    """Whether a page ends with a whole token."""
+    last = None
+    for last in _PIECES.finditer(page):
+        pass
+    return last is None or bool(_WHOLE.match(last[0]))
 
 
 def html_removable(page: bytes) -> Iterator[tuple[str, int, int]]:
-    """(block, start, end) of meta tags that carry metadata and of authorship links."""
-    blind = [m.span() for m in _BLIND.finditer(page)]
-    for tag in _HTML_TAGS.finditer(page):
-        if any(a <= tag.start() < b for a, b in blind):
+    """(block, start, end) of meta tags that carry metadata and of authorship links; none of a page whose last token has no end."""
+    pieces = list(_PIECES.finditer(page))
+    if not pieces or not _WHOLE.match(pieces[-1][0]):
+        return
+    for tag in pieces:
+        name = _NAME.match(tag[0])
+        kind = name[1].lower() if name else b""
+        if kind not in (b"meta", b"link"):
             continue
-        have = {m[1].lower(): (m[2] or m[3] or m[4] or b"") for m in _ATTRIBUTES.finditer(tag[2])}
-        if tag[1].lower() == b"link":
+        have = html_attributes(tag[0])
+        if kind == b"link":
             if {b"author", b"me", b"publisher"} & set(have.get(b"rel", b"").lower().split()):
                 yield "links", *tag.span()
         elif b"charset" not in have and b"http-equiv" not in have and have.get(b"name", b"").strip().lower() != b"viewport":

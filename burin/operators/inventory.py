@@ -5,88 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burin.functions.text import JS_SPACE, js_trim, let, truncated
-
-#: The longest value that an inventory shows.
-VALUE_LENGTH = 400
-#: How many leftovers a verification names.
-SAMPLE = 5
-
-ENTRY = "array<struct<ord:int,where:string,key:string,label:string,value:string,sensitivity:string,removal:string,block:string>>"
-
-
-def clean_text(x: Column, most: int = VALUE_LENGTH) -> Column:
-    return truncated(js_trim(F.regexp_replace(x, f"{JS_SPACE}+", " ")), most)
-
-
-def blind(html: Column) -> Column:
-    """The page without the regions whose text only looks like tags."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for name in ("script", "style", "title", "textarea", "xmp", "noscript"):
-        out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
-    return out
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """Value of a tag's attribute, quoted or not; null without one."""
-    pattern = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    found = F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, k), F.lit("")) for k in (1, 2, 3)])
-    return F.when(tag.rlike(pattern), found)
-
-
-def html_entries(html: Column) -> Column:
-    """Inventory of a page: meta tags, authorship links, then doctype, charset and viewport."""
-    entries = let(blind(html), lambda seen: let(_tags_of(seen), _entries_of))
-    return F.when(F.length(html) > 0, entries).otherwise(F.array().cast(ENTRY))
-
-
-def _tags_of(seen: Column) -> Column:
-    """struct(doctype, head, metas, links): the tags with the attributes that count, each read once."""
-    head = F.coalesce(F.nullif(F.instr(F.lower(seen), "</head"), F.lit(0)), F.lit(1 << 30))
-    read = lambda tag, *names: F.struct(tag.alias("tag"), F.instr(seen, tag).alias("at"), *[attribute(tag, n).alias(n.replace("-", "_")) for n in names])
-    metas = F.transform(F.regexp_extract_all(seen, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: read(t, "name", "property", "itemprop", "charset", "http-equiv", "content"))
-    links = F.transform(F.regexp_extract_all(seen, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: read(t, "rel", "href"))
-    return F.struct(F.regexp_extract(seen, r"(?is)<!doctype\b[^>]*>", 0).alias("doctype"), head.alias("head"), metas.alias("metas"), links.alias("links"))
-
-
-def _entries_of(page: Column) -> Column:
-    present = lambda x: F.when(x == "", F.lit("Presente")).otherwise(x)
-    section = lambda tag: F.when(tag["at"] < page["head"], F.lit("head > ")).otherwise(F.lit("body > "))
-    is_viewport = lambda t: F.lower(js_trim(t["name"])).eqNullSafe("viewport")
-
-    def of_meta(tag: Column) -> Column:
-        names = ("name", "property", "itemprop")
-        found = F.coalesce(*[F.when(js_trim(tag[n]) != "", F.struct(F.lit(n).alias("attr"), tag[n].alias("key"))) for n in names])
-        functional = tag["charset"].isNotNull() | tag["http_equiv"].isNotNull() | is_viewport(tag)
-        value = present(clean_text(F.coalesce(tag["content"], F.lit(""))))
-
-        def entry(k: Column) -> Column:
-            sensitivity = F.when(F.lower(k["key"]).rlike("author|creator"), F.lit("medium")).otherwise(F.lit("low"))
-            where = F.concat(section(tag), F.lit("meta["), k["attr"], F.lit("="), k["key"], F.lit("]"))
-            return F.when(~functional & k.isNotNull(), _entry(where, k["key"], k["key"], value, sensitivity, F.lit("with-container"), F.lit("meta")))
-
-        return let(found, entry)
-
-    def of_link(tag: Column) -> Column:
-        rels = F.filter(F.split(F.lower(F.coalesce(tag["rel"], F.lit(""))), r"\s+"), lambda r: r.isin("author", "me", "publisher"))
-        value = present(clean_text(F.coalesce(tag["href"], F.lit(""))))
-        entry = lambda rel: F.when(rel.isNotNull(), _entry(F.concat(section(tag), F.lit("link[rel="), rel, F.lit("]")), F.concat(F.lit("rel:"), rel), F.concat(F.lit("Enlace de autoría ("), rel, F.lit(")")), value, F.lit("medium"), F.lit("with-container"), F.lit("links")))
-        return let(F.get(rels, F.lit(0)), entry)
-
-    never = lambda where, key, label, value: _entry(F.lit(where), F.lit(key), F.lit(label), value, F.lit("low"), F.lit("never"), F.lit("format"))
-    plain = F.get(F.filter(F.transform(page["metas"], lambda t: js_trim(t["charset"])), lambda c: c.isNotNull() & (c != "")), F.lit(0))
-    typed = F.nullif(F.regexp_extract(F.array_join(F.transform(page["metas"], lambda t: t["tag"]), " "), r"(?i)charset\s*=\s*([^;\"\s'>]+)", 1), F.lit(""))
-    fixed = F.array(
-        F.when(page["doctype"] != "", never("documento", "doctype", "Tipo de documento", clean_text(page["doctype"]))),
-        let(F.coalesce(plain, typed), lambda c: F.when(c.isNotNull(), never("head > meta[charset]", "charset", "Juego de caracteres", c))),
-        never("cabecera", "viewport", "Viewport", F.when(F.exists(page["metas"], is_viewport), F.lit("Sí")).otherwise(F.lit("No"))),
-    )
-    every = F.filter(F.concat(F.transform(page["metas"], of_meta), F.transform(page["links"], of_link), fixed), lambda e: e.isNotNull())
-    return F.transform(every, lambda e, i: F.struct((i + 1).cast("int").alias("ord"), *[e[n].alias(n) for n in ("where", "key", "label", "value", "sensitivity", "removal", "block")]))
-
-
-def _entry(where: Column, key: Column, label: Column, value: Column, sensitivity: Column, removal: Column, block: Column) -> Column:
-    return F.struct(*[c.alias(n) for n, c in zip(("where", "key", "label", "value", "sensitivity", "removal", "block"), (where, key, label, value, sensitivity, removal, block), strict=True)])
+from burin.functions.text import js_trim
+from burin.operators.html import ENTRY, SAMPLE, html_entries  # noqa: F401
 
 
 def frontmatter_entries(text: Column) -> Column:

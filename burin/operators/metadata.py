@@ -78,16 +78,6 @@ def blocks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, ord int, block string, label string")
 
 
-def strip_html_exact(page: Column, blocks: tuple[str, ...] = ("meta", "links")) -> Column:
-    """A page without the tags of the named blocks; scripts, styles and comments are not looked into."""
-
-    @F.pandas_udf("string")
-    def apply(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: media.strip_html(p.encode(), blocks).decode(), na_action="ignore")
-
-    return apply(page)
-
-
 def _png_chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 

@@ -69,6 +69,13 @@ def test_files_and_stream(spark, tmp_path):
     assert {(r["name"], r["key"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a.html", "author"), ("a.html", "viewport")}
 
 
+def test_other_app1_segments_stay():
+    segment = lambda body: b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body
+    other, xmp = segment(b"maker data"), segment(b"http://ns.adobe.com/xap/1.0/\0<x/>")
+    data = b"\xff\xd8" + other + xmp + b"\xff\xda\0\x02\0\xff\xd9"
+    assert cleaning.clean(data, "jpg", "light", ("xmp",)) == data.replace(xmp, b"")
+
+
 @pytest.mark.parametrize("kind", [*SAMPLE_KINDS, "md", "html"])
 def test_light_mode_without_blocks_changes_no_byte(kind):
     data = sample_file(kind, "Ana Lopez") if kind in SAMPLE_KINDS else b"---\na: b\n---\nx"
