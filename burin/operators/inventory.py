@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burin.functions.text import js_trim
@@ -82,27 +82,25 @@ def search(entries: DataFrame, artifact: str, term: str) -> DataFrame:
     return entries.where(hit)
 
 
-def verify(before: DataFrame, after: DataFrame, artifact: str) -> DataFrame:
-    """clean, remaining or unverifiable for each artifact of either inventory, with the first leftovers.
+def verify(before: DataFrame, after: DataFrame, artifact: str, artifacts: DataFrame | None = None) -> DataFrame:
+    """(artifact, status, remaining, sample) of every artifact: clean, remaining or unverifiable, with the first leftovers.
 
-    An artifact without an entry in both has no row here; see metadata.cleaned(), which calls it unverifiable.
-
-    A leftover is a removable entry that stands in both inventories with the same place,
-    key and value; an empty value is no content.
+    A leftover is a removable entry that stands in both inventories with the same place, key,
+    value and, where there is a column `hex`, the same hex; an entry without value and hex is no
+    content. An artifact without any entry in both is unverifiable; `artifacts` (a table with the
+    artifact's column) names those that neither inventory knows. A repeated entry is as many
+    leftovers as it stands before. A null artifact has no row.
     """
-    kept = after.select(artifact, "where", "key", "value").dropDuplicates()
-    left = before.where("removal <> 'never' AND value <> ''").join(kept, [artifact, "where", "key", "value"], "left_semi")
-    counted = left.groupBy(artifact).agg(F.count("*").alias("remaining"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda e: e["label"]), 1, SAMPLE), "; ").alias("sample"))
-    both = before.select(artifact).unionAll(after.select(artifact)).dropDuplicates()
-    out = both.join(counted, artifact, "left")
-    return out.select(artifact, F.when(F.col("remaining").isNull(), F.lit("clean")).otherwise(F.lit("remaining")).alias("status"), F.coalesce("remaining", F.lit(0)).alias("remaining"), F.coalesce("sample", F.lit("")).alias("sample"))
-
-
-def merged_regions(regions: DataFrame, artifact: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping regions of each artifact joined (gaps and islands)."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy(artifact).orderBy(start, end)
-    reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col(start) <= F.col("__reach"), 0).otherwise(1)).over(by)
-    return regions.withColumn("__reach", reach).withColumn("__island", island).groupBy(artifact, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    hexed = lambda df: F.coalesce(F.col("hex"), F.lit("")) if "hex" in df.columns else F.lit("")
+    # Place, key, value and hex as one digest: values may be long, and nulls are like nulls.
+    same = lambda df: df.where(F.col(artifact).isNotNull()).withColumn("__same", F.sha2(F.to_json(F.struct(F.col("where"), F.col("key"), F.col("value"), hexed(df).alias("hex"))), 256)).withColumn("__hex", hexed(df))
+    kept = same(after).select(artifact, "__same").distinct()
+    left = same(before).where("removal <> 'never' AND (coalesce(value, '') <> '' OR __hex <> '')").join(kept, [artifact, "__same"], "left_semi")
+    # The first labels of each artifact: ranks are cut before the shuffle, so one artifact may hold any number of entries.
+    first = left.withColumn("__rank", F.row_number().over(Window.partitionBy(artifact).orderBy("ord", "label"))).where(F.col("__rank") <= SAMPLE)
+    sample = first.groupBy(artifact).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "label"))), lambda e: e["label"]), "; ").alias("sample"))
+    known = before.select(artifact).unionAll(after.select(artifact)).distinct().withColumn("__known", F.lit(True))
+    spine = known.select(artifact) if artifacts is None else artifacts.select(artifact).unionAll(known.select(artifact)).distinct()
+    out = spine.where(F.col(artifact).isNotNull()).join(known, artifact, "left").join(left.groupBy(artifact).agg(F.count("*").alias("remaining")), artifact, "left").join(sample, artifact, "left")
+    status = F.when(F.col("__known").isNull(), F.lit("unverifiable")).when(F.col("remaining").isNull(), F.lit("clean")).otherwise(F.lit("remaining"))
+    return out.select(artifact, status.alias("status"), F.coalesce("remaining", F.lit(0)).alias("remaining"), F.coalesce("sample", F.lit("")).alias("sample"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from burin.operators import html as H
 from burin.operators import inventory as I
+from burin.operators import ranges as R
 from burin.plans.registry import query, table
 from burin.plans.text_queries import trimmed
 
@@ -149,7 +150,7 @@ SELECT l_orderkey, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "e
 def region_subtraction(spark, d):
     s = F.col("l_partkey") % 50
     rows = table(spark, d, "lineitem").select("l_orderkey", s.alias("start"), (s + F.col("l_quantity").cast("long") % 12).alias("end"))
-    return I.merged_regions(rows, "l_orderkey")
+    return R.merged_regions(rows, "l_orderkey")
 
 
 _FRONT = "concat('---', chr(10), 'title: Doc ', doc_id, chr(10), 'author:  ', source, ' ', chr(10), 'no colon', chr(10), 'date: 2024-01-01T10:00', chr(10), '---', chr(10), text)"
