@@ -31,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def folder(spark: SparkSession, keep: bool = False) -> str:
+    """A new path in the shared folder; what is written there goes at the end of the enclosing scratch() or application."""
+    path = f"{shared_dir(spark).rstrip('/')}/burin-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    written = sc._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(written)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    return path
+
+
 def persisted(df: DataFrame, keep: bool = False) -> DataFrame:
     """df cut from its lineage by a Parquet table in the shared folder.
 
@@ -38,13 +49,8 @@ def persisted(df: DataFrame, keep: bool = False) -> DataFrame:
     pruned as in any table, which checkpoint() files are not. The table goes at the end of
     the enclosing scratch(), if it is not to be kept, and else when the application ends.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/burin-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, keep)
     df.write.parquet(path)
-    sc = df.sparkSession.sparkContext
-    written = sc._jvm.org.apache.hadoop.fs.Path(path)
-    written.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(written)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
