@@ -7,10 +7,7 @@ memory follows the block and the longest single text, never the partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burin.storage import persisted, scratch, shared_dir  # noqa: F401
+
 #: Bytes of text that one numpy block holds (a longer text is a block alone).
 BLOCK_BYTES = 2 << 20
 
@@ -26,58 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_local_dir: dict[str, str] = {}
-_scratch: list[list[str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one where none is set and all runs in this process.
-
-    On a cluster without that setting this raises: no other folder is known to be shared.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found and (current := sc._jsc.sc().getCheckpointDir()).isDefined():
-        found = current.get()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _local_dir.setdefault(sc.applicationId, "")
-        if not found:
-            found = _local_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="burin-")
-    return found
-
-
-def persisted(df: DataFrame, keep: bool = False) -> DataFrame:
-    """df cut from its lineage by a Parquet table in the shared folder.
-
-    Every executor can read it again after losses; columns and row groups are
-    pruned as in any table, which checkpoint() files are not. The table goes at the end of
-    the enclosing scratch(), if it is not to be kept, and else when the application ends.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/burin-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    sc = df.sparkSession.sparkContext
-    written = sc._jvm.org.apache.hadoop.fs.Path(path)
-    written.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(written)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written inside, but for those to be kept, are deleted at the end."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        sc = spark.sparkContext
-        for path in _scratch.pop():
-            written = sc._jvm.org.apache.hadoop.fs.Path(path)
-            written.getFileSystem(sc._jsc.hadoopConfiguration()).delete(written, True)
-
-
 def crc_bucket(key: str | Column, mod: int) -> Column:
     """crc32 of the id's decimal text modulo mod; null ids give null."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % mod

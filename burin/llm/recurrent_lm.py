@@ -16,9 +16,10 @@ Training. Each document is turned into ids once, in a table in the shared folder
 backpropagation in numpy goes over every token of every training document: documents of a
 shard run side by side in lanes, in windows of STEPS, and the state is carried from window
 to window to the end of each document (of each SEGMENT tokens of a longer one). It goes in rounds, more as the corpus grows
-(rounds_of): a round takes the documents whose id's hash falls to it, every shard of them
-trains from the same start, and the weights are averaged by the number of tokens. Rounds,
-shards and their order follow from the rows alone, not from how they are partitioned.
+(rounds_of): a round takes the documents whose hash of id and tokens falls to it, every shard
+of them trains from the same start, and the weights are averaged by the number of tokens.
+Rounds, shards and their order follow from the rows alone, not from how they are partitioned.
+PASSES such passes are made, whatever the size of the corpus.
 
 Scoring. Whole documents, side by side in lanes, in windows of steps; the state is
 carried from window to window to the end of each document.
@@ -47,17 +48,17 @@ from burin.llm.common import blocks, byte_set, held_out, persisted, text_buffers
 HEAD, MOST_HEAD, TAILS, HIDDEN = 2048, 16_384, 8, 32
 #: Tokens whose counts are sent to workers, at most (a table of 42 MB in each Python worker).
 KNOWN = 1_000_000
-#: Training documents up to which every round goes through all of them; least number of rounds.
-WARM_DOCS, ROUNDS = 3000, 4
+#: How often training goes through the corpus, at every size alike; least number of rounds of a pass.
+PASSES, ROUNDS = 1, 4
 #: Rates of the first and the last round, and documents trained on side by side.
 RATES, TRAIN_LANES = (4e-3, 1e-3), 256
 #: Tokens of a document that are trained on one after the other.
 SEGMENT = 4096
-#: Tokens of a shard, times head / HEAD; least number of shards of a round.
-SHARD_TOKENS, SHARDS = 1_000_000, 8
+#: Tokens of a shard at most, times head / HEAD; shards of a round that are wanted, and tokens that each of them has at least.
+SHARD_TOKENS, SHARDS, LEAST_TOKENS = 1_000_000, 8, 50_000
 #: Documents that are scored side by side, bytes of them, and steps of a window.
 LANES, SCORE_LANES, LANE_BYTES, STEPS = 3000, 512, 10 << 20, 32
-#: Tokens of a shard that are held at once; a shard of more (one id that repeats) is gone through in parts.
+#: Tokens of a shard that are held at once; a shard of more (one row that repeats) is gone through in parts.
 HELD_TOKENS = 4_000_000
 ALPHA = 0.1
 
@@ -516,24 +517,25 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["change", "seen"])
 
 
-def fit(rows: DataFrame, corpus: Corpus, warm_docs: int = WARM_DOCS) -> Gru:
+def fit(rows: DataFrame, corpus: Corpus, passes: int = PASSES) -> Gru:
     """Weights from every token of every training document of `encoded` rows, averaged in rounds.
 
-    A document's round and shard follow from its id's hash, and a shard's documents are taken
-    in the order of that hash, so the weights do not depend on how the rows are partitioned.
+    A document's round and shard follow from a hash of its id and its ids, so that an id that
+    many rows repeat is many shards, and a shard's documents are taken in the order of that
+    hash: the weights do not depend on how the rows are partitioned.
     """
     net = fresh(corpus)
     if not corpus.ends:
         return net
     rounds = rounds_of(corpus.tokens)
-    warm = corpus.ends <= warm_docs
-    shards = max(SHARDS, int(corpus.tokens / (1 if warm else rounds) / (SHARD_TOKENS * corpus.head_size // HEAD)))
-    lanes = min(TRAIN_LANES, max(16, corpus.ends // (1 if warm else rounds) // shards // 4))
+    tokens_of_round = corpus.tokens // rounds
+    shards = max(min(SHARDS, 1 + tokens_of_round // LEAST_TOKENS), int(tokens_of_round / (SHARD_TOKENS * corpus.head_size // HEAD)))
+    lanes = min(TRAIN_LANES, max(16, corpus.ends // rounds // shards // 4))
     training = rows.where(~F.col("held_out"))
-    by_id = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(n))
-    for r, rate in enumerate(np.linspace(*RATES, rounds)):
-        own = training if warm else training.where(by_id(43, rounds) == r)
-        dealt = own.select(by_id(47, shards).cast("int").alias("shard"), F.xxhash64("doc_id").alias("o"), "ids")
+    by_row = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "doc_id", "ids"), F.lit(n))
+    for r, rate in enumerate(np.linspace(*RATES, passes * rounds)):
+        own = training.where(by_row(43, rounds) == r % rounds)
+        dealt = own.select(by_row(47, shards).cast("int").alias("shard"), F.xxhash64("doc_id", "ids").alias("o"), "ids")
         parts = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "o", "ids").select("shard", "ids").mapInArrow(_train_shards(net, float(rate), lanes), "g int, change binary, seen long")
         sums = parts.repartition(8, "g").mapInArrow(_add_up, "change binary, seen long").collect()  # 8 sums of the weights' size
         if seen := sum(x["seen"] for x in sums):
@@ -607,7 +609,7 @@ def _token_blocks(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarra
     return out
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", known: int = KNOWN, warm_docs: int = WARM_DOCS) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", known: int = KNOWN, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = docs.sparkSession
     slim = docs.select(F.col(key).alias("doc_id"), held_out(key, 10, 0).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -619,7 +621,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", known: int =
     head = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, of_tail double"
     encode = _encode(spark.sparkContext.broadcast(corpus))
     rows = persisted(slim.mapInArrow(encode, head + ", ids binary, rest array<long>, times array<long>"))
-    net = fit(rows, corpus, warm_docs)
+    net = fit(rows, corpus, passes)
     scored = rows.drop("rest", "times").mapInArrow(_score(net), head + ", model double")
     rare = rows.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("t")).select("rid", F.col("t.rest").alias("h"), F.col("t.times").alias("times"))
     log_c = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ALPHA))

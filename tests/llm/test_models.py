@@ -102,7 +102,7 @@ def test_base_scores_equal_brute_force(docs, known):
     """Also when most tokens' counts come from the join."""
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     expected = base_of(rows)
-    got = recurrent_lm.score(docs, known=known, warm_docs=50).collect()
+    got = recurrent_lm.score(docs, known=known).collect()
     assert len(got) == len(rows)
     for r in got:
         n, k, total, base = expected[r["doc_id"]]
@@ -154,14 +154,14 @@ def test_scores_equal_a_plain_computation(spark, docs):
     frames = []
     real = recurrent_lm.fit
 
-    def keep(rows, corpus, warm_docs):
-        net = real(rows, corpus, warm_docs)
+    def keep(rows, corpus, passes):
+        net = real(rows, corpus, passes)
         frames.append((rows.select("doc_id", "n_tokens", "ids").collect(), corpus, net))
         return net
 
     recurrent_lm.fit = keep
     try:
-        got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in recurrent_lm.score(docs, known=7, warm_docs=50).collect()}
+        got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in recurrent_lm.score(docs, known=7).collect()}
     finally:
         recurrent_lm.fit = real
     rows, corpus, net = frames[0]
@@ -177,8 +177,8 @@ def test_scores_equal_a_plain_computation(spark, docs):
 
 def test_scores_do_not_depend_on_partitions(spark, labelled):
     docs = labelled[0].limit(400)
-    first = {r["doc_id"]: r["score"] for r in recurrent_lm.score(docs.repartition(2), warm_docs=50).collect()}
-    again = {r["doc_id"]: r["score"] for r in recurrent_lm.score(docs.repartition(7, "text"), warm_docs=50).collect()}
+    first = {r["doc_id"]: r["score"] for r in recurrent_lm.score(docs.repartition(2)).collect()}
+    again = {r["doc_id"]: r["score"] for r in recurrent_lm.score(docs.repartition(7, "text")).collect()}
     assert first.keys() == again.keys() and all(again[k] == pytest.approx(v, rel=1e-3) for k, v in first.items())
 
 
