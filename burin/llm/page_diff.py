@@ -36,6 +36,7 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -184,25 +185,19 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return [(text, bad or cover > 0, inside) for (text, bad, inside), cover in zip(out, itertools.accumulate(edges), strict=False)]
 
 
-def shared(a: list[int], b: list[int]) -> set[int]:
-    """Places of a that a longest common subsequence of a and b takes.
+#: Matches of two lists that are linked one by one, at most: so many, or so many a line. Lists of more, whose lines repeat, are split first.
+SMALL, LINKS = 4096, 8
 
-    Hunt and Szymanski: common ends are stripped, then the longest rising chain of matches.
-    """
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    high = 0
-    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
-        high += 1
-    out = {*range(low), *range(len(a) - high, len(a))}
+
+def _chain(a: list[int], b: list[int]) -> Iterator[int]:
+    """Places of a in a longest rising chain of matches (Hunt and Szymanski)."""
     where: dict[int, list[int]] = {}
-    for j in range(len(b) - high - 1, low - 1, -1):
+    for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j], []).append(j)
     tails: list[int] = []
     chain: list[tuple[int, tuple | None]] = []
-    for i in range(low, len(a) - high):
-        for j in where.get(a[i], ()):
+    for i, x in enumerate(a):
+        for j in where.get(x, ()):
             k = bisect.bisect_left(tails, j)
             link = (i, chain[k - 1] if k else None)
             if k == len(tails):
@@ -212,8 +207,62 @@ def shared(a: list[int], b: list[int]) -> set[int]:
                 tails[k], chain[k] = j, link
     link = chain[-1] if chain else None
     while link:
-        out.add(link[0])
+        yield link[0]
         link = link[1]
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of b and each prefix of a.
+
+    One bit for each line of a in a Python integer, one sum for each line of b: a bit is
+    cleared where the length of the prefix grows by one.
+    """
+    masks: dict[int, int] = {}
+    for i, x in enumerate(a):
+        masks.setdefault(x, bytearray(len(a) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    masks = {x: int.from_bytes(m, "little") for x, m in masks.items()}
+    full = (1 << len(a)) - 1
+    state = full
+    for x in b:
+        if mask := masks.get(x):
+            u = state & mask
+            state = ((state + u) | (state - u)) & full
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def shared(a: list[int], b: list[int]) -> set[int]:
+    """Places of a that a longest common subsequence of a and b takes.
+
+    Common ends and lines that only one list has go first. Long lists are split (Hirschberg):
+    the half of b that each part of a is aligned with follows from the lengths from both ends,
+    so time is len(a) * len(b) / 64 and memory that of the lists, also where lines repeat.
+    """
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    out = {*range(low), *range(len(a) - high, len(a))}
+    both = set(a[low : len(a) - high]) & set(b[low : len(b) - high])
+    places = [i for i in range(low, len(a) - high) if a[i] in both]
+    work = [(places, [a[i] for i in places], [x for x in b[low : len(b) - high] if x in both])]
+    while work:
+        at, x, y = work.pop()
+        if not x or not y:
+            continue
+        times = Counter(y)
+        if sum(times[v] for v in x) <= max(SMALL, LINKS * (len(x) + len(y))):
+            out.update(at[i] for i in _chain(x, y))
+            continue
+        if len(y) == 1:
+            if y[0] in x:
+                out.add(at[x.index(y[0])])
+            continue
+        half = len(y) // 2
+        cut = int((_lengths(x, y[:half]) + _lengths(x[::-1], y[half:][::-1])[::-1]).argmax())
+        work += [(at[:cut], x[:cut], y[:half]), (at[cut:], x[cut:], y[half:])]
     return out
 
 

@@ -238,3 +238,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.join(labels.where("quality = 0"), "doc_id").count() <= 2
     assert docs.groupBy("text").count().where(F.col("count") > 1).count() == 0
     assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
+
+
+def test_long_lists_of_repeated_lines_are_aligned_exactly():
+    import random
+    import time
+
+    rng = random.Random(4)
+    for kinds, n, m in ((2, 130, 170), (5, 300, 90), (40, 200, 200), (1, 100, 300), (3, 1, 9000)):
+        a, b = [rng.randrange(kinds) for _ in range(n)], [rng.randrange(kinds + 1) for _ in range(m)]
+        row = [0] * (m + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        places = sorted(page_diff.shared(a, b))
+        assert len(places) == row[-1]
+        rest = iter(b)
+        assert all(a[i] in rest for i in places)  # a subsequence of b too
+    began = time.monotonic()
+    a, b = [rng.randrange(2) for _ in range(40_000)], [rng.randrange(2) for _ in range(40_000)]
+    assert len(page_diff.shared(a, b)) > 30_000 and time.monotonic() - began < 60
