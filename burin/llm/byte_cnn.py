@@ -31,6 +31,8 @@ UNDETERMINED = "und"
 LEAST_STEPS = 400
 #: Bounds of the training sample: texts of a language, windows of a text, texts of all languages.
 TEXTS_PER_LANG, WINDOWS_PER_TEXT, MOST_TEXTS = 800, 4, 200_000
+#: Languages whose shares are sent to every task (some 3 MB); those of more are joined as any table.
+MOST_SENT = 100_000
 
 
 @dataclass
@@ -174,9 +176,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return fresh([UNDETERMINED])
     texts_per_lang = max(1, min(texts_per_lang, MOST_TEXTS // len(langs)))
     unit = 1 << 30
-    # A table of a row a language, joined: the plan stays as small with thousands of languages.
+    # A table of a row a language, joined: the plan stays as small with thousands of languages. Texts are not shuffled for it.
     shares = docs.sparkSession.createDataFrame([(r["l"], min(unit, int(unit * texts_per_lang / r["count"]))) for r in counts], known.select(F.col("l"), F.lit(0).cast("long").alias("share")).schema)
-    chosen = known.join(shares, "l").where(F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(unit)) < F.col("share"))
+    chosen = known.join(F.broadcast(shares) if len(langs) <= MOST_SENT else shares, "l").where(F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(unit)) < F.col("share"))
     taken = chosen.select("t", "l").mapInArrow(_sample_windows, "rank long, codes binary, lang string")
     got = taken.orderBy("rank", "lang").limit(2 * len(langs) * texts_per_lang * WINDOWS_PER_TEXT).toArrow()
     codes = np.frombuffer(b"".join(got.column("codes").to_pylist()), np.int16).reshape(-1, WINDOW)

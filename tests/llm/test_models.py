@@ -221,3 +221,17 @@ def test_gradient_is_the_slope_of_the_loss():
 def test_scores_repeat(labelled):
     docs, labels = labelled
     assert rows_of(gam.classify(docs, labels)) == rows_of(gam.classify(docs, labels))
+
+
+def test_plan_of_the_sample_does_not_grow_with_the_languages(spark, monkeypatch):
+    from burin.llm import byte_cnn
+
+    rows = [(i, f"text of language {i % 300} " * 3, f"l{i % 300}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = {}
+    for sent in (byte_cnn.MOST_SENT, 10):
+        monkeypatch.setattr(byte_cnn, "MOST_SENT", sent)
+        monkeypatch.setattr(byte_cnn, "train", lambda codes, labels, langs, epochs, sent=sent: made.setdefault(sent, (codes.tobytes(), labels.tolist(), langs)))
+        byte_cnn.fit(df)
+    one, other = made.values()
+    assert one == other and len(one[2]) == 300 and len(one[1]) > 300
