@@ -61,6 +61,7 @@ def applicable_actions(artifacts: DataFrame, kind: str = "kind") -> DataFrame:
     return artifacts.join(F.broadcast(table), kind)
 
 
-def applicable_conversions(artifacts: DataFrame, kind: str = "kind") -> DataFrame:
+def applicable_conversions(artifacts: DataFrame, kind: str = "kind", every: bool = False) -> DataFrame:
+    """Every artifact with the conversions of its kind; with `every`, one without any keeps a row of nulls."""
     table = conversions(artifacts.sparkSession).withColumn(kind, F.explode("from_kinds")).drop("from_kinds")
-    return artifacts.join(F.broadcast(table), kind)
+    return artifacts.join(F.broadcast(table), kind, "left" if every else "inner")

@@ -109,7 +109,8 @@ def actions_by_category(spark, d):
 _CONVERSIONS = ", ".join(f"('{c}', '{k}', '{e}')" for c, kinds, e in catalog.CONVERSIONS for k in kinds)
 
 
-@query(f"WITH {_kinds_sql()} SELECT kind, CAST(count(DISTINCT page_id) AS BIGINT) AS n_files, CAST(count(DISTINCT conversion) AS BIGINT) AS n_conversions, string_agg(DISTINCT ext, ',' ORDER BY ext) AS exts FROM files JOIN (VALUES {_CONVERSIONS}) AS c(conversion, kind, ext) USING (kind) GROUP BY kind")
+@query(f"WITH {_kinds_sql()} SELECT kind, CAST(count(DISTINCT page_id) AS BIGINT) AS n_files, CAST(count(DISTINCT conversion) AS BIGINT) AS n_conversions, coalesce(string_agg(DISTINCT ext, ',' ORDER BY ext), '') AS exts FROM files LEFT JOIN (VALUES {_CONVERSIONS}) AS c(conversion, kind, ext) USING (kind) GROUP BY kind")
 def conversions_matrix(spark, d):
-    rows = catalog.applicable_conversions(_files(spark, d))
+    """Kinds of files with their conversions; a kind without any has a row too."""
+    rows = catalog.applicable_conversions(_files(spark, d), every=True)
     return rows.groupBy("kind").agg(F.countDistinct("page_id").alias("n_files"), F.countDistinct("conversion").alias("n_conversions"), F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("exts"))
