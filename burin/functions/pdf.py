@@ -240,17 +240,26 @@ def _written(value: Any) -> bytes:
     return (f"{value:.4f}".rstrip("0").rstrip(".") if isinstance(value, float) else str(value)).encode()
 
 
+#: How a file that is written begins.
+HEAD = b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"
+
+
 class Writer:
-    """Collects pages of documents into a new file; shared objects are copied once."""
+    """Collects pages of documents into a new file; shared objects are copied once.
+
+    Numbers start after `before`; the first `heads` objects are filled in last, and the last of
+    them is the node above the pages.
+    """
 
-    def __init__(self):
-        self.objects: list[Any] = [None, None]
+    def __init__(self, before: int = 0, heads: int = 2):
+        self.before, self.objects = before, [None] * heads
+        self.above = Ref(before + heads)
         self.kids: list[Ref] = []
         self.copied: dict[tuple[int, int], Ref] = {}
 
     def add(self, value: Any) -> Ref:
         self.objects.append(value)
-        return Ref(len(self.objects))
+        return Ref(self.before + len(self.objects))
 
     def copy(self, doc: Document, value: Any) -> Any:
         if isinstance(value, Ref):
@@ -260,7 +269,7 @@ class Writer:
                 if isinstance(target, dict) and target.get("Type") in ("Page", "Pages", "Catalog"):
                     return None
                 self.copied[key] = self.add(None)
-                self.objects[self.copied[key].number - 1] = self.copy(doc, target)
+                self.objects[self.copied[key].number - self.before - 1] = self.copy(doc, target)
             return self.copied[key]
         if isinstance(value, dict):
             return {k: self.copy(doc, v) for k, v in value.items()}
@@ -272,7 +281,7 @@ class Writer:
 
     def page(self, doc: Document, page: dict, stamp: Stream | None = None, fonts: dict | None = None) -> None:
         made = {k: self.copy(doc, v) for k, v in page.items() if k not in ("Parent", "B", "StructParents")}
-        made |= {"Type": Name("Page"), "Parent": Ref(2)}
+        made |= {"Type": Name("Page"), "Parent": self.above}
         if stamp is not None:
             before = made.get("Contents")
             parts = before if isinstance(before, list) else [before] if before is not None else []
@@ -282,14 +291,19 @@ class Writer:
             made["Resources"] = resources | {"Font": dict(own) | (fonts or {})}
         self.kids.append(self.add(made))
 
+    def body(self, head: bytes = b"") -> tuple[io.BytesIO, list[int]]:
+        """The objects after `head`, and where each begins."""
+        out, at = io.BytesIO(), []
+        out.write(head)
+        for i, value in enumerate(self.objects, self.before + 1):
+            at.append(out.tell())
+            out.write(b"%d 0 obj\n" % i + _written(value) + b"\nendobj\n")
+        return out, at
+
     def bytes(self) -> bytes:
         self.objects[0] = {"Type": Name("Catalog"), "Pages": Ref(2)}
         self.objects[1] = {"Type": Name("Pages"), "Kids": self.kids, "Count": len(self.kids)}
-        out, at = io.BytesIO(), []
-        out.write(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n")
-        for i, value in enumerate(self.objects):
-            at.append(out.tell())
-            out.write(b"%d 0 obj\n" % (i + 1) + _written(value) + b"\nendobj\n")
+        out, at = self.body(HEAD)
         start = out.tell()
         out.write(b"xref\n0 %d\n0000000000 65535 f \n" % (len(at) + 1) + b"".join(b"%010d 00000 n \n" % x for x in at))
         out.write(b"trailer\n" + _written({"Size": len(at) + 1, "Root": Ref(1)}) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
@@ -331,6 +345,33 @@ def merged(files: list[bytes]) -> bytes:
     return out.bytes()
 
 
+def _piece(data: bytes, before: int, above: int) -> Writer:
+    doc, out = Document(data), Writer(before, 1)
+    for page in doc.pages:
+        out.page(doc, page)
+    out.objects[0] = {"Type": Name("Pages"), "Kids": out.kids, "Count": len(out.kids), "Parent": Ref(above)}
+    return out
+
+
+def piece_size(data: bytes) -> tuple[int, int]:
+    """Objects and pages of a file's piece() in a merge."""
+    out = _piece(data, 0, 0)
+    return len(out.objects), len(out.kids)
+
+
+def piece(data: bytes, before: int, above: int) -> tuple[bytes, list[int]]:
+    """A file's pages as objects of a larger file, numbered after `before`, and where each begins; the first is the node of its pages, under the object `above`."""
+    out, at = _piece(data, before, above).body()
+    return out.getvalue(), at
+
+
+def piece_text(body: bytes) -> str:
+    """Text of a piece()'s pages, joined by an empty line."""
+    node = _OBJECT.match(body)
+    doc = Document(HEAD + body + (b"0 0 obj\n<< /Type /Catalog /Pages %s 0 R >>\nendobj\n" % node[1] if node else b""))
+    return "\n\n".join(page_text(doc, p) for p in doc.pages)
+
+
 def compressed(data: bytes) -> bytes:
     """All pages rewritten: streams deflated, document information and unused objects gone."""
     doc, out = Document(data), Writer()

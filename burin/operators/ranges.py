@@ -51,6 +51,23 @@ def _carried(rows: DataFrame, cuts: DataFrame | None, per_piece: Column, over_pi
     return rows.join(known, F.col("a").eqNullSafe(F.col("of")) & (F.col("piece") == F.col("nth")), "left").drop("of", "nth")
 
 
+def sums_before(rows: DataFrame, artifact: str, at: str, values: list[str], ties: tuple[str, ...] = (), most: int = MOST_ROWS) -> DataFrame:
+    """rows with `<value>_before` for each of the values: its sum (long) over the rows of the artifact before this one.
+
+    Rows stand in order of the number `at` and then of the columns `ties`, nulls first; rows that
+    are equal in all of them stand in any order. A null value counts as 0.
+    """
+    named = rows.withColumnsRenamed({artifact: "a", at: "at"})
+    cuts = _cuts(named, most)
+    out = _pieced(named, cuts)
+    by = Window.partitionBy("a", "piece").orderBy("at", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    for v in values:
+        out = _carried(out, cuts, F.sum(v), F.sum, "carried")
+        before = F.coalesce(F.sum(v).over(by), F.lit(0)) + F.coalesce("carried", F.lit(0))
+        out = out.withColumn(f"{v}_before", before.cast("long")).drop("carried")
+    return out.drop("piece", "cut").withColumnsRenamed({"a": artifact, "at": at})
+
+
 def merged_regions(regions: DataFrame, artifact: str, start: str = "start", end: str = "end", most: int = MOST_ROWS) -> DataFrame:
     """Overlapping and touching regions of each artifact joined (gaps and islands)."""
     return _islands(*_slim(regions, artifact, start, end, most)).select(F.col("a").alias(artifact), F.col("at").alias(start), F.col("to").alias(end))

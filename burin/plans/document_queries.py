@@ -89,8 +89,11 @@ def pdf_reorder(spark, d):
 
 @query(f"WITH {_PDF_LINES} SELECT conv_id // 4 AS target, string_agg(body, chr(10) || chr(10) ORDER BY conv_id, p) AS body, NULL::VARCHAR AS error FROM pg GROUP BY target")
 def pdf_merge(spark, d):
+    """Text of merged files, read from their pieces in order of their places."""
     made = pdf_files.merge(_pdfs(spark, d).select(F.expr("conv_id div 4").alias("target"), "conv_id", F.col("pdf").alias("bytes")), "target", "conv_id")
-    return made.select("target", convert(F.col("result"), "pdf-to-txt")["result"].alias("body"), "error")
+    read = made.select("target", "error", F.struct("at", pdf_files.piece_text(F.col("bytes")).alias("text")).alias("p"))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("p.text") != "", F.col("p")))), lambda p: p["text"])
+    return read.groupBy("target").agg(F.array_join(texts, "\n\n").alias("body"), F.max("error").alias("error"))
 
 
 @query(f"WITH {_PDF_LINES} SELECT conv_id, string_agg(body, chr(10) || chr(10) ORDER BY p) AS body, NULL::VARCHAR AS error FROM pg GROUP BY conv_id")

@@ -23,6 +23,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -167,7 +168,8 @@ class Files(DataSource):
         names = [f.name for f in schema.fields]
         if not {"name", "bytes"} <= set(names):
             raise ValueError("rows need the columns name and bytes")
-        writer = FilesWriter(self.options["path"], uuid.uuid4().hex, names.index("name"), names.index("bytes"), overwrite)
+        place = names.index("at") if "at" in names else None
+        writer = FilesWriter(self.options["path"], uuid.uuid4().hex, names.index("name"), names.index("bytes"), overwrite, place)
         store, staging = writer.staging()
         store.create_dir(staging, recursive=True)  # a task that comes late, when it is gone again, cannot write
         return writer
@@ -181,22 +183,38 @@ class Written(WriterCommitMessage):
 
 @dataclass
 class FilesWriter(DataSourceWriter):
-    """Files of a task become one folder. Names keep their last part; one that a task meets again gets a number; rows without bytes are no files."""
+    """Files of a task become one folder. Names keep their last part; one that a task meets again gets a number; rows without bytes are no files.
+
+    With a column of places, rows in order are pieces of files: one at 0 begins a file, any other has to go on where the piece before it ended.
+    """
 
     path: str
     job: str
     name_at: int
     bytes_at: int
     overwrite: bool
+    place_at: int | None = None
 
     def write(self, rows: Iterator) -> Written:
         store, staging = self.staging()
         folder = f"{staging}/{uuid.uuid4().hex}"
         seen: dict[str, int] = {}
+        with ExitStack() as opened:
+            self._write(rows, store, folder, seen, opened)
+        return Written(folder, len(seen))
+
+    def _write(self, rows: Iterator, store: pafs.FileSystem, folder: str, seen: dict[str, int], opened: ExitStack) -> None:
+        out, of, size = None, None, 0
         for row in rows:
-            data = row[self.bytes_at]
+            data, place = row[self.bytes_at], 0 if self.place_at is None else row[self.place_at]
             if data is None:
                 continue
+            if place:
+                if out is None or row[self.name_at] != of or place != size:
+                    raise ValueError(f"the piece at {place} of {row[self.name_at]} does not follow the one before it")
+                out.write(bytes(data))
+                size += len(data)
+                continue
             if not seen:
                 store.create_dir(folder, recursive=False)
             name = posixpath.basename((row[self.name_at] or "").replace("\\", "/")).strip(". ") or "documento"
@@ -206,9 +224,9 @@ class FilesWriter(DataSourceWriter):
             if n > 1:
                 seen[name], name = n, other
                 seen[name] = 1
-            with store.open_output_stream(f"{folder}/{name}") as out:
-                out.write(bytes(data))
-        return Written(folder, len(seen))
+            opened.close()
+            out, of, size = opened.enter_context(store.open_output_stream(f"{folder}/{name}")), row[self.name_at], len(data)
+            out.write(bytes(data))
 
     def commit(self, messages: list) -> None:
         store, root = _store(self.path)
@@ -247,3 +265,13 @@ def save_files(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Write (name, bytes) as files under a path; a failed job leaves none."""
     rows.sparkSession.dataSource.register(Files)
     rows.select("name", "bytes").write.format("burin_files").mode(mode).save(path)
+
+
+def save_pieces(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Write (name, at, bytes) as files of all pieces of a name by their place; a failed job, or a gap between two pieces, leaves none.
+
+    A file is written by one task, piece after piece; rows are sorted on disk, so that a task holds one piece at a time.
+    """
+    rows.sparkSession.dataSource.register(Files)
+    ordered = rows.select("name", "at", "bytes").where("bytes IS NOT NULL").repartition("name").sortWithinPartitions("name", "at")
+    ordered.write.format("burin_files").mode(mode).save(path)
