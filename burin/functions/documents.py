@@ -499,53 +499,85 @@ def epub_to_txt(content: bytes) -> str:
     return "\n\n".join(out)
 
 
-def xlsx_rows(content: bytes) -> list[list[str]]:
-    """Cells of the first sheet, gaps filled by their references."""
+def xlsx_rows(content: bytes) -> list[list]:
+    """Cells of the first sheet as texts, numbers, booleans and None; gaps are filled by their references."""
     package = _unzipped(content)
     shared = []
     if "xl/sharedStrings.xml" in package.namelist():
         shared = [_entities("".join(re.findall(r"<t[^>]*>([^<]*)</t>", si))) for si in re.findall(r"(?s)<si\b[^>]*>(.*?)</si>", _part(package, "xl/sharedStrings.xml"))]
     rows = []
     for row in re.findall(r"(?s)<row\b(?:[^>]*[^/])?>(.*?)</row>", _part(package, "xl/worksheets/sheet1.xml")):
-        cells: list[str] = []
-        for attributes, body in re.findall(r"(?s)<c\b((?:[^>]*[^/])?)>(.*?)</c>", row):
+        cells: list = []
+        for attributes, body in re.findall(r"(?s)<c\b((?:[^>]*[^/])?)>(.*?)</c>", re.sub(r"<c\b([^>]*)/>", r"<c\1></c>", row)):
             ref = re.search(r'\br="([A-Z]+)\d+"', attributes)
             if ref:
                 column = 0
                 for ch in ref[1]:
                     column = column * 26 + ord(ch) - 64
-                cells += [""] * (column - 1 - len(cells))
+                cells += [None] * (column - 1 - len(cells))
             kind = re.search(r'\bt="(\w+)"', attributes)
             value = re.search(r"(?s)<v[^>]*>(.*?)</v>", body)
             if kind and kind[1] == "s":
                 k = int(value[1]) if value else -1
-                cells.append(shared[k] if 0 <= k < len(shared) else "")
+                cells.append(shared[k] if 0 <= k < len(shared) else None)
             elif kind and kind[1] == "inlineStr":
                 cells.append(_entities("".join(re.findall(r"<t[^>]*>([^<]*)</t>", body))))
+            elif not value or (kind and kind[1] == "e"):
+                cells.append(None)
+            elif kind and kind[1] == "b":
+                cells.append(value[1].strip() not in ("0", "false"))
+            elif kind and kind[1] in ("str", "d"):
+                cells.append(_entities(value[1]))
             else:
-                cells.append(_entities(value[1]) if value else "")
+                cells.append(_number(value[1]))
         rows.append(cells)
     return rows
 
 
+def _number(text: str):
+    try:
+        value = float(text)
+    except ValueError:
+        return _entities(text)
+    return value if abs(value) < 1e308 else text
+
+
 def xlsx_to_csv(content: bytes) -> str:
-    return "\n".join(",".join(map(csv_cell, row)) for row in xlsx_rows(content))
+    shown = lambda v: ("TRUE" if v else "FALSE") if isinstance(v, bool) else csv_cell(v)
+    return "\n".join(",".join(map(shown, row)) for row in xlsx_rows(content))
 
 
 def xlsx_to_json(content: bytes) -> str:
+    """A record a row with any cell: numbers and booleans as such, empty cells left out, names made for columns without one or with one that stands before."""
     header, *body = xlsx_rows(content) or [[]]
-    return dumps([{k: v for k, v in zip(header, row, strict=False) if v != ""} for row in body])
-
-
-def rows_to_xlsx(rows: list[list[str]], sheet: str = "Datos") -> bytes:
-    """A workbook of one sheet of inline strings and numbers."""
-
-    def cell(v: str) -> str:
-        if re.fullmatch(r"-?(?:0|[1-9]\d{0,14})(?:\.\d+)?", v):
-            return f"<c><v>{v}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape_xml(v)}</t></is></c>'
-
-    body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
+    width, names = max((len(r) for r in [header, *body]), default=0), []
+    for h in header + [None] * (width - len(header)):
+        stem = "__EMPTY" if h in (None, "") else ("TRUE" if h else "FALSE") if isinstance(h, bool) else h if isinstance(h, str) else dumps(h)
+        name, n = stem, 0
+        while name in names:
+            n += 1
+            name = f"{stem}_{n}"
+        names.append(name)
+    records = ({k: v for k, v in zip(names, row, strict=False) if v is not None} for row in body)
+    return dumps([r for r in records if r])
+
+
+def rows_to_xlsx(rows: list[list], sheet: str = "Datos") -> bytes:
+    """A workbook of one sheet; texts, numbers and booleans keep their types, None is no cell."""
+
+    def cell(v, at: str) -> str:
+        if v is None:
+            return ""
+        if isinstance(v, bool):
+            return f'<c r="{at}" t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
+            return f'<c r="{at}"><v>{dumps(v)}</v></c>'
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape_xml(v)}</t></is></c>'
+
+    def column(i: int) -> str:
+        return (column(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+
+    body = "".join(f'<row r="{n}">' + "".join(cell(v, f"{column(i)}{n}") for i, v in enumerate(r)) + "</row>" for n, r in enumerate(rows, 1))
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     parts = {
@@ -559,14 +591,21 @@ def rows_to_xlsx(rows: list[list[str]], sheet: str = "Datos") -> bytes:
 
 
 def csv_to_xlsx(text: str) -> bytes:
-    return rows_to_xlsx(parse_csv(text))
+    """Cells that are written as numbers or as TRUE and FALSE become such, empty ones no cell; numbers of over 15 digits stay texts, so that none is lost."""
+
+    def typed(v: str):
+        if re.fullmatch(r"[-+]?(?=[.]?\d)\d{0,15}(?:\.\d{0,15})?(?:[eE][-+]?\d{1,2})?", v):
+            return float(v)
+        return {"": None, "TRUE": True, "FALSE": False}.get(v, v)
+
+    return rows_to_xlsx([list(map(typed, row)) for row in parse_csv(text)])
 
 
 def json_to_xlsx(text: str) -> bytes:
     value = _js(_loads(text))
     records = [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
     keys = list(dict.fromkeys(k for r in records for k in r))
-    plain = lambda v: v if isinstance(v, str) else "" if v is None else dumps(v, None)
+    plain = lambda v: dumps(v, None) if isinstance(v, (dict, list)) else v
     return rows_to_xlsx([keys, *([plain(r.get(k)) for k in keys] for r in records)])
 
 

@@ -138,8 +138,44 @@ _ISO_DATE, _ISO_TIME = r"\d{4}(?:-\d{2}(?:-\d{2})?)?", r"\d{2}:\d{2}(?::\d{2}(?:
 _MOST_MS = 8_640_000_000_000_000
 
 
+# The forms of a date with a month's name or with slashes, and what may follow it.
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+_DAYS = (rf"{_MONTH}[ -]*(\d{{1,2}})(?:,? +|-)(\d{{4}})", rf"(\d{{1,2}})[ -]*{_MONTH},?[ -]*(\d{{4}})", r"(\d{1,2})/(\d{1,2})/(\d{4})", r"(\d{4})/(\d{1,2})/(\d{1,2})")
+_CLOCK = r"(?:,? +(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,3})\d*)?)?(?: *(am|pm))?)?(?: *(?:gmt|utc|z)? *([+-]\d{2}):?(\d{2})| *(?:gmt|utc|z))?"
+#: Groups of the month, the day and the year in each of the forms of a day.
+_PLACES = ((1, 2, 3), (5, 4, 6), (7, 8, 9), (11, 12, 10))
+
+
+def _spoken_date(text: Column) -> Column:
+    """Epoch milliseconds of `Jan 2, 2024`, `Tue, 02 Jan 2024 10:20:30 GMT`, `1/2/2024 3:04 pm` and the like; null for others.
+
+    Names of days and remarks in brackets are left out, `1/2` is the second of January, a day past
+    the end of its month (up to 31) goes on into the next, and a date without a zone is in UTC.
+    """
+    pattern = "^" + "(?:" + "|".join(_DAYS) + ")" + _CLOCK + "$"
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\([^()]*\)", " "), r"^ *(?:sun|mon|tue|wed|thu|fri|sat)[a-z]*\.?,? +", ""))
+
+    def parsed(t: Column) -> Column:
+        group = lambda i: F.regexp_extract(t, pattern, i)
+        number = lambda i: F.coalesce(group(i).try_cast("int"), F.lit(0))
+        any_of = lambda k: F.coalesce(*[F.nullif(group(p[k]), F.lit("")) for p in _PLACES])
+        named = F.instr(F.lit(_MONTHS), F.substring(any_of(0), 1, 3))
+        month = F.when(named > 0, ((named + 2) / 3).cast("int")).otherwise(any_of(0).try_cast("int"))
+        day, year = any_of(1).try_cast("int"), any_of(2).try_cast("int")
+        hour, half = number(13), group(17)
+        of_day = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+        seconds = (of_day * 60 + number(14)) * 60 + number(15)
+        zone = F.when(F.startswith(group(18), F.lit("-")), -1).otherwise(1) * (F.abs(number(18)) * 60 + number(19)) * 60
+        valid = t.rlike(pattern) & month.between(1, 12) & day.between(1, 31) & (of_day <= 24) & (number(14) < 60) & (number(15) < 60) & (seconds <= 86400)
+        days = F.unix_date(F.make_date(year, F.when(month.between(1, 12), month), F.lit(1))) + day - 1
+        return F.when(valid, (days.cast("long") * 86400 + seconds - zone) * 1000 + F.rpad(group(16), 3, "0").try_cast("long"))
+
+    return let(bare, parsed)
+
+
 def date_of(text: Column) -> Column:
-    """Epoch milliseconds of a date as typed: a whole number of them, or an ISO date; null where it is neither.
+    """Epoch milliseconds of a date as typed: a whole number of them, an ISO date, or a date with a month's name or slashes; null where it is none.
 
     White space around it is left out; a date without a zone is in UTC.
     """
@@ -150,7 +186,7 @@ def date_of(text: Column) -> Column:
         zone = F.when(has_time & (zone != ""), F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.lit("Z"))
         whole = F.concat(day, F.when(F.length(day) == 4, F.lit("-01-01")).when(F.length(day) == 7, F.lit("-01")).otherwise(F.lit("")))
         iso = F.unix_millis(F.try_to_timestamp(F.concat(whole, F.lit("T"), F.when(~has_time, F.lit("00:00:00")).when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time), zone)))
-        ms = F.when(t.rlike(r"^-?\d+$") & (F.length(t) < 18), t.try_cast("long")).when(t.rlike(rf"^{_ISO_DATE}(?:[T ]{_ISO_TIME}(?:Z|[+-]\d{{2}}:?\d{{2}})?)?$"), iso)
+        ms = F.when(t.rlike(r"^-?\d+$") & (F.length(t) < 18), t.try_cast("long")).when(t.rlike(rf"^{_ISO_DATE}(?:[T ]{_ISO_TIME}(?:Z|[+-]\d{{2}}:?\d{{2}})?)?$"), iso).otherwise(_spoken_date(t))
         return F.when(ms.between(-_MOST_MS, _MOST_MS), ms)
 
     return let(js_trim(text), parsed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +223,28 @@ def test_split_plans(spark):
 def test_markdown_blocks():
     body = D.md_body_to_html("# T\n- a\n* b\n\n- c\ntext\n```py\nx\n# y\n```\n####### z\n```\nopen")
     assert body == "<h1>T</h1>\n<ul>\n  <li>a</li>\n  <li>b</li>\n</ul>\n<ul>\n  <li>c</li>\n</ul>\n<p>text</p>\n<pre><code>x\n# y</code></pre>\n<p>####### z</p>\n<pre><code>open</code></pre>"
+
+
+def test_workbooks_keep_types():
+    made = D.json_to_xlsx('[{"a": "12", "b": 12, "c": true, "d": null, "e": 1.5}, {"a": "", "f": "x & y"}]')
+    assert json.loads(D.xlsx_to_json(made)) == [{"a": "12", "b": 12, "c": True, "e": 1.5}, {"a": "", "f": "x & y"}]
+    assert D.xlsx_to_csv(made) == "a,b,c,d,e,f\n12,12,TRUE,,1.5\n,,,,,x & y"
+    book = D.csv_to_xlsx("n,n,,z\n1,2.50,TRUE,007\n,,,\nx,-3,,1e3\n1234567890123456789,.5,2024,")
+    assert json.loads(D.xlsx_to_json(book)) == [{"n": 1, "n_1": 2.5, "__EMPTY": True, "z": 7}, {"n": "x", "n_1": -3, "z": 1000}, {"n": "1234567890123456789", "n_1": 0.5, "__EMPTY": 2024}]
+    wide = [[str(i) for i in range(60)], [i if i % 7 == 0 else None for i in range(60)]]
+    assert json.loads(D.xlsx_to_json(D.rows_to_xlsx(wide))) == [{str(i): i for i in range(0, 60, 7)}]
+    assert D.xlsx_to_json(D.rows_to_xlsx([])) == "[]"
+
+
+def test_dates_as_spoken(spark):
+    import datetime as dt
+
+    at = lambda *a: int(dt.datetime(*a, tzinfo=dt.UTC).timestamp() * 1000)
+    want = {
+        "Jan 2 2024": at(2024, 1, 2), "January 2, 2024": at(2024, 1, 2), "2 Jan 2024": at(2024, 1, 2), "02-Dec-1999": at(1999, 12, 2), "Tue, 02 Jan 2024 10:20:30 GMT": at(2024, 1, 2, 10, 20, 30),
+        "Tue Jan 02 2024 10:20:30 GMT+0100 (CET)": at(2024, 1, 2, 9, 20, 30), "1/2/2024": at(2024, 1, 2), "12/31/2024 11:59 PM": at(2024, 12, 31, 23, 59), "12/31/2024 12:01 am": at(2024, 12, 31, 0, 1),
+        "2024/01/02 03:04:05.5": at(2024, 1, 2, 3, 4, 5) + 500, "feb 31 2024": at(2024, 3, 2), "2 Jan 2024 10:00 -05:30": at(2024, 1, 2, 15, 30), "2024-01-02": at(2024, 1, 2), "17": 17,
+        "13/1/2024": None, "Jan 32 2024": None, "Jan 2024": None, "1/2/2024 25:00": None, "1/2/2024 13:00 pm": None, "Foo 2 2024": None, "": None, "1/2/2024 10:61": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r["t"]: r["ms"] for r in rows.select("t", N.date_of(F.col("t")).alias("ms")).collect()} == want
