@@ -1,13 +1,17 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors become integers, floor(1024 * x). Queries are dealt into groups, rows into parts,
-and every pair of a group and a part is a cell: one set of rows of a single shuffle, queries
-before candidates. A task builds the cover tree of a cell's queries, then cover trees over
-bounded runs of its candidates as they come, and walks both trees together: a pair of nodes
-goes when even its best inner product, from the two centres and covering radii, stays below
-the worst k-th score among the queries under the query node. What is left of a cell is the k
-best of every query; these meet in one ranking by query. The driver sees two counts; the plan
-is the same at every size, and a task holds CELL_QUERIES queries and one run.
+Vectors become integers, floor(1024 * x). Every row goes to the part of its nearest pivot (a
+bounded sample of rows), which has the pivot as centre and a measured radius; queries are grouped
+by the same parts, and large parts and groups are split by a hash. A pair of a group and a part
+is a cell: one set of rows of a shuffle, queries before candidates. In a first pass each query
+meets its own part, which gives a first k-th score; in the second it goes only to the parts that
+can hold a candidate with that score, and a part only to the groups with such a query. A task
+builds the cover tree of a cell's queries, then cover trees over bounded runs of its candidates
+as they come, and walks both trees together: a pair of nodes goes when even its best inner
+product, from the two centres and covering radii, stays below the worst k-th score among the
+queries under the query node. What is left of a cell is the k best of every query; these meet in
+one ranking by query. The driver sees the pivots and two counts and two radii of each part; the
+plan is the same at every size, and a task holds CELL_QUERIES queries and one run.
 
 Defined results: rows with a null id, a null vector, or a null, NaN or infinite
 component take no part, nor do empty vectors; vectors of different lengths have no
@@ -33,6 +37,12 @@ from burin.llm.common import persisted
 RUN, LEAF, FANOUT = 8192, 48, 48
 #: Queries and candidates of a cell, about.
 CELL_QUERIES, CELL_ROWS = 8192, 64 * RUN
+#: Pivots, at most; larger parts are split, so tables of any size have cells of the same size.
+MOST_PIVOTS = 4096
+#: Shares of one part that a cell's number has room for.
+SHARES = 1 << 24
+#: Numbers in a block of distances to pivots.
+BLOCK = 1 << 22
 #: Partitions of the cells; more cells than that share them.
 MOST_PARTITIONS = 100_000
 
@@ -96,12 +106,13 @@ def build(points: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT) -> CoverTr
 
 
 class Best:
-    """The k best candidates so far of each query of a tree, in tree order."""
+    """The k best candidates so far of each query of a tree, in tree order; `least` is a score that k candidates elsewhere reach."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, least: np.ndarray, k: int):
         self.k = k
-        self.score = np.full((n, k), -np.inf)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.score = np.full((len(least), k), -np.inf)
+        self.id = np.full((len(least), k), np.iinfo(np.int64).max)
+        self.score[:, -1] = least
 
     def offer(self, a: int, b: int, scores: np.ndarray, ids: np.ndarray) -> None:
         some = (scores >= self.score[a:b, -1:]).any(0)
@@ -191,20 +202,137 @@ def integers(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, out
 
 
+@dataclass
+class Dealt:
+    """Rows (number, vec_id, v, part, far, asked, nearest and shares) with the pivots, and (part, rows, queries, radius) of each part."""
+
+    rows: DataFrame
+    pivots: dict[int, tuple[np.ndarray, np.ndarray]]
+    parts: list
+
+    def groups(self) -> DataFrame:
+        return self.rows.where("asked").select("number", "vec_id", "v", "part", "g")
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of and distance to each row's nearest centre."""
+    best, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    half = (centres**2).sum(1) / 2
+    step = max(1, BLOCK // len(centres))
+    for i in range(0, len(x), step):
+        own = x[i : i + step]
+        best[i : i + step] = (own @ centres.T - half).argmax(1)
+        far[i : i + step] = np.sqrt(((own - centres[best[i : i + step]]) ** 2).sum(1))
+    return best, far
+
+
+def _place(pivots: dict[int, tuple[np.ndarray, np.ndarray]]):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in integers(batch.column("v")):
+                # Vectors of a length that no pivot has are one part, with no bound.
+                part, far = np.full(len(x), -x.shape[1]), np.full(len(x), np.inf)
+                if x.shape[1] in pivots:
+                    names, centres = pivots[x.shape[1]]
+                    near, far = _nearest(x, centres)
+                    part = names[near]
+                taken = batch.take(pa.array(rows))
+                yield pa.record_batch([*taken.columns, pa.array(part, pa.int64()), pa.array(far)], [*taken.schema.names, "part", "far"])
+
+    return apply
+
+
+def deal(rows: DataFrame, every: int, key: str, vector: str, cell_queries: int = CELL_QUERIES, cell_rows: int = CELL_ROWS) -> Dealt:
+    """The usable rows by part, written once, so that a row's number is the same wherever it is read."""
+    spark = rows.sparkSession
+    slim = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    asked = F.col("vec_id") % every == 0
+    held, wanted = slim.agg(F.count("*"), F.count_if(asked)).first()
+    groups = max(1, -(-wanted // cell_queries))
+    pivots = min(MOST_PIVOTS, max(-(-held // cell_rows), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // groups)))
+    sample = slim.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivots).select("v").toArrow()
+    centres: dict[int, list] = {}
+    for chunk in sample.column("v").chunks:
+        for _, x in integers(pa.concat_arrays([chunk])):
+            centres.setdefault(x.shape[1], []).append(x)
+    named, n = {}, 0
+    for length, found in sorted(centres.items()):
+        c = np.unique(np.concatenate(found), axis=0)
+        named[length] = (np.arange(n, n + len(c)), c)
+        n += len(c)
+    kind = slim.schema["v"].dataType.simpleString()
+    placed = persisted(slim.withColumn("number", F.monotonically_increasing_id()).mapInArrow(_place(named), f"vec_id long, v {kind}, number long, part long, far double"))
+    parts = placed.groupBy("part").agg(F.count("*").alias("rows"), F.count_if(asked).alias("queries"), F.max("far").alias("radius")).collect()
+    shares = spark.createDataFrame([(r["part"], -(-r["rows"] // cell_rows), -(-r["queries"] // cell_queries)) for r in parts], "part long, row_shares int, query_shares int")
+    salted = lambda salt, n: F.col("part") * SHARES + F.pmod(F.xxhash64(F.lit(salt), "number"), F.greatest(n, F.lit(1)))
+    out = placed.join(F.broadcast(shares), "part").withColumns({"asked": asked, "g": salted(1, F.col("query_shares")), "p": salted(2, F.col("row_shares"))})
+    return Dealt(out, named, parts)
+
+
+def _searched(queries: DataFrame, candidates: DataFrame, k: int, run: int, cells: int) -> DataFrame:
+    """(number, query_id, vec_id, score): the k best of each query of each cell; both have (g, p, number, vec_id, v), queries also least."""
+    names = ["g", "p", "side", "number", "vec_id", "v", "least"]
+    both = queries.withColumn("side", F.lit(0)).select(names).unionAll(candidates.withColumns({"side": F.lit(1), "least": F.lit(None).cast("long")}).select(names))
+    dealt = both.repartition(max(1, min(cells, MOST_PARTITIONS)), "g", "p").sortWithinPartitions("g", "p", "side")
+    return dealt.mapInArrow(_search_cells(k, run), "number long, query_id long, vec_id long, score long")
+
+
+def _shares(part, count):
+    """Numbers of the cells' side of a part with as many shares."""
+    return F.explode(F.sequence(part * SHARES, part * SHARES + count - 1))
+
+
+def own_part(dealt: Dealt, k: int, run: int) -> DataFrame:
+    """First pass: each query against its own part."""
+    with_queries = dealt.rows.where("query_shares > 0")
+    asked = with_queries.where("asked").withColumn("p", _shares(F.col("part"), F.col("row_shares"))).withColumn("least", F.lit(None).cast("long"))
+    cells = sum(-(-r["rows"] // CELL_ROWS) * -(-r["queries"] // CELL_QUERIES) for r in dealt.parts) + len(dealt.parts)
+    return persisted(_searched(asked, with_queries.withColumn("g", _shares(F.col("part"), F.col("query_shares"))), k, run, cells))
+
+
+def reach(dealt: Dealt, first: DataFrame, k: int) -> DataFrame:
+    """The queries with `least`, the k-th score of the first pass if there is one, and `reached`: the other parts that can hold a candidate with that score."""
+    by = Window.partitionBy("number").orderBy(F.desc("score"))
+    least = first.withColumn("rank", F.row_number().over(by)).where(F.col("rank") == k).select("number", F.col("score").alias("least"))
+    kind = dealt.rows.schema["v"].dataType.simpleString()
+    radius = {r["part"]: r["radius"] for r in dealt.parts}
+    bounds = {n: (names, c, np.array([radius.get(int(i), -1.0) for i in names])) for n, (names, c) in dealt.pivots.items()}
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("part").to_numpy()
+            floor = batch.column("least").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+            found: list = [[] for _ in range(len(own))]
+            for rows, x in integers(batch.column("v")):
+                if x.shape[1] not in bounds:
+                    continue
+                names, centres, r = bounds[x.shape[1]]
+                step = max(1, BLOCK // len(names))
+                for i in range(0, len(rows), step):
+                    at, part = rows[i : i + step], x[i : i + step]
+                    up = part @ centres.T + np.sqrt((part**2).sum(1))[:, None] * r
+                    up += 1e-9 * np.abs(up) + 1e-3
+                    # A pivot without rows has the radius -1.
+                    hit = (up >= floor[at][:, None]) & (names != own[at][:, None]) & (r >= 0)
+                    for j, row in zip(at, hit, strict=True):
+                        found[j] = names[row].tolist()
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "reached"])
+
+    asked = dealt.groups().join(least, "number", "left")
+    return persisted(asked.mapInArrow(apply, f"number long, vec_id long, v {kind}, part long, g long, least long, reached array<bigint>"))
+
+
 def top_k(rows: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", cell_queries: int = CELL_QUERIES, cell_rows: int = CELL_ROWS, run: int = RUN) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each query, a row whose key is divisible by `every`."""
-    slim = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
-    # Written once, so that a row's number is the same wherever it is read.
-    held = persisted(slim.withColumn("number", F.monotonically_increasing_id()))
-    asked = held.where(F.col("vec_id") % every == 0)
-    groups = max(1, -(-asked.count() // cell_queries))
-    parts = max(-(-held.count() // cell_rows), -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups))
-    dealt = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "number"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = asked.select(dealt(1, groups).alias("g"), each(parts).alias("p"), F.lit(0).alias("side"), "number", "vec_id", "v")
-    candidates = held.select(each(groups).alias("g"), dealt(2, parts).alias("p"), F.lit(1).alias("side"), "number", "vec_id", "v")
-    cells = queries.unionAll(candidates).repartition(min(groups * parts, MOST_PARTITIONS), "g", "p").sortWithinPartitions("g", "p", "side")
-    found = cells.mapInArrow(_search_cells(k, run), "number long, query_id long, vec_id long, score long")
+    dealt = deal(rows, every, key, vector, cell_queries, cell_rows)
+    first = own_part(dealt, k, run)
+    reached = reach(dealt, first, k)
+    shares = dealt.rows.sparkSession.createDataFrame([(r["part"], -(-r["rows"] // cell_rows)) for r in dealt.parts], "to long, row_shares int")
+    sent = reached.withColumn("to", F.explode("reached")).join(F.broadcast(shares), "to").withColumn("p", _shares(F.col("to"), F.col("row_shares")))
+    # Cells with a query; a part's rows meet them share by share, so that no join key holds more than a cell's rows.
+    cells = persisted(sent.select("g", "p").distinct())
+    candidates = dealt.rows.drop("g").join(cells, "p")
+    found = first.unionByName(_searched(sent, candidates, k, run, cells.count()))
     by = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -218,18 +346,22 @@ class _Cell:
         self.held: dict[int, list] = {}
         self.queries: dict[int, tuple[Rows, Best]] | None = None
 
-    def take(self, side: int, ids: np.ndarray, numbers: np.ndarray, vectors: pa.Array) -> None:
+    def take(self, side: int, ids: np.ndarray, numbers: np.ndarray, vectors: pa.Array, least: np.ndarray) -> None:
         if side and self.queries is None:
-            self.queries = {n: (own := self.joined(x, 16), Best(len(own.ids), self.k)) for n, x in self.asked.items()}
+            self.queries = {n: self.started(x) for n, x in self.asked.items()}
         for rows, x in integers(vectors):
             n = x.shape[1]
             if not side:
-                self.asked.setdefault(n, []).append((ids[rows], numbers[rows], x))
+                self.asked.setdefault(n, []).append((ids[rows], numbers[rows], x, least[rows]))
             elif n in self.queries:
                 self.held.setdefault(n, []).append((ids[rows], numbers[rows], x))
                 if sum(len(c[0]) for c in self.held[n]) >= self.run:
                     self.flush(n)
 
+    def started(self, parts: list) -> tuple[Rows, Best]:
+        own = self.joined([c[:3] for c in parts], 16)
+        return own, Best(np.concatenate([c[3] for c in parts])[own.tree.place], self.k)
+
     @staticmethod
     def joined(parts: list, leaf: int = LEAF) -> Rows:
         return Rows.of(*(np.concatenate(c) for c in zip(*parts, strict=True)), leaf=leaf)
@@ -241,7 +373,7 @@ class _Cell:
         for n in list(self.held):
             self.flush(n)
         for own, best in (self.queries or {}).values():
-            q, j = np.nonzero(best.score > -np.inf)
+            q, j = np.nonzero((best.score > -np.inf) & (best.id < np.iinfo(np.int64).max))
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (own.numbers[q], own.ids[q], best.id[q, j], best.score[q, j].astype(np.int64))], ["number", "query_id", "vec_id", "score"])
 
 
@@ -250,18 +382,18 @@ def _search_cells(k: int, run: int):
         cell, at = None, None
         for batch in batches:
             g, p, side, numbers, ids = (batch.column(i).to_numpy() for i in range(5))
-            code = (g.astype(np.int64) << 32) + p * 2 + side
-            cuts = np.flatnonzero(np.diff(code)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(code)], strict=True):
+            least = batch.column(6).cast(pa.float64()).fill_null(-np.inf).to_numpy()
+            cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(p) != 0) | (np.diff(side) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)], strict=True):
                 if a == b:
                     continue
-                if code[a] >> 1 != at:
+                if (g[a], p[a]) != at:
                     if cell:
                         yield from cell.results()
-                    cell, at = _Cell(k, run), code[a] >> 1
+                    cell, at = _Cell(k, run), (g[a], p[a])
                 for i in range(a, b, run):
                     j = min(b, i + run)
-                    cell.take(int(side[a]), ids[i:j], numbers[i:j], batch.column(5).slice(i, j - i))
+                    cell.take(int(side[a]), ids[i:j], numbers[i:j], batch.column(5).slice(i, j - i), least[i:j])
         if cell:
             yield from cell.results()
 

@@ -41,6 +41,28 @@ def test_top_k_of_nothing(vectors):
     assert cover_tree.top_k(vectors.limit(0)).count() == 0
 
 
+def test_parts_that_no_query_reaches_are_not_sent(spark):
+    """Clusters in all directions: queries go to few parts, and a part of a third of the rows is split."""
+    rng = np.random.default_rng(11)
+    centres = np.eye(24) * 3
+    rows = [(i, [float(v) for v in centres[0 if i % 3 == 0 else i % 24] + rng.standard_normal(24) / 40]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    dealt = cover_tree.deal(df, 100, "vec_id", "embedding", cell_queries=20, cell_rows=100)
+    assert sum(r["rows"] for r in dealt.parts) == 6000 and len(dealt.parts) > 30
+    assert max(r["count"] for r in dealt.rows.groupBy("p").count().collect()) < 200
+    reached = cover_tree.reach(dealt, cover_tree.own_part(dealt, 10, 8192), 10)
+    sent = reached.selectExpr("sum(size(reached))").first()[0]
+    assert sent < 0.5 * 60 * len(dealt.parts)
+    x = np.floor(1024 * np.array([v for _, v in rows], np.float32).astype(np.float64))
+    want = []
+    for q in range(0, 6000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        top = np.lexsort((np.arange(6000), -s))[:10]
+        want += [(q, r, int(i), int(s[i])) for r, i in enumerate(top, 1)]
+    assert sorted(tuple(r) for r in cover_tree.top_k(df, cell_queries=20, cell_rows=100).collect()) == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 300), st.integers(1, 4), st.integers(0, 1000))
 def test_cover_tree_invariants(n, d, seed):
