@@ -1,16 +1,16 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
 Vectors become integers, floor(1024 * x). Every row goes to the part of its nearest pivot (a
-bounded sample of rows), which has the pivot as centre and a measured radius; queries are grouped
-by the same parts, and large parts and groups are split by a hash. A pair of a group and a part
-is a cell: one set of rows of a shuffle, queries before candidates. In a first pass each query
-meets its own part, which gives a first k-th score; in the second it goes only to the parts that
-can hold a candidate with that score, and a part only to the groups with such a query. A task
+bounded sample of rows), which has the pivot as centre and a measured radius; queries of parts
+that stand side by side are a group, and large parts and groups are split by a hash. A pair of a group and a part
+is a cell: one set of rows of one shuffle, queries before candidates. The k-th score of a query
+among the sample is a first bound: a query goes only to the parts that can hold a candidate with
+that score, and a part only to the groups with such a query. A task
 builds the cover tree of a cell's queries, then cover trees over bounded runs of its candidates
 as they come, and walks both trees together: a pair of nodes goes when even its best inner
 product, from the two centres and covering radii, stays below the worst k-th score among the
 queries under the query node. What is left of a cell is the k best of every query; these meet in
-one ranking by query. The driver sees the pivots and two counts and two radii of each part; the
+one ranking by query. The driver sees the sample, and two counts and the radius of each part; the
 plan is the same at every size, and a task holds CELL_QUERIES queries and one run.
 
 Defined results: rows with a null id, a null vector, or a null, NaN or infinite
@@ -37,8 +37,8 @@ from burin.llm.common import persisted
 RUN, LEAF, FANOUT = 8192, 48, 48
 #: Queries and candidates of a cell, about.
 CELL_QUERIES, CELL_ROWS = 8192, 64 * RUN
-#: Pivots, at most; larger parts are split, so tables of any size have cells of the same size.
-MOST_PIVOTS = 4096
+#: Pivots, at most (larger parts are split, so tables of any size have cells of the same size), and rows of the sample: at least, and for each pivot.
+MOST_PIVOTS, LEAST_SAMPLE, SAMPLE = 2048, 1024, 8
 #: Shares of one part that a cell's number has room for.
 SHARES = 1 << 24
 #: Numbers in a block of distances to pivots.
@@ -106,7 +106,7 @@ def build(points: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT) -> CoverTr
 
 
 class Best:
-    """The k best candidates so far of each query of a tree, in tree order; `least` is a score that k candidates elsewhere reach."""
+    """The k best candidates so far of each query of a tree, in tree order; `least` is a score that k candidates, here or elsewhere, reach."""
 
     def __init__(self, least: np.ndarray, k: int):
         self.k = k
@@ -204,15 +204,13 @@ def integers(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Dealt:
-    """Rows (number, vec_id, v, part, far, asked, nearest and shares) with the pivots, and (part, rows, queries, radius) of each part."""
+    """Rows (number, vec_id, v, part, g, p) by group and share of a part; by length of vector the names and centres of pivots and the ids and vectors of the sample; (part, rows, queries, radius) of each part."""
 
     rows: DataFrame
     pivots: dict[int, tuple[np.ndarray, np.ndarray]]
+    sample: dict[int, tuple[np.ndarray, np.ndarray]]
     parts: list
 
-    def groups(self) -> DataFrame:
-        return self.rows.where("asked").select("number", "vec_id", "v", "part", "g")
-
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of and distance to each row's nearest centre."""
@@ -250,23 +248,48 @@ def deal(rows: DataFrame, every: int, key: str, vector: str, cell_queries: int =
     held, wanted = slim.agg(F.count("*"), F.count_if(asked)).first()
     groups = max(1, -(-wanted // cell_queries))
     pivots = min(MOST_PIVOTS, max(-(-held // cell_rows), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // groups)))
-    sample = slim.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivots).select("v").toArrow()
-    centres: dict[int, list] = {}
-    for chunk in sample.column("v").chunks:
-        for _, x in integers(pa.concat_arrays([chunk])):
-            centres.setdefault(x.shape[1], []).append(x)
+    size = max(LEAST_SAMPLE, SAMPLE * pivots)
+    chance = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(1 << 30))
+    # A few times the sample pass the hash; no task sorts more than them.
+    some = slim.withColumn("chance", chance).where(F.col("chance") < int(min(1.0, 4 * size / max(1, held)) * (1 << 30))).orderBy("chance").limit(size)
+    sample: dict[int, list] = {}
+    for batch in some.select("vec_id", "v").toArrow().to_batches():
+        for at, x in integers(batch.column("v")):
+            sample.setdefault(x.shape[1], []).append((batch.column("vec_id").to_numpy()[at], x))
+    known = {length: tuple(np.concatenate(c) for c in zip(*found, strict=True)) for length, found in sorted(sample.items())}
     named, n = {}, 0
-    for length, found in sorted(centres.items()):
-        c = np.unique(np.concatenate(found), axis=0)
+    for length, (_, x) in known.items():
+        # Each length has its share of the pivots.
+        c = np.unique(x[: max(1, pivots * len(x) // size)] if len(known) > 1 or len(x) > pivots else x[:pivots], axis=0)
         named[length] = (np.arange(n, n + len(c)), c)
         n += len(c)
     kind = slim.schema["v"].dataType.simpleString()
     placed = persisted(slim.withColumn("number", F.monotonically_increasing_id()).mapInArrow(_place(named), f"vec_id long, v {kind}, number long, part long, far double"))
     parts = placed.groupBy("part").agg(F.count("*").alias("rows"), F.count_if(asked).alias("queries"), F.max("far").alias("radius")).collect()
-    shares = spark.createDataFrame([(r["part"], -(-r["rows"] // cell_rows), -(-r["queries"] // cell_queries)) for r in parts], "part long, row_shares int, query_shares int")
-    salted = lambda salt, n: F.col("part") * SHARES + F.pmod(F.xxhash64(F.lit(salt), "number"), F.greatest(n, F.lit(1)))
-    out = placed.join(F.broadcast(shares), "part").withColumns({"asked": asked, "g": salted(1, F.col("query_shares")), "p": salted(2, F.col("row_shares"))})
-    return Dealt(out, named, parts)
+    groups = _groups(named, {r["part"]: r["queries"] for r in parts}, cell_queries)
+    shares = spark.createDataFrame([(r["part"], -(-r["rows"] // cell_rows), groups[r["part"]], -(-r["queries"] // cell_queries)) for r in parts], "part long, row_shares int, group long, query_shares int")
+    salted = lambda of, salt, n: F.col(of) * SHARES + F.pmod(F.xxhash64(F.lit(salt), "number"), F.greatest(n, F.lit(1)))
+    out = placed.join(F.broadcast(shares), "part").withColumns({"asked": asked, "g": salted("group", 1, F.col("query_shares")), "p": salted("part", 2, F.col("row_shares"))})
+    return Dealt(out, named, known, parts)
+
+
+def _groups(pivots: dict[int, tuple[np.ndarray, np.ndarray]], queries: dict[int, int], most: int) -> dict[int, int]:
+    """A group for each part: pivots in a chain, each the nearest of those left, cut where `most` queries are reached; other parts are alone."""
+    out, group, held = {p: p for p in queries if p < 0}, 0, 0
+    for names, centres in pivots.values():
+        left, now = np.ones(len(names), bool), 0
+        for _ in range(len(names)):
+            left[now] = False
+            n = queries.get(int(names[now]), 0)
+            if held and held + n > most:
+                group, held = group + 1, 0
+            held += n
+            if int(names[now]) in queries:
+                out[int(names[now])] = group
+            if left.any():
+                now = int(np.where(left, ((centres - centres[now]) ** 2).sum(1), np.inf).argmin())
+        group, held = group + 1, 0
+    return out
 
 
 def _searched(queries: DataFrame, candidates: DataFrame, k: int, run: int, cells: int) -> DataFrame:
@@ -278,61 +301,54 @@ def _searched(queries: DataFrame, candidates: DataFrame, k: int, run: int, cells
 
 
 def _shares(part, count):
-    """Numbers of the cells' side of a part with as many shares."""
+    """A row for each of a part's shares, with its number."""
     return F.explode(F.sequence(part * SHARES, part * SHARES + count - 1))
 
 
-def own_part(dealt: Dealt, k: int, run: int) -> DataFrame:
-    """First pass: each query against its own part."""
-    with_queries = dealt.rows.where("query_shares > 0")
-    asked = with_queries.where("asked").withColumn("p", _shares(F.col("part"), F.col("row_shares"))).withColumn("least", F.lit(None).cast("long"))
-    cells = sum(-(-r["rows"] // CELL_ROWS) * -(-r["queries"] // CELL_QUERIES) for r in dealt.parts) + len(dealt.parts)
-    return persisted(_searched(asked, with_queries.withColumn("g", _shares(F.col("part"), F.col("query_shares"))), k, run, cells))
-
-
-def reach(dealt: Dealt, first: DataFrame, k: int) -> DataFrame:
-    """The queries with `least`, the k-th score of the first pass if there is one, and `reached`: the other parts that can hold a candidate with that score."""
-    by = Window.partitionBy("number").orderBy(F.desc("score"))
-    least = first.withColumn("rank", F.row_number().over(by)).where(F.col("rank") == k).select("number", F.col("score").alias("least"))
+def reach(dealt: Dealt, k: int) -> DataFrame:
+    """The queries with `least`, a score that k rows of the sample reach (null without), and `reached`: the parts that can hold a candidate with that score."""
     kind = dealt.rows.schema["v"].dataType.simpleString()
     radius = {r["part"]: r["radius"] for r in dealt.parts}
+    # A pivot without rows has the radius -1.
     bounds = {n: (names, c, np.array([radius.get(int(i), -1.0) for i in names])) for n, (names, c) in dealt.pivots.items()}
+    sample = dealt.sample
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("part").to_numpy()
-            floor = batch.column("least").cast(pa.float64()).fill_null(-np.inf).to_numpy()
-            found: list = [[] for _ in range(len(own))]
+            ids, own = batch.column("vec_id").to_numpy(), batch.column("part").to_numpy()
+            least, found = np.full(len(own), -np.inf), [[int(p)] for p in own]
             for rows, x in integers(batch.column("v")):
                 if x.shape[1] not in bounds:
                     continue
                 names, centres, r = bounds[x.shape[1]]
-                step = max(1, BLOCK // len(names))
+                others, vectors = sample[x.shape[1]]
+                step = max(1, BLOCK // max(len(names), len(others)))
                 for i in range(0, len(rows), step):
-                    at, part = rows[i : i + step], x[i : i + step]
-                    up = part @ centres.T + np.sqrt((part**2).sum(1))[:, None] * r
+                    at, q = rows[i : i + step], x[i : i + step]
+                    if len(others) >= k:
+                        # A sampled row with the query's id may be the query itself.
+                        scores = np.where(others == ids[at][:, None], -np.inf, q @ vectors.T)
+                        least[at] = np.partition(scores, -k, axis=1)[:, -k]
+                    up = q @ centres.T + np.sqrt((q**2).sum(1))[:, None] * r
                     up += 1e-9 * np.abs(up) + 1e-3
-                    # A pivot without rows has the radius -1.
-                    hit = (up >= floor[at][:, None]) & (names != own[at][:, None]) & (r >= 0)
+                    hit = (up >= least[at][:, None]) & (r >= 0)
                     for j, row in zip(at, hit, strict=True):
                         found[j] = names[row].tolist()
-            yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "reached"])
+            floor = pa.array(np.where(np.isfinite(least), least, 0).astype(np.int64), pa.int64(), mask=~np.isfinite(least))
+            yield pa.record_batch([*batch.columns, floor, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "least", "reached"])
 
-    asked = dealt.groups().join(least, "number", "left")
+    asked = dealt.rows.where("asked").select("number", "vec_id", "v", "part", "g")
     return persisted(asked.mapInArrow(apply, f"number long, vec_id long, v {kind}, part long, g long, least long, reached array<bigint>"))
 
 
 def top_k(rows: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", cell_queries: int = CELL_QUERIES, cell_rows: int = CELL_ROWS, run: int = RUN) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each query, a row whose key is divisible by `every`."""
     dealt = deal(rows, every, key, vector, cell_queries, cell_rows)
-    first = own_part(dealt, k, run)
-    reached = reach(dealt, first, k)
     shares = dealt.rows.sparkSession.createDataFrame([(r["part"], -(-r["rows"] // cell_rows)) for r in dealt.parts], "to long, row_shares int")
-    sent = reached.withColumn("to", F.explode("reached")).join(F.broadcast(shares), "to").withColumn("p", _shares(F.col("to"), F.col("row_shares")))
+    sent = reach(dealt, k).withColumn("to", F.explode("reached")).join(F.broadcast(shares), "to").withColumn("p", _shares(F.col("to"), F.col("row_shares")))
     # Cells with a query; a part's rows meet them share by share, so that no join key holds more than a cell's rows.
-    cells = persisted(sent.select("g", "p").distinct())
-    candidates = dealt.rows.drop("g").join(cells, "p")
-    found = first.unionByName(_searched(sent, candidates, k, run, cells.count()))
+    cells = sent.select("g", "p").distinct()
+    found = _searched(sent, dealt.rows.drop("g").join(cells, "p"), k, run, cells.count())
     by = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

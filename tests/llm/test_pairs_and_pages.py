@@ -50,7 +50,7 @@ def test_parts_that_no_query_reaches_are_not_sent(spark):
     dealt = cover_tree.deal(df, 100, "vec_id", "embedding", cell_queries=20, cell_rows=100)
     assert sum(r["rows"] for r in dealt.parts) == 6000 and len(dealt.parts) > 30
     assert max(r["count"] for r in dealt.rows.groupBy("p").count().collect()) < 200
-    reached = cover_tree.reach(dealt, cover_tree.own_part(dealt, 10, 8192), 10)
+    reached = cover_tree.reach(dealt, 10)
     sent = reached.selectExpr("sum(size(reached))").first()[0]
     assert sent < 0.5 * 60 * len(dealt.parts)
     x = np.floor(1024 * np.array([v for _, v in rows], np.float32).astype(np.float64))
