@@ -237,4 +237,4 @@ def _utf16_head(x: Column, units: Column, most: int) -> Column:
 def short_hex(content: Column, most: int = 32) -> Column:
     """Up to `most` bytes in hexadecimal, with a space between; … for what follows."""
     shown = F.regexp_replace(F.lower(F.hex(F.substring(content, 1, most))), "(..)(?=.)", "$1 ")
-    return F.when(F.octet_length(content) > most, F.concat(shown, F.lit(" …"))).otherwise(shown)
+    return F.when(F.octet_length(content) > most, F.concat(shown, F.lit("…"))).otherwise(shown)

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _loaded() -> None:
-    from burin.plans import document_queries, meta_queries, number_queries, page_queries, relation_queries, source_queries, table_queries, text_queries  # noqa: F401
+    from burin.plans import chunk_queries, document_queries, meta_queries, number_queries, page_queries, relation_queries, source_queries, table_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
