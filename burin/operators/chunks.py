@@ -23,6 +23,7 @@ from burin.operators.html import _apply, _let, subtract
 _CHUNK = "struct<kind:string,start:int,body:int,stop:int,end:int>"
 CHUNKS = f"array<{_CHUNK}>"
 ENTRIES = "array<struct<ord:int,where:string,key:string,label:string,value:string,hex:string,size:bigint,sensitivity:string,removal:string>>"
+_BARE = ENTRIES.replace("ord:int,", "")
 
 
 def _number(at: str, n: int, little: bool = False) -> str:
@@ -113,8 +114,7 @@ def strip_png(content: Column, blocks: tuple[str, ...] | None = None) -> Column:
 
 
 def little(n: Column, size: int = 4) -> Column:
-    digits = F.lpad(F.hex(n), 2 * size, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]))
+    return let(F.lpad(F.hex(n), 2 * size, "0"), lambda h: F.unhex(F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(size))])))
 
 
 def _is_info(content: Column, k: Column) -> Column:
@@ -159,14 +159,18 @@ def _told(names: tuple[tuple[str, str], ...], key: Column, otherwise: Column) ->
 
 def unsigned(b: Column, at: int, n: int) -> Column:
     """A little-endian integer of the bytes at a place."""
-    digits = F.hex(F.substring(b, at + 1, n))
-    return F.conv(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(n))]), 16, 10).cast("long")
+    return let(F.hex(F.substring(b, at + 1, n)), lambda h: F.conv(F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(n))]), 16, 10).cast("long"))
 
 
 def _format_rows(fmt: Column, data_size: Column) -> Column:
     """What the `fmt ` chunk says, none where it is too short or has neither a rate nor bytes a second."""
+    numbers = F.struct(*[unsigned(fmt, at, n).alias(x) for x, at, n in (("tag", 0, 2), ("channels", 2, 2), ("rate", 4, 4), ("speed", 8, 4), ("bits", 14, 2))])
+    return F.when(F.octet_length(fmt) >= 16, let(F.struct(numbers.alias("n"), data_size.alias("data_size")), lambda x: _technical(x["n"], x["data_size"]))).otherwise(F.array().cast(_BARE))
+
+
+def _technical(n: Column, data_size: Column) -> Column:
     null = F.lit(None).cast("string")
-    tag, channels, rate, speed, bits = (unsigned(fmt, at, n) for at, n in ((0, 2), (2, 2), (4, 4), (8, 4), (14, 2)))
+    tag, channels, rate, speed, bits = (n[x] for x in ("tag", "channels", "rate", "speed", "bits"))
     hexed = F.concat(F.lit("0x"), F.lpad(F.hex(tag), 4, "0"))
     lasts = F.when(speed > 0, F.coalesce(data_size, F.lit(0)) / speed).otherwise(F.lit(0.0))
     fields = (
@@ -176,7 +180,7 @@ def _format_rows(fmt: Column, data_size: Column) -> Column:
     )
     rows = F.array(*[_row(F.lit("fmt "), F.lit(n), F.lit(n), v, null, F.lit(None), F.lit("low"), "never") for n, v in fields])
     kept = F.filter(rows, lambda r: r["value"].isNotNull())
-    return F.when((F.octet_length(fmt) >= 16) & ((rate > 0) | (speed > 0)), kept).otherwise(F.slice(rows, 1, 0))
+    return F.when((rate > 0) | (speed > 0), kept).otherwise(F.array().cast(_BARE))
 
 
 def wav_entries(content: Column) -> Column:
@@ -202,20 +206,16 @@ def wav_entries(content: Column) -> Column:
     return F.coalesce(let(content, lambda b: let(chunks(b, WAV), lambda found: every(b, found))).cast(ENTRIES), F.array().cast(ENTRIES))
 
 
-_BARE = ENTRIES.replace("ord:int,", "")
-
-
 def png_chunk(kind: str, body: Column) -> Column:
     """A chunk of a PNG: length, kind, body and CRC-32."""
-    named = F.concat(F.lit(kind.encode()), body)
     word = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
-    return F.concat(word(F.octet_length(body)), named, word(F.crc32(named)))
+    return let(F.concat(F.lit(kind.encode()), body), lambda named: F.concat(word(F.octet_length(named) - 4), named, word(F.crc32(named))))
 
 
 def riff_chunk(kind: str, body: Column) -> Column:
     """A chunk of a RIFF file: kind, size, body, and a zero after an odd one."""
-    size = F.octet_length(body)
-    return F.concat(F.lit(kind.encode()), little(size), body, F.when(size % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b"")))
+    padding = lambda b: F.when(F.octet_length(b) % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b""))
+    return let(body, lambda b: F.concat(F.lit(kind.encode()), little(F.octet_length(b)), b, padding(b)))
 
 
 def icc_of_jpeg(content: Column) -> Column:
@@ -251,7 +251,6 @@ def with_icc(content: Column, profile: Column) -> Column:
 
 def first_local_entry(content: Column) -> Column:
     """struct(name, method) of the first member of a ZIP by its local header; null for other bytes or a name that is cut off."""
-    size = unsigned(content, 26, 2).cast("int")
     held = F.startswith(content, F.lit(b"PK\x03\x04")) & (F.octet_length(content) >= 30)
-    name = F.decode(F.substring(content, F.lit(31), size), "UTF-8")
-    return F.when(held & (size + 30 <= F.octet_length(content)), F.struct(name.alias("name"), unsigned(content, 8, 2).cast("int").alias("method")))
+    made = lambda size: F.when(held & (size + 30 <= F.octet_length(content)), F.struct(F.decode(F.substring(content, F.lit(31), size), "UTF-8").alias("name"), unsigned(content, 8, 2).cast("int").alias("method")))
+    return let(unsigned(content, 26, 2).cast("int"), made)

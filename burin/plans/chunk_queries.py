@@ -49,7 +49,8 @@ e AS (
 SELECT doc_id, CAST(ord AS INTEGER) AS ord, place, value, hex, CAST(size AS BIGINT) AS size, removal FROM e""")
 def wav_inventory(spark, d):
     """What a WAV of each document says of itself (without its duration)."""
-    rows = table(spark, d, "documents").select("doc_id", F.explode(C.wav_entries(_wav())).alias("e")).where("e.key <> 'Duración'")
+    made = table(spark, d, "documents").select("doc_id", F.inline(F.array(F.struct(_wav().alias("wav")))))
+    rows = made.select("doc_id", F.explode(C.wav_entries(F.col("wav"))).alias("e")).where("e.key <> 'Duración'")
     return rows.select("doc_id", "e.ord", F.col("e.where").alias("place"), "e.value", "e.hex", "e.size", "e.removal")
 
 
