@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burin.llm.common import blocks, held_out, powers, scramble, text_buffers
+from burin.llm.common import blocks, free_name, held_out, powers, scramble, text_buffers
 
 WIDTHS = (2, 3, 4, 5)
 WINDOW, STEP = 256, 252
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, net: ByteCNN, text: str = "text", keep: list[str] |
     """
     keep = list(docs.columns) if keep is None else keep
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    body, flag = (text if text in keep else "__text"), "__has_letter"
+    body, flag = (text if text in keep else free_name("__text", keep)), free_name("__has_letter", keep)
     out = "".join(f"`{c}` {types[c]}, " for c in keep) + f"`{names[0]}` string, `{names[1]}` double"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +230,6 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", least: float = 0.4) -> DataFrame:
     """The rows of docs whose language is determined, with a score of at least `least`; all columns kept."""
-    names = ("__lang_pred", "__lang_score")
+    names = (free_name("__lang_pred", docs.columns), free_name("__lang_score", docs.columns))
     told = predict(docs, fit(docs, text, lang, key), text, names=names)
     return told.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).drop(*names)

@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    own = {c.lower() for c in taken}
+    while name.lower() in own:
+        name = "_" + name
+    return name
+
+
 def crc_bucket(key: str | Column, mod: int) -> Column:
     """crc32 of the id's decimal text modulo mod; null ids give null."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % mod

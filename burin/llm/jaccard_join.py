@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burin.llm.common import blocks, persisted, powers, scramble, text_buffers, words
+from burin.llm.common import blocks, free_name, persisted, powers, scramble, text_buffers, words
 from burin.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -356,13 +356,14 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     Rows with a null id stay. Of rows that repeat a kept id one stays.
     """
     classes = persisted(join(docs, text, key).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.first("class_id").alias("class_id"), F.count("*").alias("rows")))
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
+    dropped, repeated = free_name("__gone", docs.columns), free_name("__again", docs.columns)
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(dropped))
     gone = F.broadcast(gone) if gone.count() <= SENT_DROPPED else gone
-    kept = docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
-    again = classes.where("doc_id = class_id AND rows > 1").select(F.col("doc_id").alias("__again"))
+    kept = docs.join(gone, F.col(key).cast("long") == F.col(dropped), "left_anti")
+    again = classes.where("doc_id = class_id AND rows > 1").select(F.col("doc_id").alias(repeated))
     if not again.limit(1).count():
         return kept
-    repeats = F.col(key).cast("long") == F.col("__again")
+    repeats = F.col(key).cast("long") == F.col(repeated)
     return kept.join(again, repeats, "left_anti").unionByName(kept.join(again, repeats, "left_semi").dropDuplicates([key]))
 
 
