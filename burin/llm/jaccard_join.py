@@ -324,9 +324,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, class_id, rep_id, n_links of every row of docs."""
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = slim.where(F.col("doc_id").isNotNull())
-    digests = persisted(known.where(F.length("text") > 0).mapInArrow(_digest, "doc_id long, f1 long, f2 long, size long, bands array<long>, low binary"))
-    # One row for each id: rows that repeat it agree, or the smallest set hash stands for it.
-    own = digests.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "size", "bands", "low")).alias("d"), F.count("*").alias("rows")).select("doc_id", "d.*", "rows")
+    digests = known.where(F.length("text") > 0).mapInArrow(_digest, "doc_id long, f1 long, f2 long, size long, bands array<long>, low binary")
+    # One row for each id: rows that repeat it agree, or the smallest set hash stands for it. The table is written
+    # behind this shuffle, so it is made once and the tasks that hash texts write no files of it.
+    own = persisted(digests.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "size", "bands", "low")).alias("d"), F.count("*").alias("rows")).select("doc_id", "d.*", "rows"))
     reps = persisted(own.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("low").alias("low"), F.max("rows").alias("rows")))
     met = components(_candidates(reps))
     members = met.join(reps.select("rep", "copies", "size", "f1"), met["node"] == F.col("rep")).select("rep", F.col("label").alias("comp"), "copies", "size", "f1")
@@ -338,7 +339,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     if reps.where("rows > 1").limit(1).count():
         sets = sets.dropDuplicates(["rep"])  # a repeated row brings its text again
     grouped = _block_pairs(sets.select("comp", "rep", "copies", "parts", "body"), "comp").select("comp", "x", "y", "part", "parts", "rep", "copies", "body")
-    found = persisted(grouped.mapInArrow(_compare, "rep long, root long, links long, whole boolean"))
+    found = grouped.mapInArrow(_compare, "rep long, root long, links long, whole boolean")
+    found = persisted(found.repartition("rep"))  # few rows of many groups: without it a small file for each task
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = found.where("whole").select("rep", F.col("root").alias("label")).unionAll(components(found.where("NOT whole").select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "label"))
     of_rep = reps.select("f1", "f2", "rep", "copies").join(links, "rep", "left").join(labels, "rep", "left")

@@ -138,6 +138,26 @@ def test_large_component_in_blocks_loses_no_link(spark, small_blocks, views):
     assert rows_of(got) == sql_rows(views(documents=docs), jaccard_join.SQL, got.columns)
 
 
+def test_tables_of_the_join_have_few_files(spark, monkeypatch):
+    """Tasks that hash texts or compare sets write no file each: what they find is shuffled first."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))
+        rows += [(2 * k, text), (2 * k + 1, text + " end")]
+    files, write = [], jaccard_join.persisted
+
+    def noted(df, keep=False):
+        out = write(df, keep)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "persisted", noted)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(24))
+    assert max(files) <= 4 and files[-1] == 1
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got.collect()} == {i: (i - i % 2, 1) for i in range(120)}
+
+
 def test_pruning_bounds():
     least = jaccard_join.least_matches()
     assert len(least) == jaccard_join.VALUES // jaccard_join.CHUNK and all(a <= b for a, b in zip(least, least[1:], strict=False))
