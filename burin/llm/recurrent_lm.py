@@ -57,14 +57,15 @@ SEGMENT = 4096
 #: Tokens of a shard at most, times head / HEAD; shards of a round that are wanted, and tokens that each of them has at least.
 SHARD_TOKENS, SHARDS, LEAST_TOKENS = 1_000_000, 8, 50_000
 #: Documents that are scored side by side, bytes of them, and steps of a window.
-LANES, SCORE_LANES, LANE_BYTES, STEPS = 3000, 512, 10 << 20, 32
+LANES, SCORE_LANES, LANE_BYTES, STEPS = 3000, 256, 10 << 20, 32
+#: States whose classes are looked at together, so that what is worked on stays in a core's cache.
+ROWS = 2048
 #: Tokens of a shard that are held at once; a shard of more (one row that repeats) is gone through in parts.
 HELD_TOKENS = 4_000_000
 ALPHA = 0.1
 
 _TOKEN = ~byte_set((9, 13), (32, 32))
 _PLAIN = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-_HIGH = byte_set((0x80, 0xFF))
 LOG10 = float(np.log(10.0))
 
 
@@ -73,8 +74,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start, end, key, row = words(data, offsets, _TOKEN)
     if not len(start):
         return key.astype(np.int64), row, row
-    high = np.concatenate([[0], np.cumsum(_HIGH[data])])
-    kind = (high[end] > high[start]) * 4 + ~_PLAIN[data[end - 1]] * 2 + (end - start > 8)
+    high = np.bitwise_or.reduceat(data, start) >= 0x80  # what lies between tokens is ASCII
+    kind = high * 4 + ~_PLAIN[data[end - 1]] * 2 + (end - start > 8)
     return key.view(np.int64), kind.astype(np.int64), row
 
 
@@ -86,6 +87,16 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return key[first], kind[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _distinct(key: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of a block in order, with their tail classes and how often they stand there."""
+    found = pa.array(key).dictionary_encode()
+    at, one = found.indices.to_numpy(), found.dictionary.to_numpy()
+    kinds = np.zeros(len(one), np.int64)
+    kinds[at] = kind
+    order = np.argsort(one)
+    return one[order], kinds[order], np.bincount(at, minlength=len(one))[order]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map-side sums: a row for each distinct token of a partition (or of 2 million held ones)."""
     empty = (np.zeros(0, np.int64),) * 3
@@ -98,7 +109,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_buffers(batch.column(0))
         for i, j in blocks(offsets):
             key, kind, _ = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            held.append(_summed([(key, kind, np.ones(len(key), np.int64))]))
+            held.append(_distinct(key, kind))
             size += len(held[-1][0])
             if size > 2_000_000:
                 held = [_summed(held)]
@@ -227,6 +238,10 @@ class Gru:
             at += own.size
         return Gru(*out, self.bounds)
 
+    def recurrent(self) -> tuple[np.ndarray, np.ndarray]:
+        """The state's weights into the gates and into the candidate."""
+        return self.recur[:, : 2 * HIDDEN].copy(), self.recur[:, 2 * HIDDEN :].copy()
+
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         """Output class of inputs (head tokens and tail classes)."""
         n = len(self.bounds) - 1
@@ -256,20 +271,22 @@ def _sigmoid(x: np.ndarray) -> None:
     np.reciprocal(x, out=x)
 
 
-def _step(net: Gru, h: np.ndarray, x: np.ndarray, u: np.ndarray, out: np.ndarray) -> None:
-    """The next state, into out; every array has a row for each feature, a column for each lane.
+def _step(recur: tuple[np.ndarray, np.ndarray], h: np.ndarray, x: np.ndarray, gates: np.ndarray, v: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+    """The next state, into out; every array has a row for each lane.
 
-    x, the inputs' embeddings, becomes update gate, reset gate and candidate; u is h's part of them.
+    x holds the inputs' embeddings; the update and reset gates, h's part of the candidate
+    and the candidate go into gates, v and new.
     """
-    np.matmul(net.recur.T, h, out=u)
-    gates, n = x[: 2 * HIDDEN], x[2 * HIDDEN :]
-    gates += u[: 2 * HIDDEN]
+    np.matmul(h, recur[0], out=gates)
+    np.matmul(h, recur[1], out=v)
+    gates += x[:, : 2 * HIDDEN]
     _sigmoid(gates)
-    n += x[HIDDEN : 2 * HIDDEN] * u[2 * HIDDEN :]
-    np.tanh(n, out=n)
-    np.subtract(h, n, out=out)
-    out *= x[:HIDDEN]
-    out += n
+    np.multiply(gates[:, HIDDEN:], v, out=new)
+    new += x[:, 2 * HIDDEN :]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=out)
+    out *= gates[:, :HIDDEN]
+    out += new
 
 
 def _softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,7 +318,7 @@ def _by_class(net: Gru, k: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int,
 def likelihood(net: Gru, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the class, and for head tokens of the member, of each target."""
     k = net.class_of(target)
-    out = _softmax(states, net.to_class, net.class_bias, k)[2].astype(np.float64)
+    out = np.concatenate([_softmax(states[i : i + ROWS], net.to_class, net.class_bias, k[i : i + ROWS])[2] for i in range(0, len(k), ROWS)]).astype(np.float64)
     order, classes = _by_class(net, k)
     s, y = states[order], target[order]
     for a, b, low, high in classes:
@@ -321,8 +338,8 @@ def score_ids(net: Gru, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _score_lanes(net: Gru, ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """score_ids of documents side by side, the longest first; the state goes on from window to window."""
-    total, at = np.zeros(len(first)), 0
-    h = np.zeros((HIDDEN, len(first)), np.float32)
+    total, at, recur = np.zeros(len(first)), 0, net.recurrent()
+    h, x, gates, v, new = (np.zeros((len(first), n * HIDDEN), np.float32) for n in (1, 3, 2, 1, 1))
     while at < length[0]:
         steps = min(max(STEPS, 8192 // int(np.searchsorted(-length, -at))), int(length[0]) - at)
         alive = np.searchsorted(-length, -np.arange(at, at + steps))
@@ -333,10 +350,10 @@ def _score_lanes(net: Gru, ids: np.ndarray, first: np.ndarray, length: np.ndarra
         if at == 0:
             before[: ends[1]] = 0
         states = np.empty((ends[-1], HIDDEN), np.float32)
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            x, h, new = np.ascontiguousarray(net.embed[before[a:b]].T), h[:, : b - a], np.empty((HIDDEN, b - a), np.float32)
-            _step(net, h, x, np.empty_like(x), new)
-            h, states[a:b] = new, new.T
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            np.take(net.embed, before[a:b], 0, x[: b - a], "clip")
+            _step(recur, h[: b - a], x[: b - a], gates[: b - a], v[: b - a], new[: b - a], states[a:b])
+            h = states[a:b]
         total += np.bincount(lane, weights=likelihood(net, states, ids[now]), minlength=len(total))
         at += steps
     return total
@@ -349,20 +366,26 @@ def gradients(net: Gru, ids: np.ndarray, valid: np.ndarray, h: np.ndarray):
     for each lane. The gradient lists, for each array of weights, (rows that it moves, their gradient).
     """
     lanes, steps = ids.shape[0], ids.shape[1] - 1
-    x = np.empty((steps, 3 * HIDDEN, lanes), np.float32)
-    u, s = np.empty_like(x), np.empty((steps + 1, HIDDEN, lanes), np.float32)
-    s[0] = h
+    inputs, parts = ids[:, :-1].T.ravel(), net.recurrent()
+    x = np.empty((lanes, 3 * HIDDEN), np.float32)
+    gates, v, new, s = (np.empty((n, lanes, k * HIDDEN), np.float32) for n, k in ((steps, 2), (steps, 1), (steps, 1), (steps + 1, 1)))
+    s[0] = h.T
     for t in range(steps):
-        x[t] = net.embed[ids[:, t]].T
-        _step(net, s[t], x[t], u[t], s[t + 1])
-    states, y, w = s[1:].transpose(0, 2, 1).reshape(-1, HIDDEN), ids[:, 1:].T.ravel(), valid.T.ravel().astype(np.float32)
+        np.take(net.embed, inputs[t * lanes : (t + 1) * lanes], 0, x, "clip")
+        _step(parts, s[t], x, gates[t], v[t], new[t], s[t + 1])
+    states, y, w = s[1:].reshape(-1, HIDDEN), ids[:, 1:].T.ravel(), valid.T.ravel().astype(np.float32)
     scale = w / max(1.0, float(w.sum()))
     k = net.class_of(y)
-    e, total, own = _softmax(states, net.to_class, net.class_bias, k)
-    loss = -float(own @ w)
-    e *= (scale / total)[:, None]
-    e[np.arange(len(y)), k] -= scale
-    to_class, class_bias, ds = states.T @ e, e.sum(0), e @ net.to_class.T
+    loss, to_class, class_bias, ds = 0.0, np.zeros_like(net.to_class), np.zeros_like(net.class_bias), np.empty_like(states)
+    for i in range(0, len(y), ROWS):
+        rows = slice(i, i + ROWS)
+        e, total, own = _softmax(states[rows], net.to_class, net.class_bias, k[rows])
+        loss -= float(own @ w[rows])
+        e *= (scale[rows] / total)[:, None]
+        e[np.arange(len(e)), k[rows]] -= scale[rows]
+        to_class += states[rows].T @ e
+        class_bias += np.ones(len(e), np.float32) @ e
+        np.matmul(e, net.to_class.T, out=ds[rows])
     order, classes = _by_class(net, k)
     own_s, own_y, own_w, own_scale, own_ds = states[order], y[order], w[order], scale[order], ds[order]
     members, biases = [net.member[:0]], [net.member_bias[:0]]
@@ -372,33 +395,57 @@ def gradients(net: Gru, ids: np.ndarray, valid: np.ndarray, h: np.ndarray):
         e *= (own_scale[a:b] / total)[:, None]
         e[np.arange(b - a), own_y[a:b] - low] -= own_scale[a:b]
         members.append(e.T @ own_s[a:b])
-        biases.append(e.sum(0))
+        biases.append(np.ones(len(e), np.float32) @ e)
         own_ds[a:b] += e @ net.member[low:high]
     ds[order] = own_ds
     ds = ds.reshape(steps, lanes, HIDDEN)
-    dx, back, recur = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.zeros((HIDDEN, lanes), np.float32), np.zeros_like(net.recur)
-    du = np.empty((3 * HIDDEN, lanes), np.float32)
-    for t in range(steps - 1, -1, -1):
-        z, r, n = x[t, :HIDDEN], x[t, HIDDEN : 2 * HIDDEN], x[t, 2 * HIDDEN :]
-        back += ds[t].T
-        down = back * (1 - z)
-        du[:HIDDEN] = down * z * (s[t] - n)
-        down *= 1 - n * n
-        du[2 * HIDDEN :] = down * r
-        du[HIDDEN : 2 * HIDDEN] = du[2 * HIDDEN :] * u[t, 2 * HIDDEN :] * (1 - r)
-        recur += s[t] @ du.T
+    back, down, one, two = np.zeros((lanes, HIDDEN), np.float32), *np.empty((3, lanes, HIDDEN), np.float32)
+    to_gates, to_new = (np.ascontiguousarray(p.T) for p in parts)
+    of_gates, of_new = (np.zeros_like(p) for p in parts)
+    for t in range(steps - 1, -1, -1):  # the gradients of gates and candidate take their places
+        z, r, n = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:], new[t]
+        back += ds[t]
+        np.subtract(1, z, out=down)
+        down *= back
         back *= z
-        back += net.recur @ du
-        du[2 * HIDDEN :] = down
-        dx[t] = du.T
-    inputs = ids[:, :-1].T.ravel()
+        np.subtract(s[t], n, out=one)
+        one *= down
+        z *= one
+        np.multiply(n, n, out=one)
+        np.subtract(1, one, out=one)
+        np.multiply(down, one, out=n)
+        np.multiply(n, r, out=two)
+        np.subtract(1, r, out=one)
+        one *= v[t]
+        np.multiply(one, two, out=r)
+        back += np.matmul(gates[t], to_gates, out=one)
+        back += np.matmul(two, to_new, out=one)
+        of_gates += s[t].T @ gates[t]
+        of_new += s[t].T @ two
+    recur = np.concatenate([of_gates, of_new], 1)
+    every = slice(None)
+    met = every if len(classes) == len(net.bounds) - 1 else np.concatenate([np.arange(low, high) for _, _, low, high in classes] or [inputs[:0]])
+    return [by_input(inputs, gates.reshape(-1, 2 * HIDDEN), new.reshape(-1, HIDDEN)), (every, recur), (every, to_class), (every, class_bias), (met, np.concatenate(members)), (met, np.concatenate(biases))], s[-1].T, loss
+
+
+def by_input(inputs: np.ndarray, *columns: np.ndarray, few: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct inputs in order, the sum of each one's rows over all columns); inputs of at most `few` rows are added up side by side."""
     order = np.argsort(inputs.astype(np.int16), kind="stable")
     read = inputs[order]
-    starts = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
-    met = np.concatenate([np.arange(low, high) for _, _, low, high in classes] or [read[:0]])
-    embed = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], starts, 0)
-    every = slice(None)
-    return [(read[starts], embed), (every, recur), (every, to_class), (every, class_bias), (met, np.concatenate(members)), (met, np.concatenate(biases))], s[-1].copy(), loss
+    first = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+    times = np.diff(np.append(first, len(read)))
+    many, some, sums = np.flatnonzero(times > few), np.flatnonzero((times > 1) & (times <= few)), []
+    for rows in columns:
+        out, ones = rows.take(order[first], 0), np.ones(len(order), rows.dtype)
+        for k in many:
+            out[k] = ones[: times[k]] @ rows.take(order[first[k] : first[k] + times[k]], 0)
+        left, nth = some, 1
+        while len(left):
+            out[left] += rows.take(order[first[left] + nth], 0)
+            nth += 1
+            left = left[times[left] > nth]
+        sums.append(out)
+    return read[first], np.concatenate(sums, 1)
 
 
 class Adam:
@@ -587,7 +634,7 @@ def _score(net: Gru):
         for batch in batches:
             data, offsets = text_buffers(batch.column(batch.num_columns - 1))
             model = np.zeros(batch.num_rows)
-            for i, j in _groups(offsets):
+            for i, j in blocks(offsets, LANE_BYTES):
                 ids = data[offsets[i] : offsets[j]].view(np.int16).astype(np.int64)
                 model[i:j] = score_ids(net, ids, (offsets[i : j + 1] - offsets[i]) // 2) / LOG10
             yield pa.record_batch([*batch.columns[:-1], pa.array(model)], [*batch.schema.names[:-1], "model"])

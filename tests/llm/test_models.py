@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from awkward_rows import ROWS, clashing, rows_of
 
@@ -218,6 +219,46 @@ def test_gradient_is_the_slope_of_the_loss():
         assert dense[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-2, abs=2e-3)
 
 
+def test_a_batch_takes_the_steps_of_its_longest_documents_once(monkeypatch):
+    """Documents are scored side by side by the batch: long ones that stand far apart in it share their steps."""
+    net, steps, real = small_net(), [], recurrent_lm._step
+    monkeypatch.setattr(recurrent_lm, "_step", lambda *a: (steps.append(1), real(*a)))
+    sizes = np.ones(9000, int)
+    sizes[[0, 4000, 8000]] = 700
+    rng = np.random.default_rng(6)
+    docs = [np.append(rng.integers(1, 10, n - 1), 0) for n in sizes]
+    batch = pa.record_batch([pa.array(range(9000)), pa.array([x.astype(np.int16).tobytes() for x in docs], pa.binary())], ["rid", "ids"])
+    (got,) = recurrent_lm._score(net)(iter([batch]))
+    assert len(steps) < 800
+    for k in (0, 1, 4000, 8000, 8999):
+        assert got.column(1)[k].as_py() == pytest.approx(plain_score(net, docs[k]) / math.log(10), rel=1e-4)
+
+
+@pytest.mark.parametrize("top", [1, 3, 300])
+def test_rows_of_an_input_are_added_up(top):
+    rng = np.random.default_rng(top)
+    inputs, rows = rng.integers(0, top, 2000) ** 2 // top, rng.standard_normal((2000, 5)).astype(np.float32)
+    plain = np.zeros((top, 5))
+    np.add.at(plain, inputs, rows.astype(float))
+    own, got = recurrent_lm.by_input(inputs, rows)
+    assert own.tolist() == sorted(set(inputs.tolist())) and np.allclose(got, plain[own], atol=1e-4)
+
+
+def test_counts_of_blocks_equal_brute_force(monkeypatch):
+    """Tokens of many blocks, with bytes over ASCII inside, at the ends and beside other texts."""
+    monkeypatch.setattr(recurrent_lm, "blocks", lambda offsets: ((i, i + 3) for i in range(0, len(offsets) - 1, 3)))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["the", "The", "é", "naïve", "end.", "x" * 9, "é" * 9, "ok!", "日本"], k=rng.randint(0, 30))) for _ in range(60)] + ["é", "", "a"]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    got = {(h, k): c for part in recurrent_lm._counts(iter([batch])) for h, k, c in zip(*(x.to_pylist() for x in part.columns), strict=True)}
+    words = collections.Counter(w for t in texts for w in t.encode().replace(b"The", b"the").split())
+    plain = lambda b: chr(b).isalnum() if b < 128 else True
+    kinds = collections.Counter()
+    for w, c in words.items():
+        kinds[(max(w) >= 128) * 4 + (not plain(w[-1])) * 2 + (len(w) > 8), c] += 1
+    assert collections.Counter((k, c) for (_, k), c in got.items()) == kinds and len(got) == len(words)
+
+
 def test_scores_repeat(labelled):
     docs, labels = labelled
     assert rows_of(gam.classify(docs, labels)) == rows_of(gam.classify(docs, labels))
