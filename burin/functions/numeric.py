@@ -214,4 +214,4 @@ def mp4_time(seconds: Column) -> Column:
 
 def matroska_time(nanos: Column) -> Column:
     """UTC text of nanoseconds since 2001."""
-    return F.date_format(F.timestamp_micros((nanos / 1000).cast("long") + 978307200000000), "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(F.timestamp_micros(F.call_function("div", nanos, F.lit(1000)) + 978307200000000), "yyyy-MM-dd HH:mm:ss")

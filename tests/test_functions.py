@@ -62,6 +62,11 @@ def test_durations(spark):
     assert [r[0] for r in rows.select(N.format_duration(F.col("s"))).collect()] == ["0 s", "12,5 s", "1:07", "1:02:03"]
 
 
+def test_matroska_times_beyond_exact_doubles(spark):
+    rows = spark.createDataFrame([(4615000 * 1000003000000,), (4619000 * 1000003000000,), (-1,), (999_999_999,), (None,)], "n long")
+    assert [r[0] for r in rows.select(N.matroska_time(F.col("n"))).collect()] == ["2147-03-31 12:17:25", "2147-05-16 19:24:17", "2001-01-01 00:00:00", "2001-01-01 00:00:00", None]
+
+
 def test_csv_rows():
     assert D.parse_csv("nombre,edad\nAna,30\nLuis,25") == [["nombre", "edad"], ["Ana", "30"], ["Luis", "25"]]
     assert D.parse_csv('a,"b ""c"", d"\r\n\nx') == [["a", 'b "c", d'], [""], ["x"]]
