@@ -30,11 +30,14 @@ def base_name(name: Column) -> Column:
     return F.when(stripped == "", F.lit("documento")).otherwise(stripped)
 
 
-def format_bytes(n: Column) -> Column:
-    """Base 1024, one decimal without a trailing .0; nothing positive is `0 B`."""
-    step = F.least(F.floor(F.log(n.cast("double")) / F.log(F.lit(1024.0))), F.lit(4)).cast("int")
+UNITS = ("B", "KB", "MB", "GB", "TB")
+
+
+def format_bytes(n: Column, units: tuple[str, ...] = UNITS) -> Column:
+    """Base 1024, one decimal without a trailing .0, in the last of the units from there on; nothing positive is `0 B`."""
+    step = F.least(F.floor(F.log(n.cast("double")) / F.log(F.lit(1024.0))), F.lit(len(units) - 1)).cast("int")
     value = n / F.pow(F.lit(1024.0), step)
-    unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), step + 1)
+    unit = F.element_at(F.array(*map(F.lit, units)), step + 1)
     shown = F.when(step == 0, n.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.1f", value), r"\.0$", ""))
     return F.when(n > 0, F.concat(shown, F.lit(" "), unit)).otherwise("0 B")
 

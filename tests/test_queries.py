@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from burin.functions import text as T
 from burin.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -40,6 +42,14 @@ def test_conversions_take_whole_texts(spark, tables):
     assert max(got.values()) > 80 and {r["doc_id"]: r["n"] for r in turned.collect()} == got
 
 
+def test_sizes_over_a_thousand_gigabytes(spark, duck, tmp_path):
+    duck.execute(f"CREATE OR REPLACE TABLE large_orders AS SELECT unnest([0, 3, 170000, 172384, 172385, 900000, 9000000])::BIGINT AS o_orderkey; COPY large_orders TO '{tmp_path}/orders.parquet'")
+    want = duck.execute(registry.oracle_sql()["format_bytes"].replace("FROM orders", "FROM large_orders")).fetchall()
+    got = [tuple(r) for r in registry.queries()["format_bytes"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and (172385, "1024 GB") in got
+    assert spark.range(1).select(T.format_bytes(F.lit(1 << 41))).first()[0] == "2 TB"
+
+
 def test_entry_imports_without_the_optional_part():
     import subprocess
     import sys
