@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,30 @@ def select_pages(content: Column, pages: Column) -> Column:
     return apply(content, pages)
 
 
+def reordered_text(text: Column, order: Callable[[int], list[int]]) -> Column:
+    """struct(pages, result, error): a text laid out as a file, its pages counted, put in the order that `order` has for their number, and read again.
+
+    The files live one at a time in the worker that makes them: the same steps as columns would
+    run a worker for each step beside the others, and hold a batch of files in each.
+    """
+    def turned(content: bytes) -> tuple[int, str]:
+        pages = pdf.page_count(content)
+        return pages, pdf.to_text(pdf.with_pages(content, order(pages)))
+
+    make, turn = _guarded(documents.txt_to_pdf), _guarded(turned)
+
+    def one(value: str | None) -> tuple[int | None, str | None, str | None]:
+        content, error = make(value)
+        found, error = (None, error) if error else turn(content)
+        return (*(found or (None, None)), error)
+
+    @F.pandas_udf("pages int, result string, error string")
+    def apply(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(map(one, texts)), columns=["pages", "result", "error"], dtype=object)
+
+    return apply(text)
+
+
 def split_plan(total: Column, mode: Column, text: Column, pages: Column | None = None, output: Column | None = None) -> Column:
     """struct(pages, separate, suffix, error) of a split.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burin.functions import text as T
+from burin.operators import pdf_files
 from burin.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -58,6 +59,15 @@ def test_texts_of_blanks_go_through_a_document(spark, duck, tmp_path):
     assert sorted(tuple(r) for r in registry.queries()["docx_roundtrip"](spark, str(tmp_path)).collect()) == sorted(want)
 
 
+def test_one_worker_a_task_reorders_pages(spark, tables):
+    df = registry.queries()["pdf_reorder"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    texts = spark.createDataFrame([("\n".join(map(str, range(100))),), ("one",), ("",), (None,)], "t string")
+    got = [tuple(r) for r in texts.select(pdf_files.reordered_text(F.col("t"), lambda n: list(range(n, 0, -1))).alias("c")).select("c.*").collect()]
+    pages = ["\n".join(map(str, range(a, b))) for a, b in ((96, 100), (48, 96), (0, 48))]
+    assert got == [(3, "\n\n".join(pages), None), (1, "one", None), (None, None, "Se necesita un archivo"), (None, None, "Se necesita un archivo")]
+
+
 def test_entry_imports_without_the_optional_part():
     import subprocess
     import sys
