@@ -15,17 +15,22 @@ def js_round(x: Column) -> Column:
 
 def integer_of(text: Column) -> Column:
     """A decimal, 0x or 0b integer (a sign only before a decimal) with white space around it; null where it is none."""
-    return let(F.lower(js_trim(text)), lambda t: (
-        F.when(t.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("long"))
-        .when(t.rlike("^0b[01]+$"), F.conv(F.substring(t, 3, 64), 2, 10).try_cast("long"))
+    return let(js_trim(text), lambda t: (
+        F.when(t.rlike("(?i)^0x[0-9a-f]+$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("long"))
+        .when(t.rlike("(?i)^0b[01]+$"), F.conv(F.substring(t, 3, 64), 2, 10).try_cast("long"))
         .when(t.rlike("^-?[0-9]+$"), t.try_cast("long"))
     ))
 
 
+def base_lines(number: Column) -> Column:
+    """Three lines of a whole number: decimal, hexadecimal and binary."""
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(F.lit("decimal: "), number.cast("string"), F.lit("\nhex: "), sign, F.lit("0x"), F.lower(F.hex(F.abs(number))), F.lit("\nbinary: "), sign, F.lit("0b"), F.bin(F.abs(number)))
+
+
 def number_base(text: Column) -> Column:
     """Three lines of an integer_of(); null where it is none."""
-    sign = lambda v: F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    return let(integer_of(text), lambda v: F.concat(F.lit("decimal: "), v.cast("string"), F.lit("\nhex: "), sign(v), F.lit("0x"), F.lower(F.hex(F.abs(v))), F.lit("\nbinary: "), sign(v), F.lit("0b"), F.bin(F.abs(v))))
+    return let(integer_of(text), base_lines)
 
 
 # Numerals of units, tens, hundreds and thousands.
@@ -43,27 +48,36 @@ def to_roman(n: Column) -> Column:
     return F.when(safe.isNotNull(), F.concat(digit(_THOUSANDS + ("",) * 6, 1000), digit(_HUNDREDS, 100), digit(_TENS, 10), digit(_UNITS, 1)))
 
 
+#: What is a numeral in upper case, as a class: a dotless i is one.
+ROMAN = r"[IVXLCDMivxlcdm\x{131}]"
+
+
 def from_roman(x: Column) -> Column:
     """Subtractive sum without a check of the order; null for other characters or nothing."""
-    t = F.upper(js_trim(x))
+    return let(js_trim(x), lambda t: F.when(t.rlike(f"^{ROMAN}+$"), _roman_sum(F.upper(t))))
+
+
+def _roman_sum(t: Column) -> Column:
     value = F.create_map(*[F.lit(v) for v in ("I", 1, "V", 5, "X", 10, "L", 50, "C", 100, "D", 500, "M", 1000)])
     numbers = F.transform(F.split(t, ""), lambda c: F.coalesce(value[c], F.lit(0)))
-    total = F.aggregate(
+    return F.aggregate(
         numbers, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")),
         lambda a, v: F.struct((a["sum"] + v - F.when(a["last"] < v, a["last"] * 2).otherwise(0)).cast("int").alias("sum"), v.alias("last")),
         lambda a: a["sum"],
     )
-    return F.when(t.rlike("^[IVXLCDM]+$"), total)
 
 
 def rgb_of(text: Column) -> Column:
     """struct(r, g, b) of #rgb, #rrggbb, rgb() or hsl(); null where the text is none."""
-    t = F.lower(js_trim(text))
+    return let(js_trim(text), _rgb_of)
+
+
+def _rgb_of(t: Column) -> Column:
     part = lambda pattern, k: F.regexp_extract(t, pattern, k)
     # The forms of a colour.
-    hex6, hex3 = "^#([0-9a-f]{2})([0-9a-f]{2})([0-9a-f]{2})$", "^#([0-9a-f])([0-9a-f])([0-9a-f])$"
-    rgb = r"^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$"
-    hsl = r"^hsl\(\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)%\s*,\s*(\d+(?:\.\d+)?)%\s*\)$"
+    hex6, hex3 = "(?i)^#([0-9a-f]{2})([0-9a-f]{2})([0-9a-f]{2})$", "(?i)^#([0-9a-f])([0-9a-f])([0-9a-f])$"
+    rgb = r"(?i)^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$"
+    hsl = r"(?i)^hsl\(\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)%\s*,\s*(\d+(?:\.\d+)?)%\s*\)$"
     from_hex6 = [F.conv(part(hex6, k), 16, 10).cast("int") for k in (1, 2, 3)]
     from_hex3 = [F.conv(F.concat(part(hex3, k), part(hex3, k)), 16, 10).cast("int") for k in (1, 2, 3)]
     from_rgb = [F.least(F.lit(255), part(rgb, k).try_cast("int")) for k in (1, 2, 3)]
@@ -187,7 +201,7 @@ def date_of(text: Column) -> Column:
         whole = F.concat(day, F.when(F.length(day) == 4, F.lit("-01-01")).when(F.length(day) == 7, F.lit("-01")).otherwise(F.lit("")))
         iso = F.unix_millis(F.try_to_timestamp(F.concat(whole, F.lit("T"), F.when(~has_time, F.lit("00:00:00")).when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time), zone)))
         ms = F.when(t.rlike(r"^-?\d+$") & (F.length(t) < 18), t.try_cast("long")).when(t.rlike(rf"^{_ISO_DATE}(?:[T ]{_ISO_TIME}(?:Z|[+-]\d{{2}}:?\d{{2}})?)?$"), iso).otherwise(_spoken_date(t))
-        return F.when(ms.between(-_MOST_MS, _MOST_MS), ms)
+        return let(ms, lambda m: F.when(m.between(-_MOST_MS, _MOST_MS), m))
 
     return let(js_trim(text), parsed)
 

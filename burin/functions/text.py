@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space of JavaScript's \s and trim, as a Java regular expression class.
 JS_SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+#: The characters of JS_SPACE.
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+# JS_SPACE with one comparison, not one a range, for a character that is neither Latin nor a space.
+_QUICK_SPACE = r"[\t\n\x0B\f\r \x{00A0}[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,7 +24,7 @@ def let(value: Column, use) -> Column:
 
 
 def js_trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{JS_SPACE}+|{JS_SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def ext_of(name: Column) -> Column:
@@ -53,7 +60,7 @@ def utf16_length(x: Column) -> Column:
 
 
 def word_count(x: Column) -> Column:
-    return let(js_trim(x), lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{JS_SPACE}+"))).cast("long"))
+    return let(js_trim(x), lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{_QUICK_SPACE}+"))).cast("long"))
 
 
 def line_count(x: Column) -> Column:
@@ -116,52 +123,67 @@ def base64_encode(content: Column) -> Column:
 
 def base64_decode(x: Column) -> Column:
     """Bytes; null where the text, without white space, is no valid Base64."""
-    packed = F.regexp_replace(x, f"{JS_SPACE}+", "")
-    valid = (F.length(packed) % 4 == 0) & packed.rlike(r"^[A-Za-z0-9+/]*={0,2}$")
-    return F.when(valid, F.unbase64(packed))
+    valid = lambda packed: (F.length(packed) % 4 == 0) & packed.rlike(r"^[A-Za-z0-9+/]*={0,2}$")
+    return let(F.regexp_replace(x, f"{_QUICK_SPACE}+", ""), lambda packed: F.when(valid(packed), F.unbase64(packed)))
+
+
+# What is between words, and the places where the case changes.
+_BETWEEN = r"[^\p{L}\p{N}]+|(?=\p{Lu})(?:(?<=[\p{Ll}\p{N}])|(?<=\p{Lu})(?=\p{Lu}\p{Ll}))"
 
 
 def words_of(x: Column) -> Column:
     """Words as the case conversions see them: letters and digits, split at case changes."""
-    split = F.regexp_replace(x, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
-    split = F.regexp_replace(split, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
-    return F.filter(F.split(split, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(x, _BETWEEN), lambda w: w != "")
 
 
 def _capital(w: Column) -> Column:
     return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))
 
 
+#: Case conversions of words_of() a text.
+CASES: dict[str, Callable[[Column], Column]] = {
+    "snake": lambda words: F.array_join(F.transform(words, F.lower), "_"),
+    "kebab": lambda words: F.array_join(F.transform(words, F.lower), "-"),
+    "constant": lambda words: F.array_join(F.transform(words, F.upper), "_"),
+    "pascal": lambda words: F.array_join(F.transform(words, _capital), ""),
+    "camel": lambda words: F.array_join(F.transform(words, lambda v, i: F.when(i == 0, F.lower(v)).otherwise(_capital(v))), ""),
+    "title": lambda words: F.array_join(F.transform(words, _capital), " "),
+    "sentence": lambda words: let(F.array_join(F.transform(words, F.lower), " "), _capital),
+    "slug": lambda words: F.array_join(F.transform(words, F.lower), "-"),
+}
+
+
 def case_snake(x: Column) -> Column:
-    return F.array_join(F.transform(words_of(x), F.lower), "_")
+    return CASES["snake"](words_of(x))
 
 
 def case_kebab(x: Column) -> Column:
-    return F.array_join(F.transform(words_of(x), F.lower), "-")
+    return CASES["kebab"](words_of(x))
 
 
 def case_constant(x: Column) -> Column:
-    return F.array_join(F.transform(words_of(x), F.upper), "_")
+    return CASES["constant"](words_of(x))
 
 
 def case_pascal(x: Column) -> Column:
-    return F.array_join(F.transform(words_of(x), _capital), "")
+    return CASES["pascal"](words_of(x))
 
 
 def case_camel(x: Column) -> Column:
-    return let(words_of(x), lambda w: F.array_join(F.transform(w, lambda v, i: F.when(i == 0, F.lower(v)).otherwise(_capital(v))), ""))
+    return CASES["camel"](words_of(x))
 
 
 def case_title(x: Column) -> Column:
-    return F.array_join(F.transform(words_of(x), _capital), " ")
+    return CASES["title"](words_of(x))
 
 
 def case_sentence(x: Column) -> Column:
-    return _capital(F.array_join(F.transform(words_of(x), F.lower), " "))
+    return CASES["sentence"](words_of(x))
 
 
 def case_slug(x: Column) -> Column:
-    return case_kebab(js_trim(x))
+    """Words in lower case with hyphens; white space at the ends is between words anyway."""
+    return CASES["slug"](words_of(x))
 
 
 def strip_frontmatter(x: Column) -> Column:
@@ -185,14 +207,14 @@ MARKDOWN_RULES = (
 def md_to_txt(x: Column) -> Column:
     x = strip_frontmatter(x)
     for pattern, by in MARKDOWN_RULES:
-        x = F.regexp_replace(x, pattern, by)
+        x = F.regexp_replace(x, pattern.replace(JS_SPACE, _QUICK_SPACE), by)
     return x
 
 
 def html_to_text(x: Column) -> Column:
     for pattern in (r"(?i)<script[\s\S]*?</script>", r"(?i)<style[\s\S]*?</style>", r"<[^>]+>"):
         x = F.regexp_replace(x, pattern, " ")
-    return js_trim(F.regexp_replace(unescape(x), f"{JS_SPACE}+", " "))
+    return js_trim(F.regexp_replace(unescape(x), f"{_QUICK_SPACE}+", " "))
 
 
 def csv_cell(x: Column) -> Column:

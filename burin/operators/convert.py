@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burin.functions import documents as D
@@ -17,22 +17,36 @@ from burin.functions import images as G
 from burin.functions import numeric as N
 from burin.functions import text as T
 
+#: What several conversions take from a text first.
+PARTS: dict[str, Callable[[Column], Column]] = {"words": T.words_of, "number": N.integer_of, "date": N.date_of}
+#: Conversions as functions of such a part.
+OF_PART: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    **{f"case-{c}": ("words", of_words) for c, of_words in T.CASES.items()},
+    "number-base": ("number", N.base_lines), "dec-to-roman": ("number", N.to_roman), "timestamp-to-date": ("date", N.timestamp_lines), "date-to-timestamp": ("date", N.iso_lines),
+}
+
+
+def _by_part(to: str) -> Callable[[Column], Column]:
+    part, use = OF_PART[to]
+    return lambda x: T.let(PARTS[part](x), use)
+
+
 #: Text in, text out (bytes of base64-to-txt), in the JVM; null is an error.
 EXPRESSIONS: dict[str, Callable[[Column], Column]] = {
-    "case-camel": T.case_camel, "case-pascal": T.case_pascal, "case-snake": T.case_snake, "case-kebab": T.case_kebab, "case-constant": T.case_constant,
-    "case-title": T.case_title, "case-sentence": T.case_sentence, "case-slug": T.case_slug, "url-encode": T.url_encode, "url-decode": T.url_decode,
+    **{c: _by_part(c) for c in OF_PART if c.startswith("case-")}, "url-encode": T.url_encode, "url-decode": T.url_decode,
     "html-escape": T.html_escape, "html-unescape": T.unescape, "xml-escape": T.xml_escape, "xml-unescape": T.unescape, "rot13": T.rot13,
     "txt-to-base64": lambda x: T.base64_encode(F.encode(x, "UTF-8")), "base64-to-txt": T.base64_decode,
-    "text-stats": T.text_stats, "md-to-txt": T.md_to_txt, "number-base": N.number_base, "dec-to-roman": lambda x: N.to_roman(N.integer_of(x)), "roman-to-dec": lambda x: N.from_roman(x).cast("string"),
-    "color-convert": N.color_convert, "timestamp-to-date": lambda x: T.let(N.date_of(x), N.timestamp_lines), "date-to-timestamp": lambda x: T.let(N.date_of(x), N.iso_lines), "md-table-to-csv": T.md_table_csv,
+    "text-stats": T.text_stats, "md-to-txt": T.md_to_txt, "number-base": _by_part("number-base"), "dec-to-roman": _by_part("dec-to-roman"), "roman-to-dec": lambda x: N.from_roman(x).cast("string"),
+    "color-convert": N.color_convert, "timestamp-to-date": _by_part("timestamp-to-date"), "date-to-timestamp": _by_part("date-to-timestamp"), "md-table-to-csv": T.md_table_csv,
     "to-sha256": lambda x: F.sha2(x, 256), "sha1": lambda x: F.sha1(x), "sha384": lambda x: F.sha2(x, 384), "sha512": lambda x: F.sha2(x, 512), "uuid-v4": lambda x: F.uuid(),
 }
 # What a conversion says of an input that it cannot read.
 _NO_NUMBER, _NO_DATE = "No pude identificar la base del número (usa decimal, 0x… o 0b…)", "No pude interpretar la fecha (usa formato ISO o epoch en ms)"
+_no_roman = lambda number: F.when(number.isNull(), _NO_NUMBER).otherwise("El número debe ser un entero entre 1 y 3999")
 ERRORS: dict[str, Callable[[Column], Column]] = {
     "number-base": lambda x: F.lit(_NO_NUMBER),
-    "dec-to-roman": lambda x: F.when(N.integer_of(x).isNull(), _NO_NUMBER).otherwise("El número debe ser un entero entre 1 y 3999"),
-    "roman-to-dec": lambda x: F.when(T.js_trim(x) == "", "El romano está vacío").otherwise(F.concat(F.lit("Carácter romano no válido: "), F.regexp_extract(F.upper(T.js_trim(x)), "^[IVXLCDM]*(.)", 1))),
+    "dec-to-roman": lambda x: _no_roman(N.integer_of(x)),
+    "roman-to-dec": lambda x: F.when(T.js_trim(x) == "", "El romano está vacío").otherwise(F.concat(F.lit("Carácter romano no válido: "), F.substring(F.upper(F.regexp_extract(T.js_trim(x), f"^{N.ROMAN}*(.)", 1)), 1, 1))),
     "color-convert": lambda x: F.when(T.js_trim(x).startswith("#"), "No entiendo el color hex (esperaba #RRGGBB o #RGB)").otherwise("Formato de color no reconocido (usa #RRGGBB, rgb() o hsl())"),
     "url-decode": lambda x: F.lit("No es una cadena URL válida"), "base64-to-txt": lambda x: F.lit("El texto no es Base64 válido"), "md-table-to-csv": lambda x: F.lit("No se encontró una tabla Markdown"),
     "timestamp-to-date": lambda x: F.lit(_NO_DATE), "date-to-timestamp": lambda x: F.lit(_NO_DATE),
@@ -88,12 +102,41 @@ def result_file(name: Column, to: str, converted: Column) -> Column:
     return F.struct(F.concat(T.base_name(name), F.lit("." + ext)).alias("name"), kind.alias("kind"), mime_of(kind).alias("mime"), size.alias("size"), converted["result"].alias("result"), converted["error"].alias("error"))
 
 
+def _outcome(made: Column, empty: Column, error: Column) -> Column:
+    said = lambda r: F.when(empty, F.lit("Se necesita un archivo")).when(r.isNull(), error)
+    return T.let(made, lambda r: F.struct(F.when(~empty, r).alias("result"), said(r).alias("error")))
+
+
+def all_converted(rows: DataFrame, value: str, ids: list[str]) -> DataFrame:
+    """rows without the text `value`, once for each of the JVM conversions: conversion, result (bytes in hexadecimal) and error as of convert().
+
+    What several of them take from a text, and each result, are columns of their own, so they are computed once a row.
+    """
+    kept, x = [c for c in rows.columns if c != value], F.col(value)
+    parts = {p: f"__{p}" for p in PARTS if any(OF_PART.get(c, ("",))[0] == p for c in ids)}
+    read = rows.select("*", (x.isNull() | (F.length(x) == 0)).alias("__empty"), *[PARTS[p](x).alias(name) for p, name in parts.items()])
+
+    def one(to: str) -> Column:
+        if to not in OF_PART:
+            return _outcome(EXPRESSIONS[to](x), F.col("__empty"), ERRORS[to](x) if to in ERRORS else F.lit("Entrada no válida"))
+        part, use = OF_PART[to]
+        error = _no_roman(F.col("__number")) if to == "dec-to-roman" else ERRORS[to](x) if to in ERRORS else F.lit("Entrada no válida")
+        return _outcome(use(F.col(parts[part])), F.col("__empty"), error)
+
+    def shown(i: int, to: str) -> Column:
+        c = F.col(f"__{i}")
+        text = F.when(F.typeof(c["result"]) == "binary", F.hex(c["result"].cast("binary"))).otherwise(c["result"].cast("string"))
+        return F.struct(F.lit(to).alias("conversion"), text.alias("result"), c["error"].alias("error"))
+
+    made = read.select(*kept, *[one(to).alias(f"__{i}") for i, to in enumerate(ids)])
+    return made.select(*kept, F.explode(F.array(*[shown(i, to) for i, to in enumerate(ids)])).alias("__c")).select(*kept, "__c.*")
+
+
 def convert(value: Column, to: str) -> Column:
     """struct(result, error) of a conversion by its id."""
     if to in EXPRESSIONS:
-        empty = value.isNull() | (F.length(value) == 0)
-        error = lambda r: F.when(empty, F.lit("Se necesita un archivo")).when(r.isNull(), ERRORS[to](value) if to in ERRORS else F.lit("Entrada no válida"))
-        return T.let(EXPRESSIONS[to](value), lambda r: F.struct(F.when(~empty, r).alias("result"), error(r).alias("error")))
+        error = ERRORS[to](value) if to in ERRORS else F.lit("Entrada no válida")
+        return _outcome(EXPRESSIONS[to](value), value.isNull() | (F.length(value) == 0), error)
     if to in TEXT_PARSERS:
         return _udf(TEXT_PARSERS[to], "string")(value)
     if to in FILE_READERS:

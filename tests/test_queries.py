@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burin.functions import text as T
-from burin.operators import pdf_files
+from burin.operators import convert, pdf_files
 from burin.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -68,6 +68,21 @@ def test_one_worker_a_task_reorders_pages(spark, tables):
     assert got == [(3, "\n\n".join(pages), None), (1, "one", None), (None, None, "Se necesita un archivo"), (None, None, "Se necesita un archivo")]
 
 
+def test_matrix_computes_each_conversion_once(spark):
+    texts = [None, "", "\u00a0 XIV\ufeff", "0XfF", "#AbC", "HSL(10, 20%, 30%)", "hTTPServerÉa9Bc\u2003x", "mcmß", "x\u0131v", "aG9s\u3000YQ==", "Jan 2, 2024", "2024-01-02", "|a|b|\n|-|-|\n|1|2|", "# t\u2028 - **x**"]
+    ids = [c for c in convert.EXPRESSIONS if c != "uuid-v4"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = convert.all_converted(rows, "text", ids)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(split(") == plan.count("translate(") == 1
+    got = {(r["doc_id"], r["conversion"]): (r["result"], r["error"]) for r in made.collect()}
+    assert len(got) == len(texts) * len(ids)
+    for c in ids:
+        for r in rows.select("doc_id", convert.convert(F.col("text"), c).alias("c")).select("doc_id", "c.*").collect():
+            result = bytes(r["result"]).hex().upper() if isinstance(r["result"], (bytes, bytearray)) else r["result"]
+            assert got[r["doc_id"], c] == (result, r["error"]), (texts[r["doc_id"]], c)
+
+
 def test_entry_imports_without_the_optional_part():
     import subprocess
     import sys
